@@ -18,6 +18,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.score(docs, model, ["doc_id", "lang"]).select("doc_id", t.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "threshold", "flagged")
 
 
+def op2_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import stream_dedup
+
+    return stream_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate as d
 
@@ -42,12 +48,18 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_stream_dedup": op2_stream_dedup,
     "op3_decontamination": op3_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_token_files": op8_token_files,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_stream_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+g AS (SELECT doc_id, h, count(*) OVER (PARTITION BY h) AS group_size, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g
+""",
     "op3_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
