@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,24 @@ def discard(*tables: DataFrame | str) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# --- a filter of fixed size for keys that several rows have ---
+
+BITS = 1 << 24  # 2**18 rows of 64 bits at any size of the input
+
+
+def hit_filter(heads: DataFrame) -> DataFrame:
+    """Digests that more than one row has, as a bitmap of fixed size: word, bits."""
+    at = F.pmod(F.xxhash64("sha"), F.lit(BITS))
+    return heads.where("rows > 1").select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+
+
+def with_hit(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """Adds hit: whether the digest may have more than one row. The bitmap's 2**18 rows bound the broadcast."""
+    at = F.pmod(F.xxhash64("sha"), F.lit(BITS))
+    marked = rows.withColumns({"at": at, "word": (at / 64).cast("int")})
+    return marked.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("coalesce(getbit(bits, CAST(at % 64 AS INT)), 0) = 1")).drop("at", "word", "bits")
+
+
 # --- words over Arrow text buffers -------------------------------------------------------------
 
 _B = np.arange(256)

@@ -31,6 +31,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.expr(d.CONTAMINATED).alias("contaminated"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from . import pieces
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_stream_dedup": op2_stream_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_warc": op4_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_token_files": op8_token_files,
 }

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, scratch, stored
+from .common import discard, hit_filter, scratch, stored, with_hit
 
 SPACES = " \t\n\u000b\f\r"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,22 +77,6 @@ def state_of(records: DataFrame, name: str) -> DataFrame:
 _UNIT, _NO_ID = 10**20, 4 * 10**19
 RANK = f"CAST(n_points AS DECIMAL(38,0)) * {_UNIT} - coalesce(CAST(doc_id AS DECIMAL(38,0)), {_NO_ID})"
 BACK = f"CAST(nullif(CAST(ceil(best / {_UNIT}BD - 0.39BD) AS DECIMAL(38,0)) * {_UNIT} - best, {_NO_ID}) AS BIGINT)"
-BITS = 1 << 24  # of the filter below: 2**18 rows of 64 bits at any size of the input
-
-
-def hit_filter(heads: DataFrame) -> DataFrame:
-    """Digests that more than one row has, as a bitmap of fixed size: word, bits."""
-    at = F.pmod(F.xxhash64("sha"), F.lit(BITS))
-    return heads.where("rows > 1").select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
-
-
-def with_hit(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Adds hit: whether the digest may have more than one row. The bitmap's 2**18 rows bound the broadcast."""
-    at = F.pmod(F.xxhash64("sha"), F.lit(BITS))
-    marked = rows.withColumns({"at": at, "word": (at / 64).cast("int")})
-    return marked.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("coalesce(getbit(bits, CAST(at % 64 AS INT)), 0) = 1")).drop("at", "word", "bits")
-
-
 def groups(docs: DataFrame, name: str = "dedup") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of a batch of documents."""
     spark = docs.sparkSession
