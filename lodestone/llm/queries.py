@@ -37,6 +37,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from . import pieces
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_stream_dedup": op2_stream_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
+    "op5_url_filter": op5_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_token_files": op8_token_files,
 }
