@@ -51,6 +51,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(got)
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+
+    return licences.digests(licences.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from . import token_files
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_url_filter": op5_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_licences": op7_licences,
     "op8_token_files": op8_token_files,
 }
 
