@@ -64,6 +64,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import surrogates
+
+    return surrogates.replace(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "kinds", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_stream_dedup": op2_stream_dedup,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_licences": op7_licences,
     "op8_token_files": op8_token_files,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLES: dict[str, str] = {
