@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 from .common import discard, hit_filter, scratch, stored, with_hit
 
 SPACES = " \t\n\u000b\f\r"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state is on disk; its many small stores don't set space aside before they need it.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -51,8 +55,9 @@ def state_of(records: DataFrame, name: str) -> DataFrame:
     """
     spark = records.sparkSession
     changed, progress = scratch(spark, f"{name}-changed"), scratch(spark, f"{name}-progress")
-    had = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    had = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         order = F.struct("n_points", F.col("doc_id").isNotNull(), -F.col("doc_id"))
         head = F.max_by(F.struct("doc_id", "twin", "locator"), order)
@@ -64,10 +69,11 @@ def state_of(records: DataFrame, name: str) -> DataFrame:
         query = state.writeStream.outputMode("update").option("checkpointLocation", progress).foreachBatch(append).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if had is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", had)
+        for k, v in had.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     discard(progress)
     log = spark.read.schema(state.schema.add("trigger", "long")).parquet(changed)
     return log.groupBy("sha").agg(F.max("rows").alias("rows"), F.max_by("head", "rows").alias("head"))
