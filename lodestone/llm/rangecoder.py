@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1024
-SLOTS = 1024  # of each block's table of a context order
+BLOCK = 512
+SLOTS = 512  # of each block's table of a context order
 CLASSES = 17  # ids below 2**16
 RENEW = 16  # steps after which the counts of classes take effect
 U = np.uint64

@@ -17,6 +17,7 @@ are kept, ordered by text; an empty table gives no rows; other columns are not r
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rangecoder
-from .common import discard, scratch, text_slices
+from .common import LOWER, discard, scratch, stored, text_slices
 
 FRAME = struct.Struct("<4sBIIIII")
 MAGIC = b"LDTK"
@@ -40,14 +41,15 @@ END = 1
 
 
 class WordEncoder:
-    """The tokenizers library on the distinct whitespace-bounded runs of a batch, behind a bounded memo.
+    """The tokenizers library on the distinct runs of a batch, behind a bounded memo.
 
-    The vocabulary's splitting never looks past white space, so runs are encoded alone. A run of letters
-    of one plain alphabet, with punctuation behind it or not, goes straight to the library's merge model.
+    The vocabulary's splitting never looks past white space, nor from an ASCII letter to an ASCII sign other than
+    the apostrophe, and it lower-cases: so texts are lower-cased in ASCII and cut there, and runs are encoded alone. A
+    run of plain letters or of signs is one word to the library's merge model; others take its whole way.
     """
 
-    #: What is lower-cased letter by letter, is composed already, and splits into one word and one tail.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    #: Letters that are lower-cased one by one and composed already; or signs, which stand for themselves.
+    PLAIN = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,71 +60,83 @@ class WordEncoder:
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.plain = all(self.lib.encode(t, add_special_tokens=False).ids == self.alone(t) for t in ("Hello,", "Äpfel", "année!", "a.b", "x"))
+        self.plain = all(self.lib.encode(t, add_special_tokens=False).ids == self.alone(t) for t in ("hello", "Äpfel", "année", "...", "x", "|$*"))
+        self.cut = self.lib.encode("A.b c", add_special_tokens=False).ids == [i for t in ("a", ".", "b", "c") for i in self.lib.encode(t, add_special_tokens=False).ids]
+        self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, list[int]] = {}
         self.memo: dict[str, int] = {}
         self.ids, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def alone(self, run: str) -> list[int]:
-        m = self.PLAIN.fullmatch(run)
-        if not m:
-            return self.lib.encode(run, add_special_tokens=False).ids
-        word, tail = m[1].lower(), m[2]
-        return [*self.word(word), *(self.word(tail) if tail else ())]
-
-    def word(self, w: str) -> list[int]:
-        known = getattr(self, "words", {})
-        got = known.get(w)
-        if got is None:
-            spelled = w if w.isascii() else "".join(self.letters[b] for b in w.encode())
-            got = known[w] = [t.id for t in self.model.tokenize(spelled)]
-        return got
-
-    def places(self, runs: list[str], most: int = 300_000) -> np.ndarray:
+        if not self.PLAIN.fullmatch(run):
+            return self.whole(run)
+        spelled = run if run.isascii() else "".join(self.letters[b] for b in run.lower().encode())
+        return [t.id for t in self.model.tokenize(spelled)]
+
+    def whole(self, text: str) -> list[int]:
+        return self.lib.encode(text, add_special_tokens=False).ids
+
+    def places(self, runs: list[str], most: int = 250_000) -> np.ndarray:
         if len(self.memo) > most:
             self.forget()
         at = np.fromiter((self.memo.get(x, -1) for x in runs), np.int64, len(runs))
         new = np.flatnonzero(at < 0)
         if len(new):
-            one = self.alone if self.plain else lambda r: self.lib.encode(r, add_special_tokens=False).ids
+            one = self.alone if self.plain else self.whole
             got = [one(runs[i]) for i in new.tolist()]
-            size = np.array([len(x) for x in got], np.int64)
+            size = np.fromiter(map(len, got), np.int64, len(got))
             at[new] = len(self.memo) + np.arange(len(new))
             self.memo.update(zip((runs[i] for i in new.tolist()), at[new].tolist()))
             self.at = np.append(self.at, len(self.ids) + np.append(0, np.cumsum(size))[:-1])
             self.size = np.append(self.size, size)
-            self.ids = np.append(self.ids, np.array([i for x in got for i in x], np.int32))
+            self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum())))
         return at
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with the end id behind each text, and the number of each text's ids."""
-        gap = np.ones(len(data) + 2, bool)
-        gap[1:-1] = (data == 32) | ((data >= 9) & (data <= 13))
-        cut = np.zeros(len(data) + 1, bool)
-        cut[offsets] = True
-        start = np.flatnonzero(~gap[1:-1] & (gap[:-2] | cut[:-1]))
-        end = np.flatnonzero(~gap[1:-1] & (gap[2:] | cut[1:])) + 1
+        raw = data.tobytes()
+        cuts = self.cut and not any(t in raw or t.upper() in raw.upper() for t in self.special)
+        kind = _KIND[data]  # 0: white space, 1: a letter, 2: a sign, 3: another byte
+        word = kind > 0
+        begin = word.copy()
+        begin[1:] &= ~word[:-1]
+        if cuts:
+            data = LOWER[data]
+            begin[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
+        inside = offsets[:-1][offsets[:-1] < len(data)]
+        begin[inside] = word[inside]
+        start = np.flatnonzero(begin)
+        gap = np.flatnonzero(~word)
+        stop = np.append(start[1:], len(data))
+        if len(gap):
+            near = np.searchsorted(gap, start)
+            stop = np.minimum(stop, np.append(gap, len(data))[near])
         # only the runs' bytes, so that they stand side by side
-        size = end - start
+        size = stop - start
         edge = np.append(0, np.cumsum(size))
-        packed = data[np.repeat(start - edge[:-1], size) + np.arange(edge[-1])]
-        runs = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(packed)))
+        runs = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[word])))
         code = runs.dictionary_encode()
         which = self.places(code.dictionary.to_pylist())[np.asarray(code.indices)]
         k = self.size[which]
         first = np.append(0, np.cumsum(k))
         per_text = np.diff(first[np.searchsorted(start, offsets)]) + 1
-        stop = np.cumsum(per_text)
-        out = np.full(int(stop[-1]) if len(stop) else 0, END, np.int32)
+        last = np.cumsum(per_text)
+        out = np.full(int(last[-1]) if len(last) else 0, END, np.int32)
         mine = np.ones(len(out), bool)
-        mine[stop - 1] = False
+        mine[last - 1] = False
         out[mine] = self.ids[np.repeat(self.at[which] - first[:-1], k) + np.arange(first[-1])]
         return out, per_text
 
 
+_b = np.arange(256)
+_KIND = np.full(256, 3, np.uint8)
+_KIND[(_b == 32) | ((_b >= 9) & (_b <= 13))] = 0
+_KIND[((_b >= 65) & (_b <= 90)) | ((_b >= 97) & (_b <= 122))] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+
+
 class Definition:
     """A tokenizer file as it travels to the executors."""
 
@@ -143,7 +157,7 @@ def frame(kind: int, part: int, number: int, count: int, crc: int, payload: byte
     return FRAME.pack(MAGIC, kind, part, number, count, len(payload), crc) + payload
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: int = 16 << 20, lanes: int = 6144, check_one_in: int = 200) -> None:
+def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: int = 16 << 20, lanes: int = 8192, check_one_in: int = 200) -> None:
     """Write token files below `path`. `part_bytes` of text make a range of doc_ids, and so a file.
 
     One text in `check_one_in` of each batch is also encoded whole by the library; a difference fails the job.
@@ -223,8 +237,8 @@ def read_part(content: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
             coded[number] = (count, crc, payload)
     order = sorted(coded)
     flat = []
-    for a in range(0, len(order), 6144):
-        some = [coded[n] for n in order[a : a + 6144]]
+    for a in range(0, len(order), 8192):
+        some = [coded[n] for n in order[a : a + 8192]]
         by_length = sorted(range(len(some)), key=lambda i: -some[i][0])
         length = np.array([some[i][0] for i in by_length])
         rows = rangecoder.decode([some[i][2] for i in by_length], length)
@@ -273,8 +287,6 @@ def digests(tokens: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from files written and read back."""
-    from .common import stored
-
     path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer_file, path)
     got = stored(digests(read_tokens(docs.sparkSession, path)), "token-digests")
