@@ -53,17 +53,17 @@ def discard(*tables: DataFrame | str) -> None:
 BITS = 1 << 24  # 2**18 rows of 64 bits at any size of the input
 
 
-def hit_filter(heads: DataFrame) -> DataFrame:
-    """Digests that more than one row has, as a bitmap of fixed size: word, bits."""
-    at = F.pmod(F.xxhash64("sha"), F.lit(BITS))
-    return heads.where("rows > 1").select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """The keys' hashes as a bitmap of fixed size: word, bits."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    return keys.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
 
 
-def with_hit(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Adds hit: whether the digest may have more than one row. The bitmap's 2**18 rows bound the broadcast."""
-    at = F.pmod(F.xxhash64("sha"), F.lit(BITS))
-    marked = rows.withColumns({"at": at, "word": (at / 64).cast("int")})
-    return marked.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("coalesce(getbit(bits, CAST(at % 64 AS INT)), 0) = 1")).drop("at", "word", "bits")
+def with_hit(rows: DataFrame, bitmap: DataFrame, key: str) -> DataFrame:
+    """Adds hit: whether a row's key may be one of the bitmap's. Its 2**18 rows bound the broadcast."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    marked = rows.withColumns({"_at": at, "word": (at / 64).cast("int")})
+    return marked.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("coalesce(getbit(bits, CAST(_at % 64 AS INT)), 0) = 1")).drop("_at", "word", "bits")
 
 
 # --- words over Arrow text buffers -------------------------------------------------------------

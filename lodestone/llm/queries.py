@@ -64,6 +64,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import surrogates
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_licences": op7_licences,
     "op8_token_files": op8_token_files,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_surrogates": op10_surrogates,
 }
 

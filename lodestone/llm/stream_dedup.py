@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, hit_filter, scratch, stored, with_hit
+from .common import discard, key_bitmap, scratch, stored, with_hit
 
 SPACES = " \t\n\u000b\f\r"
 #: The state is on disk; its many small stores don't set space aside before they need it.
@@ -95,11 +95,11 @@ def groups(docs: DataFrame, name: str = "dedup") -> DataFrame:
         heads = stored(state_of(stream, name), f"{name}-heads")
     else:
         heads = landed.groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), F.first(F.struct("doc_id", "twin")).alias("head"))
-    bitmap = stored(hit_filter(heads), f"{name}-hits")
+    bitmap = stored(key_bitmap(heads.where("rows > 1"), "sha"), f"{name}-hits")
     # Hits are compared by their full bytes: grouping on the text itself. Copies meet within each task first.
     texts = docs.select("doc_id", points(F.col("text")).alias("n_points"), normalised(F.col("text")).alias("norm")).withColumn("sha", F.sha2("norm", 256))
-    same = with_hit(texts, bitmap).where("hit").groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.expr(RANK)).alias("best"))
+    same = with_hit(texts, bitmap, "sha").where("hit").groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.expr(RANK)).alias("best"))
     same = same.select(F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("twin"), F.expr(BACK).cast(kind).alias("keep_id"), "group_size")
-    alone = with_hit(heads, bitmap).where("NOT hit").select("sha", F.col("head.twin").alias("twin"), F.col("head.doc_id").alias("keep_id"), F.col("rows").alias("group_size"))
+    alone = with_hit(heads, bitmap, "sha").where("NOT hit").select("sha", F.col("head.twin").alias("twin"), F.col("head.doc_id").alias("keep_id"), F.col("rows").alias("group_size"))
     out = landed.join(alone.unionByName(same), ["sha", "twin"])
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))

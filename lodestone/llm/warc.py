@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, hit_filter, scratch, stored, with_hit
+from .common import discard, key_bitmap, scratch, stored, with_hit
 
 END = "\r\n\r\n"
 #: Fixed values of the format.
@@ -66,8 +66,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     src = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     src = src.withColumns({"sha1": F.sha1("payload"), "sha": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     firsts = stored(resolve(src.drop("payload", "sha1"), least_bytes), "warc-digests")
-    bitmap = stored(hit_filter(firsts), "warc-hits")
-    marked = with_hit(src, bitmap).withColumn("hit", F.col("hit") & (F.col("payload_bytes") >= least_bytes))
+    bitmap = stored(key_bitmap(firsts.where("rows > 1"), "sha"), "warc-hits")
+    marked = with_hit(src, bitmap, "sha").withColumn("hit", F.col("hit") & (F.col("payload_bytes") >= least_bytes))
     first = firsts.select("sha", "first")
     own = F.col("page_id").eqNullSafe(F.col("first.page_id"))
     none = F.lit(None).cast(first.schema["first"].dataType)
