@@ -1,3 +1,56 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and, but for the last, returns rows of documents."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import key_bitmap, stored, table, with_hit
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in `drop`; a null doc_id is never dropped. Only texts that may go are shuffled."""
+    drop = stored(drop.select("doc_id").distinct(), "dropped")
+    marked = with_hit(docs, stored(key_bitmap(drop, "doc_id"), "dropped-bits"), "doc_id")
+    stay = marked.where("NOT hit").select(*docs.columns)
+    return stay.unionByName(marked.where("hit").join(drop, "doc_id", "left_anti").select(*docs.columns))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on these documents' labels, does not call toxic."""
+    from . import toxicity as t
+
+    model = t.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return t.score(docs, model).where("predicted = 0 AND NOT flagged").select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    from . import stream_dedup
+
+    return without(docs, stream_dedup.groups(docs, "stage-dedup").where("NOT kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each group of near copies."""
+    from . import jaccard_join
+
+    return without(docs, jaccard_join.near_duplicates(docs).where("doc_id <> component_id"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark's windows do not cover enough to count as contaminated."""
+    from . import decontaminate as d
+
+    return d.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of every document that is left."""
+    import public_tokenizers
+
+    from . import pieces
+
+    return pieces.digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("ngram_jaccard_join", near_dedup), ("decontamination", decontaminate), ("sentencepiece", encode)]
