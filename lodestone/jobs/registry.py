@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import code_queries, index_queries, search_queries, text_queries
+
 FLAGSHIP = "bm25_topk"
-QUERIES: dict = {}
-ORACLES: dict = {}
+_PARTS = (text_queries, search_queries, code_queries, index_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
