@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,42 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, scratch, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests, a laptop) a temporary folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lodestone.scratch", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-lodestone-")
-        spark.conf.set("spark.lodestone.scratch", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame | str) -> None:
-    """Delete tables made by stored(), or folders, once nothing reads them any more."""
-    for t in tables:
-        spark = SparkSession.getActiveSession()
-        with contextlib.suppress(Exception):
-            paths = [t] if isinstance(t, str) else {f.rsplit("/", 1)[0] for f in t.inputFiles()}
-            for p in paths:
-                path = spark._jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 # --- a filter of fixed size for keys that several rows have ---
 
 BITS = 1 << 24  # 2**18 rows of 64 bits at any size of the input
