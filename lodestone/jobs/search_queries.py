@@ -93,7 +93,7 @@ def _case_ranks(spark, sf_dir):
 
 
 def retrieval_ranks(spark, sf_dir):
-    return _case_ranks(spark, sf_dir).select("case_id", F.col("rank").cast("long").alias("rank"))
+    return _case_ranks(spark, sf_dir).select("case_id", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"))
 
 
 def retrieval_metrics(spark, sf_dir):
@@ -140,6 +140,6 @@ h AS (SELECT path, line, {' + '.join(_count('lower(c)', t) for t in TERMS)} AS h
 SELECT path, CAST(round(sum(hits + 0.25 * kinds), 6) AS DOUBLE) AS score, min(line) AS first_line FROM h WHERE hits > 0 GROUP BY path ORDER BY score DESC, first_line, path LIMIT 25""",
     "context_budget": _SNIPPETS + "SELECT query, position, path, sha256(snippet) AS snippet_hash, CAST(length(snippet) AS INTEGER) AS chars, truncated FROM p",
     "context_summary": _SNIPPETS + "SELECT query, count(*) AS results, CAST(sum(length(snippet)) AS BIGINT) AS used_chars, CAST(ceil(sum(length(snippet)) / 4.0) AS BIGINT) AS tokens, count(*) FILTER (WHERE truncated) AS truncated FROM p GROUP BY query",
-    "retrieval_ranks": _CASES + "SELECT item_id AS case_id, rank FROM h",
+    "retrieval_ranks": _CASES + "SELECT item_id AS case_id, coalesce(rank, 0) AS rank FROM h",
     "retrieval_metrics": _CASES + "SELECT count(*) AS cases, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, quantile_disc(rank, 0.95) AS p95_rank, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) >= 1 AND avg(coalesce(1.0 / rank, 0.0)) >= 0.85 AS passed FROM h",
 }
