@@ -35,7 +35,7 @@ WORDS = 5
 LEAST = 75  # percent of the union
 SIGNS = 8  # least hashes of a set
 AGREE = 2  # of them that a pair must share to be tried early
-GROUP = 64  # documents that are compared with one pivot in one task
+GROUP = 64  # documents of a block
 HOT_LEAST, HOT_MOST = 8, 1 << 20  # frequencies from which tokens are made known, and how many at most
 BUCKET_TOKENS = 1 << 21  # tokens that one task counts or joins
 LONG = 64  # components in a token's list beyond which pairs are not all tried at once
@@ -88,52 +88,96 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, signs array<long>")
 
 
-def overlap_least(n: int, m: int) -> int:
-    """The smallest overlap at which sets of n and m tokens are similar enough."""
-    return -(-(n + m) * LEAST // (100 + LEAST))
-
-
 def prefix_size(n):
     return n - (n * LEAST + 99) // 100 + 1
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two ascending sets are alike enough: sizes, then shared prefix tokens under two orders, then all tokens."""
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(x) or 100 * len(x) < LEAST * len(y):
-        return False
-    for k in (1, 3):
-        p, q = np.partition(x * ODD[k], prefix_size(len(x)) - 1)[: prefix_size(len(x))], np.sort(np.partition(y * ODD[k], prefix_size(len(y)) - 1)[: prefix_size(len(y))])
-        if not (q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).any():
-            return False
-    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return 100 * same >= LEAST * (len(x) + len(y) - same)
-
-
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar enough. A document of very many partners is dealt into groups of them."""
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    deal = pairs.groupBy("a").agg((F.count(F.lit(1)) / GROUP).cast("int").alias("deals"))
-    keyed = pairs.join(deal, "a").select("a", F.pmod(F.xxhash64("b"), F.col("deals") + 1).cast("int").alias("k"), "b")
-    need = keyed.select(F.col("b").alias("doc"), "a", "k").unionByName(keyed.select(F.col("a").alias("doc"), "a", "k")).distinct()
-    need = stored(need, "wanted")
+class Block:
+    """Sets of some documents as one index, under each order's prefixes and over all tokens."""
+
+    def __init__(self, names: list[int], sets: list[np.ndarray]):
+        self.names = np.array(names, np.int64)
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.parts = [self._index(sets, k) for k in (1, 3, None)]
+
+    @staticmethod
+    def prefix(x: np.ndarray, order: int | None) -> np.ndarray:
+        """The first tokens of a set under an order (all without one)."""
+        if order is None:
+            return x
+        n = prefix_size(len(x))
+        return x[np.argpartition(x * ODD[order], n - 1)[:n]]
+
+    def _index(self, sets: list[np.ndarray], order: int | None) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.prefix(x, order) for x in sets]
+        token, own = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        by = np.argsort(token, kind="stable")
+        return token[by], own[by]
+
+    def shared(self, x: np.ndarray, part: int) -> np.ndarray:
+        """How many of some tokens each document of the block has."""
+        token, own = self.parts[part]
+        low, high = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
+        n = high - low
+        at = np.repeat(low - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+        return np.bincount(own[at], minlength=len(self.names))
+
+    def similar(self, x: np.ndarray) -> np.ndarray:
+        """Documents whose sets are alike enough to x: by size, by shared prefix tokens under two orders, then by all tokens."""
+        n = len(x)
+        ok = (100 * np.minimum(self.size, n) >= LEAST * np.maximum(self.size, n)) & (n > 0)
+        for part, order in enumerate((1, 3)):
+            if ok.any():
+                ok &= self.shared(self.prefix(x, order), part) > 0
+        if ok.any():
+            same = self.shared(x, 2)
+            ok &= 100 * same >= LEAST * (self.size + n - same)
+        return self.names[ok]
+
+
+def deal(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """doc, c, i, j, main: which documents meet in which block, for pairs (a, b) of components of members (rep, component).
+
+    The larger of two components is the main one. Its documents are dealt into blocks of GROUP, and so are those of all
+    components that are to be compared with it; each block of the one meets each of the other, so a text moves once for
+    GROUP comparisons.
+    """
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    both = pairs.join(size.select(F.col("component").alias("a"), F.col("m").alias("m_a")), "a").join(size.select(F.col("component").alias("b"), F.col("m").alias("m_b")), "b")
+    first = (F.col("m_a") > F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("a") < F.col("b")))
+    both = stored(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("c"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("o"), F.greatest("m_a", "m_b").alias("m_c"), F.least("m_a", "m_b").alias("m_o")), "compare")
+    plan = both.groupBy("c").agg((F.max("m_c") / GROUP).cast("int").alias("last_i"), (F.sum("m_o") / GROUP).cast("int").alias("last_j"))
+    own = members.select(F.col("component").alias("c"), F.col("rep").alias("doc"))
+    spot = lambda name: F.pmod(F.xxhash64("doc"), F.col(name) + 1).cast("int")
+    main = own.join(plan, "c").select("doc", "c", spot("last_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("last_j"))).alias("j"), F.lit(True).alias("main"))
+    other = members.select(F.col("component").alias("o"), F.col("rep").alias("doc")).join(both.select("c", "o"), "o").join(plan, "c").select("doc", "c", F.explode(F.sequence(F.lit(0), F.col("last_i"))).alias("i"), spot("last_j").alias("j"), F.lit(False).alias("main"))
+    return main.unionByName(other)
+
+
+def verify(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between similar documents of the components of pairs (a, b): of each document, one in each block that has any."""
+    need = stored(deal(pairs.select("a", "b").distinct(), members), "wanted")
     bitmap = stored(key_bitmap(need, "doc"), "wanted-bits")
     texts = with_hit(docs.withColumnRenamed("doc_id", "doc"), bitmap, "doc").where("hit").drop("hit")
 
     def compare(group: pa.Table) -> pa.Table:
-        a = group["a"][0].as_py()
-        sets: dict[int, list[np.ndarray]] = {}
+        sides: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
         for batch in group.combine_chunks().to_batches():
             for part, data, offsets in text_slices(batch, "text"):
                 flat, at = shingle_sets(data, offsets)
-                for i, d in enumerate(part["doc"].to_pylist()):
-                    sets.setdefault(d, []).append(flat[at[i] : at[i + 1]])
-        own = sets.get(a, [])
-        linked = [b for b, many in sets.items() if b != a and any(similar(x, y) for x in own for y in many)]
-        return pa.table({"a": pa.array([a] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
+                for i, (d, main) in enumerate(zip(part["doc"].to_pylist(), part["main"].to_pylist())):
+                    if at[i + 1] > at[i]:
+                        sides[main][0].append(d)
+                        sides[main][1].append(flat[at[i] : at[i + 1]])
+        links = []
+        if sides[True][0] and sides[False][0]:
+            block = Block(*sides[True])
+            for d, x in zip(*sides[False]):
+                found = block.similar(x)
+                links += [(int(found.min()), d)] if len(found) else []
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return stored(texts.join(need, "doc").select("a", "k", "doc", "text").groupBy("a", "k").applyInArrow(compare, "a long, b long"), "links")
+    return stored(texts.join(need, "doc").select("c", "i", "j", "doc", "main", "text").groupBy("c", "i", "j").applyInArrow(compare, "a long, b long"), "links")
 
 
 def early_pairs(classes: DataFrame) -> DataFrame:
@@ -237,10 +281,12 @@ def candidates(entries: DataFrame) -> DataFrame:
             if n <= LONG:
                 lists = np.unique(lists, axis=0)
                 i, j = np.triu_indices(n, 1)
-                both = np.unique(np.stack((lists[:, i].ravel(), lists[:, j].ravel()), 1), axis=0)
-                a.append(both[:, 0])
-                b.append(both[:, 1])
-                names.append(np.full(len(both), -1))
+                most = max(1, (1 << 20) // len(i))
+                for k in range(0, len(lists), most):
+                    both = np.unique(np.stack((lists[k : k + most, i].ravel(), lists[k : k + most, j].ravel()), 1), axis=0)
+                    a.append(both[:, 0])
+                    b.append(both[:, 1])
+                    names.append(np.full(len(both), -1))
             else:
                 a.append(lists.ravel())
                 b.append(np.full(lists.size, -1))
@@ -251,14 +297,6 @@ def candidates(entries: DataFrame) -> DataFrame:
     return stored(entries.groupBy("bucket").applyInArrow(pair, "a long, b long, list long"), "candidates")
 
 
-def document_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of documents of two components whose sizes allow it."""
-    x = members.select(F.col("component").alias("a"), F.col("rep").alias("x"), F.col("n").alias("n"))
-    y = members.select(F.col("component").alias("b"), F.col("rep").alias("y"), F.col("n").alias("m"))
-    fit = f"100 * least(n, m) >= {LEAST} * greatest(n, m)"
-    return pairs.join(x, "a").join(y, "b").where(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
 def relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with their components after new links between documents."""
     of = members.select("rep", "component")
@@ -279,8 +317,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ties = some.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep")
     again = ties.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     members = classes.groupBy("rep").agg(F.max("n").alias("n")).select("rep", "n", F.col("rep").alias("component"))
-    links = verify(docs, early_pairs(classes))
-    members = relabel(stored(members, "members"), links.unionByName(again))
+    members = stored(members, "members")
+    members = relabel(members, verify(docs, early_pairs(classes), members).unionByName(again))
     # the index works on one text a class, and knows its component
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(6, min(31, int(total // BUCKET_TOKENS).bit_length()))
@@ -295,14 +333,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = candidates(packed(texts, bits, True, hot))
     hot.unpersist()
     pairs = found.where("b >= 0").select("a", "b").distinct()
-    members = relabel(members, verify(docs, document_pairs(pairs, members)))
+    members = relabel(members, verify(docs, pairs, members))
     members = long_lists(docs, found.where("b < 0").select("list", F.col("a").alias("component")), members)
     named = some.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).join(members.select("rep", "component"), "rep").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     others = feats.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(others)
 
 
-def long_lists(docs: DataFrame, lists: DataFrame, members: DataFrame, pivots: int = 8) -> DataFrame:
+def long_lists(docs: DataFrame, lists: DataFrame, members: DataFrame, pivots: int = 64) -> DataFrame:
     """Work off tokens that more than LONG components have.
 
     Each round tries a list's first components, the pivots, against those behind them. What links becomes one
@@ -315,7 +353,7 @@ def long_lists(docs: DataFrame, lists: DataFrame, members: DataFrame, pivots: in
         pivot = ranked.where(F.col("at") <= pivots).select("list", F.col("component").alias("a"), F.col("at").alias("before"))
         pairs = ranked.join(pivot, "list").where("at > before").select("a", F.col("component").alias("b")).distinct()
         old = members.select("rep", "component")
-        members = relabel(members, verify(docs, document_pairs(pairs, members)))
+        members = relabel(members, verify(docs, pairs, members))
         now = old.join(members.select("rep", F.col("component").alias("new")), "rep").select("component", "new").distinct()
         rest = ranked.where(F.col("at") > pivots).join(now, "component").select("list", F.col("new").alias("component")).distinct()
         held = rest.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("list")
