@@ -66,8 +66,51 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return (np.concatenate(sets) if sets else np.zeros(0, U)), np.append(0, np.cumsum(size))
 
 
+def sketches(flat: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """How many tokens of each set fall into each of about n / 4 ranges of a hash, a byte each; empty if one does not fit.
+
+    The sum of the smaller counts of two sets bounds their overlap from above.
+    """
+    n = np.diff(at)
+    bits = np.maximum(4, np.ceil(np.log2(np.maximum(n, 1) / 4)).astype(np.int64))
+    edge = np.append(0, np.cumsum(1 << bits))
+    own = np.repeat(np.arange(len(n)), n)
+    spot = ((flat * ODD[7]) >> (U(64) - bits[own].astype(U))).astype(np.int64)
+    count = np.bincount(edge[own] + spot, minlength=int(edge[-1]))
+    small = np.minimum(count, 255).astype(np.uint8)
+    return [b"" if (count[a:b] > 255).any() else small[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """The largest overlap that two sketches allow; the finer one is folded to the width of the other."""
+    p, q = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y))
+    while len(p) > len(q):
+        p = p.reshape(-1, 2).sum(1)
+    while len(q) > len(p):
+        q = q.reshape(-1, 2).sum(1)
+    return int(np.minimum(p, q).sum())
+
+
+def plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of components, those that have documents whose sizes and sketches allow a link. No text moves for it."""
+    x = members.select(F.col("component").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
+    y = members.select(F.col("component").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    rows = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").where(f"n IS NULL OR m IS NULL OR 100 * least(n, m) >= {LEAST} * greatest(n, m)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, p, q in zip(*(batch[c].to_pylist() for c in ("n", "m", "x", "y"))):
+                shared = most_shared(p, q) if p and q and n and m else None
+                keep.append(shared is None or 100 * shared >= LEAST * (n + m - shared))
+            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield kept
+
+    return rows.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (of the whole set), signs (least hashes)."""
+    """doc_id, n (set size), h1, h2 (of the whole set), signs (least hashes), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,9 +126,9 @@ def features(docs: DataFrame) -> DataFrame:
                     for k in range(SIGNS):
                         signs[full, k] = np.minimum.reduceat(flat * ODD[k], at[full])
                 many = pa.ListArray.from_arrays(pa.array(np.arange(0, SIGNS * len(n) + 1, SIGNS).astype(np.int32)), pa.array(signs.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), many], names=["doc_id", "n", "h1", "h2", "signs"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), many, pa.array(sketches(flat, at), pa.binary())], names=["doc_id", "n", "h1", "h2", "signs", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, signs array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, signs array<long>, sketch binary")
 
 
 def prefix_size(n):
@@ -302,7 +345,7 @@ def relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     of = members.select("rep", "component")
     edges = links.join(of.withColumnRenamed("rep", "a").withColumnRenamed("component", "p"), "a").join(of.withColumnRenamed("rep", "b").withColumnRenamed("component", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     new = components(edges).select(F.col("component").alias("new"), F.col("node").alias("component"))
-    return stored(members.join(new, "component", "left").select("rep", "n", F.coalesce("new", "component").alias("component")), "members")
+    return stored(members.join(new, "component", "left").select("rep", "n", "sketch", F.coalesce("new", "component").alias("component")), "members")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -312,11 +355,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = every.where(F.col("doc_id").isNotNull())
     feats = stored(features(every), "features")
     some = feats.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("signs").alias("signs"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = stored(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("signs").alias("signs"), F.any_value("sketch").alias("sketch")), "classes")
     # one document that is in several classes (a repeated doc_id) joins them
     ties = some.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep")
     again = ties.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    members = classes.groupBy("rep").agg(F.max("n").alias("n")).select("rep", "n", F.col("rep").alias("component"))
+    # a document with several texts has no size and no sketch to go by
+    one_text = lambda c: F.when(F.count(F.lit(1)) == 1, F.any_value(c)).alias(c)
+    members = classes.groupBy("rep").agg(one_text("n"), one_text("sketch")).withColumn("component", F.col("rep"))
     members = stored(members, "members")
     members = relabel(members, verify(docs, early_pairs(classes), members).unionByName(again))
     # the index works on one text a class, and knows its component
@@ -333,7 +378,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = candidates(packed(texts, bits, True, hot))
     hot.unpersist()
     pairs = found.where("b >= 0").select("a", "b").distinct()
-    members = relabel(members, verify(docs, pairs, members))
+    members = relabel(members, verify(docs, plausible(pairs, members), members))
     members = long_lists(docs, found.where("b < 0").select("list", F.col("a").alias("component")), members)
     named = some.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).join(members.select("rep", "component"), "rep").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     others = feats.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -353,7 +398,7 @@ def long_lists(docs: DataFrame, lists: DataFrame, members: DataFrame, pivots: in
         pivot = ranked.where(F.col("at") <= pivots).select("list", F.col("component").alias("a"), F.col("at").alias("before"))
         pairs = ranked.join(pivot, "list").where("at > before").select("a", F.col("component").alias("b")).distinct()
         old = members.select("rep", "component")
-        members = relabel(members, verify(docs, pairs, members))
+        members = relabel(members, verify(docs, plausible(pairs, members), members))
         now = old.join(members.select("rep", F.col("component").alias("new")), "rep").select("component", "new").distinct()
         rest = ranked.where(F.col("at") > pivots).join(now, "component").select("list", F.col("new").alias("component")).distinct()
         held = rest.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("list")
