@@ -78,17 +78,17 @@ class WordEncoder:
     def whole(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
-    def places(self, runs: list[str], most: int = 250_000) -> np.ndarray:
+    def places(self, runs: list[str], most: int = 100_000) -> np.ndarray:
         if len(self.memo) > most:
             self.forget()
         at = np.fromiter((self.memo.get(x, -1) for x in runs), np.int64, len(runs))
         new = np.flatnonzero(at < 0)
-        if len(new):
-            one = self.alone if self.plain else self.whole
-            got = [one(runs[i]) for i in new.tolist()]
+        one = self.alone if self.plain else self.whole
+        for part in np.array_split(new, -(-len(new) // 20_000)) if len(new) else ():  # lists of ids are short-lived
+            got = [one(runs[i]) for i in part.tolist()]
             size = np.fromiter(map(len, got), np.int64, len(got))
-            at[new] = len(self.memo) + np.arange(len(new))
-            self.memo.update(zip((runs[i] for i in new.tolist()), at[new].tolist()))
+            at[part] = len(self.memo) + np.arange(len(part))
+            self.memo.update(zip((runs[i] for i in part.tolist()), at[part].tolist()))
             self.at = np.append(self.at, len(self.ids) + np.append(0, np.cumsum(size))[:-1])
             self.size = np.append(self.size, size)
             self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum())))
@@ -157,7 +157,7 @@ def frame(kind: int, part: int, number: int, count: int, crc: int, payload: byte
     return FRAME.pack(MAGIC, kind, part, number, count, len(payload), crc) + payload
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: int = 16 << 20, lanes: int = 8192, check_one_in: int = 200) -> None:
+def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: int = 16 << 20, lanes: int = 4096, check_one_in: int = 200) -> None:
     """Write token files below `path`. `part_bytes` of text make a range of doc_ids, and so a file.
 
     One text in `check_one_in` of each batch is also encoded whole by the library; a difference fails the job.
@@ -192,7 +192,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: in
             return pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
         for batch in batches:
-            for rows, data, offsets in text_slices(batch, "text"):
+            for rows, data, offsets in text_slices(batch, "text", 2 << 20):
                 part = rows["part"][0].as_py()
                 ids, size = enc.encode(data, offsets)
                 first = np.append(0, np.cumsum(size))
@@ -237,8 +237,8 @@ def read_part(content: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
             coded[number] = (count, crc, payload)
     order = sorted(coded)
     flat = []
-    for a in range(0, len(order), 8192):
-        some = [coded[n] for n in order[a : a + 8192]]
+    for a in range(0, len(order), 4096):
+        some = [coded[n] for n in order[a : a + 4096]]
         by_length = sorted(range(len(some)), key=lambda i: -some[i][0])
         length = np.array([some[i][0] for i in by_length])
         rows = rangecoder.decode([some[i][2] for i in by_length], length)
