@@ -92,10 +92,17 @@ def most_shared(x: bytes, y: bytes) -> int:
 
 
 def plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of components, those that have documents whose sizes and sketches allow a link. No text moves for it."""
-    x = members.select(F.col("component").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
-    y = members.select(F.col("component").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    rows = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").where(f"n IS NULL OR m IS NULL OR 100 * least(n, m) >= {LEAST} * greatest(n, m)")
+    """Of pairs (a, b) of components, those whose sizes, and sketches where both are one document, allow a link.
+
+    A row a component and a pair: documents of larger components only meet in blocks, later. No text moves for it.
+    """
+    one = F.count(F.lit(1)) == 1
+    # a component's smallest and largest set; no bounds where a document has several texts
+    sized = F.count("n") == F.count(F.lit(1))
+    whole = members.groupBy("component").agg(F.when(sized, F.min("n")).alias("n"), F.when(sized, F.max("n")).alias("most"), F.when(one, F.any_value("sketch")).alias("sketch"))
+    x = whole.select(F.col("component").alias("a"), "n", F.col("most").alias("most_n"), F.col("sketch").alias("x"))
+    y = whole.select(F.col("component").alias("b"), F.col("n").alias("m"), F.col("most").alias("most_m"), F.col("sketch").alias("y"))
+    rows = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").where(f"n IS NULL OR m IS NULL OR (100 * most_n >= {LEAST} * m AND 100 * most_m >= {LEAST} * n)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
