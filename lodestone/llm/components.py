@@ -11,8 +11,8 @@ from .common import discard, stored
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest reachable node) of the nodes of edges (a, b) of longs.
 
-    Each round works on edges alone and is written to the shared folder; rounds end when all edges lead to nodes from
-    which none leads on, since such stars cannot touch.
+    Each round works on edges alone and is written to the shared folder; rounds end when every node that an edge leaves
+    has one target and no edge leaves a target, since such stars cannot touch.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     while True:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = stored(small, "edges")
         discard(now, large)
         now = new
-        if now.select(F.col("v").alias("u")).join(now, "u", "left_semi").isEmpty():
+        one_target = now.groupBy("u").count().where("count > 1").isEmpty()
+        if one_target and now.select(F.col("v").alias("u")).join(now, "u", "left_semi").isEmpty():
             break
     roots = now.select(F.col("v").alias("node")).distinct().join(now.select(F.col("u").alias("node")), "node", "left_anti")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
