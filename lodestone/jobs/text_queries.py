@@ -9,7 +9,8 @@ from ..operators import chunking, index
 from .common import table
 
 MOST_BYTES = 6000
-LIMITS = chunking.Limits(target=1500, overlap=200, most=80)
+LIMITS = chunking.Limits(target=1500, overlap=200, most=None)
+SQL_MOST = 80  # the SQL of the chunks stops here, after about 104,000 characters; the queries do not
 
 
 def _docs(spark, sf_dir):
@@ -115,7 +116,7 @@ c AS (
   FROM (SELECT c.*, d.t, CASE WHEN b <= pos THEN fin ELSE b END AS nxt FROM (
     SELECT c.*, CASE WHEN strpos(substr(d.t, greatest(pos, fin - {LIMITS.overlap}) + 1, fin - greatest(pos, fin - {LIMITS.overlap})), chr(10)) > 0
       THEN greatest(pos, fin - {LIMITS.overlap}) + strpos(substr(d.t, greatest(pos, fin - {LIMITS.overlap}) + 1, fin - greatest(pos, fin - {LIMITS.overlap})), chr(10)) ELSE greatest(pos, fin - {LIMITS.overlap}) END AS b
-    FROM c JOIN d USING (doc_id) WHERE fin < length(d.t) AND ordinal + 1 < {LIMITS.most}) c JOIN d USING (doc_id)) x
+    FROM c JOIN d USING (doc_id) WHERE fin < length(d.t) AND ordinal + 1 < {SQL_MOST}) c JOIN d USING (doc_id)) x
 ),
 k AS (SELECT doc_id, ordinal, line AS start_line, substr(t, pos + 1, fin - pos) AS part FROM c JOIN d USING (doc_id)),
 e AS (SELECT *, start_line + greatest(1, length(part) - length(replace(part, chr(10), '')) + CASE WHEN part LIKE '%' || chr(10) THEN 0 ELSE 1 END) - 1 AS end_line FROM k)

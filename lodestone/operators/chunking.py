@@ -16,16 +16,16 @@ class Limits:
     file_bytes: int = 512 * 1024
     target: int = 4000
     overlap: int = 400
-    most: int = 80
+    most: int | None = 80  #: None: all of a text
     reach: int = 240  #: how far past the target a line end may be
 
     def __post_init__(self):
-        if self.file_bytes <= 0 or self.target <= 0 or self.most <= 0 or self.overlap < 0:
+        if self.file_bytes <= 0 or self.target <= 0 or (self.most is not None and self.most <= 0) or self.overlap < 0:
             raise ValueError("limits must be positive")
 
 
 def chunks(text: str, limits: Limits = Limits()) -> Iterator[tuple[int, int, str]]:
-    """(first line, last line, text) of each chunk; what lies beyond `most` chunks is left out.
+    """(first line, last line, text) of each chunk; what lies beyond `most` chunks is left out, nothing if that is None.
 
     A chunk ends `target` characters on, or behind the line end that comes within `reach` of there. The next one starts
     at the first line that begins inside the overlap, or with the overlap itself if none does.
@@ -34,7 +34,7 @@ def chunks(text: str, limits: Limits = Limits()) -> Iterator[tuple[int, int, str
         yield 1, 1, ""
         return
     at, line, made = 0, 1, 0
-    while at < len(text) and made < limits.most:
+    while at < len(text) and (limits.most is None or made < limits.most):
         end = min(len(text), at + limits.target)
         if end < len(text):
             stop = text.find("\n", end, end + limits.reach + 1)

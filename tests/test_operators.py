@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.jobs import text_queries
 from lodestone.operators import chunking, evaluate, graph, index, pack, search, structure
 from lodestone.sources import files as sources
 from lodestone.streaming import ingest
@@ -26,6 +27,13 @@ def test_chunks_cover_and_overlap():
         chunking.Limits(target=0)
 
 
+@pytest.mark.parametrize("text", ["0123456789" * 30_000, "a line of text\n" * 20_000])
+def test_registered_chunks_reach_the_end(text):
+    got = list(chunking.chunks(text, text_queries.LIMITS))
+    assert len(got) > 80 and text.endswith(got[-1][2])
+    assert got[-1][1] == max(1, text.count("\n")) and sum(len(t) for _, _, t in got) >= len(text)
+
+
 def test_symbols_and_dependencies(spark):
     text = "export class Foo {}\nimport { a } from './b.js'\n  def run(x):\npub fn go() {}\nconst y = require(\"z\")\nfrom os.path import join"
     files = spark.createDataFrame([("src/a.ts", text), ("src/b.ts", ""), ("m.py", text)], "path string, text string")
