@@ -4,7 +4,8 @@ Entities are found by pattern and replaced by keyed surrogates: SHA-256 of a key
 canonical form and an attempt number picks the digits, letters or names of something of the same kind
 and format. Spellings of one value (a phone number with other punctuation, an address in other case)
 share a canonical form and so a surrogate, everywhere in the corpus. Names keep their title, and with it
-gender, their number of words and their script (Latin or Cyrillic). Distinct values stay distinct: surrogates
+gender, their number of words and their script (Latin or Cyrillic). A secret runs to its closing quote or, without
+quotes, to a blank, quote, bracket, comma or semicolon; a name takes all capitalised words and initials that follow. Distinct values stay distinct: surrogates
 that two values share, or that are some value of the corpus, are drawn again until none is left.
 
 Only distinct entities, and the texts that have any, are shuffled.
@@ -25,17 +26,20 @@ from .common import discard, stored
 MALE = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Господин|Г-н"
 FEMALE = r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Señora|Sra\.|Госпожа|Г-жа"
 NAME = r"\p{Lu}[\p{L}'’-]+"
+FULL_NAME = rf"{NAME}(?: (?!(?:{MALE}|{FEMALE}) \p{{Lu}})(?:\p{{Lu}}\. )*{NAME})*+"
+#: A secret's characters where no quotes end it; full stops and the like behind it are the sentence's.
+OPEN = r"""\s"'`<>()\[\]{},;"""
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "secret": r"""(?i:\b(?:password|passwd|pwd|token|secret|api_?key))\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_\-]{8,128}["']?""",
+    "secret": rf"""(?i:\b(?:password|passwd|pwd|token|secret|api_?key))\s{{0,3}}[=:]\s{{0,3}}(?:"[^"\r\n]{{8,}}+"|'[^'\r\n]{{8,}}+'(?![A-Za-z0-9])|["']?[^{OPEN}]{{7,}}[^{OPEN}.:!?]["']?)""",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "key_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "card": r"(?<![\d.\-])\d{4}(?:[ \-]?\d{4}){3}(?![\d\-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "man": rf"(?<!\p{{L}})(?:{MALE}) {NAME}(?: {NAME})?",
-    "woman": rf"(?<!\p{{L}})(?:{FEMALE}) {NAME}(?: {NAME})?",
+    "man": rf"(?<!\p{{L}})(?:{MALE}) {FULL_NAME}",
+    "woman": rf"(?<!\p{{L}})(?:{FEMALE}) {FULL_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text with any entity has: a cheap look before the patterns.
@@ -49,7 +53,7 @@ GIVEN = {
 }
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ha", "ke", "li", "mo", "na", "pe", "ri", "so", "ta", "ve", "wi", "zo"], "cyrillic": ["ба", "де", "фи", "го", "ха", "ке", "ли", "мо", "на", "пе", "ри", "со", "та", "ве", "ви", "зо"]}
 HONORIFIC = rf"^(?:{MALE}|{FEMALE}) "
-SECRET_HEAD, SECRET_TAIL = r"""(?s)^(.*?[=:]\s*["']?)[A-Za-z0-9+/_\-]+["']?$""", r"""(["']?)$"""
+SECRET_HEAD, SECRET_TAIL = r"""(?s)^(.*?[=:]\s*["']?)""", r"""(["']?)$"""
 
 
 def kind_of(value: Column) -> Column:
@@ -76,14 +80,17 @@ def _byte(h: Column, i: Column | int) -> Column:
 
 
 def _same_shape(value: Column, h: Column) -> Column:
-    """Each digit by a digit and each letter by one of its case; the hash wraps round after 128 signs."""
+    """Each digit by a digit and each letter by one of its case; the hash wraps round after 128 signs.
+
+    Letters of other scripts become small Latin ones. A value with too few letters and digits to draw from is all hex digits.
+    """
     upper, lower, digit, low_hex = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
-    is_hex = value.rlike("^[0-9a-f]+$")
+    is_hex = value.rlike("^[0-9a-f]+$") | (F.char_length(F.regexp_replace(value, r"[^A-Za-z0-9]", "")) < 8)
 
     def one(c: Column, i: Column) -> Column:
         b = _byte(h, i % 128)
         pick = lambda s: F.lit(s).substr((b % len(s) + 1).cast("int"), F.lit(1))
-        return F.when(is_hex, pick(low_hex)).when(c.rlike("[0-9]"), pick(digit)).when(c.rlike("[A-Z]"), pick(upper)).when(c.rlike("[a-z]"), pick(lower)).otherwise(c)
+        return F.when(is_hex, pick(low_hex)).when(c.rlike("[0-9]"), pick(digit)).when(c.rlike("[A-Z]"), pick(upper)).when(c.rlike(r"[a-z\p{L}]"), pick(lower)).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -110,9 +117,10 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     name = F.lit(None).cast("string")
     for (k, s), given in GIVEN.items():
         syllable = F.array(*[F.lit(x) for x in SYLLABLES[s]])
-        family = F.initcap(F.concat(*[F.element_at(syllable, _byte(h, i) % 16 + 1) for i in range(1, 7)]))
+        family = lambda n: F.initcap(F.concat(*[F.element_at(syllable, _byte(h, (n * 6 + F.lit(i)) % 128) % 16 + 1) for i in range(1, 7)]))  # noqa: B023, E731
+        families = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.split(value, " ")) - 2, F.lit(0))), family), " ")
         first = F.element_at(F.array(*[F.lit(x) for x in given]), _byte(h, 0) % 16 + 1)
-        name = F.when((kind == k) & (script == s), F.when(value.contains(" "), F.concat(first, F.lit(" "), family)).otherwise(family)).otherwise(name)
+        name = F.when((kind == k) & (script == s), F.when(value.contains(" "), F.concat(first, F.lit(" "), families)).otherwise(families)).otherwise(name)
     user, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     mail = F.concat(F.lit("u"), F.substring(h, 1, 15), F.lit("@d"), F.substring(_hex(key, F.lit("domain"), domain, F.lit(0), 1), 1, 10), F.lit(".example"))
     ip = F.concat_ws(".", *[(_byte(h, i) % 223 + 1 if i == 0 else _byte(h, i)).cast("string") for i in range(4)])

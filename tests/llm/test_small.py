@@ -355,6 +355,28 @@ def test_surrogates(spark):
     assert surrogates.replace(docs.limit(0)).count() == 0
 
 
+def test_surrogates_take_whole_entities(spark):
+    rng = random.Random(11)
+    long = {n: "".join(rng.choice("abcXYZ0123456789") for _ in range(n)) for n in (8, 128, 129, 400)}
+    jwt = "eyJhbGciOi.eyJzdWIiOjEy.c2lnbmF0dXJl=="
+    texts = [f"token={v} end" for v in long.values()] + [f"api_key: '{long[400]}', x", f"token: {jwt}.", 'password = "long pass, word; more" x', "pwd=p@ss%word1!x2y end", "secret: пароль123456 end", "password: -------- end"]
+    texts += ["Mr. Juan Carlos Ortega said", "Mrs. Ana B. Maria Lopez Ruiz.", "Mr. John Smith Mrs. Jones here", "Г-н Иван Петрович Сидоров тут"]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    new = [got[i].text for i in range(len(texts))]
+    assert all(got[i].n_entities == (2 if "Jones" in t else 1) for i, t in enumerate(texts))
+    for i, n in enumerate(long):
+        assert re.fullmatch(rf"token=[a-zA-Z0-9]{{{n}}} end", new[i]) and new[i][-20:-4] != texts[i][-20:-4]
+    assert re.fullmatch(r"api_key: '[a-zA-Z0-9]{400}', x", new[4]) and long[400][-12:] not in new[4]
+    assert re.fullmatch(r"token: \w{10}\.\w{12}\.\w{12}==\.", new[5]) and not any(x in new[5] for x in re.split(r"\W+", jwt) if x)
+    assert re.fullmatch(r'password = ".{21}" x', new[6]) and not re.search("long|pass, |word;|more", new[6])
+    assert new[7].startswith("pwd=") and new[7].endswith(" end") and "word1" not in new[7]
+    assert "пар" not in new[8] and "--" not in new[9]
+    assert re.fullmatch(r"Mr\. \w+ \w+ \w+ said", new[10]) and not re.search("Juan|Carlos|Ortega", new[10])
+    assert re.fullmatch(r"Mrs\. \w+ \w+ \w+ \w+ \w+\.", new[11]) and not re.search("Ana|Maria|Lopez|Ruiz", new[11])
+    assert re.fullmatch(r"Mr\. \w+ \w+ Mrs\. \w+ here", new[12]) and not re.search("John|Smith|Jones", new[12])
+    assert re.fullmatch(r"Г-н \w+ \w+ \w+ тут", new[13]) and not re.search("Иван |Петрович|Сидоров", new[13])
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     first = lambda key, kind, value, attempt: F.when(attempt == 0, F.substring(value, 1, 1)).otherwise(F.concat(value, F.lit("!")))
     monkeypatch.setattr(surrogates, "surrogate", first)
