@@ -16,11 +16,11 @@ def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on these documents' labels, does not call toxic."""
+    """Documents that the classifier, fitted on these documents' labels, does not call toxic at the threshold of their language."""
     from . import toxicity as t
 
     model = t.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return t.score(docs, model).where("predicted = 0 AND NOT flagged").select(*docs.columns)
+    return t.score(docs, model).where("NOT flagged").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

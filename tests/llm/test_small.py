@@ -385,6 +385,16 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert set(got) == {"ab", "ac", "b", "c1", "d"} and len(set(got.values())) == 5 and not set(got.values()) & set(got)
 
 
+def test_toxicity_stage_goes_by_threshold(spark, monkeypatch):
+    from lodestone.llm import pipeline
+
+    docs = spark.createDataFrame([(1, 0.4), (2, 0.6), (3, 0.8)], "doc_id long, s double")
+    monkeypatch.setattr(pipeline, "table", lambda *_: None)
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda *_: None)
+    monkeypatch.setattr(toxicity, "score", lambda d, _: d.withColumns({"predicted": (F.col("s") >= 0.5).cast("int"), "flagged": F.col("s") >= 0.7}))
+    assert sorted(r.doc_id for r in pipeline.toxicity(spark, docs, "").collect()) == [1, 2]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline
