@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made.
+    Only where that setting is absent on a local master (tests, a laptop) a temporary folder is made: on a cluster each
+    executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lodestone.scratch", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^-]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share on {master or 'this master'}")
         base = tempfile.mkdtemp(prefix="spark-lodestone-")
+        atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.lodestone.scratch", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
