@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- a filter of fixed size for keys that several rows have ---
+# --- a filter for keys that some rows have ---
 
-BITS = 1 << 24  # 2**18 rows of 64 bits at any size of the input
+#: Bits of a bitmap: 16 for each key, between these bounds. The upper one makes 2**20 rows of 64 bits; beyond some 16
+#: million keys ever more rows count as hits, until beyond 100 million a join behind it is a plain shuffle join.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+_SPOT, _WORD, _BITS = "__bitmap_spot", "__bitmap_word", "__bitmap_bits"
 
 
-def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """The keys' hashes as a bitmap of fixed size: word, bits."""
-    at = F.pmod(F.xxhash64(key), F.lit(BITS))
-    return keys.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+class Bitmap(NamedTuple):
+    words: DataFrame
+    bits: int
 
 
-def with_hit(rows: DataFrame, bitmap: DataFrame, key: str) -> DataFrame:
-    """Adds hit: whether a row's key may be one of the bitmap's. Its 2**18 rows bound the broadcast."""
-    at = F.pmod(F.xxhash64(key), F.lit(BITS))
-    marked = rows.withColumns({"_at": at, "word": (at / 64).cast("int")})
-    return marked.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("coalesce(getbit(bits, CAST(_at % 64 AS INT)), 0) = 1")).drop("_at", "word", "bits")
+def key_bitmap(keys: DataFrame, key: str, name: str) -> Bitmap:
+    """The hashes of the keys of a stored table as a stored bitmap of bounded size."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    spot = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias(_SPOT))
+    words = spot.groupBy((F.col(_SPOT) / 64).cast("int").alias(_WORD)).agg(F.expr(f"bit_or(shiftleft(1L, CAST({_SPOT} % 64 AS INT)))").alias(_BITS))
+    return Bitmap(stored(words, name), bits)
+
+
+def with_hit(rows: DataFrame, bitmap: Bitmap, key: str, hit: str = "hit") -> DataFrame:
+    """Adds `hit`: whether a row's key may be one of the bitmap's. The bitmap's bound holds for the broadcast."""
+    marked = rows.withColumn(_SPOT, F.pmod(F.xxhash64(key), F.lit(bitmap.bits))).withColumn(_WORD, (F.col(_SPOT) / 64).cast("int"))
+    return marked.join(F.broadcast(bitmap.words), _WORD, "left").withColumn(hit, F.expr(f"coalesce(getbit({_BITS}, CAST({_SPOT} % 64 AS INT)), 0) = 1")).drop(_SPOT, _WORD, _BITS)
 
 
 # --- words over Arrow text buffers -------------------------------------------------------------
@@ -51,7 +61,7 @@ _pow: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     global _pow
     if not _pow or len(_pow[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         _pow = []
         for b in (_BASE, _INV):
             p = np.full(size, b, np.uint64)
@@ -96,7 +106,7 @@ class Words:
         return mix((self._sum[e] - self._sum[s]) * inverse[s])
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch of about `most` text bytes: (rows, their bytes, offsets). Null texts are empty."""
     col = batch.column(batch.schema.get_field_index(column))
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)

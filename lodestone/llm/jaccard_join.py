@@ -1,17 +1,22 @@
-"""Near-duplicates by an exact Jaccard join of word 5-gram sets, with filters under several token orders.
+"""Near-duplicates by an exact Jaccard join of word 5-gram sets, with prefix filters under three global token orders.
 
-Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of each, under any total
-order of tokens. Pairs that do so under the first order are found by an inverted index; they must also do so under
-two others, before their sets are compared. The first order puts rare tokens first, so that passages which many
-documents share seldom get into a prefix: frequencies of one half of the token space (the half that the order
-prefers) are counted over all documents, and the most frequent ones, of bounded number, are made known to every
-task. Which ones these are only decides how fast the join is, never its result.
+Two sets of similarity 0.75 or more share a token among the first n - ceil(0.75 n) + 1 tokens of each, under any total
+order of tokens; more than that, if their first common token has i tokens before it in the one and j in the other, then
+the smaller of n - i and m - j bounds their overlap. Three orders are used:
 
-What keeps hot groups cheap: equal sets are one class and one set stands for it; near copies are linked early
-through least hashes, each document with one pivot a hash, and what is linked counts as one component from then
-on; the index holds a token once for each component, so a group of very many near copies is one entry.
+1. rare tokens first (frequencies are counted over all distinct sets; ties by hash). Its prefixes are the index: each
+   token's list of documents, with the places i. Passages that very many documents share stand at the end of this
+   order, and so the bound by places rules pairs out that have nothing else in common, before any row is made of them.
+2. and 3. two orders by hash. Prefixes under both are stored with each document, and a pair must share a token in each
+   of them, within the length that its two sizes ask for, besides agreeing with the sketches of its sets.
 
-Tokens travel as packed arrays by token range, and texts only where they belong to candidate pairs.
+Only pairs that pass under all three orders have their texts moved and their sets compared.
+
+What keeps hot groups cheap: equal sets are one class and one document stands for it. A token's list is worked off from
+its front: the documents with the fewest rarer tokens, of which a group's original is the first, are pivots. They are
+tried against all others of the list, and what links is one component from then on, within which no pair is tried. A
+list whose documents are in one component is done. Rounds take 1 pivot a list, then 64, 1024 and so on until
+every list is done, and no pair is tried twice, so the join is exact.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts of fewer than five
 words have one shingle, their whole sequence; rows that repeat a doc_id are one document with several texts; rows
@@ -32,13 +37,13 @@ from .components import components
 
 U = np.uint64
 WORDS = 5
-LEAST = 75  # percent of the union
-SIGNS = 8  # least hashes of a set
-AGREE = 2  # of them that a pair must share to be tried early
-GROUP = 64  # documents of a block
+LEAST = 75  # percent of the union: 4 * overlap >= 3 * union, or 7 * overlap >= 3 * (n + m)
+GROUP = 64  # documents that a hub's text is sent along with
+TOGETHER = 256  # texts that are compared in one call
 HOT_LEAST, HOT_MOST = 8, 1 << 20  # frequencies from which tokens are made known, and how many at most
-BUCKET_TOKENS = 1 << 21  # tokens that one task counts or joins
-LONG = 64  # components in a token's list beyond which pairs are not all tried at once
+BUCKET_TOKENS = 1 << 21  # tokens that one task counts
+SPOTS = 27  # the bitmap of repeated tokens has 2**27 bits at any size of the input
+PIVOTS = (1, 64, 16)  # of a list: in the first round, in the second, and times as many in each further one
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -66,6 +71,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return (np.concatenate(sets) if sets else np.zeros(0, U)), np.append(0, np.cumsum(size))
 
 
+def prefix_size(n):
+    return n - (n * LEAST + 99) // 100 + 1
+
+
+def first_tokens(key: np.ndarray) -> np.ndarray:
+    """Places of the tokens of a set's prefix under the order of `key`, in that order."""
+    p = prefix_size(len(key))
+    some = np.argpartition(key, p - 1)[:p]
+    return some[np.argsort(key[some])]
+
+
+# --- what is kept of each document -------------------------------------------------------------
+
+
 def sketches(flat: np.ndarray, at: np.ndarray) -> list[bytes]:
     """How many tokens of each set fall into each of about n / 4 ranges of a hash, a byte each; empty if one does not fit.
 
@@ -91,33 +110,8 @@ def most_shared(x: bytes, y: bytes) -> int:
     return int(np.minimum(p, q).sum())
 
 
-def plausible(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of components, those whose sizes, and sketches where both are one document, allow a link.
-
-    A row a component and a pair: documents of larger components only meet in blocks, later. No text moves for it.
-    """
-    one = F.count(F.lit(1)) == 1
-    # a component's smallest and largest set; no bounds where a document has several texts
-    sized = F.count("n") == F.count(F.lit(1))
-    whole = members.groupBy("component").agg(F.when(sized, F.min("n")).alias("n"), F.when(sized, F.max("n")).alias("most"), F.when(one, F.any_value("sketch")).alias("sketch"))
-    x = whole.select(F.col("component").alias("a"), "n", F.col("most").alias("most_n"), F.col("sketch").alias("x"))
-    y = whole.select(F.col("component").alias("b"), F.col("n").alias("m"), F.col("most").alias("most_m"), F.col("sketch").alias("y"))
-    rows = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").where(f"n IS NULL OR m IS NULL OR (100 * most_n >= {LEAST} * m AND 100 * most_m >= {LEAST} * n)")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for n, m, p, q in zip(*(batch[c].to_pylist() for c in ("n", "m", "x", "y"))):
-                shared = most_shared(p, q) if p and q and n and m else None
-                keep.append(shared is None or 100 * shared >= LEAST * (n + m - shared))
-            kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield kept
-
-    return rows.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long").distinct()
-
-
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (of the whole set), signs (least hashes), sketch."""
+    """doc_id, n (set size), h1, h2 (of the whole set), sketch, and its prefixes under orders 2 and 3 (32 bits a token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,289 +120,275 @@ def features(docs: DataFrame) -> DataFrame:
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 h = np.zeros((2, len(n)), U)
-                signs = np.zeros((len(n), SIGNS), U)
-                if len(full):
-                    for k, x in enumerate((flat * ODD[5], mix(flat ^ ODD[6]))):
-                        h[k, full] = np.add.reduceat(x, at[full])
-                    for k in range(SIGNS):
-                        signs[full, k] = np.minimum.reduceat(flat * ODD[k], at[full])
-                many = pa.ListArray.from_arrays(pa.array(np.arange(0, SIGNS * len(n) + 1, SIGNS).astype(np.int32)), pa.array(signs.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), many, pa.array(sketches(flat, at), pa.binary())], names=["doc_id", "n", "h1", "h2", "signs", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, signs array<long>, sketch binary")
-
+                prefixes: list[list[bytes]] = []
+                for k, x in enumerate((flat * ODD[5], mix(flat ^ ODD[6]))):
+                    h[k, full] = np.add.reduceat(x, at[full]) if len(full) else 0
+                for k in (1, 3):
+                    key, short = flat * ODD[k], (flat >> U(32)).astype(np.uint32)
+                    prefixes.append([short[a:b][first_tokens(key[a:b])].tobytes() if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(sketches(flat, at), pa.binary()), *(pa.array(p, pa.binary()) for p in prefixes)], names=["doc_id", "n", "h1", "h2", "sketch", "second", "third"])
 
-def prefix_size(n):
-    return n - (n * LEAST + 99) // 100 + 1
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary, second binary, third binary")
 
 
-class Block:
-    """Sets of some documents as one index, under each order's prefixes and over all tokens."""
+# --- order 1: how often a token stands in all sets -----------------------------------------------
 
-    def __init__(self, names: list[int], sets: list[np.ndarray]):
-        self.names = np.array(names, np.int64)
-        self.size = np.array([len(x) for x in sets], np.int64)
-        self.parts = [self._index(sets, k) for k in (1, 3, None)]
 
-    @staticmethod
-    def prefix(x: np.ndarray, order: int | None) -> np.ndarray:
-        """The first tokens of a set under an order (all without one)."""
-        if order is None:
-            return x
-        n = prefix_size(len(x))
-        return x[np.argpartition(x * ODD[order], n - 1)[:n]]
+class Rarity:
+    """The first order: tokens seen once, then those seen again, then the known frequent ones by frequency; ties by hash.
 
-    def _index(self, sets: list[np.ndarray], order: int | None) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.prefix(x, order) for x in sets]
-        token, own = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        by = np.argsort(token, kind="stable")
-        return token[by], own[by]
-
-    def shared(self, x: np.ndarray, part: int) -> np.ndarray:
-        """How many of some tokens each document of the block has."""
-        token, own = self.parts[part]
-        low, high = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
-        n = high - low
-        at = np.repeat(low - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-        return np.bincount(own[at], minlength=len(self.names))
-
-    def similar(self, x: np.ndarray) -> np.ndarray:
-        """Documents whose sets are alike enough to x: by size, by shared prefix tokens under two orders, then by all tokens."""
-        n = len(x)
-        ok = (100 * np.minimum(self.size, n) >= LEAST * np.maximum(self.size, n)) & (n > 0)
-        for part, order in enumerate((1, 3)):
-            if ok.any():
-                ok &= self.shared(self.prefix(x, order), part) > 0
-        if ok.any():
-            same = self.shared(x, 2)
-            ok &= 100 * same >= LEAST * (self.size + n - same)
-        return self.names[ok]
-
-
-def deal(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """doc, c, i, j, main: which documents meet in which block, for pairs (a, b) of components of members (rep, component).
-
-    The larger of two components is the main one. Its documents are dealt into blocks of GROUP, and so are those of all
-    components that are to be compared with it; each block of the one meets each of the other, so a text moves once for
-    GROUP comparisons.
+    repeated: a bitmap by the tokens' top bits; known: the frequent tokens' top 32 + bits bits, ascending; grade: their
+    frequencies as steps of a fourth root of two. Which tokens are known decides how fast the join is, never its result.
     """
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    both = pairs.join(size.select(F.col("component").alias("a"), F.col("m").alias("m_a")), "a").join(size.select(F.col("component").alias("b"), F.col("m").alias("m_b")), "b")
-    first = (F.col("m_a") > F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("a") < F.col("b")))
-    both = stored(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("c"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("o"), F.greatest("m_a", "m_b").alias("m_c"), F.least("m_a", "m_b").alias("m_o")), "compare")
-    plan = both.groupBy("c").agg((F.max("m_c") / GROUP).cast("int").alias("last_i"), (F.sum("m_o") / GROUP).cast("int").alias("last_j"))
-    own = members.select(F.col("component").alias("c"), F.col("rep").alias("doc"))
-    spot = lambda name: F.pmod(F.xxhash64("doc"), F.col(name) + 1).cast("int")
-    main = own.join(plan, "c").select("doc", "c", spot("last_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("last_j"))).alias("j"), F.lit(True).alias("main"))
-    other = members.select(F.col("component").alias("o"), F.col("rep").alias("doc")).join(both.select("c", "o"), "o").join(plan, "c").select("doc", "c", F.explode(F.sequence(F.lit(0), F.col("last_i"))).alias("i"), spot("last_j").alias("j"), F.lit(False).alias("main"))
-    return main.unionByName(other)
-
-
-def verify(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) between similar documents of the components of pairs (a, b): of each document, one in each block that has any."""
-    need = stored(deal(pairs.select("a", "b").distinct(), members), "wanted")
-    bitmap = stored(key_bitmap(need, "doc"), "wanted-bits")
-    texts = with_hit(docs.withColumnRenamed("doc_id", "doc"), bitmap, "doc").where("hit").drop("hit")
-
-    def compare(group: pa.Table) -> pa.Table:
-        sides: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
-        for batch in group.combine_chunks().to_batches():
-            for part, data, offsets in text_slices(batch, "text"):
-                flat, at = shingle_sets(data, offsets)
-                for i, (d, main) in enumerate(zip(part["doc"].to_pylist(), part["main"].to_pylist())):
-                    if at[i + 1] > at[i]:
-                        sides[main][0].append(d)
-                        sides[main][1].append(flat[at[i] : at[i + 1]])
-        links = []
-        if sides[True][0] and sides[False][0]:
-            block = Block(*sides[True])
-            for d, x in zip(*sides[False]):
-                found = block.similar(x)
-                links += [(int(found.min()), d)] if len(found) else []
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return stored(texts.join(need, "doc").select("c", "i", "j", "doc", "main", "text").groupBy("c", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+    def __init__(self, bits: int, repeated: np.ndarray, known: np.ndarray, grade: np.ndarray):
+        self.bits, self.repeated, self.known, self.grade = bits, repeated, known, grade
 
+    def rank(self, flat: np.ndarray) -> np.ndarray:
+        spot = flat >> U(64 - SPOTS)
+        out = (self.repeated[spot >> U(3)] >> (spot & U(7)).astype(np.uint8)) & np.uint8(1)
+        if len(self.known):
+            key = flat >> U(32 - self.bits)
+            at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+            out = np.where(self.known[at] == key, self.grade[at], out)
+        return out
 
-def early_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the first class of the same least hash, where that happens AGREE times: a row a class and hash at most."""
-    signs = classes.select("rep", F.posexplode("signs").alias("i", "sign"))
-    first = signs.groupBy("i", "sign").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    return signs.join(first, ["i", "sign"]).where("rep > a").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("m")).where(f"m >= {AGREE}").select("a", "b")
 
+def packed(docs: DataFrame, bits: int) -> DataFrame:
+    """bucket (the top `bits` bits of tokens), tokens (their next 32 bits, u32 each, distinct), counts (u32 each)."""
 
-def packed(docs: DataFrame, bits: int, prefix: bool, hot=None) -> DataFrame:
-    """bucket, tokens (u32 each): tokens by their top `bits` bits, then the 32 bits below, once for each slice of texts.
-
-    Without `prefix` the preferred half of all tokens, with extra (numbers of occurrences); with it, the tokens of each
-    text's prefix under the first order, with extra (components).
-    """
-    low = U(32 - bits if bits <= 32 else 0)
-
-    def order(flat: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Rank classes under the first order: rare tokens of the preferred half, its frequent ones by frequency, the other half."""
-        key = flat >> low
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1) if len(known) else np.zeros(len(flat), np.int64)
-        f = np.where(known[at] == key, count[at], 0) if len(known) else np.zeros(len(flat), np.int64)
-        return np.where(flat & U(1) == 0, np.minimum(f, 2**31), 2**32)
+    def rows(sets: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(sets) >> U(32 - bits), return_counts=True)
+        bucket = (token >> U(32)).astype(np.int64)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        end = np.append(cut[1:], len(bucket))
+        small, many = token.astype(np.uint32), n.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(cut, end)], pa.binary()) for x in (small, many))], names=["bucket", "tokens", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = hot.value if hot is not None else (np.zeros(0, U), np.zeros(0, np.int64))
+        waiting: list[np.ndarray] = []
         for batch in batches:
-            for part, data, offsets in text_slices(batch, "text"):
-                flat, at = shingle_sets(data, offsets)
-                if not len(flat):
-                    continue
-                if prefix:
-                    rank = order(flat, known, count)
-                    comp = np.asarray(part["component"])
-                    own = np.repeat(np.arange(len(comp)), np.diff(at))
-                    by = np.lexsort((flat * ODD[0], rank, own))
-                    place = np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
-                    n = np.diff(at)
-                    take = by[place < np.repeat(prefix_size(n), n)]
-                    token, extra = flat[take] >> low, comp[own[take]]
-                    two = np.lexsort((extra, token))
-                    token, extra = token[two], extra[two]
-                    keep = np.append(True, (token[1:] != token[:-1]) | (extra[1:] != extra[:-1]))
-                    token, extra = token[keep], extra[keep]
-                else:
-                    token, extra = np.unique(flat[flat & U(1) == 0] >> low, return_counts=True)
-                bucket = (token >> U(32)).astype(np.int64)
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-                end = np.append(cut[1:], len(bucket))
-                small, wide = token.astype(np.uint32), extra.astype(np.int64 if prefix else np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([small[a:b].tobytes() for a, b in zip(cut, end)], pa.binary()), pa.array([wide[a:b].tobytes() for a, b in zip(cut, end)], pa.binary())], names=["bucket", "tokens", "extra"])
-
-    return docs.mapInArrow(run, "bucket int, tokens binary, extra binary")
+            for _, data, offsets in text_slices(batch, "text"):
+                flat, _ = shingle_sets(data, offsets)
+                waiting += [flat] if len(flat) else []
+                if sum(map(len, waiting)) >= BUCKET_TOKENS:
+                    yield rows(waiting)
+                    waiting = []
+        if waiting:
+            yield rows(waiting)
+
+    return docs.mapInArrow(run, "bucket int, tokens binary, counts binary")
 
 
 def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()])
 
 
-def frequent(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of the preferred half that most documents have, ascending, and their numbers: HOT_MOST at most."""
+def rarity(texts: DataFrame, tokens: int) -> Rarity:
+    """Count the tokens of all texts, by ranges of their hashes, and keep a bitmap of fixed size and HOT_MOST of them."""
+    bits = max(6, min(24, int(tokens // BUCKET_TOKENS).bit_length()))
+    least = HOT_LEAST
 
     def count(group: pa.Table) -> pa.Table:
-        token, n = joined(group["tokens"], np.uint32), joined(group["extra"], np.uint32).astype(np.int64)
+        token, n = joined(group["tokens"], np.uint32), joined(group["counts"], np.uint32).astype(np.int64)
         by = np.argsort(token, kind="stable")
         token, n = token[by], n[by]
         first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        total = np.add.reduceat(n, first)
-        often = total >= HOT_LEAST
-        return pa.table({"token": (token[first][often].astype(np.int64) | (group["bucket"][0].as_py() << 32)), "n": total[often]})
-
-    found = stored(packed(docs, bits, False).groupBy("bucket").applyInArrow(count, "token long, n long"), "frequent")
-    most, least = 0, None
-    for r in found.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():  # 10,000 rows at most
-        most += r["count"]
-        if most > HOT_MOST:
-            break
-        least = r["n"]
-    got = found.where(F.col("n") >= least).toPandas() if least is not None else None
+        token, total = token[first], np.add.reduceat(n, first)
+        own = np.zeros(1 << (SPOTS - bits), np.uint8)
+        own[token[total > 1] >> np.uint32(32 - (SPOTS - bits))] = 1
+        bucket = group["bucket"][0].as_py()
+        often = total >= least
+        keys, many = token[often].astype(np.int64) | (bucket << 32), total[often]
+        return pa.table({"bucket": pa.array([bucket, *[None] * len(keys)], pa.int32()), "spots": pa.array([np.packbits(own, bitorder="little").tobytes(), *[None] * len(keys)], pa.binary()), "token": pa.array([None, *keys.tolist()], pa.int64()), "grade": pa.array([None, *np.minimum(2 + np.floor(4 * np.log2(many)), 255).astype(np.int32).tolist()], pa.int32())})
+
+    found = stored(packed(texts, bits).groupBy("bucket").applyInArrow(count, "bucket int, spots binary, token long, grade int"), "frequent")
+    width = 1 << (SPOTS - bits - 3)
+    repeated = np.zeros(1 << (SPOTS - 3), np.uint8)
+    for r in found.where("bucket IS NOT NULL").select("bucket", "spots").toLocalIterator():  # 16 MB in all
+        repeated[r["bucket"] * width : (r["bucket"] + 1) * width] = np.frombuffer(r["spots"], np.uint8)
+    room, take = HOT_MOST, F.lit(False)
+    for r in found.where("token IS NOT NULL").groupBy("grade").count().orderBy(F.desc("grade")).collect():  # 254 rows at most
+        some = F.col("grade") == r["grade"]
+        if r["count"] > room:  # of the last grade that finds room, as many as do
+            some = some & (F.pmod(F.xxhash64("token"), F.lit(r["count"])) < int(0.9 * room))
+        take, room = take | some, room - min(room, r["count"])
+    got = found.where("token IS NOT NULL").where(take).select("token", "grade").toPandas()
     discard(found)
-    if got is None or not len(got):
-        return np.zeros(0, U), np.zeros(0, np.int64)
     by = np.argsort(got["token"].to_numpy())
-    return got["token"].to_numpy()[by].astype(U), got["n"].to_numpy()[by]
+    return Rarity(bits, repeated, got["token"].to_numpy()[by].astype(U), got["grade"].to_numpy()[by].astype(np.uint8))
 
 
-def candidates(entries: DataFrame) -> DataFrame:
-    """a, b, list: pairs of components that share a prefix token; of lists that are too long, rows (component, null, list)."""
+def index(texts: DataFrame, shared) -> DataFrame:
+    """token, doc, n, i: the repeated tokens of each text's prefix under the first order, i tokens after its start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            for part, data, offsets in text_slices(batch, "text"):
+                flat, at = shingle_sets(data, offsets)
+                if not len(flat):
+                    continue
+                rank = order.rank(flat)
+                key = (rank.astype(U) << U(56)) | ((flat * ODD[0]) >> U(8))
+                token, place, own = [], [], []
+                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    if b == a:
+                        continue
+                    first = first_tokens(key[a:b])
+                    i = np.flatnonzero(rank[a:b][first])
+                    token.append(flat[a:b][first[i]])
+                    place.append(i)
+                    own.append(np.full(len(i), k))
+                k = np.concatenate(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), part["doc_id"].take(pa.array(k)), pa.array(np.diff(at)[k].astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32))], names=["token", "doc", "n", "i"])
+
+    return texts.mapInArrow(run, "token long, doc long, n int, i int")
+
+
+# --- filters on pairs, and the comparison of sets ------------------------------------------------
+
+#: The overlap that the places of a shared token allow is enough for the two sizes.
+BY_PLACE = "7 * least(x.n - x.i, y.n - y.i) >= 3 * (x.n + y.n)"
 
-    def pair(group: pa.Table) -> pa.Table:
-        token, comp = joined(group["tokens"], np.uint32), joined(group["extra"], np.int64)
-        by = np.lexsort((comp, token))
-        token, comp = token[by], comp[by]
-        keep = np.append(True, (token[1:] != token[:-1]) | (comp[1:] != comp[:-1]))
-        token, comp = token[keep], comp[keep]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        size = np.diff(np.append(first, len(token)))
-        a, b, names = [], [], []
-        for n in np.unique(size[size > 1]).tolist():
-            lists = comp[first[size == n][:, None] + np.arange(n)[None]]
-            if n <= LONG:
-                lists = np.unique(lists, axis=0)
-                i, j = np.triu_indices(n, 1)
-                most = max(1, (1 << 20) // len(i))
-                for k in range(0, len(lists), most):
-                    both = np.unique(np.stack((lists[k : k + most, i].ravel(), lists[k : k + most, j].ravel()), 1), axis=0)
-                    a.append(both[:, 0])
-                    b.append(both[:, 1])
-                    names.append(np.full(len(both), -1))
-            else:
-                a.append(lists.ravel())
-                b.append(np.full(lists.size, -1))
-                names.append(np.repeat(token[first[size == n]].astype(np.int64) | (group["bucket"][0].as_py() << 32), n))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": cat(a), "b": cat(b), "list": cat(names)})
-
-    return stored(entries.groupBy("bucket").applyInArrow(pair, "a long, b long, list long"), "candidates")
-
-
-def relabel(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with their components after new links between documents."""
-    of = members.select("rep", "component")
-    edges = links.join(of.withColumnRenamed("rep", "a").withColumnRenamed("component", "p"), "a").join(of.withColumnRenamed("rep", "b").withColumnRenamed("component", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    new = components(edges).select(F.col("component").alias("new"), F.col("node").alias("component"))
-    return stored(members.join(new, "component", "left").select("rep", "n", "sketch", F.coalesce("new", "component").alias("component")), "members")
+
+def alike(n: int, m: int, x: tuple[bytes, bytes, bytes], y: tuple[bytes, bytes, bytes]) -> bool:
+    """Whether sizes, sketches and the prefixes under orders 2 and 3 allow sets of n and m tokens to link."""
+    need = -(-3 * (n + m) // 7)
+    if min(n, m) < need or x[0] and y[0] and most_shared(x[0], y[0]) < need:
+        return False
+    return all(not set(memoryview(p).cast("I")[: n - need + 1]).isdisjoint(memoryview(q).cast("I")[: m - need + 1]) for p, q in zip(x[1:], y[1:]))
+
+
+def allowed(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that the filters let through. No text moves for it."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "tried-ids")
+    some = with_hit(feats, key_bitmap(ids, "doc_id", "tried-bits"), "doc_id").where("hit").select("doc_id", "n", "sketch", "second", "third")
+    side = lambda at, k: some.select(F.col("doc_id").alias(at), *(F.col(c).alias(f"{c}_{k}") for c in some.columns[1:]))
+    both = pairs.join(side("a", 0), "a").join(side("b", 1), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                n, s, p, q = ([part[f"{c}_{k}"].to_pylist() for k in (0, 1)] for c in ("n", "sketch", "second", "third"))
+                keep = [alike(*each[:2], each[2:5], each[5:]) for each in zip(n[0], n[1], s[0], p[0], q[0], s[1], p[1], q[1])]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    # a document with several texts has a row for each combination
+    return stored(both.select("a", "b", *(f"{c}_{k}" for c in some.columns[1:] for k in (0, 1))).mapInArrow(run, "a long, b long").distinct(), "allowed")
+
+
+def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets are similar enough. The text of a hub, a, moves once for GROUP others."""
+    size = pairs.groupBy("a").agg((F.count(F.lit(1)) / GROUP).cast("int").alias("last"))
+    others = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int").alias("slot"), F.col("b").alias("doc_id"), F.lit(False).alias("hub"))
+    need = stored(others.unionByName(others.select("a", "slot", F.col("a").alias("doc_id"), F.lit(True).alias("hub")).distinct()), "wanted")
+    groups = max(1, need.count() // TOGETHER)
+    ids = stored(need.select("doc_id").distinct(), "wanted-ids")
+    moved = with_hit(texts, key_bitmap(ids, "doc_id", "wanted-bits"), "doc_id").where("hit").select("doc_id", "text").join(need, "doc_id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        hubs: dict[tuple, list[np.ndarray]] = {}
+        rest: list[tuple[tuple, int, np.ndarray]] = []
+        for batch in group.combine_chunks().to_batches():
+            for part, data, offsets in text_slices(batch, "text"):
+                flat, at = shingle_sets(data, offsets)
+                for k, (a, slot, doc, hub) in enumerate(zip(*(part[c].to_pylist() for c in ("a", "slot", "doc_id", "hub")))):
+                    own = flat[at[k] : at[k + 1]]
+                    if hub:
+                        hubs.setdefault((a, slot), []).append(own)
+                    else:
+                        rest.append(((a, slot), doc, own))
+        links = set()
+        for at, doc, x in rest:
+            for y in hubs.get(at, ()):
+                if len(x) and len(y):
+                    found = np.searchsorted(y, x)
+                    same = int((y[np.minimum(found, len(y) - 1)] == x).sum())
+                    if 100 * same >= LEAST * (len(x) + len(y) - same):
+                        links.add((at[0], doc))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    grouped = moved.withColumn("g", F.pmod(F.xxhash64("a", "slot"), F.lit(groups))).groupBy("g")
+    return stored(grouped.applyInArrow(compare, "a long, b long"), "links")
+
+
+# --- the join --------------------------------------------------------------------------------------
+
+
+def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component of all nodes with a link, after new links between documents."""
+    if label is None:
+        return stored(components(links), "labels")
+    of = lambda at: label.select(F.col("node").alias(at), F.col("component").alias(f"{at}_now"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_now", "a").alias("a"), F.coalesce("b_now", "b").alias("b"))
+    new = stored(components(edges), "labels-new")
+    moved = label.join(new.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return stored(moved.unionByName(new.join(label, "node", "left_anti").select("node", "component")), "labels")
+
+
+def joined_lists(texts: DataFrame, feats: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame:
+    """node, component of every document that links, from the lists of the first order and links known already."""
+    label, tried, rest, pivots = merged(None, known), None, entries, PIVOTS[0]
+    while True:
+        part = rest.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("token", "n", "doc", F.struct("i", "doc").alias("at"), "i", F.coalesce("component", "doc").alias("component"))
+        part = stored(part, "lists")
+        if pivots == 1:
+            front = part.groupBy("token").agg(F.min(F.struct("at", "n", "component")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "f.at", "f.n", "f.component")
+        else:
+            by = Window.partitionBy("token").orderBy("at")
+            front = part.select("token", "at", "n", "component", F.row_number().over(by).alias("rank")).where(F.col("rank") <= pivots).drop("rank")
+        front = stored(front.withColumn("i", F.col("at.i")), "pivots")
+        pairs = part.alias("x").join(front.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.at") > F.col("y.at")) & (F.col("x.component") != F.col("y.component")) & F.expr(BY_PLACE))
+        hub, doc = F.col("y.at.doc"), F.col("x.doc")
+        pairs = pairs.where(hub != doc).groupBy(F.least(hub, doc).alias("p"), F.greatest(hub, doc).alias("q")).agg(F.min(hub).alias("a"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["p", "q"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        tried = pairs.select("p", "q") if tried is None else tried.unionByName(pairs.select("p", "q"))
+        links = verify(texts, allowed(pairs.select("a", (F.col("p") + F.col("q") - F.col("a")).alias("b")), feats))
+        label = merged(label, links)
+        # what stands behind the pivots, unless it is in one component by now
+        last = front.groupBy("token").agg(F.max("at").alias("last"))
+        behind = part.join(last, "token").where("at > last").select("token", "doc", "n", "i")
+        now = behind.join(label.withColumnRenamed("node", "doc"), "doc", "left").groupBy("token").agg(F.min(F.coalesce("component", "doc")).alias("low"), F.max(F.coalesce("component", "doc")).alias("high"))
+        rest = stored(behind.join(now.where("low < high").select("token"), "token", "left_semi"), "rest")
+        discard(part, front)
+        if rest.isEmpty():
+            return label
+        pivots = PIVOTS[1] if pivots == PIVOTS[0] else pivots * PIVOTS[2]
+
+
+def without_copies(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, text of the documents that stand for a class, without moving the texts of copies."""
+    copies = stored(named.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("own")).where("NOT own").select("doc_id"), "copies")
+    bitmap = key_bitmap(copies, "doc_id", "copies-bits")
+    reps = named.where("doc_id = rep").select("doc_id").distinct()
+    wrong = stored(with_hit(reps, bitmap, "doc_id").where("hit").select("doc_id"), "taken-for-copies")
+    once = with_hit(docs, bitmap, "doc_id", "copy")
+    twice = with_hit(once, key_bitmap(wrong, "doc_id", "taken-bits"), "doc_id")
+    unsure = twice.where("copy AND hit").select("doc_id", "text").join(wrong, "doc_id", "left_semi")
+    return once.where("NOT copy").select("doc_id", "text").unionByName(unsure)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = every.where(F.col("doc_id").isNotNull())
     feats = stored(features(every), "features")
     some = feats.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("signs").alias("signs"), F.any_value("sketch").alias("sketch")), "classes")
+    classes = stored(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    named = stored(some.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("doc_id", "n", "rep"), "named")
     # one document that is in several classes (a repeated doc_id) joins them
-    ties = some.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep")
-    again = ties.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    # a document with several texts has no size and no sketch to go by
-    one_text = lambda c: F.when(F.count(F.lit(1)) == 1, F.any_value(c)).alias(c)
-    members = classes.groupBy("rep").agg(one_text("n"), one_text("sketch")).withColumn("component", F.col("rep"))
-    members = stored(members, "members")
-    members = relabel(members, verify(docs, early_pairs(classes), members).unionByName(again))
-    # the index works on one text a class, and knows its component
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    bits = max(6, min(31, int(total // BUCKET_TOKENS).bit_length()))
-    one = some.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"])
-    moved = one.join(members.select("rep", "component"), "rep").where("doc_id <> rep OR component <> rep").groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("rep"), F.col("component"))).alias("component"))
-    moved = stored(moved, "moved")
-    marked = with_hit(docs, stored(key_bitmap(moved, "doc_id"), "moved-bits"), "doc_id")
-    alone = marked.where("NOT hit").select("doc_id", "text", F.col("doc_id").alias("component"))
-    hit = marked.where("hit").join(moved.withColumn("known", F.lit(True)), "doc_id", "left").where("known IS NULL OR component IS NOT NULL")
-    texts = alone.unionByName(hit.select("doc_id", "text", F.coalesce("component", "doc_id").alias("component")))
-    hot = spark.sparkContext.broadcast(frequent(docs, bits))  # HOT_MOST tokens at most
-    found = candidates(packed(texts, bits, True, hot))
-    hot.unpersist()
-    pairs = found.where("b >= 0").select("a", "b").distinct()
-    members = relabel(members, verify(docs, plausible(pairs, members), members))
-    members = long_lists(docs, found.where("b < 0").select("list", F.col("a").alias("component")), members)
-    named = some.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).join(members.select("rep", "component"), "rep").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    ties = named.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    texts = without_copies(every.where("doc_id IS NOT NULL"), named)
+    tokens = classes.agg(F.sum("n")).first()[0] or 0
+    shared = spark.sparkContext.broadcast(rarity(texts, tokens))  # 16 MB of bits, HOT_MOST tokens at most
+    entries = stored(index(texts, shared), "index")
+    shared.unpersist()
+    label = joined_lists(texts, feats, entries, ties)
+    named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     others = feats.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(others)
-
-
-def long_lists(docs: DataFrame, lists: DataFrame, members: DataFrame, pivots: int = 64) -> DataFrame:
-    """Work off tokens that more than LONG components have.
-
-    Each round tries a list's first components, the pivots, against those behind them. What links becomes one
-    component, so lists shrink; the pivots, which were tried against all of it, leave. Every round has four times the
-    pivots of the one before, so the number of rounds is that of a list's digits.
-    """
-    lists = stored(lists, "lists")
-    while not lists.isEmpty():
-        ranked = stored(lists.withColumn("at", F.row_number().over(Window.partitionBy("list").orderBy("component"))), "ranked")
-        pivot = ranked.where(F.col("at") <= pivots).select("list", F.col("component").alias("a"), F.col("at").alias("before"))
-        pairs = ranked.join(pivot, "list").where("at > before").select("a", F.col("component").alias("b")).distinct()
-        old = members.select("rep", "component")
-        members = relabel(members, verify(docs, plausible(pairs, members), members))
-        now = old.join(members.select("rep", F.col("component").alias("new")), "rep").select("component", "new").distinct()
-        rest = ranked.where(F.col("at") > pivots).join(now, "component").select("list", F.col("new").alias("component")).distinct()
-        held = rest.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("list")
-        lists = stored(rest.join(held, "list", "left_semi"), "lists")
-        pivots *= 4
-    return members

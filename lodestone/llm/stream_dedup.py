@@ -95,7 +95,7 @@ def groups(docs: DataFrame, name: str = "dedup") -> DataFrame:
         heads = stored(state_of(stream, name), f"{name}-heads")
     else:
         heads = landed.groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), F.first(F.struct("doc_id", "twin")).alias("head"))
-    bitmap = stored(key_bitmap(heads.where("rows > 1"), "sha"), f"{name}-hits")
+    bitmap = key_bitmap(heads.where("rows > 1"), "sha", f"{name}-hits")
     # Hits are compared by their full bytes: grouping on the text itself. Copies meet within each task first.
     texts = docs.select("doc_id", points(F.col("text")).alias("n_points"), normalised(F.col("text")).alias("norm")).withColumn("sha", F.sha2("norm", 256))
     same = with_hit(texts, bitmap, "sha").where("hit").groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.expr(RANK)).alias("best"))

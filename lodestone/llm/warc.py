@@ -66,7 +66,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     src = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     src = src.withColumns({"sha1": F.sha1("payload"), "sha": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     firsts = stored(resolve(src.drop("payload", "sha1"), least_bytes), "warc-digests")
-    bitmap = stored(key_bitmap(firsts.where("rows > 1"), "sha"), "warc-hits")
+    bitmap = key_bitmap(firsts.where("rows > 1"), "sha", "warc-hits")
     marked = with_hit(src, bitmap, "sha").withColumn("hit", F.col("hit") & (F.col("payload_bytes") >= least_bytes))
     first = firsts.select("sha", "first")
     own = F.col("page_id").eqNullSafe(F.col("first.page_id"))
@@ -99,7 +99,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         F.lit("\r\n"),
     )
     rows.select(F.concat(head, F.col("payload")).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_a_file).text(path)
-    discard(firsts, bitmap)
+    discard(firsts, bitmap.words)
 
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

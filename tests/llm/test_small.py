@@ -280,9 +280,9 @@ def brute_components(rows, least=75):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
-@pytest.mark.parametrize("long_list, frequent", [(64, 8), (3, 2)])
-def test_jaccard_join(spark, monkeypatch, long_list, frequent):
-    monkeypatch.setattr(jaccard_join, "LONG", long_list)
+@pytest.mark.parametrize("pivots, frequent", [((1, 64, 16), 8), ((1, 2, 2), 2)])
+def test_jaccard_join(spark, monkeypatch, pivots, frequent):
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     monkeypatch.setattr(jaccard_join, "HOT_LEAST", frequent)
     rng = random.Random(9)
     voc = [f"w{i}" for i in range(300)]
@@ -305,6 +305,33 @@ def test_jaccard_join(spark, monkeypatch, long_list, frequent):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_jaccard_join_pairs_of_a_shared_passage(spark, monkeypatch):
+    """Documents that share a passage, but link with nothing, hardly ever become pairs: the number does not grow as their square."""
+    rng, seen = random.Random(12), []
+    monkeypatch.setattr(jaccard_join, "allowed", lambda pairs, feats, f=jaccard_join.allowed: seen.append(pairs.count()) or f(pairs, feats))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(25)) + f" {passage}" for _ in range(200)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got.where("doc_id <> component_id").count() == 0 and sum(seen) <= 200
+
+
+def test_jaccard_join_many_near_copies(spark, monkeypatch):
+    """A large group of near copies takes about a pair a copy, and copies that only the original links are found."""
+    rng, seen = random.Random(13), []
+    monkeypatch.setattr(jaccard_join, "allowed", lambda pairs, feats, f=jaccard_join.allowed: seen.append(pairs.count()) or f(pairs, feats))
+    base = [f"b{i}" for i in range(80)]
+    texts = [" ".join(base)]
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(5, 75), 2):
+            w[at] = f"x{i}_{at}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
+    assert sum(seen) < 150 * 30
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -391,10 +418,37 @@ def test_toxicity_stage_goes_by_threshold(spark, monkeypatch):
     docs = spark.createDataFrame([(1, 0.4), (2, 0.6), (3, 0.8)], "doc_id long, s double")
     monkeypatch.setattr(pipeline, "table", lambda *_: None)
     monkeypatch.setattr(toxicity, "fit_toxicity", lambda *_: None)
-    monkeypatch.setattr(toxicity, "score", lambda d, _: d.withColumns({"predicted": (F.col("s") >= 0.5).cast("int"), "flagged": F.col("s") >= 0.7}))
+    monkeypatch.setattr(toxicity, "scored", lambda d, _: d.select(F.struct(*d.columns).alias("row"), (F.col("s") >= 0.5).cast("int").alias("predicted"), (F.col("s") >= 0.7).alias("flagged")))
     assert sorted(r.doc_id for r in pipeline.toxicity(spark, docs, "").collect()) == [1, 2]
 
 
+ODD = "doc_id long, text string, lang string, score string, predicted string, threshold string, flagged string, word string, bits string, hit string, sha string, row string, kept string"
+
+
+def test_pipeline_stages_on_odd_tables(spark, monkeypatch):
+    from lodestone.llm import pipeline
+
+    texts = [None, "", "  ", "a b", "a b", "a  b", "one two three four five six seven", "one two three four five six seven", "x" * 5000, "word " * 3000]
+    rows = [(i, t, None, *("score predicted threshold flagged word bits hit sha row kept".split())) for i, t in enumerate(texts)]
+    rows += [(None, "a b", None, *"abcdefghij"), (None, None, "en", *"abcdefghij"), (6, "other text", "en", *"abcdefghij"), (3, "a b", None, *"abcdefghij"), (0, "new", None, *"abcdefghij")]
+    docs = spark.createDataFrame(rows, ODD)
+    tables = {"labels": spark.createDataFrame([(i, i % 2) for i in range(10)] + [(None, 1)], "doc_id long, toxic int"), "benchmark": spark.createDataFrame([(1, "one two three four five six seven"), (2, None)], "item_id long, text string")}
+    monkeypatch.setattr(pipeline, "table", lambda _s, _d, name: tables[name])
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns, name
+        got = [tuple(r) for r in kept.collect()]
+        assert not [r for r in got if r not in rows], name
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        if name == "exact_dedup":  # one row a text, the longest with the smallest id
+            assert sorted(((r[0], r[1]) for r in got), key=str) == sorted([(2, "  "), (5, "a  b"), (6, texts[6]), (8, texts[8]), (9, texts[9]), (6, "other text"), (0, "new")], key=str)
+        if name == "ngram_jaccard_join":
+            assert sorted(r[0] for r in got if r[0] is not None) == [0, 0, 1, 2, 3, 3, 6, 6, 8, 9] and len(got) == 12
+        if name == "decontamination":
+            assert not [r for r in got if r[1] == texts[6]] and len(got) == len(rows) - 2
+    assert pipeline.STAGES[-1][1](spark, docs, "").count() == len(rows)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline
