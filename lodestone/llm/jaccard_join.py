@@ -41,7 +41,7 @@ LEAST = 75  # percent of the union: 4 * overlap >= 3 * union, or 7 * overlap >=
 GROUP = 64  # documents that a hub's text is sent along with
 TOGETHER = 256  # texts that are compared in one call
 HOT_LEAST, HOT_MOST = 8, 1 << 20  # frequencies from which tokens are made known, and how many at most
-BUCKET_TOKENS = 1 << 21  # tokens that one task counts
+BUCKET_TOKENS = 1 << 20  # tokens that one task counts
 SPOTS = 27  # the bitmap of repeated tokens has 2**27 bits at any size of the input
 PIVOTS = (1, 64, 16)  # of a list: in the first round, in the second, and times as many in each further one
 ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]

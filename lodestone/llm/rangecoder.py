@@ -1,80 +1,145 @@
-"""An adaptive context-mixing range coder for token ids, many blocks at once.
-
-A block holds up to BLOCK ids and is reset at its start, so that any block decodes alone. Each id is
-predicted by the id that last followed the same two ids (order 2) and the same one id (order 1) in the
-block, and by adaptive counts of id magnitudes (order 0). The share of the code space that each
-prediction gets is its own hit rate so far, kept apart by how often in a row it was right: this is what
-mixes the contexts. An id that neither of the first two predicts is coded by its magnitude class and
-the bits below. Blocks are independent, so numpy codes one id of every block in each step.
+"""An adaptive context-mixing range coder for token ids.
+
+Each id is predicted at three orders. Order 0 counts every id of the alphabet. Orders 1 and 2 keep, for the id before
+and for the two ids before, the ids that followed and how often. The distributions are mixed with weights that depend
+on how much each context has seen and how sure it is, and that are learnt from what each order's share in the
+probability of the coded ids was. The mixed distribution drives a range coder.
+
+A block of up to BLOCK ids is reset at its start, so that any block decodes alone. Within a block the ids are dealt, as
+runs, to up to LANES lanes that are coded side by side: all lanes share one model, which learns from all of them
+after each step, and numpy works on one id of each lane at once. Everything is integer arithmetic, or sums of integers.
+
+Bytes of a block: for each lane the number of its 16-bit words (u16), then the words, all little-endian.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 512
-SLOTS = 512  # of each block's table of a context order
-CLASSES = 17  # ids below 2**16
-RENEW = 16  # steps after which the counts of classes take effect
+BLOCK = 1 << 19
+LANES = 2048
+LEAST_WIDTH = 256  # ids of a lane, where a block has enough for several
 U = np.uint64
-TOP, LOW_RANGE = U(1 << 48), U(1 << 32)
-_CLASS = np.array([int(i).bit_length() for i in range(1 << 16)], np.int32)
-_BITS = np.maximum(np.arange(CLASSES) - 1, 0).astype(np.int32)
-
-
-class Mixer:
-    """Predictions of n blocks; blocks are ordered so that those still running come first."""
-
-    def __init__(self, n: int):
-        self.base = np.arange(n, dtype=np.int64) * SLOTS
-        self.lane4 = np.arange(n, dtype=np.int64) * 4
-        self.row = np.arange(n, dtype=np.int64) * CLASSES
-        self.row1 = np.arange(n, dtype=np.int64) * (CLASSES + 1)
-        # a slot: the id that followed, times 4, plus its streak; -4 where there is none
-        self.table = [np.full(n * SLOTS, -4, np.int32) for _ in range(2)]
-        self.rate = [np.full(n * 4, 24576, np.int32) for _ in range(2)]  # hit rates of 65536
-        self.count = np.full(n * CLASSES, 8, np.int32)
-        self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+TOTAL_BITS = 28
+TOTAL = 1 << TOTAL_BITS
+ORDER0 = 1 << 23  # the least share of order 0; its counts never exceed it
+GAIN = 8  # what a sight of an id adds to its count, which starts at 1
+FOLLOWERS = 2  # ids kept behind a context
+SLOTS = (1 << 16, 1 << 17)  # contexts of orders 1 and 2
+MOST_SEEN = 1023
+TOP, LOW_RANGE = U(1 << 48), U(1 << 40)
+STATES = 9
+SCALE_BITS = 24
+#: A context's state by twice its sights, up to 8, and whether they are all of one id.
+STATE = np.array([0, 0, *(1 + 2 * (int(t).bit_length() - 1) + one for t in range(1, 9) for one in (0, 1))])
+PART = (1 << SCALE_BITS) // np.maximum(np.arange(FOLLOWERS * MOST_SEEN + 1), 1)
+
+
+class Model:
+    """Predictions for n lanes; those that end first come last. Arrays of several values a lane have the lanes as their last axis."""
+
+    def __init__(self, n: int, alphabet: int):
+        if alphabet + GAIN * BLOCK > ORDER0:
+            raise ValueError(f"ids must be below {ORDER0 - GAIN * BLOCK}")
+        self.count = np.ones(alphabet, np.int64)
+        self.exact = alphabet <= SLOTS[0]  # order 1 has a slot for every context
+        self.ids = [np.full((FOLLOWERS, s), -1, np.int32) for s in SLOTS]
+        self.seen = [np.zeros((FOLLOWERS, s), np.int32) for s in SLOTS]
+        self.tag = [np.full(s, -1, np.int64) for s in SLOTS]  # which context a slot belongs to
+        self.before = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        self.credit = np.tile(np.array([[64], [32], [32]], np.int64), (1, STATES * STATES))  # of orders 2, 1, 0
         self.step = 0
 
     def predict(self, k: int) -> None:
-        if self.step % RENEW == 0:
-            n = len(self.base)
-            c = np.zeros((n, CLASSES + 1), np.int64)
-            np.cumsum(self.count.reshape(n, CLASSES), axis=1, out=c[:, 1:])
-            self.scaled = (c * 32768 // c[:, -1:]).astype(np.int32).ravel()
+        """Of each lane: the ids that orders 2 and 1 expect, their shares of TOTAL, and the share of order 0."""
+        if self.step < 16 or self.step % 8 == 0:
+            below = np.append(0, np.cumsum(self.count))
+            self.below = (below << SCALE_BITS) // int(below[-1])
+        if self.step < 16 or self.step % 4 == 0:
+            self.weight = self.credit[:2] * (TOTAL - ORDER0) // self.credit.sum(0)
         self.step += 1
-        p1 = self.p1[:k]
-        h1 = p1 * 0x9E3779B1
-        self.slot = [self.base[:k] + ((h1 >> 7) & (SLOTS - 1)), self.base[:k] + (((h1 ^ self.p2[:k] * 0x85EBCA6B) >> 9) & (SLOTS - 1))]
-        self.seen = [self.table[o][self.slot[o]] for o in range(2)]
-        self.guess = [s >> 2 for s in self.seen]
-        self.cell = [self.lane4[:k] + (s & 3) for s in self.seen]
-        self.odds = [self.rate[o][self.cell[o]] for o in range(2)]
-        w2 = np.where(self.seen[1] >= 0, self.odds[1] - (self.odds[1] >> 2), 0)
-        self.second = (self.seen[0] >= 0) & (self.guess[0] != self.guess[1])
-        self.w2 = w2
-        self.w12 = w2 + np.where(self.second, ((49152 - w2) * (self.odds[0] >> 4) >> 12) + 1, 0)
-        self.rest = 65536 - CLASSES - self.w12
-
-    def below(self, k: int, c: np.ndarray) -> np.ndarray:
-        """The code space below class c."""
-        return self.w12 + (self.scaled[self.row1[:k] + c] * self.rest.astype(np.int64) >> 15).astype(np.int32) + c
-
-    def learn(self, k: int, ids: np.ndarray, cls: np.ndarray) -> None:
-        for o in range(2):
-            right = self.guess[o] == ids
-            was = self.odds[o]
-            known = self.seen[o] >= 0
-            self.rate[o][self.cell[o]] = np.where(known, np.maximum(was + np.where(right, (65535 - was) >> 4, -(was >> 4)), 256), was)
-            self.table[o][self.slot[o]] = (ids << 2) | np.where(right, np.minimum((self.seen[o] & 3) + 1, 3), 0)
-        self.count[self.row[:k] + cls] += 24
-        self.p2[:k] = self.p1[:k]
-        self.p1[:k] = ids
+        b1, b2 = self.before[0][:k], self.before[1][:k]
+        pair = (b1 << 32) | b2
+        self.key = [b1, pair]
+        self.slot = [b1 if self.exact else (b1 * 0x9E3779B1 >> 7) & (SLOTS[0] - 1), ((b1 * 0x9E3779B1 ^ b2 * 0x85EBCA77) >> 13) & (SLOTS[1] - 1)]
+        state, ids, shares, self.seen_now, self.own = 0, [], [], [], []
+        for o in (1, 0):
+            seen = self.seen[o].take(self.slot[o], 1)
+            if o == 0 and self.exact:
+                own = None
+            else:
+                own = self.tag[o][self.slot[o]] == self.key[o]
+                seen *= own
+            total = seen.sum(0)
+            state = state * STATES + STATE[np.minimum(total, 8) * 2 + (seen.max(0) == total)]
+            self.seen_now.append(seen)
+            self.own.append(own)
+            ids.append(self.ids[o].take(self.slot[o], 1))
+            shares.append(total)
+        self.state = state
+        parts = [(self.weight[1 - o].take(state) * PART[shares[1 - o]]) * self.seen_now[1 - o] >> SCALE_BITS for o in (1, 0)]
+        self.expected, self.share = np.concatenate(ids), np.concatenate(parts)
+        self.rest = TOTAL - self.share.sum(0)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's id x in its mixed distribution."""
+        self.right = self.expected == x
+        low = self.below[x] * self.rest >> SCALE_BITS
+        self.zero = (self.below[x + 1] * self.rest >> SCALE_BITS) - low
+        self.given = self.share * self.right
+        return low + (self.share * (self.expected < x)).sum(0), self.zero + self.given.sum(0)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The id of each lane in whose part of the distribution `value` lies."""
+        e, s = self.expected, self.share
+        at = np.maximum(e, 0)
+        low = self.below[at] * self.rest >> SCALE_BITS
+        end = self.below[at + 1] * self.rest >> SCALE_BITS
+        for j in range(len(e)):
+            upto = e[j] <= e
+            end += s[j] * upto
+            low += s[j] * (upto & (e[j] != e))
+        low, end = np.where(e < 0, TOTAL, low), np.where(e < 0, TOTAL, end)
+        behind = value - (s * (end <= value)).sum(0)
+        x = np.searchsorted(self.below, (((behind + 1) << SCALE_BITS) - 1) // self.rest, "right") - 1
+        for j in range(len(e)):
+            x = np.where((low[j] <= value) & (value < end[j]), e[j], x)
+        return x
+
+    def learn(self, k: int, x: np.ndarray) -> None:
+        """Call after place(x)."""
+        if self.step <= 16 or self.step % 4 == 0:
+            parts = (self.given[:FOLLOWERS].sum(0), self.given[FOLLOWERS:].sum(0), self.zero)
+            whole = parts[0] + parts[1] + parts[2]
+            for i, p in enumerate(parts):
+                self.credit[i] += np.bincount(self.state, (p << 8) // whole, STATES * STATES).astype(np.int64)
+            self.credit[:, self.credit.sum(0) > 1 << 18] >>= 1
+            self.credit += self.credit == 0
+        np.add.at(self.count, x, GAIN)
+        for o in (0, 1):
+            seen, own, slot = self.seen_now[1 - o], self.own[1 - o], self.slot[o]
+            right = self.right[FOLLOWERS:] if o == 0 else self.right[:FOLLOWERS]
+            if own is not None and not own.all():
+                new = slot[~own]
+                self.ids[o][:, new], self.seen[o][:, new] = -1, 0
+                self.tag[o][slot] = self.key[o]
+            # the place of the id, or else of the follower seen least
+            col, least, times = np.zeros(k, np.int64), seen[0], np.zeros(k, np.int32)
+            for j in range(1, FOLLOWERS):
+                fewer = seen[j] < least
+                col, least = np.where(fewer, j, col), np.where(fewer, seen[j], least)
+            for j in range(FOLLOWERS):
+                known = right[j] & (seen[j] > 0)
+                col, times = np.where(known, j, col), np.where(known, seen[j], times)
+            at = col * SLOTS[o] + slot
+            self.ids[o].ravel()[at] = x
+            self.seen[o].ravel()[at] = np.minimum(times + 1, MOST_SEEN)
+        self.before[1][:k] = self.before[0][:k]
+        self.before[0][:k] = x
 
 
 def _settle(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Blocks that give out 16 bits: the top ones are settled, or the range is too small and gets cut."""
+    """Lanes that give out 16 bits: the top ones are settled, or the range is too small and gets cut."""
     go = np.flatnonzero(((low ^ (low + size)) < TOP) | (size < LOW_RANGE))
     lo, si = low[go], size[go]
     small = ((lo ^ (lo + si)) >= TOP) & (si < LOW_RANGE)
@@ -83,96 +148,89 @@ def _settle(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return go
 
 
-def encode(blocks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """blocks: ids in rows, of which the first lengths[i] count; lengths in descending order."""
-    n, width = blocks.shape
-    if n and (blocks.max() >= 1 << 16 or blocks.min() < 0):
-        raise ValueError("ids must be below 65536")
-    m = Mixer(n)
+def _lanes(count: int) -> tuple[int, np.ndarray]:
+    """Ids of a lane, and how many lanes run at each step."""
+    lanes = min(LANES, max(1, count // LEAST_WIDTH))
+    width = -(-count // lanes)
+    last = count - (-(-count // width) - 1) * width
+    return width, np.where(np.arange(width) < last, -(-count // width), -(-count // width) - 1)
+
+
+def encode(ids: np.ndarray, alphabet: int) -> bytes:
+    """The bytes of one block of ids below `alphabet`."""
+    count = len(ids)
+    if not count:
+        return b""
+    if count > BLOCK or ids.min() < 0 or ids.max() >= alphabet:
+        raise ValueError(f"a block takes up to {BLOCK} ids below its alphabet")
+    width, live = _lanes(count)
+    n = int(live[0])
+    rows = np.zeros(n * width, np.int64)
+    rows[:count] = ids
+    flat = np.ascontiguousarray(rows.reshape(n, width).T)
+    m = Model(n, alphabet)
     low, size = np.zeros(n, U), np.full(n, ~U(0))
     out, used = np.zeros((n, width * 3 + 8), np.uint16), np.zeros(n, np.int64)
-    live = np.searchsorted(-lengths, -np.arange(width), "left")  # blocks longer than t
-    flat = np.ascontiguousarray(blocks.T.astype(np.int32))
     for t in range(width):
         k = int(live[t])
-        if not k:
-            break
-        ids = flat[t, :k]
+        x = flat[t, :k]
         m.predict(k)
-        cls = _CLASS[ids]
-        hit2, hit1 = m.guess[1] == ids, m.second & (m.guess[0] == ids)
-        hit = hit1 | hit2
-        start = np.where(hit2, 0, np.where(hit1, m.w2, m.below(k, cls)))
-        end = np.where(hit2, m.w2, np.where(hit1, m.w12, m.below(k, cls + 1)))
-        bits = np.where(hit, 0, _BITS[cls])
-        r = size[:k] >> U(16)
-        lo = low[:k] + start.astype(U) * r
-        r = ((end - start).astype(U) * r) >> bits.astype(U)
-        lo += np.where(bits > 0, ids - (1 << bits), 0).astype(U) * r
-        low[:k], size[:k] = lo, r
-        lo, si, at = low[:k], size[:k], _settle(low[:k], size[:k])
-        while len(at):
-            sub = low[at]
-            out[at, used[at]] = (sub >> U(48)).astype(np.uint16)
-            used[at] += 1
-            sub, si = sub << U(16), size[at] << U(16)
-            more = _settle(sub, si)
-            low[at], size[at] = sub, si
-            at = at[more]
-        m.learn(k, ids, cls)
-    for _ in range(4):
-        out[np.arange(n), used] = (low >> U(48)).astype(np.uint16)
-        used += 1
-        low <<= U(16)
-    wide = out.astype("<u2")
-    return [wide[i, : used[i]].tobytes() for i in range(n)]
-
-
-def decode(parts: list[bytes], lengths: np.ndarray) -> np.ndarray:
-    """The ids of blocks in rows; lengths in descending order."""
-    n, width = len(parts), int(lengths[0]) if len(lengths) else 0
-    words = np.zeros((n, max([len(p) // 2 for p in parts], default=0) + 8), np.uint16)
-    for i, p in enumerate(parts):
-        words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-    m = Mixer(n)
+        start, part = m.place(x)
+        r = size[:k] >> U(TOTAL_BITS)
+        low[:k] += start.astype(U) * r
+        size[:k] = part.astype(U) * r
+        go = _settle(low[:k], size[:k])
+        while len(go):
+            out[go, used[go]] = (low[go] >> U(48)).astype(np.uint16)
+            used[go] += 1
+            lo, si = low[go] << U(16), size[go] << U(16)
+            more = _settle(lo, si)
+            low[go], size[go] = lo, si
+            go = go[more]
+        m.learn(k, x)
+    # a lane's end: the word that stands for a value inside its range with nothing but zeros behind it, or else four words
+    near = (low + (TOP - U(1))) & ~(TOP - U(1))
+    short = (near >= low) & (near - low < size)
+    end = np.where(short, near, low)
+    for i in range(4):
+        some = np.flatnonzero(~short) if i else np.arange(n)
+        out[some, used[some]] = ((end[some] << U(16 * i)) >> U(48)).astype(np.uint16)
+        used[some] += 1
+    words = out[np.arange(out.shape[1])[None] < used[:, None]]
+    return used.astype("<u2").tobytes() + words.astype("<u2").tobytes()
+
+
+def decode(payload: bytes, count: int, alphabet: int) -> np.ndarray:
+    """The ids of one block."""
+    if not count:
+        return np.zeros(0, np.int64)
+    width, live = _lanes(count)
+    n = int(live[0])
+    used = np.frombuffer(payload, "<u2", n).astype(np.int64)
+    words = np.zeros((n, int(used.max()) + 8), np.uint16)
+    words[np.arange(words.shape[1])[None] < used[:, None]] = np.frombuffer(payload, "<u2", int(used.sum()), 2 * n)
+    m = Model(n, alphabet)
     low, size, code = np.zeros(n, U), np.full(n, ~U(0)), np.zeros(n, U)
     at = np.full(n, 4)
     for i in range(4):
         code = code << U(16) | words[:, i].astype(U)
-    blocks = np.zeros((width, n), np.int32)
-    live = np.searchsorted(-lengths, -np.arange(width), "left")
+    flat = np.zeros((width, n), np.int64)
     for t in range(width):
         k = int(live[t])
-        if not k:
-            break
         m.predict(k)
-        r = size[:k] >> U(16)
-        value = np.minimum((code[:k] - low[:k]) // r, U(65535)).astype(np.int32)
-        hit2 = value < m.w2
-        hit1 = ~hit2 & (value < m.w12)
-        hit = hit1 | hit2
-        cls = np.zeros(k, np.int32)  # the last class that starts at or below the value
-        for jump in (16, 8, 4, 2, 1):
-            up = np.minimum(cls + jump, CLASSES)
-            cls = np.where((cls + jump < CLASSES) & (m.below(k, up) <= value), up, cls)
-        start = np.where(hit2, 0, np.where(hit1, m.w2, m.below(k, cls)))
-        end = np.where(hit2, m.w2, np.where(hit1, m.w12, m.below(k, cls + 1)))
-        bits = np.where(hit, 0, _BITS[cls])
-        lo = low[:k] + start.astype(U) * r
-        r = ((end - start).astype(U) * r) >> bits.astype(U)
-        tail = np.minimum((code[:k] - lo) // r, (1 << bits).astype(U) - U(1))
-        lo += tail * r
-        low[:k], size[:k] = lo, r
+        r = size[:k] >> U(TOTAL_BITS)
+        x = m.find(np.minimum((code[:k] - low[:k]) // r, U(TOTAL - 1)).astype(np.int64))
+        start, part = m.place(x)
+        low[:k] += start.astype(U) * r
+        size[:k] = part.astype(U) * r
         go = _settle(low[:k], size[:k])
         while len(go):
-            code[go] = code[go] << U(16) | words[go, at[go]].astype(U)
+            code[go] = code[go] << U(16) | words[go, np.minimum(at[go], words.shape[1] - 1)].astype(U)
             at[go] += 1
-            sub, si = low[go] << U(16), size[go] << U(16)
-            more = _settle(sub, si)
-            low[go], size[go] = sub, si
+            lo, si = low[go] << U(16), size[go] << U(16)
+            more = _settle(lo, si)
+            low[go], size[go] = lo, si
             go = go[more]
-        ids = np.where(hit2, m.guess[1], np.where(hit1, m.guess[0], np.where(bits > 0, (1 << bits) + tail.astype(np.int32), cls)))
-        cls = np.where(hit, _CLASS[np.maximum(ids, 0)], cls)
-        blocks[t, :k] = ids
-        m.learn(k, ids, cls)
-    return blocks.T
+        flat[t, :k] = x
+        m.learn(k, x)
+    return flat.T.ravel()[:count]

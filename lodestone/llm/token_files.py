@@ -4,12 +4,12 @@ Documents are dealt by ranges of doc_id, sorted, tokenised and coded; frames go
 writer, so that files appear only when their task commits, on whatever store the folder is on.
 
 File format. A file is a row of frames, each followed by one byte 0x0A. A frame, little-endian:
-  magic b"LDTK" | kind u8 (1: documents, 2: block) | part u32 | number u32 | count u32 | size u32 |
-  crc32 u32 | payload of `size` bytes
+  magic b"LDTK" | kind u8 (1: documents, 2: block) | part u32 | number u32 | count u32 | alphabet u32 |
+  size u32 | crc32 u32 | payload of `size` bytes
 `part` counts the ranges of doc_id from 0, `number` the frames of a kind within a part. A documents
 frame has `count` doc_ids as i64 (unset where null), their validity as u8 and their numbers of ids as
-i64; crc32 is that of the payload. A block frame has the range coder's bytes of `count` ids; crc32 is
-that of the ids as u32. Documents follow each other through the blocks of a part without gaps.
+i64; crc32 is that of the payload. A block frame has the range coder's bytes of `count` ids below `alphabet`; crc32
+is that of the ids as u32, and a block decodes alone. Documents follow each other through the blocks of a part without gaps.
 
 Defined results: null and empty texts give only the end id; a null doc_id sorts first; equal doc_ids
 are kept, ordered by text; an empty table gives no rows; other columns are not read.
@@ -18,6 +18,7 @@ are kept, ordered by text; an empty table gives no rows; other columns are not r
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
@@ -35,17 +36,43 @@ from pyspark.sql import types as T
 from . import rangecoder
 from .common import LOWER, discard, scratch, stored, text_slices
 
-FRAME = struct.Struct("<4sBIIIII")
+FRAME = struct.Struct("<4sBIIIIII")
 MAGIC = b"LDTK"
 END = 1
+RUN = 4096
+
+
+#: The normalisation and the splitting for which the cuts are known to hold.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def cuts_hold(definition: dict) -> bool:
+    """Whether a tokenizer file splits as SPLITTING does and merges within words alone, always alike."""
+    model = definition["model"]
+    return all(definition.get(k) == v for k, v in SPLITTING.items()) and model["type"] == "BPE" and not model.get("dropout")
 
 
 class WordEncoder:
     """The tokenizers library on the distinct runs of a batch, behind a bounded memo.
 
-    The vocabulary's splitting never looks past white space, nor from an ASCII letter to an ASCII sign other than
-    the apostrophe, and it lower-cases: so texts are lower-cased in ASCII and cut there, and runs are encoded alone. A
-    run of plain letters or of signs is one word to the library's merge model; others take its whole way.
+    Where a file's normalisation and splitting are those of SPLITTING, no word goes on past white space (no branch of the
+    pattern takes any), nor from an ASCII letter to an ASCII sign other than the apostrophe (each branch takes either
+    letters, or a digit, or neither, but for those that begin with an apostrophe); neither composes with what stands
+    before it; and letters are lower-cased one by one. So texts are lower-cased in ASCII and cut there, and runs are
+    encoded alone. A run of plain letters or of signs is one word to the library's merge model; others take its whole
+    way. With any other file, and in slices that have a special token's text, the library encodes whole texts.
     """
 
     #: Letters that are lower-cased one by one and composed already; or signs, which stand for themselves.
@@ -61,7 +88,7 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in keep]
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.plain = all(self.lib.encode(t, add_special_tokens=False).ids == self.alone(t) for t in ("hello", "Äpfel", "année", "...", "x", "|$*"))
-        self.cut = self.lib.encode("A.b c", add_special_tokens=False).ids == [i for t in ("a", ".", "b", "c") for i in self.lib.encode(t, add_special_tokens=False).ids]
+        self.cut = cuts_hold(json.loads(definition))
         self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -97,14 +124,16 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with the end id behind each text, and the number of each text's ids."""
         raw = data.tobytes()
-        cuts = self.cut and not any(t in raw or t.upper() in raw.upper() for t in self.special)
+        if not self.cut or any(t in raw or t.upper() in raw.upper() for t in self.special):
+            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
+            ids = [np.append(np.array(e.ids, np.int32), np.int32(END)) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+            return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.array([len(x) for x in ids], np.int64)
         kind = _KIND[data]  # 0: white space, 1: a letter, 2: a sign, 3: another byte
         word = kind > 0
         begin = word.copy()
         begin[1:] &= ~word[:-1]
-        if cuts:
-            data = LOWER[data]
-            begin[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
+        data = LOWER[data]
+        begin[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
         inside = offsets[:-1][offsets[:-1] < len(data)]
         begin[inside] = word[inside]
         start = np.flatnonzero(begin)
@@ -153,11 +182,11 @@ def _encoder(text: str) -> WordEncoder:
     return WordEncoder(text)
 
 
-def frame(kind: int, part: int, number: int, count: int, crc: int, payload: bytes) -> bytes:
-    return FRAME.pack(MAGIC, kind, part, number, count, len(payload), crc) + payload
+def frame(kind: int, part: int, number: int, count: int, alphabet: int, crc: int, payload: bytes) -> bytes:
+    return FRAME.pack(MAGIC, kind, part, number, count, alphabet, len(payload), crc) + payload
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: int = 16 << 20, lanes: int = 4096, check_one_in: int = 200) -> None:
+def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: int = 16 << 20, check_one_in: int = 200) -> None:
     """Write token files below `path`. `part_bytes` of text make a range of doc_ids, and so a file.
 
     One text in `check_one_in` of each batch is also encoded whole by the library; a difference fails the job.
@@ -176,17 +205,11 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: in
 
         def blocks(last: bool) -> Iterator[bytes]:
             nonlocal waiting, n_blocks
-            while len(waiting) >= lanes * rangecoder.BLOCK or last and len(waiting):
-                some, waiting = waiting[: lanes * rangecoder.BLOCK], waiting[lanes * rangecoder.BLOCK :]
-                n = -(-len(some) // rangecoder.BLOCK)
-                length = np.full(n, rangecoder.BLOCK)
-                length[-1] = len(some) - (n - 1) * rangecoder.BLOCK
-                rows = np.zeros(n * rangecoder.BLOCK, np.int32)
-                rows[: len(some)] = some
-                for i, payload in enumerate(rangecoder.encode(rows.reshape(n, -1), length)):
-                    ids = some[i * rangecoder.BLOCK : (i + 1) * rangecoder.BLOCK]
-                    yield frame(2, part, n_blocks, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), payload)
-                    n_blocks += 1
+            while len(waiting) >= rangecoder.BLOCK or last and len(waiting):
+                ids, waiting = waiting[: rangecoder.BLOCK], waiting[rangecoder.BLOCK :]
+                alphabet = int(ids.max()) + 1
+                yield frame(2, part, n_blocks, len(ids), alphabet, zlib.crc32(ids.astype("<u4").tobytes()), rangecoder.encode(ids, alphabet))
+                n_blocks += 1
 
         def out(frames) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
@@ -202,7 +225,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: in
                 valid = np.asarray(rows["doc_id"].is_valid())
                 payload = np.asarray(rows["doc_id"].fill_null(0)).astype("<i8").tobytes() + valid.astype(np.uint8).tobytes() + size.astype("<i8").tobytes()
                 waiting = np.append(waiting, ids)
-                yield out([frame(1, part, n_docs, len(rows), zlib.crc32(payload), payload), *blocks(False)])
+                yield out([frame(1, part, n_docs, len(rows), 0, zlib.crc32(payload), payload), *blocks(False)])
                 n_docs += 1
         if len(waiting):
             yield out(list(blocks(True)))
@@ -210,23 +233,23 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, part_bytes: in
     sorted_docs.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
-def frames(content: bytes) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+def frames(content: bytes) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
     at = 0
     while at < len(content):
-        magic, kind, part, number, count, size, crc = FRAME.unpack_from(content, at)
+        magic, kind, part, number, count, alphabet, size, crc = FRAME.unpack_from(content, at)
         if magic != MAGIC:
             raise ValueError(f"no frame at byte {at}")
         at += FRAME.size
-        yield kind, part, number, count, crc, content[at : at + size]
+        yield kind, part, number, count, alphabet, crc, content[at : at + size]
         at += size + 1
 
 
 def read_part(content: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
     """The part's number, its doc_ids, their numbers of ids, and all ids; checks every checksum."""
     docs: dict[int, tuple[list, np.ndarray]] = {}
-    coded: dict[int, tuple[int, int, bytes]] = {}
+    blocks: dict[int, np.ndarray] = {}
     part = 0
-    for kind, part, number, count, crc, payload in frames(content):
+    for kind, part, number, count, alphabet, crc, payload in frames(content):
         if kind == 1:
             if zlib.crc32(payload) != crc:
                 raise ValueError(f"part {part}: documents frame {number} is damaged")
@@ -234,20 +257,10 @@ def read_part(content: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
             valid = np.frombuffer(payload, np.uint8, count, 8 * count)
             docs[number] = ([int(i) if v else None for i, v in zip(ids, valid)], np.frombuffer(payload, "<i8", count, 9 * count))
         else:
-            coded[number] = (count, crc, payload)
-    order = sorted(coded)
-    flat = []
-    for a in range(0, len(order), 4096):
-        some = [coded[n] for n in order[a : a + 4096]]
-        by_length = sorted(range(len(some)), key=lambda i: -some[i][0])
-        length = np.array([some[i][0] for i in by_length])
-        rows = rangecoder.decode([some[i][2] for i in by_length], length)
-        got: list = [None] * len(some)
-        for row, i, n in zip(rows, by_length, length.tolist()):
-            got[i] = np.ascontiguousarray(row[:n])
-            if zlib.crc32(got[i].astype("<u4").tobytes()) != some[i][1]:
-                raise ValueError(f"part {part}: block {order[a + i]} is damaged")
-        flat += got
+            blocks[number] = rangecoder.decode(payload, count, alphabet).astype(np.int32)
+            if zlib.crc32(blocks[number].astype("<u4").tobytes()) != crc:
+                raise ValueError(f"part {part}: block {number} is damaged")
+    flat = [blocks[n] for n in sorted(blocks)]
     names = [d for n in sorted(docs) for d in docs[n][0]]
     sizes = np.concatenate([docs[n][1] for n in sorted(docs)]) if docs else np.zeros(0, np.int64)
     return part, names, sizes, np.concatenate(flat) if flat else np.zeros(0, np.int32)
@@ -290,7 +303,10 @@ def round_trip(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer_file, path)
     got = stored(digests(read_tokens(docs.sparkSession, path)), "token-digests")
-    totals = got.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a file
+    # a row a file: added up within runs of RUN files, and over the runs
+    totals = got.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("run", (F.col("part") / RUN).cast("int"))
+    runs = totals.groupBy("run").agg(F.sum("n").alias("n"))
+    earlier = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("earlier"))
+    before = totals.join(F.broadcast(earlier), "run").select("part", (F.sum("n").over(Window.partitionBy("run").orderBy("part")) - F.col("n") + F.col("earlier")).alias("before"))
     discard(path)
     return got.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -221,15 +221,29 @@ def test_suffix_automaton():
                 assert (a.ends[s].get(t) == min(ends)) if ends else t not in a.ends[s]
 
 
-def test_range_coder():
+def test_range_coder(monkeypatch):
     rng = np.random.default_rng(7)
-    for most in (1, 2, 6, 300, 1 << 16):
-        length = np.sort(rng.integers(1, 600, 30))[::-1]
-        blocks = rng.integers(0, most, (30, int(length[0]))).astype(np.int32)
-        got = rangecoder.decode(rangecoder.encode(blocks, length), length)
-        assert all((got[i, : length[i]] == blocks[i, : length[i]]).all() for i in range(30))
-    same = rangecoder.encode(np.full((1, 500), 7, np.int32), np.array([500]))[0]
-    assert len(same) < 200
+    for n in (0, 1, 255, 600, 5000):
+        for most in (1, 2, 300, 1 << 16, 1 << 20):
+            ids = np.minimum(rng.integers(0, most, n), rng.integers(0, most, n))
+            assert (rangecoder.decode(rangecoder.encode(ids, most), n, most) == ids).all()
+    assert len(rangecoder.encode(np.full(5000, 7), 8)) < 250
+    with pytest.raises(ValueError):
+        rangecoder.encode(np.array([8]), 8)
+
+
+def test_range_coder_beats_order_0():
+    """Ids of a chain whose next id depends on the two before: clearly below what counts of single ids allow, their table not counted."""
+    rng = np.random.default_rng(8)
+    ids = [0, 1]
+    follow = rng.integers(0, 400, (400, 7, 3))
+    for a, b in zip(rng.integers(0, 3, 60_000), rng.random(60_000)):
+        ids.append(int(follow[ids[-1], ids[-2] % 7, a]) if b < 0.9 else int(b * 1e6) % 400)
+    ids = np.array(ids)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    payload = rangecoder.encode(ids, 400)
+    assert (rangecoder.decode(payload, len(ids), 400) == ids).all()
+    assert 8 * len(payload) / len(ids) < 0.8 * -(share * np.log2(share)).sum()
 
 
 def test_token_files(spark):
@@ -237,8 +251,8 @@ def test_token_files(spark):
 
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     rng = random.Random(8)
-    bits = ["a", "The ", " ", "\n", "É", "É", "中", "\U0001f600", "'s", "don't", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "Σ", "...", "12", "½", "≠", "　", "x" * 60, "|"]
-    docs, rows = odd_docs(spark, ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(200)])
+    bits = ["a", "The ", " ", "\n", "É", "É", "中", "\U0001f600", "'s", "don't", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "Σ", "...", "12", "½", "≠", "　", "x" * 60, "|", "\x0b", "\x1c", "\u0338", "=", "\u0301", "\xa0", "ΑΣ", "'"]
+    docs, rows = odd_docs(spark, ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(400)])
     start, want = 0, []
     for d, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
@@ -248,6 +262,19 @@ def test_token_files(spark):
     assert token_files.round_trip(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_token_files_cut_only_where_that_holds():
+    import json
+
+    definition = json.loads(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert token_files.cuts_hold(definition)
+    assert not token_files.cuts_hold({**definition, "normalizer": None}) and not token_files.cuts_hold({**definition, "pre_tokenizer": {"type": "Whitespace"}})
+    other = token_files.WordEncoder(json.dumps({**definition, "normalizer": None}))
+    text = "Ab. c-d don't  É"
+    data = np.frombuffer(text.encode(), np.uint8)
+    ids, n = other.encode(data, np.array([0, len(data)]))
+    assert ids.tolist() == [*other.lib.encode(text, add_special_tokens=False).ids, 1] and n.tolist() == [len(ids)]
+
+
 def test_token_files_find_damage(spark):
     path = common.scratch(spark, "tokens-test")
     token_files.write_tokens(spark.createDataFrame([(1, "some words here")], "doc_id long, text string"), P.path("word_bpe_49k.json"), path)
