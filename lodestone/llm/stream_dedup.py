@@ -1,26 +1,30 @@
 """Exact deduplication as a stateful stream, with Spark's own operators only.
 
-A stream of digest records (digest of the normalised text, a second digest, stable id, length, content
-locator) is grouped by digest; the state store keeps, for each digest ever seen, how many rows had it,
-which row stays and where its content is. The store is disk-backed (RocksDB) and nothing expires, so a
-copy that comes after any time is recognised. Rows of digests with more than one row are hits: their full
-normalised bytes are compared by grouping on them, so that texts of equal digests but unequal bytes stay
-apart.
+Rows of a call land in a content table in the store's folder: stable id, length, digest of the normalised text, and the
+normalised text itself. A stream over that table is grouped by digest; the state keeps, for each digest ever seen, how
+many rows had it, which row stays, and where its content is (file and row of the content table). The state is
+disk-backed (RocksDB) and nothing expires, and the store's folder keeps its checkpoint, so that a later call, in
+another session too, goes on with the same state.
+
+Rows whose digest the state has seen more than once are hits. Their full bytes are compared with those that the locator
+points at; texts of equal digests but unequal bytes, should there ever be any, are then grouped by their bytes.
 
 Equal texts: identical after deleting U+0020 and U+0009 to U+000D. The row with the most code points,
 then the smallest doc_id, stays.
 
 Defined results: null text counts as empty, and all empty texts are one group; a null doc_id loses
 against any other; repeated (doc_id, text) rows are rows of their own in group_size and each come out;
-an empty table gives no rows; other columns are not read, or pass through `unique`.
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, key_bitmap, scratch, stored, with_hit
+from .common import key_bitmap, scratch, stored, with_hit
 
 SPACES = " \t\n\u000b\f\r"
 #: The state is on disk; its many small stores don't set space aside before they need it.
@@ -37,36 +41,37 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def digest_records(docs: DataFrame) -> DataFrame:
-    """doc_id, n_points, sha, twin (a second digest that tells unequal texts of one sha apart) of a batch or a stream."""
+def records(docs: DataFrame) -> DataFrame:
+    """doc_id, n_points, sha, norm (the normalised text) of a batch or a stream."""
     norm = docs.select("doc_id", points(F.col("text")).alias("n_points"), normalised(F.col("text")).alias("norm"))
-    return norm.select("doc_id", "n_points", F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("twin"))
+    return norm.select("doc_id", "n_points", digest(F.col("norm")).alias("sha"), "norm")
+
+
+def digest(norm: Column) -> Column:
+    return F.sha2(norm, 256)
 
 
 def points(text: Column) -> Column:
     return F.char_length(F.coalesce(text.cast("string"), F.lit(""))).cast("long")
 
 
-def state_of(records: DataFrame, name: str) -> DataFrame:
-    """Run a stream of digest records through the keyed state to its end: sha, twin, rows, head.
+def keep_state(stream: DataFrame, folder: str) -> DataFrame:
+    """Run what is new of a stream through the keyed state to its end; all digests so far: sha, rows, head.
 
-    `records` is a streaming DataFrame of doc_id, n_points, sha, twin, locator. Each trigger appends the keys it
-    changed; the last change of a key is its state.
+    `stream` has doc_id, n_points, sha, locator. Each trigger appends the keys it changed; a key's last change is its state.
     """
-    spark = records.sparkSession
-    changed, progress = scratch(spark, f"{name}-changed"), scratch(spark, f"{name}-progress")
+    spark = stream.sparkSession
     had = {k: spark.conf.get(k, None) for k in STORE}
     for k, v in STORE.items():
         spark.conf.set(k, v)
     try:
         order = F.struct("n_points", F.col("doc_id").isNotNull(), -F.col("doc_id"))
-        head = F.max_by(F.struct("doc_id", "twin", "locator"), order)
-        state = records.groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), head.alias("head"))
+        state = stream.groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), F.max_by(F.struct("doc_id", "locator"), order).alias("head"))
 
         def append(batch: DataFrame, number: int) -> None:  # a trigger that runs again writes the same folder again
-            batch.write.mode("overwrite").parquet(f"{changed}/trigger={number}")
+            batch.write.mode("overwrite").parquet(f"{folder}/state/trigger={number}")
 
-        query = state.writeStream.outputMode("update").option("checkpointLocation", progress).foreachBatch(append).trigger(availableNow=True).start()
+        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").foreachBatch(append).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in had.items():
@@ -74,8 +79,7 @@ def state_of(records: DataFrame, name: str) -> DataFrame:
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    discard(progress)
-    log = spark.read.schema(state.schema.add("trigger", "long")).parquet(changed)
+    log = spark.read.schema(state.schema.add("trigger", "long")).parquet(f"{folder}/state")
     return log.groupBy("sha").agg(F.max("rows").alias("rows"), F.max_by("head", "rows").alias("head"))
 
 
@@ -83,23 +87,46 @@ def state_of(records: DataFrame, name: str) -> DataFrame:
 _UNIT, _NO_ID = 10**20, 4 * 10**19
 RANK = f"CAST(n_points AS DECIMAL(38,0)) * {_UNIT} - coalesce(CAST(doc_id AS DECIMAL(38,0)), {_NO_ID})"
 BACK = f"CAST(nullif(CAST(ceil(best / {_UNIT}BD - 0.39BD) AS DECIMAL(38,0)) * {_UNIT} - best, {_NO_ID}) AS BIGINT)"
-def groups(docs: DataFrame, name: str = "dedup") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of a batch of documents."""
+
+
+def groups(docs: DataFrame, folder: str | None = None, name: str = "dedup", files_a_trigger: int | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of a batch of documents.
+
+    With `folder` the batch joins the texts of all earlier calls with that folder, and is judged against them too.
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
-    landed = stored(digest_records(docs), f"{name}-digests")
-    files = landed.inputFiles()
-    if files:
-        stream = spark.readStream.schema(landed.schema).parquet(files[0].rsplit("/", 1)[0])
-        stream = stream.withColumn("locator", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")))
-        heads = stored(state_of(stream, name), f"{name}-heads")
-    else:
-        heads = landed.groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), F.first(F.struct("doc_id", "twin")).alias("head"))
-    bitmap = key_bitmap(heads.where("rows > 1"), "sha", f"{name}-hits")
-    # Hits are compared by their full bytes: grouping on the text itself. Copies meet within each task first.
-    texts = docs.select("doc_id", points(F.col("text")).alias("n_points"), normalised(F.col("text")).alias("norm")).withColumn("sha", F.sha2("norm", 256))
-    same = with_hit(texts, bitmap, "sha").where("hit").groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.expr(RANK)).alias("best"))
-    same = same.select(F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("twin"), F.expr(BACK).cast(kind).alias("keep_id"), "group_size")
-    alone = with_hit(heads, bitmap, "sha").where("NOT hit").select("sha", F.col("head.twin").alias("twin"), F.col("head.doc_id").alias("keep_id"), F.col("rows").alias("group_size"))
-    out = landed.join(alone.unionByName(same), ["sha", "twin"])
+    folder = folder or scratch(spark, name)
+    call = f"{folder}/content/call={uuid.uuid4().hex[:12]}"
+    own = records(docs)
+    own.write.parquet(call)
+    landed = spark.read.schema(own.schema).parquet(call)
+    if not landed.inputFiles() or landed.isEmpty():
+        return landed.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    heads = stored(keep_state(located(spark.readStream, own.schema, folder, files_a_trigger), folder), f"{name}-heads")
+    odd = stored(unequal(landed, heads, located(spark.read, own.schema, folder), name), f"{name}-unequal")
+    out = landed.join(heads, "sha").select("sha", "norm", "doc_id", F.col("head.doc_id").alias("keep_id"), F.col("rows").alias("group_size"))
+    if not odd.isEmpty():  # these digests stand for several texts: grouped by the bytes of all their rows
+        every = located(spark.read, own.schema, folder).join(odd, "sha", "left_semi").groupBy("sha", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.expr(RANK)).alias("best"))
+        theirs = landed.join(every, ["sha", "norm"]).select("sha", "norm", "doc_id", F.expr(BACK).cast(kind).alias("keep_id"), "group_size")
+        out = out.join(odd, "sha", "left_anti").unionByName(theirs)
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def located(reader, schema, folder: str, files_a_trigger: int | None = None) -> DataFrame:
+    """The content table, or the stream of it, with each row's locator."""
+    reader = reader.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_a_trigger) if files_a_trigger else reader
+    return reader.parquet(f"{folder}/content/call=*").withColumn("locator", F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index")))
+
+
+def unequal(landed: DataFrame, heads: DataFrame, content: DataFrame, name: str) -> DataFrame:
+    """The digests of hits in `landed` whose full bytes are not those at the state's locator.
+
+    Copies first meet within each task, and only the located rows of the content table move.
+    """
+    several = heads.where("rows > 1")
+    found = with_hit(landed, key_bitmap(several, "sha", f"{name}-hits"), "sha").where("hit").select("sha", "norm").distinct()
+    spots = stored(several.select("sha", F.col("head.locator").alias("locator")), f"{name}-spots")
+    first = with_hit(content, key_bitmap(spots, "locator", f"{name}-spot-bits"), "locator").where("hit").join(spots, ["sha", "locator"]).select("sha", F.col("norm").alias("first"))
+    return found.join(first, "sha").where("norm <> first").select("sha").distinct()

@@ -90,13 +90,25 @@ def test_stream_dedup(spark):
     assert stream_dedup.groups(docs.limit(0)).count() == 0
 
 
-def test_stream_dedup_keeps_state_over_triggers(spark, tmp_path):
-    records = stream_dedup.digest_records(spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a ", "c"])], "doc_id long, text string")).withColumn("locator", F.col("doc_id"))
-    for i in range(4):
-        records.where(F.col("doc_id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r["rows"], r["head"]["doc_id"]) for r in stream_dedup.state_of(stream, "test").collect()}
-    assert got == {(2, 2), (1, 1), (1, 3)}
+def test_stream_dedup_goes_on_with_its_state(spark):
+    """A second call with the same folder, and triggers of one file each, know all that came before."""
+    texts = ["a", "b", "a ", "c", None, "b", "  a", "d", "", "B"]
+    rows = list(enumerate(texts))
+    folder = common.scratch(spark, "dedup-test")
+    table = lambda some: spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    first = stream_dedup.groups(table(rows[:5]), folder, files_a_trigger=1).collect()
+    assert sorted(map(tuple, first), key=str) == brute_dedup(rows[:5])
+    second = sorted(map(tuple, stream_dedup.groups(table(rows[5:]), folder, files_a_trigger=1).collect()), key=str)
+    assert second == [r for r in brute_dedup(rows) if r[0] >= 5]
+    assert stream_dedup.groups(table(rows).limit(0), folder).count() == 0
+
+
+def test_stream_dedup_compares_bytes(spark, monkeypatch):
+    """Texts of one digest but unequal bytes stay apart."""
+    monkeypatch.setattr(stream_dedup, "digest", lambda norm: F.char_length(norm).cast("string"))
+    docs, rows = odd_docs(spark, ["one two", "one\ttwo", "one two ", "onetwo", "three", "eerht"])
+    got = sorted((tuple(r)[:4] for r in stream_dedup.groups(docs).collect()), key=str)
+    assert got == sorted((r[:4] for r in brute_dedup(rows)), key=str)
 
 
 def brute_hits(text, items, size=13):
