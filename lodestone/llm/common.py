@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -106,6 +108,20 @@ class Words:
         return mix((self._sum[e] - self._sum[s]) * inverse[s])
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: None
+
+
+def release() -> None:
+    """Give memory that earlier batches have freed back to the system: workers live on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch of about `most` text bytes: (rows, their bytes, offsets). Null texts are empty."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -120,6 +136,7 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iter
             kept = col.fill_null("")
             yield from text_slices(pa.RecordBatch.from_arrays([kept if i == batch.schema.get_field_index(column) else c for i, c in enumerate(batch.columns)], names=batch.schema.names), column, most)
             return
+    release()
     i = 0
     while i < len(col):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)

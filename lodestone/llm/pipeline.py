@@ -78,7 +78,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from . import pieces
 
-    return pieces.digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("ngram_jaccard_join", near_dedup), ("decontamination", decontaminate), ("sentencepiece", encode)]

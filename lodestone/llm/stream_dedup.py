@@ -99,7 +99,7 @@ def groups(docs: DataFrame, folder: str | None = None, name: str = "dedup", file
     folder = folder or scratch(spark, name)
     call = f"{folder}/content/call={uuid.uuid4().hex[:12]}"
     own = records(docs)
-    own.write.parquet(call)
+    own.write.option("compression", "zstd").parquet(call)
     landed = spark.read.schema(own.schema).parquet(call)
     if not landed.inputFiles() or landed.isEmpty():
         return landed.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
