@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Words, discard, key_bitmap, mix, stored, text_slices, with_hit
+from .common import NONSPACE, Words, discard, key_bitmap, mix, release, stored, text_slices, with_hit
 from .components import components
 
 U = np.uint64
@@ -213,10 +213,14 @@ def rarity(texts: DataFrame, tokens: int) -> Rarity:
         if r["count"] > room:  # of the last grade that finds room, as many as do
             some = some & (F.pmod(F.xxhash64("token"), F.lit(r["count"])) < int(0.9 * room))
         take, room = take | some, room - min(room, r["count"])
-    got = found.where("token IS NOT NULL").where(take).select("token", "grade").toPandas()
+    got = found.where("token IS NOT NULL").where(take).select("token", "grade").toArrow()  # HOT_MOST rows at most
     discard(found)
-    by = np.argsort(got["token"].to_numpy())
-    return Rarity(bits, repeated, got["token"].to_numpy()[by].astype(U), got["grade"].to_numpy()[by].astype(np.uint8))
+    token, grade = got["token"].to_numpy(), got["grade"].to_numpy()
+    by = np.argsort(token)
+    known, grade = token[by].astype(U), grade[by].astype(np.uint8)
+    del got, token, by
+    release()
+    return Rarity(bits, repeated, known, grade)
 
 
 def index(texts: DataFrame, shared) -> DataFrame:
