@@ -131,6 +131,23 @@ def role_score(path: Column, terms: list[str]) -> Column:
     return out
 
 
+def role_score_of(path: Column, terms: Column) -> Column:
+    """role_score where the terms are a column of word lists."""
+    about = {k: has_intent(terms, k) for k in INTENT}
+    name, role = F.lower(F.regexp_extract(path, "([^/]*)$", 1)), classify_path(path)
+    code = lambda yes, no: F.when(about["code"], yes).otherwise(no)
+    return (
+        F.when(about["manifest"] & name.isin("package.json", "deno.json", "jsr.json"), 1.2)
+        .when(about["ignore"] & name.isin(".gitignore", ".npmignore", ".dockerignore"), 0.9)
+        .when(role == "generated", -2.0)
+        .when(F.startswith(path, F.lit("benchmarks/")) & ~about["benchmark"], code(-0.7, -0.35))
+        .when(role == "test", F.when(about["test"], 0.4).otherwise(code(-0.85, -0.25)))
+        .when(role == "docs", F.when(about["docs"], 0.65).otherwise(code(-0.8, -0.15)))
+        .when(role == "source", F.when(about["docs"], 0.05).otherwise(code(0.65, 0.15)))
+        .otherwise(-0.25)
+    )
+
+
 def normal_path(path: Column) -> Column:
     """Forward slashes, without a leading "./"."""
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")

@@ -92,7 +92,7 @@ def _symbol_sql() -> str:
     kind = arms(lambda k, p, n, e: f"'{k}'")
     name = arms(lambda k, p, n, e: f"regexp_extract(c, '{p}', {n})")
     exported = arms(lambda k, p, n, e: "false" if e is None else r"regexp_matches(c, '\bpub\b')" if e == "pub" else f"regexp_extract(c, '{p}', {e}) <> ''")
-    return f"s AS (SELECT path, CASE {name} END AS name, CASE {kind} END AS kind, line, substr(regexp_replace(trim(c), '\\s+', ' ', 'g'), 1, 240) AS signature, CASE {exported} END AS exported FROM l)"
+    return f"s AS (SELECT path, CASE {name} END AS name, CASE {kind} END AS kind, line, substr(regexp_replace(regexp_replace(c, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 240) AS signature, CASE {exported} END AS exported FROM l)"
 
 
 def _dependency_sql() -> str:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, index
+from ..operators import chunking, index, retrieval
 from .common import table
 
-LIMITS = chunking.Limits(target=2000, overlap=0, most=3)
+LIMITS = chunking.Limits(target=2000, overlap=0, most=None)
 
 
 def _snapshots(spark, sf_dir):
@@ -69,14 +69,44 @@ def embed_missing(spark, sf_dir):
     return got.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.size("vector").alias("size"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
 
-def upsert_files(spark, sf_dir):
-    """The last order of each customer, as the row that an upsert leaves."""
+def latest_order(spark, sf_dir):
+    """The last order of each customer: the first row of a key."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     got = index.first_of_key(orders.withColumn("back", -F.unix_micros(F.col("o_orderdate").cast("timestamp"))), ["o_custkey"], ["back", "o_orderkey"])
     return got.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-QUERIES = {f.__name__: f for f in (freshness_diff, freshness_summary, stale_delete, reindex_merge, index_status, embedding_coverage, pending_embeddings, embed_missing, upsert_files)}
+def upsert_files(spark, sf_dir):
+    """The file table of the first state after the second one came in."""
+    old, new = _snapshots(spark, sf_dir)
+    return index.upsert(old.select("path", F.concat(F.lit("id"), "path").alias("id"), "hash"), new)
+
+
+def _postings(files):
+    """gram, path of every trigram of a file's text."""
+    return files.select("path", F.explode(retrieval.grams(F.col("text"))).alias("gram"))
+
+
+def repair_postings(spark, sf_dir):
+    """Postings of the first state, of which some files' rows are lost and others belong to no file, brought to the second."""
+    old, new = _snapshots(spark, sf_dir)
+    held = _postings(old.where("CAST(path AS BIGINT) % 17 <> 0")).unionByName(_postings(old.limit(1)).withColumn("path", F.lit("nowhere")))
+    return index.repaired(held, old, new, _postings).groupBy("path").agg(F.count(F.lit(1)).alias("grams"), F.min("gram").alias("first_gram"))
+
+
+def _words(files):
+    """path, line, first_word of every line with words: a stand-in for symbol and dependency rows."""
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("at", "content"))
+    return lines.select("path", (F.col("at") + 1).cast("long").alias("line"), F.regexp_extract("content", "([A-Za-z]+)", 1).alias("name")).where("name <> ''")
+
+
+def repair_lines(spark, sf_dir):
+    """Rows by line of the first state brought to the second: changed files alone are read again."""
+    old, new = _snapshots(spark, sf_dir)
+    return index.repaired(_words(old), old, new, _words).groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max("line").alias("last_line"), F.min("name").alias("first_name"))
+
+
+QUERIES = {f.__name__: f for f in (freshness_diff, freshness_summary, stale_delete, reindex_merge, index_status, embedding_coverage, pending_embeddings, embed_missing, latest_order, upsert_files, repair_postings, repair_lines)}
 
 _SNAP = """WITH RECURSIVE b AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS t FROM documents),
 o AS (SELECT path, t, strlen(t) AS size, CAST(doc_id AS DOUBLE) AS mtime, sha256(t) AS hash FROM b WHERE doc_id % 11 <> 0),
@@ -84,7 +114,7 @@ n AS (SELECT path, t, strlen(t) AS size, doc_id + CASE WHEN doc_id % 5 = 0 THEN
 s AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'missing' WHEN (o.size <> n.size OR abs(o.mtime - n.mtime) > 0.001) AND o.hash <> n.hash THEN 'modified' WHEN o.size <> n.size OR abs(o.mtime - n.mtime) > 0.001 THEN 'metadata_changed' ELSE 'fresh' END AS state FROM o FULL OUTER JOIN n ON o.path = n.path)"""
 _CUT = """c AS (SELECT path, 0 AS i, CAST(0 AS BIGINT) AS pos, 1 AS line, {end0} AS fin FROM {src} UNION ALL
 SELECT path, i + 1, fin, line + length(substr(t, pos + 1, fin - pos)) - length(replace(substr(t, pos + 1, fin - pos), chr(10), '')), CASE WHEN fin + 2000 >= length(t) THEN length(t) WHEN strpos(substr(t, fin + 2001, 241), chr(10)) > 0 THEN fin + 2000 + strpos(substr(t, fin + 2001, 241), chr(10)) ELSE fin + 2000 END
-FROM c JOIN {src} USING (path) WHERE fin < length(t) AND i < 2),
+FROM c JOIN {src} USING (path) WHERE fin < length(t)),
 k AS (SELECT path, line, substr(t, pos + 1, fin - pos) AS part FROM c JOIN {src} USING (path))"""
 _END = "CASE WHEN length(t) <= 2000 THEN length(t) WHEN strpos(substr(t, 2001, 241), chr(10)) > 0 THEN 2000 + strpos(substr(t, 2001, 241), chr(10)) ELSE 2000 END"
 ORACLES = {
@@ -96,5 +126,8 @@ ORACLES = {
     "embedding_coverage": "SELECT label AS set_id, count(vec_id) AS n FROM embeddings GROUP BY label UNION ALL SELECT max(label) + 1, 0 FROM embeddings",
     "pending_embeddings": "SELECT doc_id AS chunk_id, 'd' || doc_id % 10 AS path FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "embed_missing": "SELECT doc_id AS chunk_id, CAST(4 AS INTEGER) AS size, round(length(coalesce(text, '')) % 10 / 10.0, 6)::DOUBLE AS first FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
-    "upsert_files": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS i FROM orders) WHERE i = 1",
+    "upsert_files": _SNAP + " SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN substr(sha256(n.path), 1, 16) ELSE 'id' || o.path END AS id, coalesce(n.hash, o.hash) AS hash, CASE WHEN o.path IS NULL THEN 'inserted' WHEN n.hash <> o.hash THEN 'updated' ELSE 'kept' END AS change FROM o FULL OUTER JOIN n ON o.path = n.path",
+    "repair_postings": _SNAP + ", g AS (SELECT DISTINCT path, lower(substr(t, i, 3)) AS gram FROM (SELECT path, lower(t) AS t, unnest(range(1, length(t) - 1)) AS i FROM n WHERE length(t) >= 3)) SELECT path, count(*) AS grams, min(gram) AS first_gram FROM g GROUP BY path",
+    "repair_lines": _SNAP + ", w AS (SELECT path, line, regexp_extract(c, '([A-Za-z]+)', 1) AS name FROM (SELECT path, unnest(string_split(t, chr(10))) AS c, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line FROM n)) SELECT path, count(*) AS rows, max(line) AS last_line, min(name) AS first_name FROM w WHERE name <> '' GROUP BY path",
+    "latest_order": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS i FROM orders) WHERE i = 1",
 }

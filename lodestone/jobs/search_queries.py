@@ -1,4 +1,4 @@
-"""Queries of keyword, vector and hybrid search, of context packs, and of their measures."""
+"""Queries of keyword, vector and hybrid search, and of budgets of context."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, pack, search
+from ..operators import pack, search
 from .common import table
 
 QUERY = "thand Ingsh eableon schach"
@@ -79,29 +79,7 @@ def context_summary(spark, sf_dir):
     return pack.summary(pack.budgeted(_ranked_snippets(spark, sf_dir), 3000))
 
 
-def _case_results(spark, sf_dir):
-    """Each benchmark item's words as a query against documents that begin alike: an equi-join on the first word."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.lower(F.split("text", " ")[0]).alias("word"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.split(F.coalesce("text", F.lit("")), " ")[0]).alias("word"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    at = F.row_number().over(Window.partitionBy("case_id").orderBy("n", "doc_id"))
-    return items.join(docs, "word").withColumn("position", at).where("position <= 20").select("case_id", F.col("doc_id").alias("path"), "position")
-
-
-def _case_ranks(spark, sf_dir):
-    expected = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.explode(F.array(*[F.col("item_id") * i + i for i in range(1, 26)])).alias("path"))
-    return evaluate.ranks(_case_results(spark, sf_dir), expected)
-
-
-def retrieval_ranks(spark, sf_dir):
-    return _case_ranks(spark, sf_dir).select("case_id", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"))
-
-
-def retrieval_metrics(spark, sf_dir):
-    got = evaluate.gate(evaluate.measures(_case_ranks(spark, sf_dir)))
-    return got.select("cases", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "hit5", "mrr")], F.col("p95_rank").cast("long").alias("p95_rank"), "passed")
-
-
-QUERIES = {f.__name__: f for f in (fts_match, bm25_topk, bm25_all, like_fallback, knn_l2_topk, hybrid_merge, line_search_rank, context_budget, context_summary, retrieval_ranks, retrieval_metrics)}
+QUERIES = {f.__name__: f for f in (fts_match, bm25_topk, bm25_all, like_fallback, knn_l2_topk, hybrid_merge, line_search_rank, context_budget, context_summary)}
 
 _FILES = "f AS (SELECT doc_id, 'docs/d' || doc_id || '.md' AS path, coalesce(text, '') AS text FROM documents)"
 _count = lambda c, t: f"CAST((length({c}) - length(replace({c}, '{t}', ''))) / {len(t)} AS INTEGER)"
@@ -120,11 +98,6 @@ w AS (SELECT query, 0 AS position, '' AS path, '' AS snippet, 3000 AS remaining,
       WHEN w.remaining >= 15 THEN '... [truncated]' ELSE '' END AS new
     FROM w JOIN s ON s.query = w.query AND s.position = w.position + 1) x),
 p AS (SELECT * FROM w WHERE position > 0) """
-_CASES = """WITH i AS (SELECT item_id, lower(string_split(text, ' ')[1]) AS word FROM benchmark),
-d AS (SELECT doc_id, lower(string_split(coalesce(text, ''), ' ')[1]) AS word, length(coalesce(text, '')) AS n FROM documents),
-r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n, doc_id) AS position FROM i JOIN d USING (word)),
-e AS (SELECT item_id, item_id * k + k AS path FROM benchmark, (SELECT unnest(range(1, 26)) AS k)),
-h AS (SELECT e.item_id, min(position) AS rank FROM e LEFT JOIN (SELECT * FROM r WHERE position <= 20) r ON r.item_id = e.item_id AND r.doc_id = e.path GROUP BY e.item_id) """
 ORACLES = {
     "fts_match": f"WITH {_FILES} SELECT doc_id FROM f WHERE {' OR '.join(f'contains(lower(path || chr(10) || text), {t!r})' for t in TERMS)}",
     "bm25_topk": f"WITH {_BM25} SELECT path, round(score, 6) AS score FROM b ORDER BY 2, 1 LIMIT {K}",
@@ -140,6 +113,4 @@ h AS (SELECT path, line, {' + '.join(_count('lower(c)', t) for t in TERMS)} AS h
 SELECT path, CAST(round(sum(hits + 0.25 * kinds), 6) AS DOUBLE) AS score, min(line) AS first_line FROM h WHERE hits > 0 GROUP BY path ORDER BY score DESC, first_line, path LIMIT 25""",
     "context_budget": _SNIPPETS + "SELECT query, position, path, sha256(snippet) AS snippet_hash, CAST(length(snippet) AS INTEGER) AS chars, truncated FROM p",
     "context_summary": _SNIPPETS + "SELECT query, count(*) AS results, CAST(sum(length(snippet)) AS BIGINT) AS used_chars, CAST(ceil(sum(length(snippet)) / 4.0) AS BIGINT) AS tokens, count(*) FILTER (WHERE truncated) AS truncated FROM p GROUP BY query",
-    "retrieval_ranks": _CASES + "SELECT item_id AS case_id, coalesce(rank, 0) AS rank FROM h",
-    "retrieval_metrics": _CASES + "SELECT count(*) AS cases, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, quantile_disc(rank, 0.95) AS p95_rank, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) >= 1 AND avg(coalesce(1.0 / rank, 0.0)) >= 0.85 AS passed FROM h",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE = 0.001  # seconds by which modification times may differ
@@ -41,6 +41,32 @@ def reindex(chunks: DataFrame, indexed: DataFrame, scanned: DataFrame, rechunk:
     return chunks.join(kept, "path", "left_semi").unionByName(rechunk(changed))
 
 
+def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """path, id, hash, change (inserted, updated, kept) of a file table after rows of path, hash came in.
+
+    A path that is there keeps its id; a new one gets an id that its path alone decides, so that a second run gives the same.
+    """
+    new = incoming.select("path", F.col("hash").alias("new_hash"))
+    both = existing.select("path", "id", "hash").join(new, "path", "full_outer")
+    change = F.when(F.col("id").isNull(), "inserted").when(F.col("new_hash") != F.col("hash"), "updated").otherwise("kept")
+    return both.select("path", F.coalesce("id", stable_id(F.col("path"))).alias("id"), F.coalesce("new_hash", "hash").alias("hash"), change.alias("change"))
+
+
+def stable_id(path: Column) -> Column:
+    return F.substring(F.sha2(path, 256), 1, 16)
+
+
+def repaired(rows: DataFrame, indexed: DataFrame, scanned: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The next version of any table of rows by path (postings, symbols, dependencies, vectors).
+
+    Rows of files whose hash is unchanged stay, those of changed and new files are made anew, those of files that are gone
+    go; and so do rows whose file the index does not know, while files of the index that have no rows are made anew.
+    """
+    same = indexed.select("path", "hash").join(scanned.select("path", "hash"), ["path", "hash"], "left_semi").select("path")
+    good = same.join(rows.select("path").distinct(), "path", "left_semi")
+    return rows.join(good, "path", "left_semi").unionByName(make(scanned.join(good, "path", "left_anti")))
+
+
 def first_of_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key: a partial aggregate before the shuffle, no window."""
     rest = [c for c in rows.columns if c not in key]

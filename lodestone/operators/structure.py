@@ -35,6 +35,10 @@ IMPORTS = {
 TARGETS = ["{n}", "{r}", "{r}.ts", "{r}.tsx", "{r}.mts", "{r}.cts", "{n}.ts", "{n}.tsx", "{n}.js", "{n}.jsx", "{n}.mjs", "{n}.cjs", "{n}.py", "{n}/index.ts", "{n}/index.tsx", "{n}/index.js", "{n}/index.jsx"]
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, line (from 1), content of every line."""
     return files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("at", "content")).select("path", (F.col("at") + 1).alias("line"), "content")
@@ -47,7 +51,7 @@ def symbols(files: DataFrame) -> DataFrame:
     for kind, pattern, name, exported in reversed(SYMBOLS):
         mark = F.lit(False) if exported is None else text.rlike(r"\bpub\b") if exported == "pub" else F.length(F.regexp_extract(text, pattern, exported)) > 0
         found = F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, name).alias("name"), mark.alias("exported"))).otherwise(found)
-    signature = F.substring(F.regexp_replace(F.trim(text), r"\s+", " "), 1, 240)
+    signature = F.substring(F.regexp_replace(stripped(text), r"\s+", " "), 1, 240)
     rows = lines(files).withColumn("found", found).where("found IS NOT NULL")
     return rows.select("path", "found.name", "found.kind", "line", signature.alias("signature"), "found.exported")
 
@@ -62,15 +66,30 @@ def dependencies(files: DataFrame) -> DataFrame:
     for name, patterns in IMPORTS.items():
         all_ = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
         specs = F.when(family(F.col("path")) == name, all_).otherwise(specs)
-    trimmed = F.array_distinct(F.filter(F.transform(specs, lambda s: F.trim(s)), lambda s: s != ""))
+    trimmed = F.array_distinct(F.filter(F.transform(specs, stripped), lambda s: s != ""))
     return lines(files).select("path", "line", F.explode(trimmed).alias("specifier")).select("path", "specifier", "line")
 
 
 def joined_path(base: Column, relative: Column) -> Column:
-    """A relative specifier from a file's folder, with "." and ".." worked off; what climbs over the root stays there."""
-    whole = F.concat(F.regexp_replace(base, "[^/]*$", ""), relative)
-    step = lambda a, p: F.when(p.isin("", "."), a).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p)))
-    return F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")
+    """A relative specifier from a file's folder, read as a URL's path.
+
+    What follows "?" or "#" goes, a backslash is a slash; "." and ".." are worked off, and what climbs over the root stays
+    there; a slash at the end stays, where "." or ".." stand last too; blanks, quotes, angle and curly brackets, "^", "`"
+    and signs beyond ASCII are percent-encoded; slashes in front go.
+    """
+    folder = F.regexp_extract(base, "^(.*)/[^/]*$", 1)
+    own = F.regexp_replace(F.regexp_replace(relative, r"[?#][\s\S]*$", ""), r"\\\\", "/")
+    parts = F.split(F.concat(F.when(folder == "", F.lit("")).otherwise(F.concat(folder, F.lit("/"))), own), "/", -1)
+    none = F.array().cast("array<string>")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    step = lambda a, p: F.when(p == ".", a).when(p == "..", up(a)).otherwise(F.concat(a, F.array(p)))
+    walked = F.aggregate(parts, none, step)
+    last = F.element_at(parts, -1)
+    path = F.concat(F.array_join(walked, "/"), F.when(last.isin(".", "..") & (F.size(walked) > 0), F.lit("/")).otherwise(""))
+    odd = F.regexp_replace(F.url_encode(path), r"\+", "%20")
+    for sign in "/!$&'()*+,;=:@[]|~\\%":  # what a URL's path leaves as it is
+        odd = F.replace(odd, F.lit("%" + format(ord(sign), "02X")), F.lit(sign))
+    return F.regexp_replace(F.when(path.rlike(r"[^!#-;=?-\]_a-z|~]"), odd).otherwise(path), "^/+", "")
 
 
 def resolve(deps: DataFrame, files: DataFrame) -> DataFrame:

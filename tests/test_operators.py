@@ -132,3 +132,41 @@ def test_ingest(spark, tmp_path):
     spark.createDataFrame([("a", "three")], "path string, text string").write.mode("append").parquet(src)
     run()
     assert {(r.path, r.text) for r in ingest.current(spark, table).collect()} == {("a", "three"), ("b", "two")}
+
+
+def test_signature_and_paths_of_imports(spark):
+    files = spark.createDataFrame([("a/b.ts", "\tclass  Foo {}\n  import x from './c d.js?raw'\r\n"), ("m.py", "from pkg.mod import x\n  def  go(a):\n"), ("m.rs", "\tpub fn run() {}\nuse std::io;\npub struct S;"), ("m.go", "func (s *T) Do() {}\nimport \"fmt\"\n")], "path string, text string")
+    got = {(r.path, r.kind, r.name, r.signature, r.exported) for r in structure.symbols(files).collect()}
+    assert got == {("a/b.ts", "class", "Foo", "class Foo {}", False), ("m.py", "function", "go", "def go(a):", False), ("m.rs", "function", "run", "pub fn run() {}", True), ("m.rs", "struct", "S", "pub struct S;", True), ("m.go", "function", "Do", "func (s *T) Do() {}", False)}
+    assert {(r.path, r.specifier) for r in structure.dependencies(files).collect()} == {("a/b.ts", "./c d.js?raw"), ("m.py", "pkg.mod"), ("m.rs", "std::io"), ("m.go", "fmt")}
+    cases = {("src/a/b.ts", "../c.js"): "src/c.js", ("src/a/b.ts", "../../../c"): "c", ("b.ts", "./x?raw#y"): "x", ("src/b.ts", "./d/"): "src/d/", ("src/b.ts", "."): "src/", ("src/b.ts", ".."): "", ("src/b.ts", "./a b/\u00e9.ts"): "src/a%20b/%C3%A9.ts", ("src/b.ts", "./a//b"): "src/a//b", ("src/b.ts", "./[id].ts"): "src/[id].ts"}
+    rows = spark.createDataFrame(list(cases), "p string, r string").select("p", "r", structure.joined_path(F.col("p"), F.col("r")).alias("j")).collect()
+    assert {(r.p, r.r): r.j for r in rows} == cases
+
+
+def test_chunk_search_falls_back_and_reranks_counterparts(spark):
+    from lodestone.operators import retrieval
+
+    chunks = spark.createDataFrame([("src/a.ts", 0, 1, 2, "export function alpha() {}"), ("src/a.test.ts", 0, 1, 3, "alpha spec alpha alpha"), ("docs/a.md", 0, 1, 1, "nothing here"), ("docs/a.md", 1, 1, 1, "zq_9 alpha")], "path string, ordinal int, start_line int, end_line int, text string")
+    queries = spark.createDataFrame([("1", "alpha"), ("2", "zq"), ("3", "!"), ("4", "absent")], "query_id string, query string")
+    got = retrieval.keyword(chunks, retrieval.postings(chunks), queries, 5).collect()
+    assert {(r.query_id, r.path, r.ordinal) for r in got} == {("1", "src/a.ts", 0), ("1", "src/a.test.ts", 0), ("1", "docs/a.md", 1), ("2", "docs/a.md", 1)}
+    assert {r.score for r in got if r.query_id == "2"} == {-1.0}
+    found = spark.createDataFrame([("1", "src/a.test.ts", 0, 1, 3, 2.0, "spec", ["keyword"]), ("1", "src/a.ts", 0, 1, 2, 0.1, "own", ["keyword"])], "query_id string, path string, ordinal int, start_line int, end_line int, score double, snippet string, kinds array<string>")
+    with_sources = {r.path: (r.score, r.kinds) for r in retrieval.with_counterparts(found, chunks, 0.85).collect()}
+    assert with_sources == {"src/a.test.ts": (2.0, ["keyword"]), "src/a.ts": (1.7, ["local"])}
+    symbols = spark.createDataFrame([("src/a.ts", "alpha", 1)], "path string, name string, line int")
+    degrees = spark.createDataFrame([("src/a.ts", 1, 1)], "path string, n_imports int, n_imported_by int")
+    ranked = retrieval.rerank(found, queries, chunks, symbols, degrees, 5).collect()
+    assert [(r.path, r.rank_score) for r in sorted(ranked, key=lambda r: r.position)] == [("src/a.ts", 2.75), ("src/a.test.ts", 1.75)]
+    plain = retrieval.rerank(found, queries, chunks, symbols, degrees, 5, {"symbol": 0.0, "role": 0.0, "graph": 0.0, "counterpart": 0.0}).collect()
+    assert sorted(plain, key=lambda r: r.position)[0].path == "src/a.test.ts"
+
+
+def test_related_snippets_keep_their_budget(spark):
+    from lodestone.operators import pack
+
+    chunks = spark.createDataFrame([("a", i, i + 1, i + 1, t) for i, t in enumerate(["x" * 50, "y" * 10, "z"])] + [("b", 0, 1, 1, "  "), ("b", 1, 2, 2, "never"), ("c", 0, 1, 1, "w" * 40)], "path string, ordinal int, start_line int, end_line int, text string")
+    paths = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c")], "query_id string, at int, path string")
+    got = [(r.path, r.start_line, r.snippet, r.truncated) for r in pack.related_snippets(paths, chunks, 2, 40, 70).collect()]
+    assert got == [("a", 1, "x" * 24 + "\n... [truncated]", True), ("a", 2, "y" * 10, False), ("c", 1, "w" * 4 + "\n... [truncated]", True)]
