@@ -5,9 +5,10 @@ fewer words, but not none, is one window). Each document is normalised byte for
 numbers lead back to places in the original, and scanned once; whatever windows end at a place mark
 their words as hit. One narrow pass over the documents, no shuffle.
 
-The automaton goes to every executor, so the benchmark is measured first: up to `most_bytes` of text
-make one automaton, and a larger benchmark is dealt into as many automata, each used in turn on
-every batch.
+The automaton is one of word numbers: the benchmark's words are numbered, and any other word is 0. It goes to every
+executor, so the benchmark is measured first. Up to `most_bytes` of its text make one automaton, of at most 13 nodes a
+word; a larger benchmark is dealt into as many, and the documents are scanned once with each, one pass after the
+other, so that no worker ever holds two.
 
 Defined results: null and empty texts have no words and no hits; items without words or with a null
 item_id are left out; repeated items count once; an empty benchmark leaves everything clean; columns of
@@ -25,99 +26,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, Words, text_slices
+from .common import ALNUM, LOWER, Words, stored, text_slices
 
 #: Each byte lower-cased, or a space if it is no word byte; then cut at spaces.
 NORMAL = bytes(int(LOWER[b]) if ALNUM[b] else 32 for b in range(256))
 
 
-def normal(text: bytes) -> bytes:
-    return b" %b " % b" ".join(text.translate(NORMAL).split())
-
-
-def windows(items: list[tuple[str, str]], size: int) -> dict[str, tuple[int, list[str]]]:
-    """Pattern -> (its words, ids of the items that have it)."""
-    out: dict[str, tuple[int, list[str]]] = {}
-    for item, text in sorted(items):
-        words = (text or "").encode().translate(NORMAL).split()
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            part = words[i : i + size]
-            ids = out.setdefault((b" %b " % b" ".join(part)).decode("latin-1"), (len(part), []))[1]
-            if item not in ids:
-                ids.append(item)
-    return out
-
-
-def automaton(patterns: dict[str, tuple[int, list[str]]]):
-    a = ahocorasick.Automaton()
-    for p, value in patterns.items():
-        a.add_word(p, value)
-    if patterns:
-        a.make_automaton()
-    return a if patterns else None
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(NORMAL).split()
 
 
 class Pack:
-    """Items as they travel to the executors; a Python worker builds the automaton once."""
+    """Items as they travel to the executors; a Python worker builds the automaton once.
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.items, self.window, self.machine, self.built = items, window, None, False
+    vocabulary: a number from 1 for each word; machine: windows of word numbers -> (number of words, ids of their items).
+    """
 
-    def get(self):
-        if not self.built:
-            self.machine, self.built = automaton(windows(self.items, self.window)), True
-        return self.machine
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, item_cols: tuple[str, ...] = ("text",), most_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as strings, sorted), spans (start and end of each run of hit
-    words, in code points of the original text)."""
-    spark = docs.sparkSession
-    text = F.concat_ws("\n", *[F.col(c).cast("string") for c in item_cols])
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), text.alias("text")).distinct()
-    total = items.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
-    parts = max(1, -(-int(total) // most_bytes))
-    packs = []
-    for k in range(parts):  # each pack is bounded by most_bytes
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else items
-        packs.append(spark.sparkContext.broadcast(Pack([tuple(r) for r in own.collect()], window)))
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        self.items, self.window, self.vocabulary, self.machine, self.built = items, window, {}, None, False
+
+    def build(self) -> None:
+        if self.built:
+            return
+        windows: dict[tuple, list[str]] = {}
+        for item, text in sorted(self.items):
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of((text or "").encode())]
+            for i in range(max(1, len(ids) - self.window + 1) if ids else 0):
+                own = windows.setdefault(tuple(ids[i : i + self.window]), [])
+                if item not in own[-1:]:
+                    own.append(item)
+        if windows:
+            self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for key, own in windows.items():
+                self.machine.add_word(key, (len(key), own))
+            self.machine.make_automaton()
+        self.built = True
+
+    def hits(self, words: list[bytes]) -> list[tuple[int, tuple[int, list[str]]]]:
+        """(place of the last word, (number of words, items)) of every window."""
+        if self.machine is None or not words:
+            return []
+        find = self.vocabulary.get
+        return list(self.machine.iter(tuple([find(w, 0) for w in words])))
+
+
+RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+ITEMS = T.ArrayType(T.StringType())
+
+
+def one_pass(docs: DataFrame, pack, last: bool) -> DataFrame:
+    """doc_id, text, runs (of hit words, from earlier passes), items -> the same with this pack's windows, or the result."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [a for a in (p.value.get() for p in packs) if a is not None]
+        own = pack.value
+        own.build()
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
-                n_words, n_hit, found, spans = [], [], [], []
+                n_words, n_hit, found, runs, spans = [], [], [], [], []
                 raw = data.tobytes()
-                for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    flat = normal(raw[s:e])
-                    n = flat.count(b" ") - 1 if len(flat) > 2 else 0
-                    hits = [(end, value) for a in machines for end, value in a.iter(flat.decode("latin-1"))] if n else []
-                    n_words.append(n)
-                    if not hits:
+                for s, e, before, items in zip(offsets[:-1].tolist(), offsets[1:].tolist(), part["runs"].to_pylist(), part["items"].to_pylist()):
+                    words = words_of(raw[s:e])
+                    n_words.append(len(words))
+                    hits = own.hits(words)
+                    if not hits and not before:
                         n_hit.append(0)
                         found.append([])
+                        runs.append([])
                         spans.append([])
                         continue
-                    word_after = np.cumsum(np.frombuffer(flat, np.uint8) == 32)  # words that ended up to each byte, plus one
-                    edge, ids = np.zeros(n + 1, np.int64), set()
-                    for end, (k, own) in hits:
-                        last = int(word_after[end]) - 1
-                        edge[last - k] += 1
-                        edge[last] -= 1
-                        ids.update(own)
+                    edge, ids = np.zeros(len(words) + 1, np.int64), set(items or ())
+                    for end, (k, theirs) in hits:
+                        edge[end - k + 1] += 1
+                        edge[end + 1] -= 1
+                        ids.update(theirs)
+                    for r in before or ():
+                        edge[r["start"]] += 1
+                        edge[r["end"]] -= 1
                     hit = np.cumsum(edge[:-1]) > 0
                     n_hit.append(int(hit.sum()))
                     found.append(sorted(ids, key=str.encode))
-                    w = Words(data[s:e], np.array([0, e - s]))
                     step = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-                    points = np.append(0, np.cumsum((data[s:e] & 0xC0) != 0x80))
-                    spans.append([{"start": int(points[w.starts[a]]), "end": int(points[w.ends[b - 1]])} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
-
-    src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span)])
-    return src.mapInArrow(run, schema)
+                    places = list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
+                    runs.append([{"start": a, "end": b} for a, b in places])
+                    if last:
+                        w = Words(data[s:e], np.array([0, e - s]))
+                        points = np.append(0, np.cumsum((data[s:e] & 0xC0) != 0x80))
+                        spans.append([{"start": int(points[w.starts[a]]), "end": int(points[w.ends[b - 1]])} for a, b in places])
+                if last:
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, span)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], part["text"], pa.array(runs, span), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "text", "runs", "items"])
+
+    doc_id = T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    if last:
+        return docs.mapInArrow(run, T.StructType([doc_id, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", ITEMS), T.StructField("spans", RUNS)]))
+    return docs.mapInArrow(run, T.StructType([doc_id, T.StructField("text", T.StringType()), T.StructField("runs", RUNS), T.StructField("items", ITEMS)]))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, item_cols: tuple[str, ...] = ("text",), most_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids as strings, sorted), spans (start and end of each run of hit
+    words, in code points of the original text)."""
+    context = docs.sparkSession.sparkContext
+    text = F.concat_ws("\n", *[F.col(c).cast("string") for c in item_cols])
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), text.alias("text")).distinct()
+    total = items.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
+    passes = max(1, -(-int(total) // most_bytes))
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(None).cast(RUNS).alias("runs"), F.lit(None).cast(ITEMS).alias("items"))
+    for k in range(passes):
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else items
+        pack = context.broadcast(Pack([tuple(r) for r in own.collect()], window))  # some most_bytes of text
+        src = one_pass(src, pack, k == passes - 1)
+        src = src if k == passes - 1 else stored(src, "decontaminate")
+    return src
 
 
 CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
