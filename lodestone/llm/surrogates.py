@@ -60,12 +60,16 @@ def kind_of(value: Column) -> Column:
     return F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("secret"))
 
 
+SUBSCRIBER = 10  # digits of a phone number behind the country's
+WIDEN = 6  # draws of one length
+
+
 def canonical(kind: Column, value: Column) -> Column:
     """One spelling of a value."""
     digits = F.regexp_replace(value, r"\D", "")
     name = F.lower(F.regexp_replace(value, HONORIFIC, ""))
     core = F.regexp_replace(F.regexp_replace(value, r"""(?s)^.*?[=:]\s*["']?""", ""), SECRET_TAIL, "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(value)).when(kind.isin("man", "woman"), name).when(kind == "secret", core).otherwise(value)
+    return F.when(kind == "phone", F.right(digits, F.lit(SUBSCRIBER))).when(kind.isin("card", "ssn"), digits).when(kind == "email", F.lower(value)).when(kind.isin("man", "woman"), name).when(kind == "secret", core).otherwise(value)
 
 
 def _hex(key: str, kind: Column, value: Column, attempt: Column, n: int = 4) -> Column:
@@ -125,33 +129,44 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     mail = F.concat(F.lit("u"), F.substring(h, 1, 15), F.lit("@d"), F.substring(_hex(key, F.lit("domain"), domain, F.lit(0), 1), 1, 10), F.lit(".example"))
     ip = F.concat_ws(".", *[(_byte(h, i) % 223 + 1 if i == 0 else _byte(h, i)).cast("string") for i in range(4)])
     card = F.concat(F.substring(value, 1, 1), _digits(h, 14))
-    country = F.regexp_extract(value, r"^(.*)\d{10}$", 1)  # what stands before the ten digits of a subscriber
-    tail = F.substring(F.concat((_byte(h, 0) % 8 + 2).cast("string"), F.substring(_digits(h, 16), 2, 15)), F.lit(1), F.char_length(value) - F.char_length(country))
-    return (
+    phone = F.substring(F.concat((_byte(h, 0) % 8 + 2).cast("string"), F.substring(_digits(h, 16), 2, 15)), F.lit(1), F.char_length(value))
+    # where the values of a kind outgrow its surrogates, later draws are longer
+    longer = F.when(attempt >= WIDEN, F.concat(F.lit("-"), F.substring(h, F.lit(129), attempt - WIDEN + 4))).otherwise("")
+    drawn = (
         F.when(kind == "email", mail)
         .when(kind == "key_id", F.concat(F.substring(value, 1, 4), _same_shape(F.regexp_replace(F.substring(value, 5, 16), ".", "A"), h)))
         .when(kind == "card", F.concat(card, luhn_digit(card)))
         .when(kind == "ip", ip)
-        .when(kind == "phone", F.concat(country, tail))
+        .when(kind == "phone", phone)
         .when(kind == "ssn", F.concat(F.lit("9"), _digits(h, 8)))
         .when(kind.isin("man", "woman"), name)
         .otherwise(_same_shape(value, h))
     )
+    return F.concat(drawn, longer)
 
 
 def formatted(kind: Column, value: Column, new: Column) -> Column:
     """A surrogate in the punctuation, or behind the title or label, of the value that it replaces."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-    fill = F.aggregate(F.split(value, ""), start, lambda a, c: F.when(c.rlike(r"\d"), F.struct(F.concat(a["out"], new.substr(a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))))["out"]
+    # a country's digits before a subscriber's stay; what a longer surrogate has left follows
+    count = F.char_length(F.regexp_replace(value, r"\D", ""))
+    before = F.when(kind == "phone", F.greatest(count - SUBSCRIBER, F.lit(0))).otherwise(0)
+    start = F.struct(F.lit("").alias("out"), (1 - before).alias("at"))
+    put = lambda a, c: F.when(a["at"] < 1, c).otherwise(new.substr(a["at"], F.lit(1)))
+    step = lambda a, c: F.when(c.rlike(r"\d"), F.struct(F.concat(a["out"], put(a, c)).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at")))
+    fill = F.aggregate(F.split(value, ""), start, step, lambda a: F.concat(a["out"], F.substring(new, a["at"], F.char_length(new))))
     labelled = F.concat(F.regexp_extract(value, SECRET_HEAD, 1), new, F.regexp_extract(value, SECRET_TAIL, 1))
     return F.when(kind.isin("phone", "card", "ssn"), fill).when(kind.isin("man", "woman"), F.concat(F.regexp_extract(value, HONORIFIC, 0), new)).when(kind == "secret", labelled).otherwise(new)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon, new for distinct (kind, canon), without clashes; each round only draws again what clashed."""
+    """kind, canon, new for distinct (kind, canon), without clashes; each round only draws again what clashed.
+
+    From round WIDEN on surrogates get longer each time, so that the rounds end however many values a kind has.
+    """
     done, pending, attempt = [], entities, 0
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        drawn = stored(pending.select("kind", "canon", surrogate(key, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("new")), "pii-draw")
+        drawn = stored(pending.repartition(tasks, "kind", "canon").select("kind", "canon", surrogate(key, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("new")), "pii-draw")
         fresh = drawn.join(entities.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_anti")
         for other in done:
             fresh = fresh.join(other.select("kind", "new"), ["kind", "new"], "left_anti")

@@ -415,8 +415,8 @@ def test_surrogates(spark):
     assert all(by_id[d].text == t for d, t, *_ in rows if d not in (None, 10, 12))
     mails = re.findall(r"\S+@\S+", new)
     assert len(set(mails)) == 1
-    phone = re.search(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}), or", new)
-    assert phone
+    phone = re.search(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}), or (\d{3})-(\d{3})-(\d{4})\.", new)
+    assert phone and phone.groups()[:3] == phone.groups()[3:]  # one subscriber, with and without the country
     card = re.search(r"card (\d{16}) (\d{4}-\d{4}-\d{4}-\d{4})", new)
     assert card[1] == card[2].replace("-", "") and sum(int(x) if i % 2 else sum(map(int, str(2 * int(x)))) for i, x in enumerate(card[1])) % 10 == 0
     assert re.search(r"Г-н [А-яёЁ]+ [А-яёЁ]+ ", new)
@@ -453,6 +453,15 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert set(got) == {"ab", "ac", "b", "c1", "d"} and len(set(got.values())) == 5 and not set(got.values()) & set(got)
 
 
+def test_surrogates_never_run_out(spark):
+    """More four-digit values than there are surrogates: later draws are longer, and all stay distinct."""
+    entities = spark.createDataFrame([("phone", f"{i:02d}") for i in range(100)], "kind string, canon string")
+    got = {r.canon: r.new for r in surrogates.assign(entities, "key").collect()}
+    assert len(got) == 100 and len(set(got.values())) == 100 and not set(got.values()) & set(got)
+    shown = spark.createDataFrame([(f"{i:02d}", got[f"{i:02d}"]) for i in range(100)], "value string, new string").select(surrogates.formatted(F.lit("phone"), F.col("value"), F.col("new")).alias("x")).collect()
+    assert len({r.x for r in shown}) == 100
+
+
 def test_toxicity_stage_goes_by_threshold(spark, monkeypatch):
     from lodestone.llm import pipeline
 
