@@ -3,8 +3,9 @@
 All templates (notices of common licences, and the phrases that name one) go into one suffix automaton over
 words. A text is streamed through it: the state and the matching statistic at each word say how many of
 the last words stand together in some template, and where. Phrases are found where the statistic reaches
-their length; matches of `seed` words or more are chained along template and text into spans, and a template
-that enough of its words cover gives its label and the spans of the text.
+their length; matches of `seed` words or more, at every place that they have in a template, are chained along template
+and text into spans by dynamic programming, and a template that enough of its words cover gives its label and the spans
+of the text. Spans of one template do not overlap: the best chain goes first.
 
 Only words of the templates can move the automaton off its root, so numpy finds the places that matter by
 hash and the automaton walks over those alone. One narrow pass, no shuffle; the automaton's size is that of
@@ -16,6 +17,7 @@ not read unless named in `keep`.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 
 #: The wording of common notices, by label.
 TEMPLATES = {
-    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "mit-notice": "Released under the MIT License.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
@@ -40,11 +42,11 @@ TEMPLATES = {
     "lgpl-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
     "boost-1.0": "Distributed under the Boost Software License, Version 1.0.",
 }
 
@@ -53,22 +55,24 @@ class SuffixAutomaton:
     """All stretches of words of several templates.
 
     next: transitions; link: the state of the longest suffix elsewhere; length: of the state's longest stretch;
-    ends: for each template in which it occurs, the place of the last word of its first occurrence.
+    ends: for each template in which it occurs, the places of the last word of its occurrences, for states that stand for
+    `least` words or more.
     """
 
-    def __init__(self, templates: list[list[int]]):
+    def __init__(self, templates: list[list[int]], least: int = 1):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for t, words in enumerate(templates):
             last = 0
             for i, w in enumerate(words):
                 last = self._extend(last, w)
-                self.ends[last].setdefault(t, i)
+                self.ends[last].setdefault(t, []).append(i)
         for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            up = self.ends[self.link[s]]
-            for t, i in self.ends[s].items():
-                up[t] = min(i, up.get(t, i))
+            if self.length[self.link[s]] >= least:
+                up = self.ends[self.link[s]]
+                for t, places in self.ends[s].items():
+                    up[t] = sorted({*up.get(t, ()), *places})
 
     def _new(self, length: int, link: int, step: dict[int, int]) -> int:
         self.next.append(step)
@@ -130,7 +134,7 @@ class Scanner:
         self.vocabulary = sorted({x for t in self.spelled for x in t})
         number = {x: i for i, x in enumerate(self.vocabulary)}
         coded = [[number[x] for x in t] for t in self.spelled]
-        self.automaton = a = SuffixAutomaton(coded)
+        self.automaton = a = SuffixAutomaton(coded, seed)
         self.keys, at = np.unique(np.concatenate([w.hashes() for w in words]), return_index=True)
         self.number = np.array([i for t in coded for i in t], np.int64)[at]
         self.may = np.zeros(1 << 16, bool)  # by the top bits of a hash
@@ -177,9 +181,9 @@ class Scanner:
                     if n >= size and self.spells(words, a + j + 1 - size, self.spelled[p]):
                         out.setdefault(text, ([], {}))[0].append((at + j + 1 - size, p))
                 if n >= self.seed and (j + 1 == len(track) or track[j + 1][1] <= n):
-                    for t, end in self.automaton.ends[s].items():
+                    for t, ends in self.automaton.ends[s].items():
                         if t < self.n_templates:
-                            out.setdefault(text, ([], {}))[1].setdefault(t, []).append((at + j + 1 - n, end + 1 - n, n))
+                            out.setdefault(text, ([], {}))[1].setdefault(t, []).extend((at + j + 1 - n, end + 1 - n, n) for end in ends)
         return out
 
     @staticmethod
@@ -187,19 +191,44 @@ class Scanner:
         return all(bytes(words.data[words.starts[at + i] : words.ends[at + i]]) == w for i, w in enumerate(want))
 
     def chain(self, t: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
-        """Matches that follow each other in text and template, with up to `gap` words between: (first word, last word, share covered)."""
-        open_, out = [], []
-        for x, y, n in sorted(found):
-            for c in open_:
-                if 0 <= x - c[1] <= self.gap and 0 <= y - c[2] <= self.gap:
-                    c[1], c[2], c[3] = x + n, y + n, c[3] + n
-                    break
-            else:
-                open_.append([x, x + n, y + n, n])
-            closed = [c for c in open_ if x - c[1] > self.gap]
-            open_ = [c for c in open_ if x - c[1] <= self.gap]
-            out += closed
-        return [(c[0], c[1] - 1, min(1.0, c[3] / self.size[t])) for c in out + open_]
+        """Chains of matches (word, place in the template, words): (first word, last word, share of the template covered).
+
+        Of two matches that follow each other both ends of the later one lie further on, it adds the words that neither in
+        text nor template overlap the earlier one, and at most `gap` words lie between. The chain with most words goes
+        first; a later one ends where it would share text with one that is out.
+        """
+        found = sorted(found, key=lambda m: (m[0] + m[2], m[1] + m[2], m[2]))
+        ends, before = [x + n for x, _, n in found], [-1] * len(found)
+        words = [n for _, _, n in found]
+        for i, (x, y, n) in enumerate(found):
+            for j in range(bisect_left(ends, x - self.gap), bisect_left(ends, x + n)):
+                shared = max(0, ends[j] - x, found[j][1] + found[j][2] - y)
+                if shared < n and y + shared - found[j][1] - found[j][2] <= self.gap and x + shared - ends[j] <= self.gap and words[j] + n - shared > words[i]:
+                    words[i], before[i] = words[j] + n - shared, j
+        out: list[tuple[int, int, int]] = []  # first word, word behind the last, words covered
+        for i in sorted(range(len(found)), key=lambda i: (-words[i], ends[i], i)):
+            at = bisect_left(out, (ends[i],))
+            floor = out[at - 1][1] if at else 0  # where the text is free before this match
+            if found[i][0] < floor:
+                continue
+            first = i
+            while before[first] >= 0 and found[before[first]][0] >= floor:
+                first = before[first]
+            covered = words[i] - (words[before[first]] if before[first] >= 0 else 0)
+            out.insert(at, (found[first][0], ends[i], covered))
+        return [(a, b - 1, covered / self.size[t]) for a, b, covered in out]
+
+
+def load_templates(rows: DataFrame, most_bytes: int = 8 << 20) -> dict[str, str]:
+    """Templates from a table of label and text, at most `most_bytes` of them: ValueError beyond that, or where a label repeats.
+
+    Rows without label or words are left out; other columns are not read.
+    """
+    rows = rows.select(F.col("label").cast("string").alias("label"), F.col("text").cast("string").alias("text")).where("label IS NOT NULL AND text RLIKE '[A-Za-z0-9\\\\x{80}-\\\\x{10FFFF}]'")
+    size = rows.agg(F.count(F.lit(1)), F.count_distinct("label"), F.coalesce(F.sum(F.octet_length("text") + F.octet_length("label")), F.lit(0))).first()
+    if size[0] != size[1] or size[2] > most_bytes:
+        raise ValueError(f"{size[0]} templates with {size[1]} labels and {size[2]} bytes")
+    return {r.label: r.text for r in rows.orderBy("label").collect()}
 
 
 class Setup:

@@ -232,7 +232,59 @@ def test_suffix_automaton():
         if n:
             for t, x in enumerate(templates):
                 ends = [j - 1 for j in range(n, len(x) + 1) if x[j - n : j] == text[i + 1 - n : i + 1]]
-                assert (a.ends[s].get(t) == min(ends)) if ends else t not in a.ends[s]
+                assert a.ends[s].get(t, []) == ends
+
+
+def best_chains(matches, gap, size):
+    """All chains by trying every order of matches: the words of the best one, and its span."""
+    best = (0, 0, 0)
+
+    def go(last, first, words):
+        nonlocal best
+        best = max(best, (words, -last[0] - last[2], -first))
+        for x, y, n in matches:
+            dx, dy = last[0] + last[2], last[1] + last[2]
+            shared = max(0, dx - x, dy - y)
+            if x + n > dx and shared < n and x + shared - dx <= gap and y + shared - dy <= gap and x + gap >= dx - n:
+                go((x, y, n), first, words + n - shared)
+
+    for m in matches:
+        go(m, m[0], m[2])
+    return best
+
+
+def test_licence_chains():
+    """Matches are all maximal common stretches that the statistics see, and the first chain is the best there is."""
+    rng = random.Random(12)
+    for _ in range(60):
+        template = [rng.choice("abcde") for _ in range(14)]
+        s = licences.Scanner({"t": " ".join(template)}, {}, 3, 2, 0.5)
+        text = template[: rng.randint(4, 14)] + [rng.choice("abcdz") for _ in range(rng.randint(0, 4))] + template[rng.randint(0, 9) :]
+        data = np.frombuffer(" ".join(text).encode(), np.uint8)
+        got = s.scan(common.Words(data, np.array([0, len(data)])))
+        suffix = [max((k for k in range(1, i + 2) if any(template[p : p + k] == text[i + 1 - k : i + 1] for p in range(15 - k))), default=0) for i in range(len(text))]
+        want = {(i + 1 - n, p, n) for i, n in enumerate(suffix) if n >= 3 and (i + 1 == len(text) or suffix[i + 1] <= n) for p in range(15 - n) if template[p : p + n] == text[i + 1 - n : i + 1]}
+        matches = got[0][1].get(0, []) if 0 in got else []
+        assert set(matches) == want and len(matches) == len(want)
+        chains = s.chain(0, matches)
+        if want:
+            assert max(round(c[2] * 14) for c in chains) == best_chains(sorted(want), 2, 14)[0]
+        assert all(a[1] < b[0] for a, b in zip(chains, chains[1:]))
+
+
+def test_licence_repeated_wording(spark):
+    """A stretch that a template has twice chains at its second place; a clause that is left out costs its words alone."""
+    template = "one two three four five six alpha one two three four seven eight nine ten"
+    texts = ["alpha one two three four seven eight nine ten", template + " " + template, template.replace("six", "other")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in licences.scan(docs, {"t": template}, {}, 3, 6, 0.5).collect()}
+    assert [[(s.first_word, s.last_word, round(s.covered * 15)) for s in got[i]] for i in range(3)] == [[(0, 8, 9)], [(0, 14, 15), (15, 29, 15)], [(0, 14, 14)]]
+    table = spark.createDataFrame([("t", template, 1), ("none", "--", 2), (None, "x y", 3)], "label string, text string, extra int")
+    assert licences.load_templates(table) == {"t": template}
+    with pytest.raises(ValueError):
+        licences.load_templates(table.union(table))
+    with pytest.raises(ValueError):
+        licences.load_templates(table, 10)
 
 
 def test_range_coder(monkeypatch):
