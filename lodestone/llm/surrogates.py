@@ -3,15 +3,20 @@ r"""Surrogates for personal data, with Spark's own functions only.
 Entities are found by pattern and replaced by keyed surrogates: SHA-256 of a key, the entity's kind, its
 canonical form and an attempt number picks the digits, letters or names of something of the same kind
 and format. Spellings of one value (a phone number with other punctuation, an address in other case)
-share a canonical form and so a surrogate, everywhere in the corpus. Names keep their title, and with it
-gender, their number of words and their script (Latin or Cyrillic). A secret runs to its closing quote or, without
+share a canonical form and so a surrogate, everywhere in the corpus. Names and addresses are made of parts with
+surrogates of their own - a family name, given names by gender, a mailbox, a domain - so that `Mr. John Smith` and
+`Mr. Smith` keep one family name, and the mailboxes of one domain stay together. Names keep their title, their number of
+words and their script (Latin or Cyrillic); a mailbox keeps its punctuation, and from eight letters and digits on each of
+them its sort; domains keep their labels, below the reserved `.example`. A secret runs to its closing quote or, without
 quotes, to a blank, quote, bracket, comma or semicolon; a name takes all capitalised words and initials that follow. Distinct values stay distinct: surrogates
-that two values share, or that are some value of the corpus, are drawn again until none is left.
+that two values share, or that are some value of the corpus, are drawn again until none is left. That holds for each kind
+of part, and so for what is made of them.
 
 Only distinct entities, and the texts that have any, are shuffled.
 
 Defined results: a null text stays null and an empty one empty; texts without entities come out as they are; rows
-repeat as they come, and equal values get equal surrogates in all of them; extra columns pass through.
+repeat as they come, and equal values get equal surrogates in all of them; extra columns pass through, but for an input
+column `kinds` or `n_entities`, whose place the result takes.
 """
 
 from __future__ import annotations
@@ -60,6 +65,8 @@ def kind_of(value: Column) -> Column:
     return F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("secret"))
 
 
+MADE = ("man", "woman", "email")  # kinds whose values are made of parts
+GIVEN_KINDS = ("given man", "given woman")  # parts
 SUBSCRIBER = 10  # digits of a phone number behind the country's
 WIDEN = 6  # draws of one length
 
@@ -121,25 +128,24 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     name = F.lit(None).cast("string")
     for (k, s), given in GIVEN.items():
         syllable = F.array(*[F.lit(x) for x in SYLLABLES[s]])
-        family = lambda n: F.initcap(F.concat(*[F.element_at(syllable, _byte(h, (n * 6 + F.lit(i)) % 128) % 16 + 1) for i in range(1, 7)]))  # noqa: B023, E731
-        families = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.split(value, " ")) - 2, F.lit(0))), family), " ")
+        # a further syllable for each draw: names never run out
+        more = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(syllable, _byte(h, i % 128) % 16 + 1)), "")  # noqa: B023, E731
         first = F.element_at(F.array(*[F.lit(x) for x in given]), _byte(h, 0) % 16 + 1)
-        name = F.when((kind == k) & (script == s), F.when(value.contains(" "), F.concat(first, F.lit(" "), families)).otherwise(families)).otherwise(name)
-    user, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    mail = F.concat(F.lit("u"), F.substring(h, 1, 15), F.lit("@d"), F.substring(_hex(key, F.lit("domain"), domain, F.lit(0), 1), 1, 10), F.lit(".example"))
+        name = F.when((kind == f"given {k}") & (script == s), F.when(attempt > 0, F.concat(first, more(attempt + 1))).otherwise(first)).when((kind == "family") & (script == s), F.initcap(more(attempt + 4))).otherwise(name)
     ip = F.concat_ws(".", *[(_byte(h, i) % 223 + 1 if i == 0 else _byte(h, i)).cast("string") for i in range(4)])
     card = F.concat(F.substring(value, 1, 1), _digits(h, 14))
     phone = F.substring(F.concat((_byte(h, 0) % 8 + 2).cast("string"), F.substring(_digits(h, 16), 2, 15)), F.lit(1), F.char_length(value))
-    # where the values of a kind outgrow its surrogates, later draws are longer
-    longer = F.when(attempt >= WIDEN, F.concat(F.lit("-"), F.substring(h, F.lit(129), attempt - WIDEN + 4))).otherwise("")
+    # where the values of a kind outgrow its surrogates, later draws are longer; names grow by syllables instead
+    wide = F.when(kind.isin("mailbox", "domain"), attempt - 2).otherwise(attempt - WIDEN)
+    longer = F.when((wide >= 0) & ~kind.isin("family", *GIVEN_KINDS), F.concat(F.lit("-"), F.substring(h, F.lit(129), wide + 4))).otherwise("")
     drawn = (
-        F.when(kind == "email", mail)
+        F.when(kind.isin("mailbox", "domain"), _same_shape(value, h))
         .when(kind == "key_id", F.concat(F.substring(value, 1, 4), _same_shape(F.regexp_replace(F.substring(value, 5, 16), ".", "A"), h)))
         .when(kind == "card", F.concat(card, luhn_digit(card)))
         .when(kind == "ip", ip)
         .when(kind == "phone", phone)
         .when(kind == "ssn", F.concat(F.lit("9"), _digits(h, 8)))
-        .when(kind.isin("man", "woman"), name)
+        .when(kind.isin("family", *GIVEN_KINDS), name)
         .otherwise(_same_shape(value, h))
     )
     return F.concat(drawn, longer)
@@ -161,13 +167,14 @@ def formatted(kind: Column, value: Column, new: Column) -> Column:
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, new for distinct (kind, canon), without clashes; each round only draws again what clashed.
 
-    From round WIDEN on surrogates get longer each time, so that the rounds end however many values a kind has.
+    Kinds are those of parts. From round WIDEN on (mailboxes, domains and names: earlier) surrogates get longer each time, so that the rounds end however many values a kind has.
     """
     done, pending, attempt = [], entities, 0
     tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         drawn = stored(pending.repartition(tasks, "kind", "canon").select("kind", "canon", surrogate(key, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("new")), "pii-draw")
-        fresh = drawn.join(entities.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_anti")
+        real = entities.select(F.col("kind").alias("of"), F.lower("canon").alias("real"))  # in any case
+        fresh = drawn.join(real, (F.col("kind") == F.col("of")) & (F.lower("new") == F.col("real")), "left_anti")
         for other in done:
             fresh = fresh.join(other.select("kind", "new"), ["kind", "new"], "left_anti")
         good = stored(fresh.groupBy("kind", "new").agg(F.min("canon").alias("canon")), "pii-good")
@@ -178,6 +185,29 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
             return reduce(DataFrame.unionByName, done)
 
 
+def parts_of(kind: Column, canon: Column) -> Column:
+    """The parts that a value is made of, in order: (kind, canon). Most values are a part of their own kind."""
+    part = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
+    words = F.split(canon, " ")
+    role = lambda i: F.when(i == F.size(words) - 1, "family").otherwise(F.concat(F.lit("given "), kind))
+    name = F.transform(words, lambda w, i: part(role(i), w))
+    mail = F.array(part(F.lit("mailbox"), F.substring_index(canon, "@", 1)), part(F.lit("domain"), F.substring_index(canon, "@", -1)))
+    return F.when(kind.isin("man", "woman"), name).when(kind == "email", mail).otherwise(F.array(part(kind, canon)))
+
+
+def surrogates_of(entities: DataFrame, key: str) -> DataFrame:
+    """kind, canon, new for distinct (kind, canon): surrogates of their parts, put together."""
+    own = stored(entities.select("kind", "canon", F.posexplode(parts_of(F.col("kind"), F.col("canon"))).alias("at", "part")).select("kind", "canon", "at", F.col("part.kind").alias("part_kind"), F.col("part.canon").alias("part_canon")), "pii-parts")
+    distinct = stored(own.select(F.col("part_kind").alias("kind"), F.col("part_canon").alias("canon")).distinct(), "pii-distinct")
+    table = assign(distinct, key).select(F.col("kind").alias("part_kind"), F.col("canon").alias("part_canon"), F.col("new").alias("part"))
+    whole = own.join(table, ["part_kind", "part_canon"])  # a domain of very many mailboxes is split as a skewed join
+    single, several = whole.where(~F.col("kind").isin(*MADE)), whole.where(F.col("kind").isin(*MADE))
+    between = F.when(F.col("kind") == "email", "@").otherwise(" ")
+    put = several.groupBy("kind", "canon").agg(F.array_sort(F.collect_list(F.struct("at", "part")))["part"].alias("parts"))  # the words of one name
+    joined = F.concat(F.element_at("parts", 1), F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.lit(""), lambda a, p: F.concat(a, between, p)))
+    return single.select("kind", "canon", F.col("part").alias("new")).unionByName(put.select("kind", "canon", F.when(F.col("kind") == "email", F.concat(joined, F.lit(".example"))).otherwise(joined).alias("new")))
+
+
 def replace(docs: DataFrame, key: str = "lodestone") -> DataFrame:
     """The rows of docs with entities in `text` replaced; adds n_entities and kinds (distinct, sorted, comma-joined)."""
     cols = [c for c in docs.columns if c not in ("n_entities", "kinds")]
@@ -187,7 +217,7 @@ def replace(docs: DataFrame, key: str = "lodestone") -> DataFrame:
     flagged = rows.where(F.size("_values") > 0)
     found = stored(flagged.select("doc_id", F.explode(F.array_distinct("_values")).alias("value")).distinct().withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value"))), "pii-found")
     entities = stored(found.select("kind", "canon").distinct(), "pii-entities")
-    table = assign(entities, key)
+    table = surrogates_of(entities, key)
     new = found.join(table, ["kind", "canon"]).select("doc_id", "kind", F.struct("value", formatted(F.col("kind"), F.col("value"), F.col("new")).alias("new")).alias("pair"))
     by_doc = new.groupBy(F.col("doc_id").alias("_doc")).agg(F.map_from_entries(F.collect_set("pair")).alias("_map"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     pieces = F.split(text, ANY, -1)

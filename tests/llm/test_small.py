@@ -497,6 +497,29 @@ def test_surrogates_take_whole_entities(spark):
     assert re.fullmatch(r"Г-н \w+ \w+ \w+ тут", new[13]) and not re.search("Иван |Петрович|Сидоров", new[13])
 
 
+def test_surrogates_share_parts(spark):
+    """Family names, given names, mailboxes and domains keep one surrogate in all forms; what differs stays different."""
+    texts = ["Mr. John Smith met Mrs. Smith", "Mr. Smith and Mr. Bill Smith", "Mrs. John Miller", "Г-н Иван Сидоров", "Г-н Сидоров", "john.miller99@mail.example.org", "ann@mail.example.org", "john.miller99@x.net", "ann@x.net", "bob@x.net"]
+    new = [r.text for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    john, smith, other = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+)", new[0]).groups()
+    same, bill, again = re.fullmatch(r"Mr\. (\w+) and Mr\. (\w+) (\w+)", new[1]).groups()
+    assert smith == other == same == again and john != bill
+    woman, miller = re.fullmatch(r"Mrs\. (\w+) (\w+)", new[2]).groups()
+    assert miller != smith and woman != john and any(woman.startswith(x) for x in surrogates.GIVEN["woman", "latin"])
+    assert new[3].split()[2] == new[4].split()[1] and re.fullmatch("[А-я]+", new[4].split()[1])
+    box, domain = zip(*(x.split("@") for x in new[5:]))
+    assert box[0] == box[2] and box[1] == box[3] and len(set(box)) == 3 and domain[0] == domain[1] and domain[2] == domain[3] == domain[4] != domain[0]
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{6}\d\d", box[0]) and re.fullmatch(r"[a-z]{4}\.[a-z]{7}\.[a-z]{3}\.example", domain[0])
+
+
+def test_surrogates_of_many_names(spark):
+    """Real names that are surrogates too, and more of them than there are given names: all stay distinct."""
+    names = [*surrogates.GIVEN["man", "latin"], *(f"Name{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(5))]
+    docs = spark.createDataFrame([(i, f"Mr. {n} Smith") for i, n in enumerate(names)], "doc_id long, text string")
+    new = [r.text.split()[1] for r in surrogates.replace(docs).collect()]
+    assert len(set(new)) == len(names) and not {x.lower() for x in new} & {x.lower() for x in names}
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     first = lambda key, kind, value, attempt: F.when(attempt == 0, F.substring(value, 1, 1)).otherwise(F.concat(value, F.lit("!")))
     monkeypatch.setattr(surrogates, "surrogate", first)
