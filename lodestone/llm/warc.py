@@ -4,7 +4,8 @@ Headers (page, digest, length) are shuffled by payload digest without their payl
 of at least `least_bytes` the one with the smallest page_id stays a response and the others become revisit
 records that refer to it. Archives are written with fresh headers through Spark's own file writer, which
 only publishes the files of tasks that committed and works on any store, and are read back by their
-Content-Length.
+Content-Length. An archive is read as one row, so its payloads are bounded: FILES sets how many records of a size go into
+one file, and the largest have a file each.
 
 Payloads are equal if their SHA-256 and length are; the header shows SHA-1 in base32, as archives do.
 
@@ -30,6 +31,8 @@ END = "\r\n\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Records in a file by the bytes of their payloads: 256 MB at most, but for a single larger record.
+FILES = ((1 << 18, 1000), (1 << 24, 16), (1 << 31, 1))
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -49,19 +52,20 @@ def record_id(page: Column, sha: Column) -> Column:
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Of headers (page_id, url, sha, payload_bytes): sha, rows, and the page first, by digest of at least `least_bytes`.
+    """Of headers (page_id, url, sha, payload_bytes): sha, rows, payload_bytes, and the page first, by digest of at least `least_bytes`.
 
     The aggregate combines before the shuffle, so a digest of very many pages is no burden.
     """
     order = F.struct(F.col("page_id").isNull(), "page_id")
-    return headers.where(F.col("payload_bytes") >= least_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("page_id", "url"), order).alias("first"))
+    return headers.where(F.col("payload_bytes") >= least_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), F.max("payload_bytes").alias("payload_bytes"), F.min_by(F.struct("page_id", "url"), order).alias("first"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_a_file: int = 4000) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", files: tuple[tuple[int, int], ...] = FILES) -> None:
     """Write one record a row of page_id, url, html below `path`.
 
     Only headers are shuffled by digest. Payloads move where their digest may have several pages and they may be the
-    response, and then by digest and page.
+    response, and then by digest and page. Pages beyond the first size in `files` are written in a pass of their own, where
+    there are any: a folder for each size.
     """
     src = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     src = src.withColumns({"sha1": F.sha1("payload"), "sha": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
@@ -98,7 +102,15 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         line("Content-Length", F.octet_length("payload").cast("string")),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(head, F.col("payload")).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_a_file).text(path)
+    bound = firsts.agg(F.max("payload_bytes")).first()[0] or 0
+    written = F.octet_length("payload")
+    least = -1
+    for i, (most, count) in enumerate(files):
+        last = i + 1 == len(files)
+        if least < max(bound, least_bytes):
+            some = rows.where((written > least) if last else (written > least) & (written <= most))
+            some.select(F.concat(head, F.col("payload")).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", count).text(f"{path}/size-{i}")
+        least = most
     discard(firsts, bitmap.words)
 
 
@@ -146,7 +158,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield batch_of(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, FIELDS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, FIELDS)
 
 
 def followed(got: DataFrame) -> DataFrame:

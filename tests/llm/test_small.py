@@ -6,6 +6,7 @@ import os
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,12 @@ def test_warc(spark):
     path = common.scratch(spark, "warc-test")
     warc.write_archives(pages, path, least_bytes=2)
     assert {r.url for r in warc.read_archives(spark, path).where("record_type = 'revisit'").collect()} == {"http://h/4X: y"}
+    cut = common.scratch(spark, "warc-cut")
+    warc.write_archives(pages, cut, files=((4, 2), (1000, 1), (1 << 31, 1)))
+    got = {tuple(r) for r in warc.followed(warc.read_archives(spark, cut)).selectExpr("CAST(page_id AS LONG) AS page_id", "payload_bytes", "payload_digest", "record_type", "CAST(refers_to AS LONG)").collect()}
+    parts = {size: [[len(x) for _, x in warc.records(f.read_bytes())] for f in (Path(cut.removeprefix("file:")) / size).glob("part-*")] for size in ("size-0", "size-1", "size-2")}
+    assert got == want and max(map(len, parts["size-0"])) <= 2 and all(max(x) <= 4 for x in parts["size-0"] if x)
+    assert [x for x in parts["size-1"] if x] == [[17]] and [x for x in parts["size-2"] if x] == [[200_000]]
 
 
 def test_url_rules(spark):
