@@ -180,3 +180,15 @@ def occurrences(text: Column, term: Column | str) -> Column:
             return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
         return F.regexp_count(text, F.lit("(?=" + "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in term) + ")"))
     return F.regexp_count(text, F.concat(F.lit("(?=\\Q"), term, F.lit("\\E)")))
+
+
+def symbol_label(kind: Column, name: Column, line: Column, exported: Column) -> Column:
+    """Kind, name, line and whether it is exported, in one short text."""
+    at = F.coalesce(F.concat(F.lit(":"), line.cast("string")), F.lit(""))
+    mark = F.when(exported, " export").otherwise("")
+    return F.concat(F.coalesce(kind, F.lit("symbol")), F.lit(" "), F.coalesce(name, F.lit("unknown")), at, mark)
+
+
+def place_label(line: Column, *names: Column) -> Column:
+    """The first name that is not null, and its line."""
+    return F.concat(F.coalesce(*names, F.lit("unknown")), F.coalesce(F.concat(F.lit(":"), line.cast("string")), F.lit("")))

@@ -79,7 +79,17 @@ def rerank(spark, sf_dir):
     return got.orderBy(F.desc("rank_score"), "path").limit(200)
 
 
-QUERIES = {f.__name__: f for f in (classify_role, role_counts, extract_symbols, extract_dependencies, href_dependencies, resolve_dependencies, imported_by, graph_degree, related_files, related_graph_bfs, rerank)}
+def compact_labels(spark, sf_dir):
+    """Of each file with symbols, the labels of its first twelve and of its first twelve imports."""
+    files = _files(spark, sf_dir)
+    first = lambda label: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("line", label.alias("l")))), 1, 12), lambda x: x["l"]), "; ")
+    c = F.col
+    own = structure.symbols(files).groupBy("path").agg(first(T.symbol_label(c("kind"), c("name"), c("line"), c("exported"))).alias("symbols"))
+    imports = _resolved(spark, sf_dir).groupBy("path").agg(first(T.place_label(c("line"), c("resolved_path"), c("specifier"))).alias("imports"))
+    return own.join(imports, "path", "left")
+
+
+QUERIES = {f.__name__: f for f in (compact_labels, classify_role, role_counts, extract_symbols, extract_dependencies, href_dependencies, resolve_dependencies, imported_by, graph_degree, related_files, related_graph_bfs, rerank)}
 
 _ROLE = r"CASE WHEN regexp_matches(lower({p}), '(^|/)(test|tests|__tests__|spec|specs)(/|$)|\.(test|spec)\.[^.]+$') THEN 'test' WHEN regexp_matches(lower({p}), '(^|/)(__mocks__|mocks?)(/|$)|\bmock\b') THEN 'mock' WHEN regexp_matches(lower({p}), '(^|/)(fixtures?|samples?)(/|$)') THEN 'fixture' WHEN regexp_matches(lower({p}), '\.generated\.|\.gen\.|/generated/|/dist/|/build/') THEN 'generated' WHEN regexp_matches(lower({p}), '\.(md|mdx|rst|txt)$|(^|/)docs?/') THEN 'docs' ELSE 'source' END"
 _FILES = """WITH RECURSIVE f AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'src/f' || doc_id || '.ts' WHEN 1 THEN 'src/f' || doc_id || '.test.ts' WHEN 2 THEN 'docs/f' || doc_id || '.md' WHEN 3 THEN 'lib/generated/f' || doc_id || '.py' WHEN 4 THEN 'src/fixtures/f' || doc_id || '.ts' ELSE 'src/core/f' || doc_id || '.rs' END AS path,
@@ -132,6 +142,9 @@ SELECT path, round(base + least(2.5, {' + '.join(f"CASE WHEN contains(lower(path
 ORACLES = {
     "classify_role": f"{_FILES} SELECT doc_id, path, {_ROLE.format(p='path')} AS role, CAST({_PRIORITY('path')} AS BIGINT) AS priority FROM f",
     "role_counts": f"WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) || CASE page_id % 3 WHEN 0 THEN '/docs/a.md' WHEN 1 THEN '/src/b.test.ts' ELSE '' END AS path FROM pages) SELECT {_ROLE.format(p='path')} AS role, count(*) AS n FROM p GROUP BY 1",
+    "compact_labels": f"""{_ALL}, a AS (SELECT path, kind || ' ' || name || ':' || line || CASE WHEN exported THEN ' export' ELSE '' END AS label, line FROM s WHERE kind IS NOT NULL),
+i AS (SELECT path, coalesce(resolved_path, specifier) || ':' || line AS label, line FROM r WHERE specifier <> '')
+SELECT path, symbols, imports FROM (SELECT path, array_to_string(list_slice(list(label ORDER BY line, label), 1, 12), '; ') AS symbols FROM a GROUP BY path) LEFT JOIN (SELECT path, array_to_string(list_slice(list(label ORDER BY line, label), 1, 12), '; ') AS imports FROM i GROUP BY path) USING (path)""",
     "extract_symbols": f"{_FILES}, {_symbol_sql()} SELECT * FROM s WHERE kind IS NOT NULL",
     "extract_dependencies": f"{_FILES}, {_dependency_sql()} SELECT * FROM d WHERE specifier <> ''",
     "href_dependencies": "WITH h AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS target FROM pages) SELECT target, count(*) AS pages, min(page_id) AS first_page FROM h GROUP BY target",

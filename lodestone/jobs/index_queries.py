@@ -106,7 +106,27 @@ def repair_lines(spark, sf_dir):
     return index.repaired(_words(old), old, new, _words).groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.max("line").alias("last_line"), F.min("name").alias("first_name"))
 
 
-QUERIES = {f.__name__: f for f in (freshness_diff, freshness_summary, stale_delete, reindex_merge, index_status, embedding_coverage, pending_embeddings, embed_missing, latest_order, upsert_files, repair_postings, repair_lines)}
+def recommended_actions(spark, sf_dir):
+    """What the index of the first state needs: its chunks, of which only those of three letters or more have postings, the
+    vectors there are, and the second state's files."""
+    old, new = _snapshots(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").agg(F.count_if(F.size("embedding") == 64).alias("embeddings"))
+    chunks = _cut(old).agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.length("text") >= 3).alias("posting_chunks"))
+    files = old.agg(F.count(F.lit(1)).alias("files"))
+    rows = _words(old).agg(F.count(F.lit(1)).alias("symbols"), F.lit(0).cast("long").alias("dependencies"))
+    state = index.freshness_counts(index.freshness(old, new)).select("status")
+    whole = files.crossJoin(F.broadcast(chunks)).crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(e)).crossJoin(F.broadcast(state))
+    return index.next_actions(whole)
+
+
+def capability_records(spark, sf_dir):
+    """The last event of each user and type, on top of those of every second user, as records by key."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("kind"), F.col("event_id").alias("at"), F.round("value", 6).alias("value"))
+    held = index.first_of_key(events.where("user_id % 2 = 0"), ["user_id", "kind"], ["at"])
+    return index.latest_records(held, events.where("user_id % 3 <> 0"), ["user_id", "kind"]).select("user_id", "kind", "at", "value")
+
+
+QUERIES = {f.__name__: f for f in (recommended_actions, capability_records, freshness_diff, freshness_summary, stale_delete, reindex_merge, index_status, embedding_coverage, pending_embeddings, embed_missing, latest_order, upsert_files, repair_postings, repair_lines)}
 
 _SNAP = """WITH RECURSIVE b AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS t FROM documents),
 o AS (SELECT path, t, strlen(t) AS size, CAST(doc_id AS DOUBLE) AS mtime, sha256(t) AS hash FROM b WHERE doc_id % 11 <> 0),
@@ -120,6 +140,10 @@ _END = "CASE WHEN length(t) <= 2000 THEN length(t) WHEN strpos(substr(t, 2001, 2
 ORACLES = {
     "freshness_diff": _SNAP + " SELECT * FROM s",
     "freshness_summary": _SNAP + " SELECT " + ", ".join(f"count(*) FILTER (WHERE state = '{x}') AS {x}" for x in ("new", "missing", "modified", "metadata_changed", "fresh")) + ", CASE WHEN count(*) FILTER (WHERE state IN ('new', 'missing', 'modified')) > 0 THEN 'stale' ELSE 'fresh' END AS status FROM s",
+    "recommended_actions": _SNAP + ", " + _CUT.format(src="o", end0=_END) + """, m AS (SELECT (SELECT count(*) FROM o) AS files, (SELECT count(*) FROM k) AS chunks, (SELECT count(*) FROM k WHERE length(part) >= 3) AS posted, (SELECT count(*) FROM o WHERE regexp_matches(t, '[A-Za-z]')) AS symbols, (SELECT count(*) FROM embeddings WHERE len(embedding) = 64) AS vectors, (SELECT count(*) FROM s WHERE state IN ('new', 'missing', 'modified')) AS stale),
+a AS (SELECT 1 AS i, 'refresh changed files' AS action FROM m WHERE stale > 0 UNION ALL SELECT 2, 'index files and chunks' FROM m WHERE files = 0 OR chunks = 0 UNION ALL SELECT 3, 'repair missing postings' FROM m WHERE posted < chunks UNION ALL SELECT 4, 'extract symbols' FROM m WHERE symbols = 0 AND files > 0 UNION ALL SELECT 5, 'extract dependencies' FROM m WHERE files > 1 UNION ALL SELECT 6, 'embed chunks' FROM m WHERE vectors = 0 UNION ALL SELECT 7, 'embed missing chunks' FROM m WHERE vectors > 0 AND vectors < chunks)
+SELECT row_number() OVER (ORDER BY i) AS position, action FROM (SELECT * FROM a UNION ALL SELECT 8, 'ready' WHERE NOT EXISTS (SELECT 1 FROM a))""",
+    "capability_records": "WITH h AS (SELECT user_id, event_type AS kind, min(event_id) AS at_ FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT user_id, event_type AS kind, max(event_id) AS at_ FROM events WHERE user_id % 3 <> 0 GROUP BY 1, 2), u AS (SELECT * FROM n UNION ALL SELECT h.* FROM h ANTI JOIN n USING (user_id, kind)) SELECT u.user_id, kind, at_ AS \"at\", round(value, 6) AS value FROM u JOIN events e ON e.event_id = at_ AND e.user_id = u.user_id",
     "stale_delete": _SNAP + " SELECT o.path, o.hash FROM o WHERE path IN (SELECT path FROM n)",
     "reindex_merge": _SNAP + ", " + _CUT.format(src="n", end0=_END) + " SELECT path, count(*) AS chunks, CAST(sum(length(part)) AS BIGINT) AS chars, CAST(max(line + greatest(1, length(part) - length(replace(part, chr(10), '')) + CASE WHEN part LIKE '%' || chr(10) THEN 0 ELSE 1 END) - 1) AS BIGINT) AS lines FROM k GROUP BY path",
     "index_status": _SNAP + ", " + _CUT.format(src="b", end0=_END) + " SELECT 'files' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'chunks', count(*) FROM k UNION ALL SELECT 'embeddings', count(*) FROM embeddings",

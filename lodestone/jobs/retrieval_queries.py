@@ -126,7 +126,52 @@ def retrieval_metrics(spark, sf_dir):
     return got.select("cases", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "hit5", "mrr")], F.col("p95_rank").cast("long").alias("p95_rank"), "passed")
 
 
-QUERIES = {f.__name__: f for f in (keyword_chunks, semantic_chunks, hybrid_chunks, rerank_chunks, related_snippets, context_pack, retrieval_ranks, retrieval_metrics)}
+def _ranked_cases(found, expected):
+    """case_id, rank, tokens of the expected cases; tokens are those of all snippets that a case's results show."""
+    rows = found.select(F.col("query_id").alias("case_id"), "path", "position", "snippet")
+    tokens = rows.groupBy("case_id").agg(T.estimate_tokens(F.sum(F.length("snippet"))).alias("tokens"))
+    return evaluate.ranks(rows, expected).join(tokens, "case_id", "left")
+
+
+def rerank_comparison(spark, sf_dir):
+    """Measures of the hybrid search with ranking and without, and what ranking adds."""
+    chunks, (files, resolved), expected = _chunks(spark, sf_dir), _graph(spark, sf_dir), stored(_expected(spark, sf_dir), "expected")
+    fused = stored(_hybrid(spark, sf_dir, chunks), "fused")
+    symbols = structure.symbols(files).select("path", "name", "line")
+    auto = retrieval.rerank(fused, _queries(spark, sf_dir), chunks, symbols, graph.degrees(files, resolved), K)
+    runs = _ranked_cases(auto, expected).withColumn("mode", F.lit("auto")).unionByName(_ranked_cases(fused.where(F.col("position") <= K), expected).withColumn("mode", F.lit("off")))
+    measured = stored(evaluate.measures_by(runs, "mode"), "measured")
+    names = ["hit1", "hit3", "hit5", "mrr", "tokens", "hit5_per_1k"]
+    both = measured.select("mode", *names).unionByName(evaluate.delta(measured, "mode", "auto", "off", names).withColumn("mode", F.lit("delta")))
+    return both.select("mode", *[F.round(n, 6).alias(n) for n in names])
+
+
+def suite_metrics(spark, sf_dir):
+    """Measures of the keyword search by suite: a case is in those of the languages of its expected files, and in "full".
+
+    Pages about a source are no results and no expected files.
+    """
+    expected = stored(_expected(spark, sf_dir).where("path NOT LIKE 'docs/%'"), "expected")
+    found = _keyword(spark, sf_dir, _chunks(spark, sf_dir), 20).select(F.col("query_id").alias("case_id"), "path", "position", "snippet")
+    pages = _files(spark, sf_dir).where("path LIKE 'docs/%'").select("path")
+    langs = _files(spark, sf_dir).select("doc_id", "path").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    own = expected.join(langs, "path").where("lang IS NOT NULL").select("case_id", F.col("lang").alias("suite")).distinct()
+    suites = own.unionByName(expected.select("case_id").distinct().withColumn("suite", F.lit("full")))
+    tokens = found.groupBy("case_id").agg(T.estimate_tokens(F.sum(F.length("snippet"))).alias("tokens"))
+    ranked = evaluate.ranks(found, expected, pages).join(tokens, "case_id", "left")
+    got = evaluate.measures_by(suites.join(ranked, "case_id"), "suite")
+    return got.select("suite", "cases", *[F.round(n, 6).alias(n) for n in ("hit1", "hit3", "hit5", "mrr", "tokens", "hit5_per_1k")])
+
+
+def token_sections(spark, sf_dir):
+    """Mean estimated tokens of each section of a context pack, over all queries with results."""
+    packs = context_pack(spark, sf_dir)
+    four = {"primary": T.estimate_tokens(F.col("primary_chars")), "related_snippets": F.col("related_tokens"), "suggested_paths": T.estimate_tokens(F.length("paths")), "snippets": F.col("tokens")}
+    rows = packs.select(F.explode(F.create_map(*[x for n, c in four.items() for x in (F.lit(n), c.cast("double"))])).alias("section", "n"))
+    return rows.groupBy("section").agg(F.round(F.avg("n"), 6).alias("mean_tokens"), F.max("n").cast("long").alias("most_tokens"))
+
+
+QUERIES = {f.__name__: f for f in (keyword_chunks, semantic_chunks, hybrid_chunks, rerank_chunks, related_snippets, context_pack, retrieval_ranks, retrieval_metrics, rerank_comparison, suite_metrics, token_sections)}
 
 _BASE = r"""WITH RECURSIVE f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'src/p' || (doc_id // 3) || '.ts' WHEN 1 THEN 'src/p' || (doc_id // 3) || '.test.ts' ELSE 'docs/p' || (doc_id // 3) || '.md' END AS path,
   'import { x } from ''' || CASE doc_id % 3 WHEN 2 THEN '../src/p' ELSE './p' END || (doc_id // 3 + 1) || '.js'';' || chr(10) || 'export function searchIndex' || (doc_id // 3) || '() {}' || chr(10) || coalesce(text, '') AS t FROM documents),
@@ -202,9 +247,22 @@ rn AS (SELECT query_id, count(*) AS related_count FROM rl GROUP BY query_id), cn
 im AS (SELECT resolved_path AS path, path AS to_, row_number() OVER (PARTITION BY resolved_path ORDER BY path) AS n FROM r),
 pl AS (SELECT query_id, path AS to_, position AS a, 0 AS b, 0 AS n FROM kw UNION ALL SELECT query_id, r.resolved_path, 1000 + "at", 1, 1 FROM rl JOIN r ON r.path = rl.path UNION ALL SELECT query_id, to_, 1000 + "at", 2, n FROM rl JOIN im ON im.path = rl.path WHERE n <= 3),
 ps AS (SELECT query_id, string_agg(to_, ',' ORDER BY a, b, n) AS paths FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, to_ ORDER BY a, b, n) AS k FROM pl) WHERE k = 1) GROUP BY query_id)"""
-_EXPECTED = f"""{_words(20)}, fw AS (SELECT path, string_split_regex(t, '[ \\n]') AS w FROM f), g6 AS (SELECT DISTINCT path, array_to_string(w[i : i + 5], ' ') AS words FROM (SELECT path, w, unnest(range(1, len(w) - 4)) AS i FROM fw WHERE len(w) >= 6)),
-e AS (SELECT DISTINCT 'b' || item_id AS case_id, path FROM benchmark JOIN g6 ON words = array_to_string(string_split(text, ' ')[1 : 6], ' ')),
-hr AS (SELECT e.case_id, min(position) AS rank FROM e LEFT JOIN kw ON kw.query_id = e.case_id AND kw.path = e.path GROUP BY e.case_id)"""
+_HOLDING = """fw AS (SELECT path, string_split_regex(t, '[ \\n]') AS w FROM f), g6 AS (SELECT DISTINCT path, array_to_string(w[i : i + 5], ' ') AS words FROM (SELECT path, w, unnest(range(1, len(w) - 4)) AS i FROM fw WHERE len(w) >= 6)),
+e AS (SELECT DISTINCT 'b' || item_id AS case_id, path FROM benchmark JOIN g6 ON words = array_to_string(string_split(text, ' ')[1 : 6], ' '))"""
+_PLACES = lambda src, where="true": f"(SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY least_, path) AS place FROM (SELECT query_id, path, min(position) AS least_ FROM {src} WHERE {where} GROUP BY 1, 2))"
+_EXPECTED = f"{_words(20)}, {_HOLDING}, hr AS (SELECT e.case_id, min(place) AS rank FROM e LEFT JOIN {_PLACES('kw')} p ON p.query_id = e.case_id AND p.path = e.path GROUP BY e.case_id)"
+_HIT = lambda k: f"avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END)"
+_TOKENS = "CAST(ceil(sum(length(snippet)) / 4) AS BIGINT)"
+_SIX = {"hit1": _HIT(1), "hit3": _HIT(3), "hit5": _HIT(5), "mrr": "avg(coalesce(1.0 / rank, 0.0))", "tokens": "avg(coalesce(tokens, 0))", "hit5_per_1k": f"{_HIT(5)} / greatest(0.001, avg(coalesce(tokens, 0)) / 1000)"}
+_RUN = lambda mode, src: f"SELECT '{mode}' AS mode, case_id, rank, tokens FROM (SELECT e.case_id, min(place) AS rank FROM e LEFT JOIN {_PLACES(src)} p ON p.query_id = e.case_id AND p.path = e.path GROUP BY e.case_id) LEFT JOIN (SELECT query_id AS case_id, {_TOKENS} AS tokens FROM {src} GROUP BY 1) USING (case_id)"
+_COMPARED = f"""{_RANKED}, {_HOLDING}, f5 AS (SELECT * FROM fu WHERE position <= {K}), ru AS ({_RUN('auto', 'rr')} UNION ALL {_RUN('off', 'f5')}),
+me AS (SELECT mode, {', '.join(f'{x} AS {n}' for n, x in _SIX.items())} FROM ru GROUP BY mode)
+SELECT mode, {', '.join(f'round({n}, 6) AS {n}' for n in _SIX)} FROM me UNION ALL SELECT 'delta', {', '.join(f'round(a.{n} - o.{n}, 6)' for n in _SIX)} FROM me a, me o WHERE a.mode = 'auto' AND o.mode = 'off'"""
+_SUITES = f"""{_words(20)}, {_HOLDING}, ee AS (SELECT * FROM e WHERE path NOT LIKE 'docs/%'),
+rk AS (SELECT ee.case_id, min(place) AS rank FROM ee LEFT JOIN {_PLACES('kw', "path NOT LIKE 'docs/%'")} p ON p.query_id = ee.case_id AND p.path = ee.path GROUP BY ee.case_id),
+su AS (SELECT DISTINCT case_id, lang AS suite FROM ee JOIN f USING (path) JOIN documents USING (doc_id) WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT case_id, 'full' FROM ee)
+SELECT suite, count(*) AS cases, {', '.join(f'round({x}, 6) AS {n}' for n, x in _SIX.items())} FROM su JOIN rk USING (case_id) LEFT JOIN (SELECT query_id AS case_id, {_TOKENS} AS tokens FROM kw GROUP BY 1) USING (case_id) GROUP BY suite"""
+_PACK = f"{_PACKED} SELECT query_id, primary_count, coalesce(related_count, 0) AS related_count, coalesce(snippet_count, 0) AS snippet_count, primary_chars, coalesce(related_chars, 0) AS related_chars, CAST(ceil((primary_chars + coalesce(related_chars, 0)) / 4) AS BIGINT) AS tokens, CAST(ceil(coalesce(related_chars, 0) / 4) AS BIGINT) AS related_tokens, paths FROM pn LEFT JOIN rn USING (query_id) LEFT JOIN cn USING (query_id) JOIN ps USING (query_id)"
 _TAIL = "path, ordinal, start_line, end_line"
 ORACLES = {
     "keyword_chunks": f"{_words(K)} SELECT query_id, position, {_TAIL}, score, sha256(snippet) AS snippet_hash FROM kw",
@@ -212,7 +270,10 @@ ORACLES = {
     "hybrid_chunks": f"{_FUSED} SELECT query_id, position, {_TAIL}, score, kinds, sha256(snippet) AS snippet_hash FROM fu",
     "rerank_chunks": f"{_RANKED} SELECT query_id, position, {_TAIL}, rank_score, kinds, sha256(snippet) AS snippet_hash FROM rr",
     "related_snippets": f"{_RELATED} SELECT query_id, \"at\", path, start_line, end_line, sha256(snippet) AS snippet_hash, truncated FROM rs",
-    "context_pack": f"{_PACKED} SELECT query_id, primary_count, coalesce(related_count, 0) AS related_count, coalesce(snippet_count, 0) AS snippet_count, primary_chars, coalesce(related_chars, 0) AS related_chars, CAST(ceil((primary_chars + coalesce(related_chars, 0)) / 4) AS BIGINT) AS tokens, CAST(ceil(coalesce(related_chars, 0) / 4) AS BIGINT) AS related_tokens, paths FROM pn LEFT JOIN rn USING (query_id) LEFT JOIN cn USING (query_id) JOIN ps USING (query_id)",
+    "context_pack": _PACK,
+    "token_sections": f"WITH pk AS ({_PACK}), z AS (SELECT 'primary' AS section, ceil(primary_chars / 4) AS n FROM pk UNION ALL SELECT 'related_snippets', related_tokens FROM pk UNION ALL SELECT 'suggested_paths', ceil(length(paths) / 4) FROM pk UNION ALL SELECT 'snippets', tokens FROM pk) SELECT section, round(avg(n), 6) AS mean_tokens, CAST(max(n) AS BIGINT) AS most_tokens FROM z GROUP BY section",
+    "rerank_comparison": _COMPARED,
+    "suite_metrics": _SUITES,
     "retrieval_ranks": f"{_EXPECTED} SELECT case_id, coalesce(rank, 0) AS rank FROM hr",
     "retrieval_metrics": f"{_EXPECTED} SELECT count(*) AS cases, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, quantile_disc(rank, 0.95) AS p95_rank, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) >= 1 AND avg(coalesce(1.0 / rank, 0.0)) >= 0.85 AS passed FROM hr",
 }

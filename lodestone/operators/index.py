@@ -67,6 +67,36 @@ def repaired(rows: DataFrame, indexed: DataFrame, scanned: DataFrame, make: Call
     return rows.join(good, "path", "left_semi").unionByName(make(scanned.join(good, "path", "left_anti")))
 
 
+def next_actions(status: DataFrame) -> DataFrame:
+    """position, action: what an index needs next, of one row of counts.
+
+    The row has files, chunks, posting_chunks (chunks with postings), symbols, dependencies, embeddings (of the wanted
+    size) and status (fresh or stale). Without a row there is no index. An index that needs nothing is ready.
+    """
+    few = F.col("embeddings") < F.col("chunks")
+    none = F.col("embeddings") == 0
+    rules = [
+        (F.col("status") == "stale", "refresh changed files"),
+        ((F.col("files") == 0) | (F.col("chunks") == 0), "index files and chunks"),
+        (F.col("posting_chunks") < F.col("chunks"), "repair missing postings"),
+        ((F.col("symbols") == 0) & (F.col("files") > 0), "extract symbols"),
+        ((F.col("dependencies") == 0) & (F.col("files") > 1), "extract dependencies"),
+        (none, "embed chunks"),
+        (few & ~none, "embed missing chunks"),
+    ]
+    found = F.filter(F.array(*[F.when(when, what) for when, what in rules]), lambda a: a.isNotNull())
+    listed = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("ready")))
+    all_ = F.max(listed)  # no group: a row even where there is no index
+    actions = status.agg(all_.alias("a")).select(F.coalesce("a", F.array(F.lit("create the index"), F.lit("embed chunks"))).alias("a"))
+    return actions.select(F.posexplode("a").alias("at", "action")).select((F.col("at") + 1).cast("long").alias("position"), "action")
+
+
+def latest_records(held: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """A table of records after others came in: those of the same key replace what was held, the last of them by `at`."""
+    new = first_of_key(incoming.withColumn("_back", -F.col("at")), key, ["_back"]).drop("_back")
+    return held.join(new.select(*key), key, "left_anti").unionByName(new.select(*held.columns))
+
+
 def first_of_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key: a partial aggregate before the shuffle, no window."""
     rest = [c for c in rows.columns if c not in key]

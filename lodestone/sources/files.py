@@ -5,15 +5,16 @@ from __future__ import annotations
 import codecs
 import fnmatch
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: What is never indexed. Names of folders bind at the root, other patterns to any file name.
-IGNORED_FOLDERS = [".git", ".hg", ".svn", "node_modules", "dist", "build", ".next", ".turbo", "coverage"]
-IGNORED_FILES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.webp", "*.ico", "*.pdf", "*.zip", "*.gz", "*.tar", "*.woff", "*.woff2", "*.ttf"]
+#: What is never indexed. All of them bind at the root of the project.
+IGNORED_FOLDERS = [".git", "node_modules", "dist", "build", ".next", ".turbo", "coverage"]
+IGNORED_FILES = ["package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.webp", "*.ico", "*.pdf", "*.zip", "*.gz", "*.tar", "*.7z", "*.woff", "*.woff2", "*.ttf"]
 HEAD = 8192
 
 
@@ -28,25 +29,63 @@ def is_binary(head: bytes) -> bool:
     return False
 
 
-def ignore_rules(root: str) -> list[tuple[bool, str, bool]]:
-    """(keeps, pattern, bound to the root) of the root's .gitignore; none if there is no such file."""
+#: Parts of an ignore pattern: folders of any depth, an escaped sign, wildcards, a class of signs, and any other sign.
+GLOB = re.compile(r"(?P<deep>(?:^|(?<=/))\*\*/)|(?P<rest>(?<=/)\*\*$)|\\(?P<sign>.)|(?P<any>\*+)|(?P<one>\?)|\[(?P<not>[!^]?)(?P<set>\]?[^\]]*)\]|(?P<own>.)", re.S)
+
+
+def glob_regex(pattern: str) -> str:
+    """A pattern as a regular expression of a path: "*" and "?" stay within a folder, "**" does not."""
+
+    def part(m: re.Match) -> str:
+        if m["deep"]:
+            return "(?:.*/)?"
+        if m["rest"]:
+            return ".+"
+        if m["any"]:
+            return "[^/]*"
+        if m["one"]:
+            return "[^/]"
+        if m["set"]:
+            return "(?!/)[" + ("^" if m["not"] else "") + re.sub(r"([\[\]&~|^])", r"\\\1", m["set"]) + "]"
+        return re.escape(m["sign"] or m["own"] or m[0])
+
+    return GLOB.sub(part, pattern)
+
+
+def ignore_rules(root: str) -> list[tuple[bool, bool, str]]:
+    """(keeps, folders only, regular expression) of each rule in the root's .gitignore; none if there is no such file.
+
+    "#" starts a comment, "!" a rule that keeps, unless a backslash stands before; blanks at the end go unless escaped. A
+    pattern with a slash before its end binds at the root, any other fits at every depth. Case does not matter.
+    """
     try:
         with open(os.path.join(root, ".gitignore"), encoding="utf-8") as f:
-            rows = [x.strip() for x in f]
+            rows = f.read().splitlines()
     except FileNotFoundError:
         return []
-    rows = [r for r in rows if r and not r.startswith("#")]
-    return [(r.startswith("!"), r.lstrip("!").strip("/"), "/" in r.lstrip("!").rstrip("/")) for r in rows]
+    out = []
+    for row in rows:
+        row = re.sub(r"(?<!\\)\s+$", "", row)
+        keeps = row.startswith("!")
+        pattern = row[1:] if keeps else row
+        if not pattern.strip("/") or row.startswith("#"):
+            continue
+        bound = "/" in pattern[:-1]
+        out.append((keeps, pattern.endswith("/"), ("" if bound else "(?:.*/)?") + glob_regex(pattern.strip("/"))))
+    return out
 
 
-def ignored(path: str, rules: list[tuple[bool, str, bool]]) -> bool:
-    out = False
+def ignored(path: str, rules: list[tuple[bool, bool, str]]) -> bool:
+    """Whether the last rule that fits a file ignores it, or one of its folders, below which nothing is kept again."""
     parts = path.split("/")
-    for keeps, pattern, bound in rules:
-        whole = ["/".join(parts[: i + 1]) for i in range(len(parts))]
-        if any(fnmatch.fnmatchcase(x, pattern) for x in (whole if bound else parts)):
-            out = not keeps
-    return out
+    for i in range(1, len(parts) + 1):
+        at, folder, out = "/".join(parts[:i]), i < len(parts), False
+        for keeps, folders, pattern in rules:
+            if (folder or not folders) and re.fullmatch(pattern, at, re.I | re.S):
+                out = not keeps
+        if out:
+            return True
+    return False
 
 
 class ProjectFiles(DataSource):
@@ -84,7 +123,7 @@ class ProjectReader(DataSourceReader):
         for folder, folders, names in os.walk(self.root):
             at = os.path.relpath(folder, self.root)
             folders[:] = [f for f in folders if not (at == "." and f in IGNORED_FOLDERS)]
-            found += [os.path.normpath(os.path.join(at, n)).replace(os.sep, "/") for n in names if not any(fnmatch.fnmatchcase(n, p) for p in IGNORED_FILES)]
+            found += [os.path.normpath(os.path.join(at, n)).replace(os.sep, "/") for n in names if not (at == "." and any(fnmatch.fnmatchcase(n, p) for p in IGNORED_FILES))]
         found.sort()
         return [Part(found[i : i + self.each]) for i in range(0, len(found), self.each)]
 

@@ -19,9 +19,11 @@ def test_chunks_cover_and_overlap():
     for _ in range(200):
         text = "".join(rng.choice("ab\n") for _ in range(rng.randint(0, 300)))
         parts = list(chunking.chunks(text, chunking.Limits(target=rng.randint(1, 40), overlap=rng.randint(0, 30), most=10_000, reach=5)))
-        at = 0
-        for a, _, t in parts:  # every chunk begins at or before the end of the one before it
-            at = text.index(t, 0) if not t else at
+        reach = 0  # every chunk is of the text, goes on from what the ones before it cover, or overlaps it, and none is left out
+        for _, _, t in parts:
+            at = max(i for i in range(reach + 1) if text.startswith(t, i))
+            reach = max(reach, at + len(t))
+        assert reach == len(text)
         assert text == "" or parts[-1][2] == text[len(text) - len(parts[-1][2]) :]
     with pytest.raises(ValueError):
         chunking.Limits(target=0)
@@ -170,3 +172,67 @@ def test_related_snippets_keep_their_budget(spark):
     paths = spark.createDataFrame([("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c")], "query_id string, at int, path string")
     got = [(r.path, r.start_line, r.snippet, r.truncated) for r in pack.related_snippets(paths, chunks, 2, 40, 70).collect()]
     assert got == [("a", 1, "x" * 24 + "\n... [truncated]", True), ("a", 2, "y" * 10, False), ("c", 1, "w" * 4 + "\n... [truncated]", True)]
+
+
+@pytest.mark.parametrize(
+    "rules, path, out",
+    [("a/*.ts", "a/b/c.ts", False), ("a/*.ts", "a/c.ts", True), ("**/x", "x", True), ("**/x", "q/r/x", True), ("\\#a", "#a", True), ("\\!a", "!a", True), ("#a", "#a", False), ("*.log\n!keep.log", "d/keep.log", False), ("*.log\n!keep.log", "d/z.log", True), ("build/", "a/build/x", True), ("build/", "build", False), ("/build", "a/build/x", False), ("dir\n!dir/a", "dir/a", True), ("a/**", "a/b/c", True), ("a/**", "a", False), ("a/**/b", "a/b", True), ("a/**/b", "a/x/y/b", True), ("a?c", "a/c", False), ("[!a]x", "bx", True), ("[!a]x", "ax", False), ("FOO", "foo", True), ("foo  ", "foo", True), ("foo\\ ", "foo ", True)],
+)
+def test_ignore_rules(tmp_path, rules, path, out):
+    (tmp_path / ".gitignore").write_text(rules)
+    assert sources.ignored(path, sources.ignore_rules(str(tmp_path))) is out
+
+
+def test_built_in_rules_bind_at_the_root(spark, tmp_path):
+    os.mkdir(tmp_path / "sub")
+    for name in ("bun.lock", "a.7z", "sub/bun.lock", "sub/a.png"):
+        (tmp_path / name).write_text("x")
+    sources.register(spark)
+    assert {r.path for r in spark.read.format("project_files").load(str(tmp_path)).collect()} == {"sub/bun.lock", "sub/a.png"}
+
+
+def test_cases_and_suites(spark, tmp_path):
+    import json
+
+    def read(*cases):
+        (tmp_path / "cases.json").write_text(json.dumps(cases))
+        return evaluate.read_cases(spark, str(tmp_path / "cases.json"))
+
+    one = {"id": "1", "query": "q", "expectedPaths": ["./src/a.ts", "src/a.ts", "b"], "tags": [" x "]}
+    two = {"id": "2", "query": "q", "expectedPaths": ["c"]}
+    got = read(one, two)
+    assert {(r.case_id, r.path, tuple(r.tags)) for r in got.collect()} == {("1", "src/a.ts", ("x",)), ("1", "b", ("x",)), ("2", "c", ())}
+    assert {r.case_id for r in evaluate.in_suites(got, ["x"]).collect()} == {"1"} and evaluate.in_suites(got, ["full", "x"]).count() == 3
+    with pytest.raises(ValueError, match="unknown suites: y"):
+        evaluate.in_suites(got, ["x", "y"])
+    for wrong in ({**two, "query": " "}, {**two, "id": "1"}, {**two, "expectedPaths": []}, {**two, "expectedPaths": ["/etc/x"]}, {**two, "expectedPaths": ["a/../../x"]}, {**two, "tags": [" "]}):
+        with pytest.raises(ValueError):
+            read(one, wrong)
+
+
+def test_ranks_count_distinct_paths_without_the_excluded(spark):
+    results = spark.createDataFrame([("1", "a", 1), ("1", "a", 2), ("1", "x", 3), ("1", "b", 4), ("2", "a", 1)], "case_id string, path string, position int")
+    expected = spark.createDataFrame([("1", "b"), ("2", "z")], "case_id string, path string")
+    assert {r.case_id: r.rank for r in evaluate.ranks(results, expected).collect()} == {"1": 3, "2": None}
+    assert {r.case_id: r.rank for r in evaluate.ranks(results, expected, spark.createDataFrame([("x",)], "path string")).collect()} == {"1": 2, "2": None}
+    runs = spark.createDataFrame([("auto", 1, 100), ("auto", None, 300), ("off", 5, 50), ("off", None, None)], "mode string, rank int, tokens long")
+    got = evaluate.measures_by(runs, "mode")
+    r = {x["mode"]: x for x in got.collect()}
+    assert (r["auto"].hit1, r["auto"].hit5_per_1k, r["off"].tokens) == (0.5, 2.5, 25.0)
+    d = evaluate.delta(got, "mode", "auto", "off", ["hit1", "mrr"]).first()
+    assert d.hit1 == 0.5 and d.mrr == pytest.approx(0.4)
+
+
+def test_next_actions(spark):
+    schema = "files long, chunks long, posting_chunks long, symbols long, dependencies long, embeddings long, status string"
+    ask = lambda *rows: [r.action for r in index.next_actions(spark.createDataFrame(rows, schema)).orderBy("position").collect()]
+    assert ask((2, 5, 5, 1, 1, 5, "fresh")) == ["ready"]
+    assert ask((2, 5, 4, 0, 0, 3, "stale")) == ["refresh changed files", "repair missing postings", "extract symbols", "extract dependencies", "embed missing chunks"]
+    assert ask((1, 0, 0, 1, 0, 0, "fresh")) == ["index files and chunks", "embed chunks"]
+    assert ask() == ["create the index", "embed chunks"]
+
+
+def test_latest_records(spark):
+    held = spark.createDataFrame([("a", 1, "old"), ("b", 1, "kept")], "k string, at long, v string")
+    new = spark.createDataFrame([("a", 2, "mid"), ("a", 3, "new"), ("c", 1, "c")], "k string, at long, v string")
+    assert {tuple(r) for r in index.latest_records(held, new, ["k"]).collect()} == {("a", 3, "new"), ("b", 1, "kept"), ("c", 1, "c")}
