@@ -35,7 +35,7 @@ from .common import text_slices
 
 LIMIT = 1024
 CHUNK = 64  # characters of a chunk, whose state map is one row
-MOST_STATES = 100_000
+MOST_STATES = 250_000
 MOST_WORDS = 150_000
 BLOCK = 8 << 20  # bytes of one text that are worked on at once
 NEVER = 1 << 40
@@ -221,21 +221,25 @@ class Merges:
         self.follows: dict[int, bool] = {}
 
     def _transition(self, state: int, byte: int) -> int:
-        opened, comes, last = [], None, -1
+        child, token, inner, follows = self.child, self.token, self.inner, self.follows
+        opened, comes, last = [], 0, -1
         for node, before, count in self.states[state]:  # the longest first
-            node = self.child.get(node << 8 | byte)
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            t = self.token[node]
-            if comes is None and t >= 0:
-                key = before << 24 | t
-                if before >= 0 and key not in self.follows:
-                    self.follows[key] = not self.crossed(before, t)
-                if before < 0 or self.follows[key]:
+            t = token[node]
+            if t >= 0 and last < 0:
+                if before < 0:
                     comes, last = count + 1, t
-            if self.inner[node]:
+                else:
+                    fits = follows.get(before << 24 | t)
+                    if fits is None:
+                        fits = follows[before << 24 | t] = not self.crossed(before, t)
+                    if fits:
+                        comes, last = count + 1, t
+            if inner[node]:
                 opened.append((node, before, count))
-        new = (*((node, before, count - comes) for node, before, count in opened), (0, last, 0))
+        new = (*[(node, before, count - comes) for node, before, count in opened], (0, last, 0)) if comes else (*opened, (0, last, 0))
         to = self.number.get(new)
         if to is None:
             to = self.number[new] = len(self.states)
@@ -281,16 +285,18 @@ class Merges:
         place = np.searchsorted(lead, breaks)
         marks = split_marks(np.insert(kinds, place, BREAK))
         marks = np.delete(marks, place + np.arange(len(place)))
-        edges = lead[marks]
-        stops = np.unique(np.concatenate((breaks[breaks < len(data)], [a for a, _ in added], [b for _, b in added if b < len(data)])).astype(np.int64))
-        begin = np.union1d(edges, stops).astype(np.int64)
-        word = np.isin(begin, edges, assume_unique=True)
+        kind = np.zeros(len(data) + 1, np.uint8)  # of each byte: 1 where a word begins, 2 where something else does
+        kind[breaks] = 2
+        for a, b in added:
+            kind[a], kind[b] = 3, kind[b] or 2
+        kind[lead[marks]] = 1
+        begin = np.flatnonzero(kind[:-1])
         segment = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
         code = segment.dictionary_encode()
         tokens = np.array([self._known(w) for w in code.dictionary.to_pylist()], np.int64)[np.asarray(code.indices)] if len(begin) else np.zeros(0, np.int64)
-        tokens[~word] = 0
-        tokens[np.isin(begin, [a for a, _ in added])] = 1
-        return begin, word, tokens
+        tokens[kind[begin] == 2] = 0
+        tokens[kind[begin] == 3] = 1
+        return begin, kind[begin] == 1, tokens
 
     def _known(self, word: bytes) -> int:
         n = self.words.get(word)
