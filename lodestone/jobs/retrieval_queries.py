@@ -14,7 +14,8 @@ from .common import table
 
 LIMITS = chunking.Limits(target=2000, overlap=0, most=None)
 K = 5
-RELATED, EACH, SNIPPET, BUDGET = 4, 2, 300, 1500
+SEEDS, RELATED, DEPTH, ITEMS = 3, 6, 2, 3
+EACH, SNIPPET, BUDGET = 2, 300, 1500
 
 
 def _files(spark, sf_dir):
@@ -37,13 +38,12 @@ def _queries(spark, sf_dir):
 
 
 def _keyword(spark, sf_dir, chunks, k):
-    posted = stored(retrieval.postings(chunks), "postings")
-    return retrieval.keyword(chunks, posted, _queries(spark, sf_dir), k)
+    return retrieval.keyword(chunks, retrieval.postings_index(chunks), _queries(spark, sf_dir), k)
 
 
 def _semantic(spark, sf_dir, chunks, k):
-    vectors = chunks.select(*retrieval.KEY, retrieval.letter_vector(F.col("text")).alias("vector"))
-    return retrieval.semantic(chunks, vectors, _queries(spark, sf_dir).select("query_id", retrieval.letter_vector(F.col("query")).alias("vector")), k)
+    index = retrieval.vector_index(chunks, retrieval.letter_vector(F.col("text")), 8)
+    return retrieval.semantic(chunks, index, _queries(spark, sf_dir).select("query_id", retrieval.letter_vector(F.col("query")).alias("vector")), k)
 
 
 def _shown(df, *cols):
@@ -82,15 +82,28 @@ def rerank_chunks(spark, sf_dir):
 
 
 def _related(found, resolved):
-    """Of each query, the files that its results import, in the order of results: query_id, at, path."""
-    to = resolved.where("resolved_path IS NOT NULL").select("path", F.col("resolved_path").alias("to")).distinct()
-    rows = found.join(to, "path").groupBy("query_id", F.col("to").alias("path")).agg(F.min("position").alias("first"))
-    return retrieval.best(rows, ["first", "path"], RELATED).select("query_id", F.col("position").alias("at"), "path")
+    """query_id, path, depth, via, position: the files near each query's first results, in the import graph."""
+    first = found.groupBy("query_id", "path").agg(F.min("position").alias("position"))
+    seeds = retrieval.best(first.withColumnRenamed("position", "order"), ["order", "path"], min(SEEDS, RELATED)).select("query_id", "path", "order")
+    return graph.walks(resolved, seeds, DEPTH, RELATED, ITEMS)
+
+
+def _snippets(found, related, chunks):
+    """Snippets of the related files that are no results themselves."""
+    others = related.join(found.select("query_id", "path").distinct(), ["query_id", "path"], "left_anti")
+    return pack.related_snippets(others.select("query_id", F.col("position").alias("at"), "path"), chunks, EACH, SNIPPET, BUDGET)
+
+
+def related_graph_queries(spark, sf_dir):
+    found = stored(_keyword(spark, sf_dir, _chunks(spark, sf_dir), K), "found")
+    got = _related(found, _graph(spark, sf_dir)[1])
+    return got.select("query_id", F.col("position").cast("long").alias("position"), "path", F.col("depth").cast("long").alias("depth"), "via")
 
 
 def related_snippets(spark, sf_dir):
     chunks, (_, resolved) = _chunks(spark, sf_dir), _graph(spark, sf_dir)
-    got = pack.related_snippets(_related(_keyword(spark, sf_dir, chunks, K), resolved), chunks, EACH, SNIPPET, BUDGET)
+    found = stored(_keyword(spark, sf_dir, chunks, K), "found")
+    got = _snippets(found, _related(found, resolved), chunks)
     line = lambda c: F.col(c).cast("long").alias(c)
     return got.select("query_id", line("at"), "path", line("start_line"), line("end_line"), F.sha2("snippet", 256).alias("snippet_hash"), "truncated")
 
@@ -98,9 +111,10 @@ def related_snippets(spark, sf_dir):
 def context_pack(spark, sf_dir):
     chunks, (_, resolved) = _chunks(spark, sf_dir), _graph(spark, sf_dir)
     found = stored(_keyword(spark, sf_dir, chunks, K), "found")
-    related = stored(_related(found, resolved), "related")
+    related = _related(found, resolved)
     primary = pack.budgeted(found.select(F.col("query_id").alias("query"), "position", "path", "snippet"), BUDGET).withColumnRenamed("query", "query_id")
-    got = pack.context_pack(primary, resolved, related, pack.related_snippets(related, chunks, EACH, SNIPPET, BUDGET), 3)
+    near = related.select("query_id", F.col("position").alias("at"), "path")
+    got = pack.context_pack(primary, resolved, near, _snippets(found, related, chunks), ITEMS)
     return got.withColumn("paths", F.array_join("paths", ","))
 
 
@@ -171,7 +185,7 @@ def token_sections(spark, sf_dir):
     return rows.groupBy("section").agg(F.round(F.avg("n"), 6).alias("mean_tokens"), F.max("n").cast("long").alias("most_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (keyword_chunks, semantic_chunks, hybrid_chunks, rerank_chunks, related_snippets, context_pack, retrieval_ranks, retrieval_metrics, rerank_comparison, suite_metrics, token_sections)}
+QUERIES = {f.__name__: f for f in (keyword_chunks, semantic_chunks, hybrid_chunks, rerank_chunks, related_graph_queries, related_snippets, context_pack, retrieval_ranks, retrieval_metrics, rerank_comparison, suite_metrics, token_sections)}
 
 _BASE = r"""WITH RECURSIVE f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'src/p' || (doc_id // 3) || '.ts' WHEN 1 THEN 'src/p' || (doc_id // 3) || '.test.ts' ELSE 'docs/p' || (doc_id // 3) || '.md' END AS path,
   'import { x } from ''' || CASE doc_id % 3 WHEN 2 THEN '../src/p' ELSE './p' END || (doc_id // 3 + 1) || '.js'';' || chr(10) || 'export function searchIndex' || (doc_id // 3) || '() {}' || chr(10) || coalesce(text, '') AS t FROM documents),
@@ -232,10 +246,19 @@ rk AS (SELECT query_id, path, ordinal, start_line, end_line, kinds, snippet, rou
   + CASE WHEN path LIKE '%.test.ts' THEN CASE WHEN {_INTENT('test')} THEN 0.4 WHEN {_INTENT('code')} THEN -0.85 ELSE -0.25 END WHEN path LIKE 'docs/%' THEN CASE WHEN {_INTENT('docs')} THEN 0.65 WHEN {_INTENT('code')} THEN -0.8 ELSE -0.15 END ELSE CASE WHEN {_INTENT('docs')} THEN 0.05 WHEN {_INTENT('code')} THEN 0.65 ELSE 0.15 END END
   + least(0.5, 0.04 * n_imports + 0.08 * n_imported_by) END, 9)::DOUBLE AS rank_score FROM ca JOIN qq USING (query_id) JOIN wd USING (path) JOIN dg USING (path)),
 rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, path, start_line, ordinal) AS position FROM rk) WHERE position <= {K})"""
+_ROLE = "CASE WHEN path LIKE '%.test.ts' THEN 2 WHEN path LIKE 'docs/%' THEN 1 ELSE 0 END"
+_LEVEL = lambda d: f"""w{d} AS (SELECT query_id, to_ AS path, arg_min((v.path, v."at", ed.n), (v."at", ed.n)) AS way FROM v{d - 1} v JOIN ed ON ed.path = v.path WHERE v.depth = {d - 1} AND (query_id, to_) NOT IN (SELECT (query_id, path) FROM v{d - 1}) GROUP BY 1, 2),
+v{d} AS (SELECT * FROM v{d - 1} UNION ALL SELECT query_id, i + done, path, {d}, way[1] FROM (SELECT query_id, path, way, row_number() OVER (PARTITION BY query_id ORDER BY {_ROLE}, way[2], way[3], path) AS i FROM w{d}) JOIN (SELECT query_id, count(*) AS done FROM v{d - 1} GROUP BY 1) USING (query_id) WHERE i + done <= {RELATED})"""
+_LEVELS = f"""ed AS (SELECT path, resolved_path AS to_, 1 AS n FROM r UNION ALL SELECT * FROM (SELECT resolved_path, path, {ITEMS} + row_number() OVER (PARTITION BY resolved_path ORDER BY path) AS n FROM r) WHERE n <= {2 * ITEMS}),
+sd AS (SELECT * FROM (SELECT query_id, path, min(position) AS o, row_number() OVER (PARTITION BY query_id ORDER BY min(position), path) AS i FROM kw GROUP BY 1, 2) WHERE i <= {min(SEEDS, RELATED)}),
+v0 AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {_ROLE}, o, path) AS "at", path, 0 AS depth, CAST(NULL AS VARCHAR) AS via FROM sd),
+{', '.join(_LEVEL(d) for d in range(1, DEPTH + 1))},
+rl AS (SELECT * FROM v{DEPTH})"""
 _RELATED = f"""{_words(K)}, {_GRAPH},
-rl AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY least_, path) AS "at", path FROM (SELECT query_id, resolved_path AS path, min(position) AS least_ FROM kw JOIN r ON r.path = kw.path GROUP BY 1, 2)) WHERE "at" <= {RELATED}),
+{_LEVELS},
+rp AS (SELECT query_id, "at", path FROM rl WHERE (query_id, path) NOT IN (SELECT (query_id, path) FROM kw)),
 hd AS (SELECT * FROM (SELECT path, start_line, end_line, regexp_replace(text, '\\s+$', '') AS text, row_number() OVER (PARTITION BY path ORDER BY ordinal) AS n FROM c) WHERE n <= {EACH}),
-sn AS (SELECT query_id, "at", path, start_line, end_line, row_number() OVER (PARTITION BY query_id ORDER BY "at", n) AS i, length(text) > {SNIPPET} AS cut, CASE WHEN length(text) > {SNIPPET} THEN regexp_replace(substr(text, 1, {SNIPPET - 16}), '\\s+$', '') || chr(10) || '... [truncated]' ELSE text END AS s FROM rl JOIN hd USING (path)),
+sn AS (SELECT query_id, "at", path, start_line, end_line, row_number() OVER (PARTITION BY query_id ORDER BY "at", n) AS i, length(text) > {SNIPPET} AS cut, CASE WHEN length(text) > {SNIPPET} THEN regexp_replace(substr(text, 1, {SNIPPET - 16}), '\\s+$', '') || chr(10) || '... [truncated]' ELSE text END AS s FROM rp JOIN hd USING (path)),
 fo AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, '' AS new, CAST({BUDGET} AS BIGINT) AS room, false AS cut FROM sn UNION ALL
   SELECT query_id, i, new, room - length(new), cut FROM (SELECT sn.query_id, sn.i, fo.room, sn.cut OR length(s) > fo.room AS cut, CASE WHEN length(s) <= fo.room THEN s WHEN fo.room <= 0 THEN '' WHEN fo.room <= 15 THEN substr('... [truncated]', 1, fo.room) ELSE regexp_replace(substr(s, 1, fo.room - 16), '\\s+$', '') || chr(10) || '... [truncated]' END AS new FROM fo JOIN sn ON sn.query_id = fo.query_id AND sn.i = fo.i + 1) y),
 rs AS (SELECT sn.query_id, sn."at", sn.path, sn.start_line, sn.end_line, fo.new AS snippet, fo.cut AS truncated FROM fo JOIN sn ON sn.query_id = fo.query_id AND sn.i = fo.i WHERE fo.i > 0 AND length(fo.new) > 0)"""
@@ -245,7 +268,7 @@ pw AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS position, '' AS new, CAST(
 pn AS (SELECT query_id, count(*) AS primary_count, CAST(sum(length(new)) AS BIGINT) AS primary_chars FROM pw WHERE position > 0 GROUP BY query_id),
 rn AS (SELECT query_id, count(*) AS related_count FROM rl GROUP BY query_id), cn AS (SELECT query_id, count(*) AS snippet_count, CAST(sum(length(snippet)) AS BIGINT) AS related_chars FROM rs GROUP BY query_id),
 im AS (SELECT resolved_path AS path, path AS to_, row_number() OVER (PARTITION BY resolved_path ORDER BY path) AS n FROM r),
-pl AS (SELECT query_id, path AS to_, position AS a, 0 AS b, 0 AS n FROM kw UNION ALL SELECT query_id, r.resolved_path, 1000 + "at", 1, 1 FROM rl JOIN r ON r.path = rl.path UNION ALL SELECT query_id, to_, 1000 + "at", 2, n FROM rl JOIN im ON im.path = rl.path WHERE n <= 3),
+pl AS (SELECT query_id, path AS to_, position AS a, 0 AS b, 0 AS n FROM kw UNION ALL SELECT query_id, r.resolved_path, 1000 + "at", 1, 1 FROM rl JOIN r ON r.path = rl.path UNION ALL SELECT query_id, to_, 1000 + "at", 2, n FROM rl JOIN im ON im.path = rl.path WHERE n <= {ITEMS}),
 ps AS (SELECT query_id, string_agg(to_, ',' ORDER BY a, b, n) AS paths FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, to_ ORDER BY a, b, n) AS k FROM pl) WHERE k = 1) GROUP BY query_id)"""
 _HOLDING = """fw AS (SELECT path, string_split_regex(t, '[ \\n]') AS w FROM f), g6 AS (SELECT DISTINCT path, array_to_string(w[i : i + 5], ' ') AS words FROM (SELECT path, w, unnest(range(1, len(w) - 4)) AS i FROM fw WHERE len(w) >= 6)),
 e AS (SELECT DISTINCT 'b' || item_id AS case_id, path FROM benchmark JOIN g6 ON words = array_to_string(string_split(text, ' ')[1 : 6], ' '))"""
@@ -269,6 +292,7 @@ ORACLES = {
     "semantic_chunks": f"{_BASE}, {_near(K)} SELECT query_id, position, {_TAIL}, round(distance, 6) AS distance, sha256(snippet) AS snippet_hash FROM nr",
     "hybrid_chunks": f"{_FUSED} SELECT query_id, position, {_TAIL}, score, kinds, sha256(snippet) AS snippet_hash FROM fu",
     "rerank_chunks": f"{_RANKED} SELECT query_id, position, {_TAIL}, rank_score, kinds, sha256(snippet) AS snippet_hash FROM rr",
+    "related_graph_queries": f"{_words(K)}, {_GRAPH}, {_LEVELS} SELECT query_id, \"at\" AS position, path, depth, via FROM rl",
     "related_snippets": f"{_RELATED} SELECT query_id, \"at\", path, start_line, end_line, sha256(snippet) AS snippet_hash, truncated FROM rs",
     "context_pack": _PACK,
     "token_sections": f"WITH pk AS ({_PACK}), z AS (SELECT 'primary' AS section, ceil(primary_chars / 4) AS n FROM pk UNION ALL SELECT 'related_snippets', related_tokens FROM pk UNION ALL SELECT 'suggested_paths', ceil(length(paths) / 4) FROM pk UNION ALL SELECT 'snippets', tokens FROM pk) SELECT section, round(avg(n), 6) AS mean_tokens, CAST(max(n) AS BIGINT) AS most_tokens FROM z GROUP BY section",

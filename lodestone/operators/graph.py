@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import stored
+from ..storage import discard, stored
 
 
 def degrees(files: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -29,28 +29,48 @@ def neighbours(resolved: DataFrame, symbols: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("at", at).where(F.col("at") <= most)
 
 
+def edges_of(resolved: DataFrame, each: int) -> DataFrame:
+    """path, to, at of both directions: what a file imports by (line, specifier), then what imports it by (path, line).
+
+    Of each direction the first `each` of a file count, unresolved imports included. The cut is made within tasks before rows
+    are shuffled, so a file that a large share of all files import is no task of its own.
+    """
+    out = resolved.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("line", "specifier"))).where((F.col("at") <= each) & F.col("resolved_path").isNotNull()).select("path", F.col("resolved_path").alias("to"), "at")
+    back = resolved.where("resolved_path IS NOT NULL").select(F.col("resolved_path").alias("path"), F.col("path").alias("to"), "line")
+    into = back.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("to", "line"))).where(F.col("at") <= each).select("path", "to", F.col("at") + each)
+    return out.unionByName(into.toDF("path", "to", "at"))
+
+
 def walk(resolved: DataFrame, seeds: DataFrame, depth: int, most: int, each: int = 16) -> DataFrame:
-    """path, depth, via, position: files reached from seeds (path, order) within `depth` steps, `most` in all.
+    """path, depth, via, position: files reached from seeds (path, order) within `depth` steps, `most` in all."""
+    return walks(resolved, seeds.withColumn("query_id", F.lit(0)), depth, most, each).drop("query_id")
+
+
+def walks(resolved: DataFrame, seeds: DataFrame, depth: int, most: int, each: int = 16) -> DataFrame:
+    """query_id, path, depth, via, position: files reached from each query's seeds (query_id, path, order), stored.
 
-    Level by level: a level's files are ordered by role, then by the place of the file that led there and of the edge; a file
-    keeps the first way to it. Each level is one join with the edges, of which a file has `each` a direction at most.
+    Level by level, all queries at once: a level's files are ordered by role, then by the place of the file that led there and
+    of the edge; a file keeps the first way to it, and no more than `most` files of a query go on, seeds included. A level is
+    one join of at most `most` files a query with the edges, of which a file has `each` a direction. Unknown seeds stay,
+    without neighbours.
     """
-    edge = neighbours(resolved, resolved.select("path", F.lit("").alias("name"), "line").where("false"), each)
-    target = resolved.where("resolved_path IS NOT NULL").select("path", F.col("specifier").alias("item"), "line", F.col("resolved_path").alias("to"))
-    out = edge.where("kind = 'import'").join(target, ["path", "item", "line"]).select("path", "to", F.col("at"))
-    into = edge.where("kind = 'imported_by'").select("path", F.col("item").alias("to"), (F.col("at") + each).alias("at"))
-    edges = stored(out.unionByName(into), "edges")
+    if depth < 0 or most < 0 or each <= 0:
+        raise ValueError("depth and most must not be negative, each must be positive")
+    edges = stored(edges_of(resolved, each).withColumnRenamed("path", "via"), "edges")
     role = T.role_priority(T.classify_path(F.col("path")))
-    level = seeds.withColumn("role", role).withColumn("position", F.row_number().over(Window.orderBy("role", "order", "path"))).select("path", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), "position")
-    level = level.where(F.col("position") <= most)
-    level = seen = stored(level, "level")
+    within = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
+    first = seeds.groupBy("query_id", "path").agg(F.min("order").alias("order")).withColumn("role", role)
+    level = first.withColumn("position", within("role", "order", "path")).where(F.col("position") <= most)
+    seen = level = stored(level.select("query_id", "path", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), "position"), "level")
     for d in range(1, depth + 1):
-        step = level.select(F.col("path").alias("via"), F.col("position").alias("from")).join(edges.withColumnRenamed("path", "via"), "via")
-        step = step.join(seen.select(F.col("path").alias("to")), "to", "left_anti")
-        first = step.groupBy(F.col("to").alias("path")).agg(F.min_by(F.struct("via", "from", "at"), F.struct("from", "at")).alias("way"))
-        placed = first.withColumn("role", T.role_priority(T.classify_path(F.col("path")))).withColumn("i", F.row_number().over(Window.orderBy("role", "way.from", "way.at", "path")))
-        done = seen.agg(F.count(F.lit(1)).alias("done"))
-        level = placed.crossJoin(F.broadcast(done)).select("path", F.lit(d).alias("depth"), F.col("way.via").alias("via"), (F.col("i") + F.col("done")).cast("int").alias("position")).where(F.col("position") <= most)  # done is one row
+        step = level.select("query_id", F.col("path").alias("via"), F.col("position").alias("from")).join(edges, "via")
+        ways = step.groupBy("query_id", F.col("to").alias("path")).agg(F.min_by(F.struct("via", "from", "at"), F.struct("from", "at")).alias("way"))
+        fresh = ways.join(seen.select("query_id", "path"), ["query_id", "path"], "left_anti").withColumn("role", role)
+        done = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("done"))
+        placed = fresh.withColumn("i", within("role", "way.from", "way.at", "path")).where(F.col("i") <= most).join(done, "query_id")
+        level = placed.select("query_id", "path", F.lit(d).alias("depth"), F.col("way.via").alias("via"), (F.col("i") + F.col("done")).cast("int").alias("position")).where(F.col("position") <= most)
         level = stored(level, "level")
         seen = seen.unionByName(level)
-    return seen
+    out = stored(seen, "walks")
+    discard(edges, seen)
+    return out

@@ -1,4 +1,4 @@
-"""Chunk search for a table of queries: keywords over stored trigram postings, vectors, their fusion, and code-aware ranking.
+"""Chunk search for a table of queries: keywords over stored posting blocks, vectors, their fusion, and code-aware ranking.
 
 Queries are a stated, bounded set (`MOST_QUERIES` at most, checked), so their terms and vectors are broadcast; chunks,
 postings and files are joined by key. Every list of results is cut to its best rows within tasks before it is shuffled.
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import stored
+from ..storage import discard, stored
+from . import postings, vectors
 
 MOST_QUERIES = 10_000
 KEY = ["path", "ordinal", "start_line", "end_line"]  # chunks of one long line share its number
@@ -32,55 +33,56 @@ def best(rows: DataFrame, by: list, k: int) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("position") <= k)
 
 
-def grams(text: Column) -> Column:
-    """The distinct trigrams of a text in lower case: a match at every place, each three signs wide."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+def postings_index(chunks: DataFrame) -> postings.Index:
+    """The keyword index of chunks, written to the shared folder."""
+    return postings.build(chunks)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """gram, path, ordinal, start_line, end_line: the trigrams of each chunk's path and text, once each. To be stored, by gram."""
-    return chunks.select(F.explode(F.array_union(grams(F.col("path")), grams(F.col("text")))).alias("gram"), *KEY)
+def pattern_terms(word: Column) -> Column:
+    """The parts between "_" of a pattern's word that the index finds: ASCII, three letters or more, in lower case."""
+    return F.filter(F.transform(F.split(word, "_"), F.lower), lambda p: (F.length(p) >= 3) & ~F.rlike(p, F.lit(r"[^\x00-\x7F]")))
 
 
-def keyword_hits(chunks: DataFrame, posted: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, path, ordinal, start_line, end_line, score of chunks that have any of a query's terms; less is better.
-
-    Only the list of a term's rarest trigram is followed, and what it names is checked on the text. Weights are those of
-    BM25 over trigram columns, where path counts as path and as title.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(T.search_terms(F.col("query")), F.lower))).alias("term"))
-    words = terms.select("term").distinct()
-    wanted = words.select("term", F.explode(grams(F.col("term"))).alias("gram"))
-    lists = posted.join(F.broadcast(wanted.select("gram").distinct()), "gram")
-    size = lists.groupBy("gram").count()
-    rare = wanted.join(size, "gram", "left").groupBy("term").agg(F.min(F.coalesce("count", F.lit(0))).alias("least"), F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram")).where("least > 0")
-    named = lists.join(F.broadcast(rare.select("term", "gram")), "gram").select("term", *KEY)
-    f = 2 * T.occurrences(F.lower("path"), F.col("term")) + T.occurrences(F.lower("text"), F.col("term"))
-    d = 2 * F.greatest(F.length("path") - 2, F.lit(0)) + F.greatest(F.length("text") - 2, F.lit(0))
-    hits = stored(chunks.join(named, KEY).select(*KEY, "term", f.alias("f"), d.alias("d")).where("f > 0"), "hits")
-    held = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    whole = chunks.agg(F.count(F.lit(1)).alias("all"), F.avg(d).alias("mean"))  # one row
-    raw = F.log((F.col("all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    part = -F.when(raw > 0, raw).otherwise(1e-6) * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("d") / F.col("mean")))
-    weighed = hits.join(F.broadcast(held), "term").join(F.broadcast(whole)).withColumn("part", part).join(F.broadcast(terms), "term")
-    return weighed.groupBy("query_id", *KEY).agg(F.sum("part").alias("score"))
-
-
-def keyword(chunks: DataFrame, posted: DataFrame, queries: DataFrame, k: int, snippet: int = 400) -> DataFrame:
+def keyword(chunks: DataFrame, index: postings.Index, queries: DataFrame, k: int, snippet: int = 400) -> DataFrame:
     """query_id, position, path, ordinal, start_line, end_line, score, snippet: the k best chunks of each query by its terms.
 
-    A query that no chunk matches goes by its first word as a pattern, in paths (-10) or texts (-1); "_" and "%" stay wild.
+    Weights are those of BM25 over trigram columns, where path counts as path and as title. A query that no chunk matches goes
+    by its first word as a pattern, in paths (-10) or texts (-1), where "_" stays wild; the longest part of such a word without
+    wild signs is looked up in the index, and only a word without a part of three letters is looked for in all chunks.
     """
     queries = bounded(queries)
-    found = stored(best(keyword_hits(chunks, posted, queries).withColumn("score", F.round("score", 6)), ["score", *ORDER], k), "found")
+    terms = F.array_distinct(F.transform(T.search_terms(F.col("query")), F.lower))
+    ranked = postings.search(index, queries.select("query_id", terms.alias("terms")), k)
+    keys = F.broadcast(ranked)  # k rows a query
+    found = stored(index.docs.join(keys, "number").select("query_id", *KEY, "score"), "found")
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    left = queries.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", fold(F.get(T.keyword_terms(F.col("query")), F.lit(0))).alias("term")).where("term IS NOT NULL")
-    low = chunks.withColumns({"low_path": fold(F.col("path")), "low_text": fold(F.col("text"))})
-    pattern = F.expr("concat('%', term, '%')")
-    some = low.join(F.broadcast(left), F.like("low_path", pattern) | F.like("low_text", pattern))
-    other = best(some.withColumn("score", F.when(F.like("low_path", pattern), -10.0).otherwise(-1.0)), ["score", *ORDER], k)
-    cols = ["query_id", "position", *KEY, "score", T.compact_snippet(F.col("text"), snippet).alias("snippet")]
-    return chunks.join(F.broadcast(found), KEY).select(*cols).unionByName(other.select(*cols))  # k rows a query
+    word = fold(F.get(T.keyword_terms(F.col("query")), F.lit(0)))
+    left = queries.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", word.alias("term")).where("term IS NOT NULL")
+    parts = F.array_sort(pattern_terms(F.col("term")), lambda a, b: F.length(b) - F.length(a))
+    left = stored(left.select("query_id", "term", F.get(parts, F.lit(0)).alias("part")), "patterns")
+    wild, pattern = F.contains("term", F.lit("_")), F.expr("concat('%', term, '%')")
+    holds = lambda c: F.when(wild, F.like(c, pattern)).otherwise(F.contains(c, F.col("term")))
+    folded = lambda rows: rows.withColumns({"low_path": fold(F.col("path")), "low_text": fold(F.col("text"))})
+
+    def fits(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("score", F.when(holds(F.col("low_path")), -10.0).when(holds(F.col("low_text")), -1.0)).where("score IS NOT NULL").select("query_id", *KEY, "score")
+
+    tried = []
+    asked = {r["query_id"]: r["part"] for r in left.collect()}  # a bounded set
+    if any(p is not None for p in asked.values()):
+        named = postings.matching(index, {str(q): [p] for q, p in asked.items() if p is not None})
+        rows = index.docs.join(named, "number").select(F.col("set").alias("_set"), *KEY)
+        with_text = folded(rows.join(chunks.select(*KEY, "text"), KEY))
+        tried.append(fits(with_text.join(F.broadcast(left.withColumn("_set", F.col("query_id").cast("string"))), "_set")))
+    if any(p is None for p in asked.values()):
+        tried.append(fits(folded(chunks.select(*KEY, "text")).join(F.broadcast(left.where("part IS NULL")))))
+    rows = best(found, ["score", *ORDER], k)
+    for t in tried:
+        rows = rows.unionByName(best(t, ["score", *ORDER], k))
+    cols = ["query_id", "position", *KEY, "score"]
+    placed = stored(rows.select(*cols), "placed")
+    discard(ranked, found, left)
+    return chunks.join(F.broadcast(placed), KEY).select(*cols, T.compact_snippet(F.col("text"), snippet).alias("snippet"))  # k rows a query
 
 
 def letter_vector(text: Column, letters: str = "aeionstr") -> Column:
@@ -89,17 +91,21 @@ def letter_vector(text: Column, letters: str = "aeionstr") -> Column:
     return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))) / F.greatest(F.length(low), F.lit(1)) for x in letters])
 
 
-def semantic(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, snippet: int = 400) -> DataFrame:
+def semantic(chunks: DataFrame, found: vectors.VectorIndex, queries: DataFrame, k: int, snippet: int = 400) -> DataFrame:
     """query_id, position, path, ordinal, start_line, end_line, distance, snippet: the k chunks nearest to each query's vector.
 
-    `vectors` has a chunk's key and vector, `queries` query_id and vector. Every vector meets every query of the stated set in
-    one pass; the texts of the k best alone are joined.
+    `found` is the vector index of chunks by ORDER's key, `queries` has query_id and vector. The texts of the k best alone are
+    joined.
     """
-    asked = bounded(queries).select("query_id", F.col("vector").alias("wanted"))
-    square = F.zip_with("vector", "wanted", lambda a, b: (a - b) * (a - b))
-    ok = vectors.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
-    near = ok.join(asked, F.size("vector") == F.size("wanted")).select("query_id", *KEY, F.round(F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x)), 9).alias("distance"))
-    return best(near, ["distance", *ORDER], k).join(chunks, KEY).select("query_id", "position", *KEY, "distance", T.compact_snippet(F.col("text"), snippet).alias("snippet"))
+    near, met = vectors.nearest(found, queries, k)
+    discard(met)
+    rows = chunks.join(F.broadcast(near), KEY)  # k rows a query
+    return rows.select("query_id", "position", *KEY, "distance", T.compact_snippet(F.col("text"), snippet).alias("snippet"))
+
+
+def vector_index(chunks: DataFrame, vector: Column, dims: int) -> vectors.VectorIndex:
+    """The vector index of chunks, whose equal distances go by path, first line and place."""
+    return vectors.build(chunks.select(*KEY, vector.alias("vector")), [*ORDER, "end_line"], "vector", dims)
 
 
 def fuse(near: DataFrame, words: DataFrame, k: int) -> DataFrame:

@@ -151,7 +151,7 @@ def test_chunk_search_falls_back_and_reranks_counterparts(spark):
 
     chunks = spark.createDataFrame([("src/a.ts", 0, 1, 2, "export function alpha() {}"), ("src/a.test.ts", 0, 1, 3, "alpha spec alpha alpha"), ("docs/a.md", 0, 1, 1, "nothing here"), ("docs/a.md", 1, 1, 1, "zq_9 alpha")], "path string, ordinal int, start_line int, end_line int, text string")
     queries = spark.createDataFrame([("1", "alpha"), ("2", "zq"), ("3", "!"), ("4", "absent")], "query_id string, query string")
-    got = retrieval.keyword(chunks, retrieval.postings(chunks), queries, 5).collect()
+    got = retrieval.keyword(chunks, retrieval.postings_index(chunks), queries, 5).collect()
     assert {(r.query_id, r.path, r.ordinal) for r in got} == {("1", "src/a.ts", 0), ("1", "src/a.test.ts", 0), ("1", "docs/a.md", 1), ("2", "docs/a.md", 1)}
     assert {r.score for r in got if r.query_id == "2"} == {-1.0}
     found = spark.createDataFrame([("1", "src/a.test.ts", 0, 1, 3, 2.0, "spec", ["keyword"]), ("1", "src/a.ts", 0, 1, 2, 0.1, "own", ["keyword"])], "query_id string, path string, ordinal int, start_line int, end_line int, score double, snippet string, kinds array<string>")
