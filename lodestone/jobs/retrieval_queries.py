@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, evaluate, graph, pack, retrieval, structure
 from ..storage import stored
-from .common import table
+from .common import kept, table
 
 LIMITS = chunking.Limits(target=2000, overlap=0, most=None)
 K = 5
@@ -28,7 +28,8 @@ def _files(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir):
-    return stored(chunking.chunk_files(_files(spark, sf_dir), LIMITS).select("path", "ordinal", "start_line", "end_line", "text"), "chunks")
+    make = lambda: stored(chunking.chunk_files(_files(spark, sf_dir), LIMITS).select("path", "ordinal", "start_line", "end_line", "text"), "chunks")
+    return kept(spark, sf_dir, "chunks", make)
 
 
 def _queries(spark, sf_dir):
@@ -38,11 +39,12 @@ def _queries(spark, sf_dir):
 
 
 def _keyword(spark, sf_dir, chunks, k):
-    return retrieval.keyword(chunks, retrieval.postings_index(chunks), _queries(spark, sf_dir), k)
+    index = kept(spark, sf_dir, "chunk postings", lambda: retrieval.postings_index(chunks))
+    return retrieval.keyword(chunks, index, _queries(spark, sf_dir), k)
 
 
 def _semantic(spark, sf_dir, chunks, k):
-    index = retrieval.vector_index(chunks, retrieval.letter_vector(F.col("text")), 8)
+    index = kept(spark, sf_dir, "chunk vectors", lambda: retrieval.vector_index(chunks, retrieval.letter_vector(F.col("text")), 8))
     return retrieval.semantic(chunks, index, _queries(spark, sf_dir).select("query_id", retrieval.letter_vector(F.col("query")).alias("vector")), k)
 
 

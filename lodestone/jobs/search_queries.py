@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import pack, search
-from .common import table
+from ..operators import pack, postings, search, vectors
+from .common import kept, table
 
 QUERY = "thand Ingsh eableon schach"
 TERMS = [t.lower() for t in QUERY.split()]
@@ -19,13 +19,30 @@ def _files(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _postings(spark, sf_dir):
+    """The keyword index of documents as files: built by the first query that asks, opened by the others."""
+    one = lambda c: F.lit(1).alias(c)
+    make = lambda: postings.build(_files(spark, sf_dir).select("path", F.lit(0).alias("ordinal"), one("start_line"), one("end_line"), "text"))
+    return kept(spark, sf_dir, "document postings", make)
+
+
+def keyword_index(spark, sf_dir):
+    """What the keyword index holds."""
+    index = _postings(spark, sf_dir)
+    own = index.blocks.where(F.col("gram") >= 0)
+    return own.agg(F.lit(index.n).alias("files"), F.countDistinct("gram").alias("grams"), F.sum(F.col("n").cast("long")).alias("postings"), F.sum(F.col("n_places").cast("long")).alias("places"))
+
+
 def fts_match(spark, sf_dir):
-    return search.matches(_files(spark, sf_dir), TERMS).select("doc_id")
+    index = _postings(spark, sf_dir)
+    rows = index.docs.join(postings.matching(index, {"q": TERMS}), "number")
+    return rows.select(F.regexp_extract("path", r"d(\d+)\.md$", 1).cast("long").alias("doc_id"))
 
 
 def bm25_topk(spark, sf_dir):
-    found = search.bm25(_files(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
-    return found.orderBy("score", "path").limit(K)
+    index = _postings(spark, sf_dir)
+    asked = spark.createDataFrame([("q", TERMS)], "query_id string, terms array<string>")
+    return index.docs.join(F.broadcast(postings.search(index, asked, K)), "number").select("path", "score")  # K rows
 
 
 def bm25_all(spark, sf_dir):
@@ -46,6 +63,30 @@ def knn_l2_topk(spark, sf_dir):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+def _vectors(spark, sf_dir):
+    return kept(spark, sf_dir, "vectors", lambda: vectors.build(table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL"), ["vec_id"], "embedding", 64))
+
+
+def _asked(spark, sf_dir):
+    """Every vector whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def knn_table(spark, sf_dir):
+    """The nearest vectors of a table of queries, over the clustered index."""
+    near, _ = vectors.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), K)
+    return near.select("query_id", F.col("position").cast("long").alias("position"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
+def knn_visits(spark, sf_dir):
+    """How much of the index exact and approximate answers look at, and what the approximate ones find."""
+    index, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
+    exact, met = vectors.nearest(index, asked, K)
+    near, fewer = vectors.nearest(index, asked, K, probes=vectors.probes_for(index, K))
+    hits = exact.select("query_id", "vec_id").join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return hits.join(met.select("query_id", F.col("share").alias("exact_share")), "query_id").join(fewer.select("query_id", F.col("share").alias("approximate_share")), "query_id")
+
+
 def _legs(spark, sf_dir):
     semantic = search.nearest(table(spark, sf_dir, "embeddings"), _probe(spark, sf_dir), 2 * K).select(F.col("vec_id").alias("key"), F.round("distance", 9).alias("distance"))
     files = _files(spark, sf_dir)
@@ -79,7 +120,7 @@ def context_summary(spark, sf_dir):
     return pack.summary(pack.budgeted(_ranked_snippets(spark, sf_dir), 3000))
 
 
-QUERIES = {f.__name__: f for f in (fts_match, bm25_topk, bm25_all, like_fallback, knn_l2_topk, hybrid_merge, line_search_rank, context_budget, context_summary)}
+QUERIES = {f.__name__: f for f in (keyword_index, fts_match, bm25_topk, bm25_all, like_fallback, knn_l2_topk, knn_table, knn_visits, hybrid_merge, line_search_rank, context_budget, context_summary)}
 
 _FILES = "f AS (SELECT doc_id, 'docs/d' || doc_id || '.md' AS path, coalesce(text, '') AS text FROM documents)"
 _count = lambda c, t: f"CAST((length({c}) - length(replace({c}, '{t}', ''))) / {len(t)} AS INTEGER)"
@@ -99,6 +140,8 @@ w AS (SELECT query, 0 AS position, '' AS path, '' AS snippet, 3000 AS remaining,
     FROM w JOIN s ON s.query = w.query AND s.position = w.position + 1) x),
 p AS (SELECT * FROM w WHERE position > 0) """
 ORACLES = {
+    "keyword_index": f"WITH {_FILES}, g AS (SELECT doc_id, lower(path) AS x FROM f UNION ALL SELECT doc_id, lower(text) FROM f), w AS (SELECT doc_id, substr(x, i, 3) AS gram FROM (SELECT doc_id, x, unnest(range(1, length(x) - 1)) AS i FROM g WHERE length(x) >= 3)) SELECT (SELECT count(*) FROM f) AS files, count(DISTINCT gram) AS grams, count(DISTINCT (doc_id, gram)) AS postings, count(*) AS places FROM w",
+    "knn_table": f"SELECT * FROM (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(d, 9), e_id) AS position, e_id AS vec_id, round(d, 6) AS distance FROM (SELECT q.vec_id, e.vec_id AS e_id, sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))) AS d FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) q) WHERE position <= {K}",
     "fts_match": f"WITH {_FILES} SELECT doc_id FROM f WHERE {' OR '.join(f'contains(lower(path || chr(10) || text), {t!r})' for t in TERMS)}",
     "bm25_topk": f"WITH {_BM25} SELECT path, round(score, 6) AS score FROM b ORDER BY 2, 1 LIMIT {K}",
     "bm25_all": f"WITH {_BM25} SELECT path, round(score, 6) AS score FROM b",

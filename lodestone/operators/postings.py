@@ -91,7 +91,7 @@ def gram_codes(term: str) -> list[int]:
 # --- building ---
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows of a partition in order: shard by size, number within it."""
     seq, at, chars = 0, 0, 0
     for batch in batches:
@@ -99,7 +99,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = batch["pid"].to_numpy().astype(np.int64)
         shard, number = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
         for i, n in enumerate(size.tolist()):
-            if at and (at == SHARD or chars + n > SHARD_CHARS):
+            if at and (at == most or chars + n > SHARD_CHARS):
                 seq, at, chars = seq + 1, 0, 0
             shard[i], number[i] = seq, at
             at, chars = at + 1, chars + n
@@ -161,11 +161,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _shard_blocks(now, np.array(numbers), paths, texts)
 
 
-def build(chunks: DataFrame, path: str | None = None) -> Index:
+def build(chunks: DataFrame, path: str | None = None, shard: int = SHARD) -> Index:
     """The index of chunks (path, ordinal, start_line, end_line, text), written below `path` or in the shared folder.
 
-    Null texts are empty. Keys are taken to be distinct.
+    Null texts are empty. Keys are taken to be distinct. A shard has `shard` chunks at most, and that is 4096 at most.
     """
+    if not 0 < shard <= 4096:
+        raise ValueError("a shard has 1 to 4096 chunks")
     spark = chunks.sparkSession
     path = path or scratch(spark, "keyword-index")
     text = F.coalesce("text", F.lit(""))
@@ -173,7 +175,7 @@ def build(chunks: DataFrame, path: str | None = None) -> Index:
     order = ["path", "start_line", "ordinal"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
     kept = [f for f in rows.schema.fields if f.name != "size"]
-    dealt.mapInArrow(_numbered, T.StructType([*kept, T.StructField("shard", T.LongType()), T.StructField("number", T.LongType())])).write.parquet(f"{path}/numbered")
+    dealt.mapInArrow(lambda batches: _numbered(batches, shard), T.StructType([*kept, T.StructField("shard", T.LongType()), T.StructField("number", T.LongType())])).write.parquet(f"{path}/numbered")
     numbered = spark.read.parquet(f"{path}/numbered")
     numbered.select("number", *order, "end_line", "d").write.parquet(f"{path}/docs")
     made = numbered.select("shard", "number", "low_path", "low_text").mapInArrow(_blocks, _BLOCKS)

@@ -185,3 +185,26 @@ def nearest(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     share = stored(met.select("query_id", "met", (F.col("met") / F.lit(int(index.n.sum()))).alias("share")), "met")
     discard(*parts)
     return out, share
+
+
+def probes_for(index: VectorIndex, k: int, recall: float = 0.9, sample: int = 200, margin: float = 0.03) -> int:
+    """How many clusters an approximate search visits to find `recall` of the k nearest rows, measured on stored rows.
+
+    `sample` rows, those whose keys have the smallest hashes, ask for their nearest other rows exactly; where these stand in
+    the order of clusters gives the recall of every number of clusters at once.
+    """
+    if not len(index.centroids):
+        return 1
+    spark = index.rows.sparkSession
+    drawn = index.rows.orderBy(F.xxhash64(F.lit("probe"), *index.key)).limit(sample).select("vector").collect()  # a bounded sample
+    asked = spark.createDataFrame([(i, r["vector"]) for i, r in enumerate(drawn)], "query_id int, vector array<double>")
+    near, met = nearest(index, asked, k + 1)
+    found = near.where("position > 1").join(index.rows.select(*index.key, "cluster"), index.key).select("query_id", "cluster").collect()  # sample times k rows
+    discard(near, met)
+    far = np.array([((index.centroids - np.array(r["vector"])) ** 2).sum(1) for r in drawn])
+    place = far.argsort(1, kind="stable").argsort(1)
+    ranks = np.sort([place[r["query_id"], r["cluster"]] for r in found])
+    if not len(ranks):
+        return len(index.centroids)
+    need = min(len(ranks), int(np.ceil(min(1.0, recall + margin) * len(ranks))))
+    return int(ranks[need - 1]) + 1
