@@ -259,12 +259,12 @@ def trie(conversations: DataFrame) -> DataFrame:
 # --- digests of ends ---
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of up to PIECE ids of one node, comma-joined; rows come sorted."""
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of up to `most` ids of one node, comma-joined; rows come sorted."""
     for batch in batches:
         a, b, ids = (np.asarray(batch[c]) for c in ("a", "b", "conv_id"))
         cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        cut = np.unique(np.concatenate([np.arange(x, y, PIECE) for x, y in zip(cut, [*cut[1:], len(ids)])])) if len(ids) else cut
+        cut = np.unique(np.concatenate([np.arange(x, y, most) for x, y in zip(cut, [*cut[1:], len(ids)])])) if len(ids) else cut
         text = [",".join(map(str, ids[x:y].tolist())) for x, y in zip(cut, [*cut[1:], len(ids)])]
         yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(ids[cut]), pa.array(text, pa.string())], names=["a", "b", "first", "ids"])
 
@@ -290,6 +290,6 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ends_digests(rows: DataFrame) -> DataFrame:
     """a, b, sha: the digest of the ascending conv_ids of each (a, b)."""
-    key = ["a", "b", "conv_id"]
-    pieces = rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_pieces, "a long, b long, first long, ids string")
+    key, most = ["a", "b", "conv_id"], PIECE
+    pieces = rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: _pieces(batches, most), "a long, b long, first long, ids string")
     return pieces.repartition("a", "b").sortWithinPartitions("a", "b", "first").mapInArrow(_streamed, "a long, b long, sha string")
