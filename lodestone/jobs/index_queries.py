@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, index, retrieval
+from ..operators import chunking, index, retrieval, store, structure
+from ..storage import scratch
 from .common import table
 
 LIMITS = chunking.Limits(target=2000, overlap=0, most=None)
@@ -126,7 +127,35 @@ def capability_records(spark, sf_dir):
     return index.latest_records(held, events.where("user_id % 3 <> 0"), ["user_id", "kind"]).select("user_id", "kind", "at", "value")
 
 
-QUERIES = {f.__name__: f for f in (recommended_actions, capability_records, freshness_diff, freshness_summary, stale_delete, reindex_merge, index_status, embedding_coverage, pending_embeddings, embed_missing, latest_order, upsert_files, repair_postings, repair_lines)}
+def _makers():
+    """The tables of an index: each is made of changed files alone."""
+    vectors = lambda f: _cut(f).select("path", "start_line", retrieval.letter_vector(F.col("text")).alias("vector"))
+    return {"chunks": _cut, "symbols": structure.symbols, "dependencies": structure.dependencies, "postings": _postings, "vectors": vectors}
+
+
+def _two_runs(spark, sf_dir):
+    """An index on disk of the first state of the documents, brought to the second."""
+    path = scratch(spark, "stored-index")
+    return path, [store.update(path, state, _makers()) for state in _snapshots(spark, sf_dir)]
+
+
+def stored_index(spark, sf_dir):
+    """What the tables of the stored index hold of each file after two runs."""
+    path, _ = _two_runs(spark, sf_dir)
+    n = lambda t: store.read(spark, path, t).groupBy("path").agg(F.count(F.lit(1)).alias(t))
+    rows = store.read(spark, path, "files").select("path", "hash")
+    for t in ("chunks", "postings", "vectors"):
+        rows = rows.join(n(t), "path", "left").withColumn(t, F.coalesce(t, F.lit(0)))
+    return rows
+
+
+def store_runs(spark, sf_dir):
+    """Files by state of each of the two runs."""
+    _, runs = _two_runs(spark, sf_dir)
+    return spark.createDataFrame([(r.version, *r.states.values()) for r in runs], "version long, new long, modified long, missing long, kept long")
+
+
+QUERIES = {f.__name__: f for f in (recommended_actions, capability_records, freshness_diff, freshness_summary, stale_delete, reindex_merge, index_status, embedding_coverage, pending_embeddings, embed_missing, latest_order, upsert_files, repair_postings, repair_lines, stored_index, store_runs)}
 
 _SNAP = """WITH RECURSIVE b AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS t FROM documents),
 o AS (SELECT path, t, strlen(t) AS size, CAST(doc_id AS DOUBLE) AS mtime, sha256(t) AS hash FROM b WHERE doc_id % 11 <> 0),
@@ -138,6 +167,8 @@ FROM c JOIN {src} USING (path) WHERE fin < length(t)),
 k AS (SELECT path, line, substr(t, pos + 1, fin - pos) AS part FROM c JOIN {src} USING (path))"""
 _END = "CASE WHEN length(t) <= 2000 THEN length(t) WHEN strpos(substr(t, 2001, 241), chr(10)) > 0 THEN 2000 + strpos(substr(t, 2001, 241), chr(10)) ELSE 2000 END"
 ORACLES = {
+    "stored_index": f"{_SNAP}, {_CUT.format(src='n', end0=_END)}, g AS (SELECT path, count(DISTINCT lower(substr(t, i, 3))) AS postings FROM (SELECT path, lower(t) AS t, unnest(range(1, length(t) - 1)) AS i FROM n WHERE length(t) >= 3) GROUP BY path), m AS (SELECT path, count(*) AS chunks FROM k GROUP BY path) SELECT path, hash, chunks, coalesce(postings, 0) AS postings, chunks AS vectors FROM n JOIN m USING (path) LEFT JOIN g USING (path)",
+    "store_runs": f"{_SNAP}, x AS (SELECT o.path AS a, n.path AS b, o.hash = n.hash AS same FROM o FULL OUTER JOIN n ON o.path = n.path) SELECT 1 AS version, count(*) AS new, 0 AS modified, 0 AS missing, 0 AS kept FROM o UNION ALL SELECT 2, count(*) FILTER (WHERE a IS NULL), count(*) FILTER (WHERE NOT same), count(*) FILTER (WHERE b IS NULL), count(*) FILTER (WHERE same) FROM x",
     "freshness_diff": _SNAP + " SELECT * FROM s",
     "freshness_summary": _SNAP + " SELECT " + ", ".join(f"count(*) FILTER (WHERE state = '{x}') AS {x}" for x in ("new", "missing", "modified", "metadata_changed", "fresh")) + ", CASE WHEN count(*) FILTER (WHERE state IN ('new', 'missing', 'modified')) > 0 THEN 'stale' ELSE 'fresh' END AS status FROM s",
     "recommended_actions": _SNAP + ", " + _CUT.format(src="o", end0=_END) + """, m AS (SELECT (SELECT count(*) FROM o) AS files, (SELECT count(*) FROM k) AS chunks, (SELECT count(*) FROM k WHERE length(part) >= 3) AS posted, (SELECT count(*) FROM o WHERE regexp_matches(t, '[A-Za-z]')) AS symbols, (SELECT count(*) FROM embeddings WHERE len(embedding) = 64) AS vectors, (SELECT count(*) FROM s WHERE state IN ('new', 'missing', 'modified')) AS stale),
