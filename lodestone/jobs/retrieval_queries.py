@@ -5,10 +5,11 @@ The queries searched are the first four words of every benchmark item, and every
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evaluate, graph, pack, retrieval, structure
+from ..operators import chunking, evaluate, graph, lines, pack, retrieval, structure
 from ..storage import stored
 from .common import kept, table
 
@@ -187,7 +188,51 @@ def token_sections(spark, sf_dir):
     return rows.groupBy("section").agg(F.round(F.avg("n"), 6).alias("mean_tokens"), F.max("n").cast("long").alias("most_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (keyword_chunks, semantic_chunks, hybrid_chunks, rerank_chunks, related_graph_queries, related_snippets, context_pack, retrieval_ranks, retrieval_metrics, rerank_comparison, suite_metrics, token_sections)}
+#: The profiles whose measures are compared.
+PROFILES = [
+    {"name": "off", "mode": "off"},
+    {"name": "default"},
+    {"name": "path-heavy", "weights": {"path": 1.45, "symbol": 0.85, "snippet": 0.9}},
+    {"name": "symbol-heavy", "weights": {"path": 0.9, "symbol": 1.45, "graph": 1.15}},
+    {"name": "docs-heavy", "weights": {"path": 1.1, "snippet": 1.25, "role": 1.35, "symbol": 0.75}},
+]
+
+
+def profile_matrix(spark, sf_dir):
+    """Measures of the hybrid search under every profile of weights, from one pass over the candidates."""
+    chunks, (files, resolved), expected = _chunks(spark, sf_dir), _graph(spark, sf_dir), stored(_expected(spark, sf_dir), "expected")
+    symbols = structure.symbols(files).select("path", "name", "line")
+    got = retrieval.rerank_profiles(_hybrid(spark, sf_dir, chunks), _queries(spark, sf_dir), chunks, symbols, graph.degrees(files, resolved), retrieval.profiles(spark, PROFILES), K)
+    places = got.groupBy("profile", F.col("query_id").alias("case_id"), "path").agg(F.min("position").alias("first")).withColumn("place", F.row_number().over(Window.partitionBy("profile", "case_id").orderBy("first", "path")))
+    hit = places.join(expected, ["case_id", "path"]).groupBy("profile", "case_id").agg(F.min("place").alias("rank"))
+    cases = expected.select("case_id").distinct().join(F.broadcast(spark.createDataFrame([(p["name"],) for p in PROFILES], "profile string")))  # a stated list
+    measured = evaluate.measures_by(cases.join(hit, ["profile", "case_id"], "left").withColumn("tokens", F.lit(0)), "profile")
+    return measured.select("profile", "cases", *[F.round(n, 6).alias(n) for n in ("hit1", "hit3", "hit5", "mrr")])
+
+
+def _line_cases(spark, sf_dir):
+    return _queries(spark, sf_dir).where("query_id LIKE 'b%'").withColumnRenamed("query_id", "case_id")
+
+
+def line_search_cases(spark, sf_dir):
+    """The five best files of every case by line search, all cases in one pass over the files."""
+    got = lines.search_cases(_files(spark, sf_dir).select("path", "text"), _line_cases(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 6)), "first_line", "path"))
+    return got.withColumn("position", place).where(F.col("position") <= K).select("case_id", F.col("position").cast("long").alias("position"), "path", F.round("score", 6).alias("score"), "first_line")
+
+
+def method_comparison(spark, sf_dir):
+    """Measures of line search, keyword search and hybrid search over the same cases."""
+    chunks, expected = _chunks(spark, sf_dir), stored(_expected(spark, sf_dir), "expected")
+    by_line = line_search_cases(spark, sf_dir).select("case_id", "path", "position")
+    words = _keyword(spark, sf_dir, chunks, K).select(F.col("query_id").alias("case_id"), "path", "position")
+    both = _hybrid(spark, sf_dir, chunks).where(F.col("position") <= K).select(F.col("query_id").alias("case_id"), "path", "position")
+    runs = [evaluate.ranks(rows, expected).withColumn("method", F.lit(name)) for name, rows in (("lines", by_line), ("keyword", words), ("hybrid", both))]
+    every = runs[0].unionByName(runs[1]).unionByName(runs[2]).withColumn("tokens", F.lit(0))
+    return evaluate.measures_by(every, "method").select("method", "cases", *[F.round(n, 6).alias(n) for n in ("hit1", "hit3", "hit5", "mrr")])
+
+
+QUERIES = {f.__name__: f for f in (keyword_chunks, semantic_chunks, hybrid_chunks, rerank_chunks, related_graph_queries, related_snippets, context_pack, retrieval_ranks, retrieval_metrics, rerank_comparison, suite_metrics, token_sections, profile_matrix, line_search_cases, method_comparison)}
 
 _BASE = r"""WITH RECURSIVE f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'src/p' || (doc_id // 3) || '.ts' WHEN 1 THEN 'src/p' || (doc_id // 3) || '.test.ts' ELSE 'docs/p' || (doc_id // 3) || '.md' END AS path,
   'import { x } from ''' || CASE doc_id % 3 WHEN 2 THEN '../src/p' ELSE './p' END || (doc_id // 3 + 1) || '.js'';' || chr(10) || 'export function searchIndex' || (doc_id // 3) || '() {}' || chr(10) || coalesce(text, '') AS t FROM documents),
@@ -288,6 +333,29 @@ rk AS (SELECT ee.case_id, min(place) AS rank FROM ee LEFT JOIN {_PLACES('kw', "p
 su AS (SELECT DISTINCT case_id, lang AS suite FROM ee JOIN f USING (path) JOIN documents USING (doc_id) WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT case_id, 'full' FROM ee)
 SELECT suite, count(*) AS cases, {', '.join(f'round({x}, 6) AS {n}' for n, x in _SIX.items())} FROM su JOIN rk USING (case_id) LEFT JOIN (SELECT query_id AS case_id, {_TOKENS} AS tokens FROM kw GROUP BY 1) USING (case_id) GROUP BY suite"""
 _PACK = f"{_PACKED} SELECT query_id, primary_count, coalesce(related_count, 0) AS related_count, coalesce(snippet_count, 0) AS snippet_count, primary_chars, coalesce(related_chars, 0) AS related_chars, CAST(ceil((primary_chars + coalesce(related_chars, 0)) / 4) AS BIGINT) AS tokens, CAST(ceil(coalesce(related_chars, 0) / 4) AS BIGINT) AS related_tokens, paths FROM pn LEFT JOIN rn USING (query_id) LEFT JOIN cn USING (query_id) JOIN ps USING (query_id)"
+_MEASURED = ", ".join(f"round({x}, 6) AS {n}" for n, x in _SIX.items() if n in ("hit1", "hit3", "hit5", "mrr"))
+_FIRST = lambda src, by: f"(SELECT {by}, path, row_number() OVER (PARTITION BY {by} ORDER BY least_, path) AS place FROM (SELECT {by}, path, min(position) AS least_ FROM {src} GROUP BY {by}, path))"
+_WEIGHTED = ("base", "path", "snippet", "symbol", "role", "graph", "counterpart")
+_VALUES = ", ".join("(" + ", ".join([f"'{p['name']}'", str(p.get("mode") == "off").lower(), *[str(float((retrieval.WEIGHTS | p.get("weights", {}))[w])) + "::DOUBLE" for w in _WEIGHTED]]) + ")" for p in PROFILES)
+_PROFILED = f"""{_RANKED}, {_HOLDING}, pf(profile, off, {', '.join('w_' + w for w in _WEIGHTED)}) AS (VALUES {_VALUES}),
+pc AS (SELECT profile, query_id, path, ordinal, start_line, end_line, score, score AS b, 1 AS own, snippet FROM fu, pf UNION ALL SELECT profile, query_id, replace(fu.path, '.test.ts', '.ts'), fc.ordinal, fc.start_line, fc.end_line, score, greatest(0, score * w_counterpart), 0, {_SNIP.replace('text', 'fc.text')} FROM fu JOIN fc ON fc.path = replace(fu.path, '.test.ts', '.ts'), pf WHERE fu.path LIKE '%.test.ts' AND NOT off),
+po AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile, query_id, path, ordinal, start_line, end_line ORDER BY b DESC, own DESC) AS best FROM pc) WHERE best = 1),
+pr AS (SELECT profile, query_id, path, ordinal, start_line, round(CASE WHEN off OR len(terms) = 0 THEN score ELSE w_base * b
+  + w_path * least(2.5, list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(path), t) THEN 0.25 ELSE 0 END + CASE WHEN contains(regexp_extract(lower(path), '([^/]*)$', 1), t) THEN 0.2 ELSE 0 END)))
+  + w_snippet * least(0.8, list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(snippet), t) THEN 0.08 ELSE 0 END)))
+  + w_symbol * least(2.2, list_sum(list_transform(terms, lambda t: CASE WHEN list_contains(words, t) THEN 0.7 WHEN len(list_filter(words, lambda x: contains(x, t))) > 0 THEN 0.25 ELSE 0 END)))
+  + w_role * CASE WHEN path LIKE '%.test.ts' THEN CASE WHEN {_INTENT('test')} THEN 0.4 WHEN {_INTENT('code')} THEN -0.85 ELSE -0.25 END WHEN path LIKE 'docs/%' THEN CASE WHEN {_INTENT('docs')} THEN 0.65 WHEN {_INTENT('code')} THEN -0.8 ELSE -0.15 END ELSE CASE WHEN {_INTENT('docs')} THEN 0.05 WHEN {_INTENT('code')} THEN 0.65 ELSE 0.15 END END
+  + w_graph * least(0.5, 0.04 * n_imports + 0.08 * n_imported_by) END, 9)::DOUBLE AS rank_score FROM po JOIN pf USING (profile) JOIN qq USING (query_id) JOIN wd USING (path) JOIN dg USING (path)),
+pp AS (SELECT * FROM (SELECT profile, query_id AS case_id, path, row_number() OVER (PARTITION BY profile, query_id ORDER BY rank_score DESC, path, start_line, ordinal) AS position FROM pr) WHERE position <= {K}),
+ph AS (SELECT profile, e.case_id, min(place) AS rank FROM (SELECT profile, case_id, path FROM e, pf) e LEFT JOIN {_FIRST('pp', 'profile, case_id')} z USING (profile, case_id, path) GROUP BY 1, 2)
+SELECT profile, count(*) AS cases, {_MEASURED} FROM ph GROUP BY profile"""
+_LINES = f"""lt AS (SELECT query_id AS case_id, lower(term) AS term FROM (SELECT query_id, unnest(list_filter({_TERMS}, lambda t, i: length(t) >= 3 AND list_position({_TERMS}, t) = i)[1 : 10]) AS term FROM q WHERE query_id LIKE 'b%')),
+ll AS (SELECT path, unnest(string_split(lower(t), chr(10))) AS c, generate_subscripts(string_split(lower(t), chr(10)), 1) AS line FROM f),
+lh AS (SELECT case_id, path, line, sum(CAST((length(c) - length(replace(c, term, ''))) / length(term) AS BIGINT)) + 0.25 * count(*) AS s FROM ll JOIN lt ON contains(c, term) GROUP BY 1, 2, 3),
+ln AS (SELECT * FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY round(sum(s), 6) DESC, min(line), path) AS position, path, CAST(round(sum(s), 6) AS DOUBLE) AS score, min(line) AS first_line FROM lh GROUP BY case_id, path) WHERE position <= {K})"""
+_METHODS = f"""{_FUSED}, {_HOLDING}, {_LINES}, mt AS (SELECT 'lines' AS method, case_id, path, position FROM ln UNION ALL SELECT 'keyword', query_id, path, position FROM kw WHERE position <= {K} UNION ALL SELECT 'hybrid', query_id, path, position FROM fu WHERE position <= {K}),
+mr AS (SELECT method, e.case_id, min(place) AS rank FROM (SELECT method, case_id, path FROM e, (SELECT unnest(['lines', 'keyword', 'hybrid']) AS method)) e LEFT JOIN {_FIRST('mt', 'method, case_id')} z USING (method, case_id, path) GROUP BY 1, 2)
+SELECT method, count(*) AS cases, {_MEASURED} FROM mr GROUP BY method"""
 _TAIL = "path, ordinal, start_line, end_line"
 ORACLES = {
     "keyword_chunks": f"{_words(K)} SELECT query_id, position, {_TAIL}, score, sha256(snippet) AS snippet_hash FROM kw",
@@ -299,6 +367,9 @@ ORACLES = {
     "context_pack": _PACK,
     "token_sections": f"WITH pk AS ({_PACK}), z AS (SELECT 'primary' AS section, ceil(primary_chars / 4) AS n FROM pk UNION ALL SELECT 'related_snippets', related_tokens FROM pk UNION ALL SELECT 'suggested_paths', ceil(length(paths) / 4) FROM pk UNION ALL SELECT 'snippets', tokens FROM pk) SELECT section, round(avg(n), 6) AS mean_tokens, CAST(max(n) AS BIGINT) AS most_tokens FROM z GROUP BY section",
     "rerank_comparison": _COMPARED,
+    "profile_matrix": _PROFILED,
+    "line_search_cases": f"{_BASE}, {_LINES} SELECT case_id, position, path, score, first_line FROM ln",
+    "method_comparison": _METHODS,
     "suite_metrics": _SUITES,
     "retrieval_ranks": f"{_EXPECTED} SELECT case_id, coalesce(rank, 0) AS rank FROM hr",
     "retrieval_metrics": f"{_EXPECTED} SELECT count(*) AS cases, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, quantile_disc(rank, 0.95) AS p95_rank, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) >= 1 AND avg(coalesce(1.0 / rank, 0.0)) >= 0.85 AS passed FROM hr",

@@ -111,6 +111,8 @@ def pending(chunks: DataFrame, embedded: DataFrame, most: int | None = None) ->
 
 def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], size: int, batch: int = 16) -> DataFrame:
     """chunk_id, vector of each chunk; texts go to the provider `batch` at a time, one by one where a batch is refused."""
+    if size <= 0 or batch <= 0:
+        raise ValueError("size and batch must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

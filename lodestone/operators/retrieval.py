@@ -6,7 +6,9 @@ postings and files are joined by key. Every list of results is cut to its best r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,6 +32,8 @@ def bounded(queries: DataFrame) -> DataFrame:
 
 def best(rows: DataFrame, by: list, k: int) -> DataFrame:
     """The first k rows of each query, with their position from 1; tasks cut their lists before they are shuffled."""
+    if k <= 0:
+        raise ValueError("k must be positive")
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("position") <= k)
 
 
@@ -127,27 +131,27 @@ def fuse(near: DataFrame, words: DataFrame, k: int) -> DataFrame:
     return best(rows, [F.desc("score"), *ORDER], k)
 
 
-def with_counterparts(found: DataFrame, chunks: DataFrame, ratio: float, snippet: int = 400) -> DataFrame:
+def with_counterparts(found: DataFrame, chunks: DataFrame, ratio: float, snippet: int = 400, only: bool = False) -> DataFrame:
     """Results (query_id, path, ordinal, start_line, end_line, score, snippet, kinds) with the sources that found tests stand beside.
 
-    A source comes with its first chunk and a share of the test's score; of one chunk the higher score stays.
+    A source comes with its first chunk and a share of the test's score; of one chunk the higher score stays. With `only`,
+    just the sources.
     """
     base = F.regexp_extract("path", r"^(.*)\.(?:test|spec)\.(?:[mc]?[tj]s|[tj]sx)$", 1)
     tests = found.withColumn("base", base).where("base <> ''")
     sources = tests.select("query_id", F.explode(F.array(*[F.concat("base", F.lit(x)) for x in EXTENSIONS])).alias("path"), F.greatest(F.lit(0.0), F.col("score") * ratio).alias("score"))
     first = chunks.join(F.broadcast(sources.select("path").distinct()), "path", "left_semi").groupBy("path").agg(F.min_by(F.struct("ordinal", "start_line", "end_line", "text"), "ordinal").alias("c"))  # paths: those of bounded results
     added = sources.join(first, "path").select("query_id", "path", "c.ordinal", "c.start_line", "c.end_line", "score", T.compact_snippet(F.col("c.text"), snippet).alias("snippet"), F.array(F.lit("local")).alias("kinds"), F.lit(0).alias("own"))
-    rows = found.select("query_id", *KEY, "score", "snippet", "kinds", F.lit(1).alias("own")).unionByName(added)
+    rows = added if only else found.select("query_id", *KEY, "score", "snippet", "kinds", F.lit(1).alias("own")).unionByName(added)
     return rows.groupBy("query_id", *KEY).agg(F.max_by(F.struct("score", "snippet", "kinds"), F.struct("score", "own")).alias("r")).select("query_id", *KEY, "r.*")
 
 
-def rerank(found: DataFrame, queries: DataFrame, chunks: DataFrame, symbols: DataFrame, degrees: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:
-    """query_id, position, path, ordinal, start_line, end_line, rank_score, kinds, snippet: results by what their files are and hold.
+def rank_parts(rows: DataFrame, queries: DataFrame, symbols: DataFrame, degrees: DataFrame) -> DataFrame:
+    """rows (query_id, KEY, snippet, ...) with n_terms and the parts of a rank without weights: in_path, in_text, in_names, role, graph.
 
     `symbols` has path, name, line, `degrees` path, n_imports, n_imported_by. Only rows of result files are joined.
     """
-    w = WEIGHTS | (weights or {})
-    rows = with_counterparts(found, chunks, w["counterpart"]).join(bounded(queries).select("query_id", T.query_terms(F.col("query")).alias("terms")), "query_id")
+    rows = rows.join(bounded(queries).select("query_id", T.query_terms(F.col("query")).alias("terms")), "query_id")
     paths = F.broadcast(rows.select("path").distinct())  # those of bounded results
     names = symbols.join(paths, "path", "left_semi").groupBy("path").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), lambda s: s["name"]), 1, 80).alias("names"))
     near = degrees.join(paths, "path", "left_semi")
@@ -161,5 +165,50 @@ def rerank(found: DataFrame, queries: DataFrame, chunks: DataFrame, symbols: Dat
     in_text = F.aggregate(terms, zero, lambda s, t: s + F.when(F.contains(text, t), 0.08).otherwise(0.0))
     in_names = F.aggregate(terms, zero, lambda s, t: s + F.when(F.array_contains(F.col("words"), t), 0.7).when(F.exists("words", lambda x: F.contains(x, t)), 0.25).otherwise(0.0))
     graph = F.least(F.lit(0.5), 0.04 * F.coalesce("n_imports", F.lit(0)) + 0.08 * F.coalesce("n_imported_by", F.lit(0)))
-    total = w["base"] * F.col("score") + w["path"] * F.least(F.lit(2.5), in_path) + w["snippet"] * F.least(F.lit(0.8), in_text) + w["symbol"] * F.least(F.lit(2.2), in_names) + w["role"] * T.role_score_of(F.col("path"), terms) + w["graph"] * graph
-    return best(rows.withColumn("rank_score", F.round(F.when(F.size(terms) > 0, total).otherwise(F.col("score")), 9)), [F.desc("rank_score"), *ORDER], k).select("query_id", "position", *KEY, "rank_score", "kinds", "snippet")
+    parts = {"n_terms": F.size(terms), "in_path": F.least(F.lit(2.5), in_path), "in_text": F.least(F.lit(0.8), in_text), "in_names": F.least(F.lit(2.2), in_names), "role": T.role_score_of(F.col("path"), terms), "graph": graph}
+    return rows.withColumns(parts).drop("terms", "names", "words", "n_imports", "n_imported_by")
+
+
+def rerank(found: DataFrame, queries: DataFrame, chunks: DataFrame, symbols: DataFrame, degrees: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """query_id, position, path, ordinal, start_line, end_line, rank_score, kinds, snippet: results by what their files are and hold.
+
+    A query without terms keeps its results as they are.
+    """
+    w = WEIGHTS | (weights or {})
+    termless = queries.where(F.size(T.query_terms(F.col("query"))) == 0).select("query_id")
+    plain = found.join(F.broadcast(termless), "query_id", "left_semi").select("query_id", *KEY, "score", "snippet", "kinds")  # of a bounded set
+    rest = with_counterparts(found.join(F.broadcast(termless), "query_id", "left_anti"), chunks, w["counterpart"])
+    rows = rank_parts(rest.unionByName(plain), queries, symbols, degrees)
+    total = w["base"] * F.col("score") + w["path"] * F.col("in_path") + w["snippet"] * F.col("in_text") + w["symbol"] * F.col("in_names") + w["role"] * F.col("role") + w["graph"] * F.col("graph")
+    return best(rows.withColumn("rank_score", F.round(F.when(F.col("n_terms") > 0, total).otherwise(F.col("score")), 9)), [F.desc("rank_score"), *ORDER], k).select("query_id", "position", *KEY, "rank_score", "kinds", "snippet")
+
+
+def profiles(spark: SparkSession, listed: list[dict]) -> DataFrame:
+    """profile, off and the weights of profiles {name, mode ("auto" or "off"), weights}: names are unique, weights known and finite."""
+    names = [p.get("name") for p in listed]
+    if any(not isinstance(n, str) or not n.strip() for n in names) or len(set(names)) != len(names):
+        raise ValueError("profiles need names of their own")
+    for p in listed:
+        w = p.get("weights") or {}
+        if p.get("mode", "auto") not in ("auto", "off") or set(w) - set(WEIGHTS) or any(isinstance(x, bool) or not isinstance(x, int | float) or not math.isfinite(x) for x in w.values()):
+            raise ValueError(f"profile {p['name']}: mode is auto or off, weights are finite numbers of {', '.join(WEIGHTS)}")
+    rows = [(p["name"], p.get("mode", "auto") == "off", *[float(x) for x in (WEIGHTS | (p.get("weights") or {})).values()]) for p in listed]
+    return spark.createDataFrame(rows, "profile string, off boolean, " + ", ".join(f"w_{n} double" for n in WEIGHTS))
+
+
+def rerank_profiles(found: DataFrame, queries: DataFrame, chunks: DataFrame, symbols: DataFrame, degrees: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """profile, query_id, position, path, ordinal, start_line, end_line, rank_score: the k best of every profile at once.
+
+    The parts of a candidate's rank are worked out once; each profile weighs them. A counterpart's share is a weight too, so
+    candidates stay apart until a profile has chosen the better score. "off" keeps the scores that came.
+    """
+    own = found.select("query_id", *KEY, "score", "snippet", F.lit(1).alias("own"))
+    beside = with_counterparts(found, chunks, 1.0, only=True).select("query_id", *KEY, "score", "snippet", F.lit(0).alias("own"))
+    parts = rank_parts(own.unionByName(beside), queries, symbols, degrees)
+    rows = parts.join(F.broadcast(table)).where((F.col("own") == 1) | ~F.col("off") & (F.col("n_terms") > 0))  # profiles: a stated list
+    base = F.when(F.col("own") == 1, F.col("score")).otherwise(F.greatest(F.lit(0.0), F.col("score") * F.col("w_counterpart")))
+    total = F.col("w_base") * base + F.col("w_path") * F.col("in_path") + F.col("w_snippet") * F.col("in_text") + F.col("w_symbol") * F.col("in_names") + F.col("w_role") * F.col("role") + F.col("w_graph") * F.col("graph")
+    scored = rows.withColumn("base", base).withColumn("rank_score", F.round(F.when(F.col("off") | (F.col("n_terms") == 0), F.col("score")).otherwise(total), 9))
+    once = scored.groupBy("profile", "query_id", *KEY).agg(F.max_by("rank_score", F.struct("base", "own")).alias("rank_score"))
+    place = F.row_number().over(Window.partitionBy("profile", "query_id").orderBy(F.desc("rank_score"), *ORDER))
+    return once.withColumn("position", place).where(F.col("position") <= k).select("profile", "query_id", "position", *KEY, "rank_score")
