@@ -349,9 +349,9 @@ pr AS (SELECT profile, query_id, path, ordinal, start_line, round(CASE WHEN off
 pp AS (SELECT * FROM (SELECT profile, query_id AS case_id, path, row_number() OVER (PARTITION BY profile, query_id ORDER BY rank_score DESC, path, start_line, ordinal) AS position FROM pr) WHERE position <= {K}),
 ph AS (SELECT profile, e.case_id, min(place) AS rank FROM (SELECT profile, case_id, path FROM e, pf) e LEFT JOIN {_FIRST('pp', 'profile, case_id')} z USING (profile, case_id, path) GROUP BY 1, 2)
 SELECT profile, count(*) AS cases, {_MEASURED} FROM ph GROUP BY profile"""
-_LINES = f"""lt AS (SELECT query_id AS case_id, lower(term) AS term FROM (SELECT query_id, unnest(list_filter({_TERMS}, lambda t, i: length(t) >= 3 AND list_position({_TERMS}, t) = i)[1 : 10]) AS term FROM q WHERE query_id LIKE 'b%')),
+_LINES = f"""lt AS (SELECT query_id AS case_id, lower(term) AS term, len(list_filter(range(1, length(term)), lambda i: starts_with(lower(term), substr(lower(term), i + 1)))) > 0 AS own FROM (SELECT query_id, unnest(list_filter({_TERMS}, lambda t, i: length(t) >= 3 AND list_position({_TERMS}, t) = i)[1 : 10]) AS term FROM q WHERE query_id LIKE 'b%')),
 ll AS (SELECT path, unnest(string_split(lower(t), chr(10))) AS c, generate_subscripts(string_split(lower(t), chr(10)), 1) AS line FROM f),
-lh AS (SELECT case_id, path, line, sum(CAST((length(c) - length(replace(c, term, ''))) / length(term) AS BIGINT)) + 0.25 * count(*) AS s FROM ll JOIN lt ON contains(c, term) GROUP BY 1, 2, 3),
+lh AS (SELECT case_id, path, line, sum(CASE WHEN own THEN len(list_filter(range(1, length(c) - length(term) + 2), lambda i: substr(c, i, length(term)) = term)) ELSE CAST((length(c) - length(replace(c, term, ''))) / length(term) AS BIGINT) END) + 0.25 * count(*) AS s FROM ll JOIN lt ON contains(c, term) GROUP BY 1, 2, 3),
 ln AS (SELECT * FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY round(sum(s), 6) DESC, min(line), path) AS position, path, CAST(round(sum(s), 6) AS DOUBLE) AS score, min(line) AS first_line FROM lh GROUP BY case_id, path) WHERE position <= {K})"""
 _METHODS = f"""{_FUSED}, {_HOLDING}, {_LINES}, mt AS (SELECT 'lines' AS method, case_id, path, position FROM ln UNION ALL SELECT 'keyword', query_id, path, position FROM kw WHERE position <= {K} UNION ALL SELECT 'hybrid', query_id, path, position FROM fu WHERE position <= {K}),
 mr AS (SELECT method, e.case_id, min(place) AS rank FROM (SELECT method, case_id, path FROM e, (SELECT unnest(['lines', 'keyword', 'hybrid']) AS method)) e LEFT JOIN {_FIRST('mt', 'method, case_id')} z USING (method, case_id, path) GROUP BY 1, 2)
