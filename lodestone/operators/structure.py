@@ -31,6 +31,7 @@ IMPORTS = {
     "rs": [r"^\s*use\s+([^;]+);", r"^\s*mod\s+([A-Za-z_]\w*)\s*;"],
     "go": [r"""^\s*import\s+["`]([^"`]+)["`]""", r"""^\s*["`]([^"`]+)["`]"""],
 }
+SIGNATURE = 240
 #: What a relative import may stand for, in the order tried; {n} the path, {r} without a run-time extension.
 TARGETS = ["{n}", "{r}", "{r}.ts", "{r}.tsx", "{r}.mts", "{r}.cts", "{n}.ts", "{n}.tsx", "{n}.js", "{n}.jsx", "{n}.mjs", "{n}.cjs", "{n}.py", "{n}/index.ts", "{n}/index.tsx", "{n}/index.js", "{n}/index.jsx"]
 
@@ -46,13 +47,22 @@ def lines(files: DataFrame) -> DataFrame:
 
 def symbols(files: DataFrame) -> DataFrame:
     """path, name, kind, line, signature, exported: on each line the first pattern that fits."""
+    return symbols_of_lines(lines(files))
+
+
+def symbols_of_lines(rows: DataFrame) -> DataFrame:
+    """The symbols of rows of path, line, content; a row with a symbol of its `own`, where that column is there, keeps it."""
     text = F.col("content")
     found = F.lit(None).cast("struct<kind:string,name:string,exported:boolean>")
     for kind, pattern, name, exported in reversed(SYMBOLS):
         mark = F.lit(False) if exported is None else text.rlike(r"\bpub\b") if exported == "pub" else F.length(F.regexp_extract(text, pattern, exported)) > 0
         found = F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, name).alias("name"), mark.alias("exported"))).otherwise(found)
-    signature = F.substring(F.regexp_replace(stripped(text), r"\s+", " "), 1, 240)
-    rows = lines(files).withColumn("found", found).where("found IS NOT NULL")
+    signature = F.substring(F.regexp_replace(stripped(text), r"\s+", " "), 1, SIGNATURE)
+    if "own" in rows.columns:
+        own = F.col("own")
+        found = F.when(own.isNotNull(), F.struct(own["kind"].alias("kind"), own["name"].alias("name"), own["exported"].alias("exported"))).otherwise(found)
+        signature = F.coalesce(own["signature"], signature)
+    rows = rows.withColumn("found", found).where("found IS NOT NULL")
     return rows.select("path", "found.name", "found.kind", "line", signature.alias("signature"), "found.exported")
 
 
@@ -60,14 +70,18 @@ def family(path: Column) -> Column:
     return F.when(path.rlike(r"\.py$"), "py").when(path.rlike(r"\.rs$"), "rs").when(path.rlike(r"\.go$"), "go").otherwise("js")
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """path, specifier, line: every import, once a line."""
-    text, specs = F.col("content"), F.array().cast("array<string>")
+def specifiers(path: Column, text: Column) -> Column:
+    """What a line of the file imports, each once."""
+    specs = F.array().cast("array<string>")
     for name, patterns in IMPORTS.items():
         all_ = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
-        specs = F.when(family(F.col("path")) == name, all_).otherwise(specs)
-    trimmed = F.array_distinct(F.filter(F.transform(specs, stripped), lambda s: s != ""))
-    return lines(files).select("path", "line", F.explode(trimmed).alias("specifier")).select("path", "specifier", "line")
+        specs = F.when(family(path) == name, all_).otherwise(specs)
+    return F.array_distinct(F.filter(F.transform(specs, stripped), lambda s: s != ""))
+
+
+def dependencies(files: DataFrame) -> DataFrame:
+    """path, specifier, line: every import, once a line."""
+    return lines(files).select("path", "line", F.explode(specifiers(F.col("path"), F.col("content"))).alias("specifier")).select("path", "specifier", "line")
 
 
 def joined_path(base: Column, relative: Column) -> Column:
