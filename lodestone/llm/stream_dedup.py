@@ -13,12 +13,13 @@ Equal texts: identical after deleting U+0020 and U+0009 to U+000D. The row with
 then the smallest doc_id, stays.
 
 Defined results: null text counts as empty, and all empty texts are one group; a null doc_id loses
-against any other; repeated (doc_id, text) rows are rows of their own in group_size and each come out;
+against any other; ids may be of any type that has an order; repeated (doc_id, text) rows are rows of their own in group_size and each come out;
 an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -65,8 +66,7 @@ def keep_state(stream: DataFrame, folder: str) -> DataFrame:
     for k, v in STORE.items():
         spark.conf.set(k, v)
     try:
-        order = F.struct("n_points", F.col("doc_id").isNotNull(), -F.col("doc_id"))
-        state = stream.groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), F.max_by(F.struct("doc_id", "locator"), order).alias("head"))
+        state = stream.groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("doc_id", "locator"), best()).alias("head"))
 
         def append(batch: DataFrame, number: int) -> None:  # a trigger that runs again writes the same folder again
             batch.write.mode("overwrite").parquet(f"{folder}/state/trigger={number}")
@@ -83,36 +83,51 @@ def keep_state(stream: DataFrame, folder: str) -> DataFrame:
     return log.groupBy("sha").agg(F.max("rows").alias("rows"), F.max_by("head", "rows").alias("head"))
 
 
-#: A row's place among its copies as one number: n_points, then the id downwards, no id last.
-_UNIT, _NO_ID = 10**20, 4 * 10**19
-RANK = f"CAST(n_points AS DECIMAL(38,0)) * {_UNIT} - coalesce(CAST(doc_id AS DECIMAL(38,0)), {_NO_ID})"
-BACK = f"CAST(nullif(CAST(ceil(best / {_UNIT}BD - 0.39BD) AS DECIMAL(38,0)) * {_UNIT} - best, {_NO_ID}) AS BIGINT)"
+def best() -> Column:
+    """The order of copies, the one that stays first: most code points, then an id before none, then the smallest id of any type."""
+    return F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))
 
 
-def groups(docs: DataFrame, folder: str | None = None, name: str = "dedup", files_a_trigger: int | None = None) -> DataFrame:
+def groups(docs: DataFrame, folder: str | None = None, name: str = "dedup", files_a_trigger: int | None = None, batch: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of a batch of documents.
 
-    With `folder` the batch joins the texts of all earlier calls with that folder, and is judged against them too.
+    With `folder` the batch joins the texts of all earlier calls with that folder, and is judged against them too. A call that
+    is repeated, after a failure or not, has the `batch` name of the first: its rows, which have landed under that name, count
+    once. Without a name each call is a batch of its own.
     """
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType
     folder = folder or scratch(spark, name)
-    call = f"{folder}/content/call={uuid.uuid4().hex[:12]}"
+    batch = batch or uuid.uuid4().hex[:12]
+    if not re.fullmatch(r"[\w\-]+", batch):
+        raise ValueError("a batch name has letters, digits, _ and - only")
     own = records(docs)
-    own.write.option("compression", "zstd").parquet(call)
-    landed = spark.read.schema(own.schema).parquet(call)
+    landed = land(own, folder, batch)
     if not landed.inputFiles() or landed.isEmpty():
         return landed.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     heads = stored(keep_state(located(spark.readStream, own.schema, folder, files_a_trigger), folder), f"{name}-heads")
     odd = stored(unequal(landed, heads, located(spark.read, own.schema, folder), name), f"{name}-unequal")
     out = landed.join(heads, "sha").select("sha", "norm", "doc_id", F.col("head.doc_id").alias("keep_id"), F.col("rows").alias("group_size"))
     if not odd.isEmpty():  # these digests stand for several texts: grouped by the bytes of all their rows
-        every = located(spark.read, own.schema, folder).join(odd, "sha", "left_semi").groupBy("sha", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.expr(RANK)).alias("best"))
-        theirs = landed.join(every, ["sha", "norm"]).select("sha", "norm", "doc_id", F.expr(BACK).cast(kind).alias("keep_id"), "group_size")
+        every = located(spark.read, own.schema, folder).join(odd, "sha", "left_semi").groupBy("sha", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.min_by("doc_id", best()).alias("keep_id"))
+        theirs = landed.join(every, ["sha", "norm"]).select("sha", "norm", "doc_id", "keep_id", "group_size")
         out = out.join(odd, "sha", "left_anti").unionByName(theirs)
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def land(own: DataFrame, folder: str, batch: str) -> DataFrame:
+    """The rows of a batch in the content table: written beside it and moved in whole, unless they are there already."""
+    spark = own.sparkSession
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    call, beside = f"{folder}/content/call={batch}", f"{folder}/landing/call={batch}"
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(call)):
+        own.write.mode("overwrite").option("compression", "zstd").parquet(beside)
+        fs.mkdirs(path(f"{folder}/content"))
+        if not fs.rename(path(beside), path(call)):
+            raise OSError(f"{beside} cannot be moved to {call}")
+    return spark.read.schema(own.schema).parquet(call)
+
+
 def located(reader, schema, folder: str, files_a_trigger: int | None = None) -> DataFrame:
     """The content table, or the stream of it, with each row's locator."""
     reader = reader.schema(schema)

@@ -6,16 +6,21 @@ and format. Spellings of one value (a phone number with other punctuation, an ad
 share a canonical form and so a surrogate, everywhere in the corpus. Names and addresses are made of parts with
 surrogates of their own - a family name, given names by gender, a mailbox, a domain - so that `Mr. John Smith` and
 `Mr. Smith` keep one family name, and the mailboxes of one domain stay together. Names keep their title, their number of
-words and their script (Latin or Cyrillic); a mailbox keeps its punctuation, and from eight letters and digits on each of
+words and their script (Latin, Cyrillic or Greek; others become Latin); a mailbox keeps its punctuation, and from eight letters and digits on each of
 them its sort; domains keep their labels, below the reserved `.example`. A secret runs to its closing quote or, without
 quotes, to a blank, quote, bracket, comma or semicolon; a name takes all capitalised words and initials that follow. Distinct values stay distinct: surrogates
 that two values share, or that are some value of the corpus, are drawn again until none is left. That holds for each kind
 of part, and so for what is made of them.
 
+A name that a text introduces with a title is replaced in all of that text: each capitalised word elsewhere in it that is one of
+the name's parts (`John Smith`, `Smith's`, `Smith-like`) gets that part's surrogate, a family name's where it is both. A genitive `'s` stays
+behind the surrogate. The country in front of a phone number stays, where a sign sets it apart; addresses of private ranges
+stay in their range, and all others become addresses of the reserved block 240.0.0.0/4.
+
 Only distinct entities, and the texts that have any, are shuffled.
 
 Defined results: a null text stays null and an empty one empty; texts without entities come out as they are; rows
-repeat as they come, and equal values get equal surrogates in all of them; extra columns pass through, but for an input
+repeat as they come, each with the kinds of its own text, and equal values get equal surrogates in all of them; doc_id may be null or repeat; extra columns pass through, but for an input
 column `kinds` or `n_entities`, whose place the result takes.
 """
 
@@ -28,9 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored
 
-MALE = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Господин|Г-н"
-FEMALE = r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Señora|Sra\.|Госпожа|Г-жа"
+MALE = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Господин|Г-н|Κύριος"
+FEMALE = r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Señora|Sra\.|Госпожа|Г-жа|Κυρία"
 NAME = r"\p{Lu}[\p{L}'’-]+"
+#: A word that may be part of a name, without a genitive.
+WORD = r"(?<![\p{L}\p{N}_])\p{Lu}\p{L}+(?:['’-]\p{L}{2,})*(?![\p{L}\p{N}_])"
+JOINS, GENITIVE = "['’-]", r"['’][sS]?$"
 FULL_NAME = rf"{NAME}(?: (?!(?:{MALE}|{FEMALE}) \p{{Lu}})(?:\p{{Lu}}\. )*{NAME})*+"
 #: A secret's characters where no quotes end it; full stops and the like behind it are the sentence's.
 OPEN = r"""\s"'`<>()\[\]{},;"""
@@ -54,9 +62,11 @@ GIVEN = {
     ("man", "latin"): ["Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Noel", "Oscar", "Paul"],
     ("woman", "latin"): ["Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Paula"],
     ("man", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Игорь", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Степан"],
+    ("man", "greek"): ["Αλέξης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ευάγγελος", "Ζήσης", "Ηλίας", "Θωμάς", "Ιάσονας", "Κώστας", "Λάμπρος", "Μιχάλης", "Νίκος", "Ορέστης", "Πέτρος", "Στέφανος"],
+    ("woman", "greek"): ["Αγγελική", "Βαρβάρα", "Γεωργία", "Δάφνη", "Ελένη", "Ζωή", "Ηρώ", "Θάλεια", "Ιωάννα", "Καλλιόπη", "Λυδία", "Μαρία", "Νεφέλη", "Ουρανία", "Πηνελόπη", "Σοφία"],
     ("woman", "cyrillic"): ["Алла", "Вера", "Галина", "Дарья", "Ева", "Жанна", "Зоя", "Инна", "Кира", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья"],
 }
-SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ha", "ke", "li", "mo", "na", "pe", "ri", "so", "ta", "ve", "wi", "zo"], "cyrillic": ["ба", "де", "фи", "го", "ха", "ке", "ли", "мо", "на", "пе", "ри", "со", "та", "ве", "ви", "зо"]}
+SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ha", "ke", "li", "mo", "na", "pe", "ri", "so", "ta", "ve", "wi", "zo"], "cyrillic": ["ба", "де", "фи", "го", "ха", "ке", "ли", "мо", "на", "пе", "ри", "со", "та", "ве", "ви", "зо"], "greek": ["βα", "δε", "φι", "γο", "χα", "κε", "λι", "μο", "να", "πε", "ρι", "σο", "τα", "βε", "λα", "ζο"]}
 HONORIFIC = rf"^(?:{MALE}|{FEMALE}) "
 SECRET_HEAD, SECRET_TAIL = r"""(?s)^(.*?[=:]\s*["']?)""", r"""(["']?)$"""
 
@@ -67,16 +77,19 @@ def kind_of(value: Column) -> Column:
 
 MADE = ("man", "woman", "email")  # kinds whose values are made of parts
 GIVEN_KINDS = ("given man", "given woman")  # parts
+NAME_PARTS = ("family", *GIVEN_KINDS)  # in the order in which a word alone is read
 SUBSCRIBER = 10  # digits of a phone number behind the country's
+COUNTRY = r"^\+(\d{1,3})[ .\-(]"  # a country that a sign sets apart
 WIDEN = 6  # draws of one length
 
 
 def canonical(kind: Column, value: Column) -> Column:
     """One spelling of a value."""
     digits = F.regexp_replace(value, r"\D", "")
-    name = F.lower(F.regexp_replace(value, HONORIFIC, ""))
+    own = F.substr(digits, F.char_length(F.regexp_extract(value, COUNTRY, 1)) + 1)
+    name = F.lower(F.regexp_replace(F.regexp_replace(value, HONORIFIC, ""), GENITIVE, ""))
     core = F.regexp_replace(F.regexp_replace(value, r"""(?s)^.*?[=:]\s*["']?""", ""), SECRET_TAIL, "")
-    return F.when(kind == "phone", F.right(digits, F.lit(SUBSCRIBER))).when(kind.isin("card", "ssn"), digits).when(kind == "email", F.lower(value)).when(kind.isin("man", "woman"), name).when(kind == "secret", core).otherwise(value)
+    return F.when(kind == "phone", F.right(own, F.lit(SUBSCRIBER))).when(kind.isin("card", "ssn"), digits).when(kind == "email", F.lower(value)).when(kind.isin("man", "woman"), name).when(kind == "secret", core).otherwise(value)
 
 
 def _hex(key: str, kind: Column, value: Column, attempt: Column, n: int = 4) -> Column:
@@ -124,7 +137,7 @@ def luhn_digit(body: Column) -> Column:
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The canonical form of a value's surrogate."""
     h = _hex(key, kind, value, attempt)
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(value.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
     name = F.lit(None).cast("string")
     for (k, s), given in GIVEN.items():
         syllable = F.array(*[F.lit(x) for x in SYLLABLES[s]])
@@ -132,7 +145,10 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
         more = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(syllable, _byte(h, i % 128) % 16 + 1)), "")  # noqa: B023, E731
         first = F.element_at(F.array(*[F.lit(x) for x in given]), _byte(h, 0) % 16 + 1)
         name = F.when((kind == f"given {k}") & (script == s), F.when(attempt > 0, F.concat(first, more(attempt + 1))).otherwise(first)).when((kind == "family") & (script == s), F.initcap(more(attempt + 4))).otherwise(name)
-    ip = F.concat_ws(".", *[(_byte(h, i) % 223 + 1 if i == 0 else _byte(h, i)).cast("string") for i in range(4)])
+    octet = lambda i: _byte(h, i).cast("string")
+    block = F.when(value.rlike(r"^(?:10|127)\."), F.concat_ws(".", F.substring_index(value, ".", 1), octet(1)))
+    block = block.when(value.rlike(r"^192\.168\."), F.lit("192.168")).when(value.rlike(r"^172\.(?:1[6-9]|2\d|3[01])\."), F.concat(F.lit("172."), (_byte(h, 1) % 16 + 16).cast("string")))
+    ip = F.concat_ws(".", block.otherwise(F.concat_ws(".", (_byte(h, 0) % 15 + 240).cast("string"), octet(1))), octet(2), octet(3))
     card = F.concat(F.substring(value, 1, 1), _digits(h, 14))
     phone = F.substring(F.concat((_byte(h, 0) % 8 + 2).cast("string"), F.substring(_digits(h, 16), 2, 15)), F.lit(1), F.char_length(value))
     # where the values of a kind outgrow its surrogates, later draws are longer; names grow by syllables instead
@@ -155,13 +171,13 @@ def formatted(kind: Column, value: Column, new: Column) -> Column:
     """A surrogate in the punctuation, or behind the title or label, of the value that it replaces."""
     # a country's digits before a subscriber's stay; what a longer surrogate has left follows
     count = F.char_length(F.regexp_replace(value, r"\D", ""))
-    before = F.when(kind == "phone", F.greatest(count - SUBSCRIBER, F.lit(0))).otherwise(0)
+    before = F.when(kind == "phone", F.greatest(count - SUBSCRIBER, F.char_length(F.regexp_extract(value, COUNTRY, 1)))).otherwise(0)
     start = F.struct(F.lit("").alias("out"), (1 - before).alias("at"))
     put = lambda a, c: F.when(a["at"] < 1, c).otherwise(new.substr(a["at"], F.lit(1)))
     step = lambda a, c: F.when(c.rlike(r"\d"), F.struct(F.concat(a["out"], put(a, c)).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at")))
     fill = F.aggregate(F.split(value, ""), start, step, lambda a: F.concat(a["out"], F.substring(new, a["at"], F.char_length(new))))
     labelled = F.concat(F.regexp_extract(value, SECRET_HEAD, 1), new, F.regexp_extract(value, SECRET_TAIL, 1))
-    return F.when(kind.isin("phone", "card", "ssn"), fill).when(kind.isin("man", "woman"), F.concat(F.regexp_extract(value, HONORIFIC, 0), new)).when(kind == "secret", labelled).otherwise(new)
+    return F.when(kind.isin("phone", "card", "ssn"), fill).when(kind.isin("man", "woman"), F.concat(F.regexp_extract(value, HONORIFIC, 0), new, F.regexp_extract(value, GENITIVE, 0))).when(kind == "secret", labelled).otherwise(new)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -208,21 +224,39 @@ def surrogates_of(entities: DataFrame, key: str) -> DataFrame:
     return single.select("kind", "canon", F.col("part").alias("new")).unionByName(put.select("kind", "canon", F.when(F.col("kind") == "email", F.concat(joined, F.lit(".example"))).otherwise(joined).alias("new")))
 
 
+def name_parts(kind: Column, canon: Column, new: Column) -> Column:
+    """(of, word, new) of each word of a name, which has as many words as its surrogate; empty for other kinds. Initials are left out."""
+    pairs = F.zip_with(parts_of(kind, canon), F.split(new, " "), lambda p, n: F.struct(p["kind"].alias("of"), p["canon"].alias("word"), n.alias("new")))
+    none = F.array().cast("array<struct<of:string,word:string,new:string>>")
+    return F.when(kind.isin("man", "woman"), F.filter(pairs, lambda p: ~F.endswith(p["word"], F.lit(".")))).otherwise(none)
+
+
 def replace(docs: DataFrame, key: str = "lodestone") -> DataFrame:
     """The rows of docs with entities in `text` replaced; adds n_entities and kinds (distinct, sorted, comma-joined)."""
     cols = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     text = F.col("text").cast("string")
     values = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(*cols, F.coalesce(values, F.array().cast("array<string>")).alias("_values"))
-    flagged = rows.where(F.size("_values") > 0)
-    found = stored(flagged.select("doc_id", F.explode(F.array_distinct("_values")).alias("value")).distinct().withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value"))), "pii-found")
+    # a row's key: equal rows share their replacements, and rows without an id have each their own
+    key_of_row = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 256)
+    flagged = stored(rows.where(F.size("_values") > 0).withColumn("_row", key_of_row), "pii-flagged")
+    found = flagged.select("_row", F.explode(F.array_distinct("_values")).alias("value")).distinct().withColumn("kind", kind_of(F.col("value")))
+    found = stored(found.withColumn("canon", canonical(F.col("kind"), F.col("value"))), "pii-found")
     entities = stored(found.select("kind", "canon").distinct(), "pii-entities")
     table = surrogates_of(entities, key)
-    new = found.join(table, ["kind", "canon"]).select("doc_id", "kind", F.struct("value", formatted(F.col("kind"), F.col("value"), F.col("new")).alias("new")).alias("pair"))
-    by_doc = new.groupBy(F.col("doc_id").alias("_doc")).agg(F.map_from_entries(F.collect_set("pair")).alias("_map"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    new = found.join(table, ["kind", "canon"]).select("_row", "kind", F.struct("value", formatted(F.col("kind"), F.col("value"), F.col("new")).alias("new")).alias("pair"), name_parts(F.col("kind"), F.col("canon"), F.col("new")).alias("parts"))
+    part = lambda of: F.map_from_entries(F.array_distinct(F.flatten(F.collect_set(F.transform(F.filter("parts", lambda p: p["of"] == of), lambda p: F.struct(p["word"].alias("word"), p["new"].alias("new")))))))
+    by_row = new.groupBy("_row").agg(F.map_from_entries(F.collect_set("pair")).alias("_map"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), *[part(of).alias(f"_{i}") for i, of in enumerate(NAME_PARTS)])
+    of_word = lambda w: F.coalesce(*[F.element_at(F.col(f"_{i}"), F.lower(w)) for i in range(len(NAME_PARTS))])
+    one = lambda w: F.when(w.rlike(r"^\p{Lu}"), F.coalesce(of_word(w), w)).otherwise(w)
+    within = lambda w: F.array_join(F.zip_with(F.split(w, JOINS, -1), F.regexp_extract_all(w, F.lit(f"({JOINS})"), F.lit(1)), lambda p, j: F.concat(one(p), F.coalesce(j, F.lit("")))), "")
+    told = lambda w: F.coalesce(of_word(w), F.when(w.rlike(JOINS), within(w)), w)
+    later = lambda p: F.array_join(F.zip_with(F.split(p, WORD, -1), F.regexp_extract_all(p, F.lit(f"({WORD})"), F.lit(1)), lambda q, w: F.concat(q, F.coalesce(told(w), F.lit("")))), "")
+    named = F.size("_0") > 0  # each name has a family name
     pieces = F.split(text, ANY, -1)
+    pieces = F.when(named, F.transform(pieces, later)).otherwise(pieces)
     filled = F.array_join(F.zip_with(pieces, F.col("_values"), lambda p, v: F.concat(p, F.coalesce(F.element_at(F.col("_map"), v), F.lit("")))), "")
     others = [c for c in cols if c != "text"]
-    changed = flagged.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc"))).select(*others, filled.alias("text"), F.size("_values").cast("long").alias("n_entities"), "kinds")
+    changed = flagged.join(by_row, "_row").select(*others, filled.alias("text"), F.size("_values").cast("long").alias("n_entities"), "kinds")
     plain = rows.where(F.size("_values") == 0).select(*others, text.alias("text"), F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
     return plain.unionByName(changed).select(*cols, "n_entities", "kinds")
