@@ -132,15 +132,51 @@ def test_decontamination(spark):
     texts = [f"-{rng.choice(voc)}, " + ", ".join(rng.choice(voc) for _ in range(rng.randint(0, 40))) for _ in range(40)] + [f"x! {items[5][1]}; y" for _ in range(2)]
     docs, rows = odd_docs(spark, texts)
     bench = spark.createDataFrame(items + [(None, "a")], "item_id long, text string")
-    for most in (1 << 20, 300):  # one automaton, and several
-        got = {(r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in decontaminate.scan(docs, bench, most_bytes=most).collect()}
-        assert got == {(r[0], n, h, tuple(f)) for r in rows for n, h, f in [brute_hits(r[1], items)]}
+    got = {(r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in decontaminate.scan(docs, bench).collect()}
+    assert got == {(r[0], n, h, tuple(f)) for r in rows for n, h, f in [brute_hits(r[1], items)]}
     for r in decontaminate.scan(docs, bench).where("n_hit > 0").join(docs, "doc_id").collect():
         assert sum(len(ALNUM.findall(r.text[s.start : s.end].translate(LOWER))) for s in r.spans) == r.n_hit
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_by_a_large_benchmark_in_one_scan(spark):
+    """An item of 3 MB and many others, far beyond a lane and a slice; overlapping windows of few words."""
+    rng = random.Random(11)
+    common_words = [f"c{i}" for i in range(40)]
+    long = [rng.choice(common_words) if rng.random() < 0.7 else f"r{rng.randrange(10**6)}" for _ in range(700_000)]
+    items = [("long", " ".join(long))] + [(f"i{i}", " ".join(rng.choice(common_words) for _ in range(rng.randint(1, 60)))) for i in range(2000) if i % 50 or i == 0]
+    items = [x for x in items if len(x[1].split()) >= 6]
+    assert len(items[0][1]) > 3 << 20 and any(6 <= len(t.split()) < 13 for _, t in items)
+    texts = []
+    for i in range(60):
+        w = [rng.choice(common_words) for _ in range(rng.randint(0, 2000))]
+        for _ in range(i % 4):
+            at, n = rng.randrange(len(long) - 400), rng.choice([12, 13, 14, 300])
+            w[len(w) // 2 : len(w) // 2] = long[at : at + n]
+        texts.append(" ".join(w))
+    windows = {}
+    for name, t in items:
+        w = t.split()
+        for j in range(max(1, len(w) - 12)):
+            windows.setdefault(tuple(w[j : j + 13]), set()).add(name)
+    sizes, want = sorted({len(k) for k in windows}), set()
+    for i, t in enumerate(texts):
+        w, hit, found = t.split(), set(), set()
+        for j in range(len(w)):
+            for n in sizes:
+                own = windows.get(tuple(w[j : j + n]))
+                if own and j + n <= len(w):
+                    hit |= set(range(j, j + n))
+                    found |= own
+        want.add((i, len(w), len(hit), tuple(sorted(found))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.scan(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert {(r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in got.collect()} == want and any(r[2] for r in want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
 def test_warc(spark):
     html = [None, "", "x", "x", "hé\r\n\r\nWARC/1.1\r\n", "hé\r\n\r\nWARC/1.1\r\n", "y" * 200_000, "solo"]
     rows = [(9 - i, f"http://h/{i}\r\nX: y" if i else None, h, 1) for i, h in enumerate(html)] + [(None, "q", "x", 1)]
