@@ -77,6 +77,50 @@ def test_toxicity_gradient():
     assert np.allclose(whole, [m.logits(x, np.array([0, len(x)]))[0] for x in (ids[:5], ids[:0], ids[5:])], atol=1e-5)
 
 
+def test_toxicity_gradients_are_those_of_the_loss(monkeypatch):
+    """Each weight by central differences, texts shorter than a filter and chunks of a few words included."""
+    monkeypatch.setattr(toxicity, "CHUNK", 4)
+    rng = np.random.default_rng(4)
+    m = toxicity.Toxicity(bits=5, dim=3, filters=2)
+    m.start()
+    for name in ("emb", "conv", "bias", "out"):
+        setattr(m, name, rng.standard_normal(getattr(m, name).shape))
+    ids, splits, y = rng.integers(0, 32, (24, 7)), np.array([0, 1, 3, 12, 24]), np.array([1.0, 0, 1, 0])
+
+    def loss():
+        z = m.logits(ids, splits).astype(np.float64)
+        return np.mean(np.log1p(np.exp(-z)) + (1 - y) * z)
+
+    grad, pos, gw = m.gradients(ids, splits, y)
+    grad["emb"] = np.zeros_like(m.emb)
+    for at, g in zip(pos, gw):
+        for i in ids[at]:
+            grad["emb"][i] += g
+    for name, got in grad.items():
+        weights = getattr(m, name)
+        for i in np.ndindex(weights.shape):
+            old, step = weights[i], 1e-3
+            weights[i] = old + step
+            up = loss()
+            weights[i] = old - step
+            down = loss()
+            weights[i] = old
+            assert abs((up - down) / (2 * step) - got[i]) < 5e-3, (name, i)
+
+
+def test_toxicity_thresholds_by_language():
+    """Many rows set their own threshold, few lean on all rows, and an unknown language takes the common one."""
+    n = 400
+    y = np.tile([1.0, 0.0], n)
+    scores = np.where(y == 1, 0.3, 0.1)
+    scores[: 2 * n - 20] = np.where(y[: 2 * n - 20] == 1, 0.9, 0.7)
+    langs = ["en"] * (2 * n - 20) + ["es"] * 20
+    own, common_one = toxicity.calibrate(scores, y, langs, 0.5)
+    assert own["en"] > 0.7 and common_one > 0.7 and own["es"] > 0.7
+    own, _ = toxicity.calibrate(scores, y, langs, 0.5, weight=0)
+    assert 0.1 < own["es"] <= 0.3
+
+
 def brute_dedup(rows):
     groups = {}
     for d, t, *_ in rows:
