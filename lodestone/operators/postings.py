@@ -2,8 +2,10 @@
 
 Chunks are put in the order of their keys and numbered, and cut into shards of at most `SHARD` chunks and some `SHARD_CHARS`
 characters. A block holds what one shard has of one trigram: delta-coded numbers of chunks, and delta-coded places in each,
-those of the path before those of the text; and, uncoded, how many chunks and places. Blocks are written in ranges of the
-trigram, and a list of each file's first and last trigram is kept, so that a search only opens the files of its own trigrams.
+those of the path before those of the text; and, uncoded, how many chunks and places. Texts are shuffled once, by their keys:
+a task numbers its chunks, makes their blocks and writes them in the order of the trigram, so that blocks, which are larger
+than texts, are neither shuffled nor made twice. A list of each file's first and last trigram is kept; a search opens the
+files that may have any of its own, and of these reads the pages whose bounds allow a trigram.
 
 A search has two passes. The first brings the blocks of the wanted trigrams together by shard. There a term's trigrams are
 met one by one, the rarest first, and a block whose chunks are none of those left is not read further: a term stands where
@@ -15,6 +17,7 @@ before; a shard whose terms together cannot reach it is skipped for that query,
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -32,11 +35,13 @@ GRAM = 3
 LENGTHS = -1  # stands for a trigram: blocks of the chunks' own lengths
 SLACK = 2e-6  # scores are compared after rounding to six places
 
+MOST_FILTERS = 64  # trigrams that are compared with the bounds of pages, one by one
+
 _BLOCKS = "gram long, shard long, n int, n_places int, chunks binary, counts binary, places binary"
 
 
 class Index(NamedTuple):
-    docs: DataFrame  #: number, path, ordinal, start_line, end_line
+    docs: DataFrame  #: number, path, ordinal, start_line, end_line, d
     blocks: DataFrame  #: of all trigrams
     files: list  #: (first trigram, last trigram, file), by first trigram
     n: int  #: chunks
@@ -108,8 +113,8 @@ def _numbered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(shard), pa.array(shard << 12 | number)], names=[*keep, "shard", "number"])
 
 
-def _shard_blocks(shard: int, numbers: np.ndarray, paths: list[str], texts: list[str]) -> Iterator[pa.RecordBatch]:
-    """The blocks of some chunks of one shard."""
+def _shard_blocks(shard: int, numbers: np.ndarray, paths: list[str], texts: list[str], docs: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The blocks of one shard; that of lengths has what is known of its chunks, too."""
     pieces, lengths = [], []
     for p, t in zip(paths, texts):
         a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64) for x in (p, t))
@@ -139,26 +144,33 @@ def _shard_blocks(shard: int, numbers: np.ndarray, paths: list[str], texts: list
     ends = np.append(heads, len(gram))[edges]
     own = np.array([0, len(numbers)])
     facts = [np.diff(np.append(0, numbers & 4095)), np.array([a for a, _ in lengths]), np.array([b for _, b in lengths])]
-    names = ["gram", "shard", "n", "n_places", "chunks", "counts", "places"]
+    names = ["gram", "shard", "n", "n_places", "chunks", "counts", "places", "docs"]
     few = pa.array(np.full(1, len(numbers)), pa.int32())
-    yield pa.RecordBatch.from_arrays([pa.array([LENGTHS], pa.int64()), pa.array([shard], pa.int64()), few, few, *[_cut(x, own) for x in facts]], names=names)
-    yield pa.RecordBatch.from_arrays([pa.array(gram[heads[edges[:-1]]] if len(gram) else gram, pa.int64()), pa.array(np.full(len(edges) - 1, shard), pa.int64()), pa.array(np.diff(edges), pa.int32()), pa.array(np.diff(ends), pa.int32()), _cut(step, edges), _cut(counts, edges), _cut(gap, ends)], names=names)
+    known = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+    yield pa.RecordBatch.from_arrays([pa.array([LENGTHS], pa.int64()), pa.array([shard], pa.int64()), few, few, *[_cut(x, own) for x in facts], known], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(gram[heads[edges[:-1]]] if len(gram) else gram, pa.int64()), pa.array(np.full(len(edges) - 1, shard), pa.int64()), pa.array(np.diff(edges), pa.int32()), pa.array(np.diff(ends), pa.int32()), _cut(step, edges), _cut(counts, edges), _cut(gap, ends), pa.nulls(len(edges) - 1, known.type)], names=names)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], known: list[str]) -> Iterator[pa.RecordBatch]:
+    """Blocks of each run of rows of one shard, whose columns `known` are kept."""
+    now, held = None, []
 
+    def made() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        docs = pa.StructArray.from_arrays([rows[c] for c in known], names=known)
+        return _shard_blocks(now, rows["number"].to_numpy(), rows["low_path"].to_pylist(), rows["low_text"].to_pylist(), docs)
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of each run of rows of one shard. A shard that two tasks read parts of has two blocks of a trigram."""
-    now, numbers, paths, texts = None, [], [], []
     for batch in batches:
-        for shard, number, path, text in zip(*(batch[c].to_pylist() for c in ("shard", "number", "low_path", "low_text"))):
-            if shard != now and numbers:
-                yield from _shard_blocks(now, np.array(numbers), paths, texts)
-                numbers, paths, texts = [], [], []
-            now = shard
-            numbers.append(number)
-            paths.append(path)
-            texts.append(text)
-    if numbers:
-        yield from _shard_blocks(now, np.array(numbers), paths, texts)
+        shard = batch["shard"].to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else np.zeros(1, np.int64)
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if shard[x] != now and held:
+                yield from made()
+                held = []
+            now = int(shard[x])
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield from made()
 
 
 def build(chunks: DataFrame, path: str | None = None, shard: int = SHARD) -> Index:
@@ -170,28 +182,32 @@ def build(chunks: DataFrame, path: str | None = None, shard: int = SHARD) -> Ind
         raise ValueError("a shard has 1 to 4096 chunks")
     spark = chunks.sparkSession
     path = path or scratch(spark, "keyword-index")
-    text = F.coalesce("text", F.lit(""))
-    rows = chunks.select("path", "start_line", "ordinal", "end_line", F.lower("path").alias("low_path"), F.lower(text).alias("low_text"), (F.char_length("path") + F.char_length(text)).alias("size"), (2 * F.greatest(F.length("path") - 2, F.lit(0)) + F.greatest(F.length(text) - 2, F.lit(0))).cast("long").alias("d"))
     order = ["path", "start_line", "ordinal"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
-    kept = [f for f in rows.schema.fields if f.name != "size"]
-    dealt.mapInArrow(lambda batches: _numbered(batches, shard), T.StructType([*kept, T.StructField("shard", T.LongType()), T.StructField("number", T.LongType())])).write.parquet(f"{path}/numbered")
-    numbered = spark.read.parquet(f"{path}/numbered")
-    numbered.select("number", *order, "end_line", "d").write.parquet(f"{path}/docs")
-    made = numbered.select("shard", "number", "low_path", "low_text").mapInArrow(_blocks, _BLOCKS)
-    made.repartitionByRange("gram", "shard").sortWithinPartitions("gram", "shard").write.parquet(f"{path}/blocks")
-    discard(f"{path}/numbered")
+    dealt = chunks.select(*order, "end_line", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    length, front = F.char_length("text"), F.char_length("path")
+    d = (2 * F.greatest(front - 2, F.lit(0)) + F.greatest(length - 2, F.lit(0))).cast("long").alias("d")
+    rows = dealt.select(*order, "end_line", F.lower("path").alias("low_path"), F.lower("text").alias("low_text"), (front + length).alias("size"), d, F.spark_partition_id().alias("pid"))
+    known = [*order, "end_line", "d"]
+    docs = T.StructType([T.StructField("number", T.LongType()), *[T.StructField(c, rows.schema[c].dataType) for c in known]])
+    schema = T.StructType([*T.StructType.fromDDL(_BLOCKS).fields, T.StructField("docs", T.ArrayType(docs))])
+    made = rows.mapInArrow(lambda batches: _blocks(_numbered(batches, shard), docs.names), schema)
+    made.sortWithinPartitions("gram", "shard").write.parquet(f"{path}/blocks")
     spans = spark.read.parquet(f"{path}/blocks").groupBy(F.input_file_name().alias("file")).agg(F.min("gram").alias("first"), F.max("gram").alias("last"))
-    whole = spark.read.parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean")).first()
+    whole = _docs(spark, path).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean")).first()
     facts = {"n": whole["n"], "mean": whole["mean"], "files": sorted([r["first"], r["last"], r["file"]] for r in spans.collect())}  # a row a file
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{path}/facts")  # last: an index without it is not whole
     return opened(spark, path)
 
 
+def _docs(spark: SparkSession, path: str) -> DataFrame:
+    """number, path, start_line, ordinal, end_line, d of every chunk, from the blocks of lengths."""
+    return spark.read.parquet(f"{path}/blocks").where(F.col("gram") == LENGTHS).select(F.inline("docs"))
+
+
 def opened(spark: SparkSession, path: str) -> Index:
     """An index that build() wrote."""
     facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.schema(_BLOCKS).parquet(f"{path}/blocks"), facts["files"], facts["n"], facts["mean"], path)
+    return Index(_docs(spark, path), spark.read.schema(_BLOCKS).parquet(f"{path}/blocks"), facts["files"], facts["n"], facts["mean"], path)
 
 
 def blocks_of(index: Index, grams: set[int]) -> DataFrame:
@@ -202,7 +218,10 @@ def blocks_of(index: Index, grams: set[int]) -> DataFrame:
     if not files:
         return index.blocks.where("false")
     keys = spark.createDataFrame([(g,) for g in wanted], "gram long")  # those of a bounded set of queries
-    return spark.read.schema(_BLOCKS).parquet(*files).join(F.broadcast(keys), "gram", "left_semi")
+    rows = spark.read.schema(_BLOCKS).parquet(*files)
+    if len(wanted) <= MOST_FILTERS:
+        rows = rows.where(functools.reduce(lambda a, b: a | b, [F.col("gram") == g for g in wanted]))  # bounds of pages
+    return rows.join(F.broadcast(keys), "gram", "left_semi")
 
 
 # --- searching ---

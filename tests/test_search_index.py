@@ -193,3 +193,12 @@ def test_walks_are_those_of_a_queue(spark):
             assert [(r.path, r.depth, r.via) for r in got if r.query_id == q] == walk_by_hand(deps, ps, depth, most, each, role), (q, depth)
     with pytest.raises(ValueError):
         graph.walks(resolved, seeds, -1, 3)
+
+
+def test_a_build_writes_no_texts_and_no_shard_twice(spark, tmp_path):
+    """Besides blocks only the small list of facts is written; a shard has one block of a trigram, all in one file."""
+    path = f"{tmp_path}/index"
+    index = postings.build(spark.createDataFrame(some_chunks(), CHUNKS).repartition(3), path, shard=7)
+    assert {p.name for p in tmp_path.joinpath("index").iterdir()} == {"blocks", "facts"}
+    files = index.blocks.withColumn("file", F.input_file_name()).groupBy("shard").agg(F.count_distinct("file").alias("n"), F.count_distinct("gram").alias("grams"), F.count(F.lit(1)).alias("blocks")).collect()
+    assert files and all(r.n == 1 and r.grams == r.blocks for r in files)
