@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -64,6 +64,21 @@ def _usable(vector: str, dims: int):
     return v.isNotNull() & F.coalesce((F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
+def drawn_rows(rows: DataFrame, number: Column, total: int, n: int) -> list[list[float]]:
+    """The vectors of the n rows with the smallest numbers, which are hashes; rows are `total`.
+
+    Each task sends its n smallest to the driver, so rows are first cut at a number below which some more than n are expected:
+    what all tasks send together does not grow with the rows. Should fewer be there, the cut is widened.
+    """
+    share = (n + 6 * n**0.5 + 20) / max(total, 1)
+    while True:
+        some = rows.where(number <= F.lit(int(-(2**63) + share * 2**64))) if share < 1 else rows
+        got = [r["vector"] for r in some.orderBy(number).limit(n).select("vector").collect()]  # a bounded sample
+        if len(got) == n or share >= 1:
+            return got
+        share *= 4
+
+
 def build(rows: DataFrame, key: list[str], vector: str, dims: int, clusters: int | None = None, sample: int = SAMPLE, path: str | None = None) -> VectorIndex:
     """The index of all rows whose vector has `dims` finite elements; others are left out. Rows may repeat.
 
@@ -72,9 +87,11 @@ def build(rows: DataFrame, key: list[str], vector: str, dims: int, clusters: int
     """
     spark = rows.sparkSession
     path = path or scratch(spark, "vector-index")
-    good = rows.where(_usable(vector, dims)).select(*key, F.col(vector).cast("array<double>").alias("vector"))
+    # stored, as five passes follow, and a vector may be costly to make
+    given = stored(rows.select(*key, F.col(vector).cast("array<double>").alias("vector")), "vectors")
+    good = given.where(_usable("vector", dims))
     total = good.count()
-    drawn = [r["vector"] for r in good.orderBy(F.xxhash64(*key)).limit(sample).select("vector").collect()]  # a bounded sample
+    drawn = drawn_rows(good, F.xxhash64(*key), total, sample)
     centroids = fitted(np.array(drawn).reshape(-1, dims), clusters or min(MOST_CLUSTERS, max(1, int(total**0.5)))) if drawn else np.zeros((0, dims))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +102,7 @@ def build(rows: DataFrame, key: list[str], vector: str, dims: int, clusters: int
     schema = T.StructType([*good.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("radius", T.DoubleType())])
     order = ["cluster", "radius"]
     good.mapInArrow(run, schema).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    discard(given)
     held = spark.read.schema(schema).parquet(path)
     least, most, n = np.zeros(len(centroids)), np.zeros(len(centroids)), np.zeros(len(centroids), np.int64)
     for r in held.groupBy("cluster").agg(F.min("radius").alias("least"), F.max("radius").alias("most"), F.count(F.lit(1)).alias("n")).collect():  # a row a cluster
@@ -196,12 +214,12 @@ def probes_for(index: VectorIndex, k: int, recall: float = 0.9, sample: int = 20
     if not len(index.centroids):
         return 1
     spark = index.rows.sparkSession
-    drawn = index.rows.orderBy(F.xxhash64(F.lit("probe"), *index.key)).limit(sample).select("vector").collect()  # a bounded sample
-    asked = spark.createDataFrame([(i, r["vector"]) for i, r in enumerate(drawn)], "query_id int, vector array<double>")
+    drawn = drawn_rows(index.rows, F.xxhash64(F.lit("probe"), *index.key), int(index.n.sum()), sample)
+    asked = spark.createDataFrame(list(enumerate(drawn)), "query_id int, vector array<double>")
     near, met = nearest(index, asked, k + 1)
     found = near.where("position > 1").join(index.rows.select(*index.key, "cluster"), index.key).select("query_id", "cluster").collect()  # sample times k rows
     discard(near, met)
-    far = np.array([((index.centroids - np.array(r["vector"])) ** 2).sum(1) for r in drawn])
+    far = np.array([((index.centroids - np.array(v)) ** 2).sum(1) for v in drawn])
     place = far.argsort(1, kind="stable").argsort(1)
     ranks = np.sort([place[r["query_id"], r["cluster"]] for r in found])
     if not len(ranks):

@@ -202,3 +202,24 @@ def test_a_build_writes_no_texts_and_no_shard_twice(spark, tmp_path):
     assert {p.name for p in tmp_path.joinpath("index").iterdir()} == {"blocks", "facts"}
     files = index.blocks.withColumn("file", F.input_file_name()).groupBy("shard").agg(F.count_distinct("file").alias("n"), F.count_distinct("gram").alias("grams"), F.count(F.lit(1)).alias("blocks")).collect()
     assert files and all(r.n == 1 and r.grams == r.blocks for r in files)
+
+
+def test_a_vector_is_made_once_for_an_index(spark):
+    """The index passes over its rows several times; what makes their vectors runs once a row."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(300)], "id long, v array<double>")
+    assert int(vectors.build(rows.mapInArrow(run, rows.schema), ["id"], "v", 2).n.sum()) == 300 and made.value == 300
+
+
+@pytest.mark.parametrize("n", [1, 40, 399, 400, 900])
+def test_drawn_rows_are_those_of_the_smallest_hashes(spark, n):
+    rows = spark.range(400).select("id", F.array(F.col("id").cast("double")).alias("vector")).repartition(8)
+    want = [r.vector for r in rows.orderBy(F.xxhash64("id")).limit(n).collect()]
+    assert vectors.drawn_rows(rows, F.xxhash64("id"), 400, n) == want
+    assert vectors.drawn_rows(rows, F.xxhash64("id"), 4_000_000, n) == want  # a cut that is much too low is widened
