@@ -63,7 +63,8 @@ def semantic_chunks(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir, chunks):
-    return retrieval.fuse(_semantic(spark, sf_dir, chunks, 2 * K), _keyword(spark, sf_dir, chunks, 2 * K), 3 * K)
+    """Stored: ranking reads it several times, and each time would read all chunks twice."""
+    return stored(retrieval.fuse(_semantic(spark, sf_dir, chunks, 2 * K), _keyword(spark, sf_dir, chunks, 2 * K), 3 * K), "fused")
 
 
 def hybrid_chunks(spark, sf_dir):
@@ -75,9 +76,15 @@ def _graph(spark, sf_dir):
     return files, stored(structure.resolve(structure.dependencies(files), files), "resolved")
 
 
+def _known(fused, files, resolved):
+    """Symbols and degrees of the files that ranking may ask for; lines of no other file are looked at."""
+    own = files.join(F.broadcast(retrieval.candidate_paths(fused)), "path", "left_semi")  # paths of bounded results
+    return stored(structure.symbols(own).select("path", "name", "line"), "symbols"), stored(graph.degrees(own.select("path"), resolved), "degrees")
+
+
 def _ranked(spark, sf_dir, chunks, files, resolved):
-    symbols = structure.symbols(files).select("path", "name", "line")
-    return retrieval.rerank(_hybrid(spark, sf_dir, chunks), _queries(spark, sf_dir), chunks, symbols, graph.degrees(files, resolved), K)
+    fused = _hybrid(spark, sf_dir, chunks)
+    return retrieval.rerank(fused, _queries(spark, sf_dir), chunks, *_known(fused, files, resolved), K)
 
 
 def rerank_chunks(spark, sf_dir):
@@ -124,9 +131,7 @@ def context_pack(spark, sf_dir):
 def _expected(spark, sf_dir):
     """case_id, path: the files that hold an item's first six words, one after the other: an equi-join on them."""
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("case_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("words"))
-    w = F.col("w")
-    runs = F.when(F.size(w) >= 6, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 5), lambda i: F.array_join(F.slice(w, i, 6), " ")))).otherwise(F.array().cast("array<string>"))
-    return _files(spark, sf_dir).select("path", F.split("text", "[ \n]").alias("w")).select("path", F.explode(runs).alias("words")).join(F.broadcast(items), "words").select("case_id", "path").distinct()
+    return lines.holding(_files(spark, sf_dir).select("path", "text"), items, 6).select("case_id", "path").distinct()
 
 
 def _ranks(spark, sf_dir):
@@ -153,9 +158,8 @@ def _ranked_cases(found, expected):
 def rerank_comparison(spark, sf_dir):
     """Measures of the hybrid search with ranking and without, and what ranking adds."""
     chunks, (files, resolved), expected = _chunks(spark, sf_dir), _graph(spark, sf_dir), stored(_expected(spark, sf_dir), "expected")
-    fused = stored(_hybrid(spark, sf_dir, chunks), "fused")
-    symbols = structure.symbols(files).select("path", "name", "line")
-    auto = retrieval.rerank(fused, _queries(spark, sf_dir), chunks, symbols, graph.degrees(files, resolved), K)
+    fused = _hybrid(spark, sf_dir, chunks)
+    auto = stored(retrieval.rerank(fused, _queries(spark, sf_dir), chunks, *_known(fused, files, resolved), K), "ranked")
     runs = _ranked_cases(auto, expected).withColumn("mode", F.lit("auto")).unionByName(_ranked_cases(fused.where(F.col("position") <= K), expected).withColumn("mode", F.lit("off")))
     measured = stored(evaluate.measures_by(runs, "mode"), "measured")
     names = ["hit1", "hit3", "hit5", "mrr", "tokens", "hit5_per_1k"]
@@ -169,7 +173,7 @@ def suite_metrics(spark, sf_dir):
     Pages about a source are no results and no expected files.
     """
     expected = stored(_expected(spark, sf_dir).where("path NOT LIKE 'docs/%'"), "expected")
-    found = _keyword(spark, sf_dir, _chunks(spark, sf_dir), 20).select(F.col("query_id").alias("case_id"), "path", "position", "snippet")
+    found = stored(_keyword(spark, sf_dir, _chunks(spark, sf_dir), 20).select(F.col("query_id").alias("case_id"), "path", "position", "snippet"), "found")
     pages = _files(spark, sf_dir).where("path LIKE 'docs/%'").select("path")
     langs = _files(spark, sf_dir).select("doc_id", "path").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     own = expected.join(langs, "path").where("lang IS NOT NULL").select("case_id", F.col("lang").alias("suite")).distinct()
@@ -201,8 +205,8 @@ PROFILES = [
 def profile_matrix(spark, sf_dir):
     """Measures of the hybrid search under every profile of weights, from one pass over the candidates."""
     chunks, (files, resolved), expected = _chunks(spark, sf_dir), _graph(spark, sf_dir), stored(_expected(spark, sf_dir), "expected")
-    symbols = structure.symbols(files).select("path", "name", "line")
-    got = retrieval.rerank_profiles(_hybrid(spark, sf_dir, chunks), _queries(spark, sf_dir), chunks, symbols, graph.degrees(files, resolved), retrieval.profiles(spark, PROFILES), K)
+    fused = _hybrid(spark, sf_dir, chunks)
+    got = retrieval.rerank_profiles(fused, _queries(spark, sf_dir), chunks, *_known(fused, files, resolved), retrieval.profiles(spark, PROFILES), K)
     places = got.groupBy("profile", F.col("query_id").alias("case_id"), "path").agg(F.min("position").alias("first")).withColumn("place", F.row_number().over(Window.partitionBy("profile", "case_id").orderBy("first", "path")))
     hit = places.join(expected, ["case_id", "path"]).groupBy("profile", "case_id").agg(F.min("place").alias("rank"))
     cases = expected.select("case_id").distinct().join(F.broadcast(spark.createDataFrame([(p["name"],) for p in PROFILES], "profile string")))  # a stated list

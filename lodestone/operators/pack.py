@@ -48,7 +48,7 @@ def related_snippets(paths: DataFrame, chunks: DataFrame, each: int, snippet: in
 
     Each chunk is cut to `snippet` characters, then to what is left. A chunk that comes out empty ends its path.
     """
-    wanted = paths.select("path").distinct()
+    wanted = F.broadcast(paths.select("path").distinct())  # files near a bounded set of queries: texts are not shuffled
     first = F.row_number().over(Window.partitionBy("path").orderBy("ordinal"))
     heads = chunks.join(wanted, "path", "left_semi").withColumn("n", first).where(F.col("n") <= each)
     rows = paths.join(heads, "path").select("query_id", "at", "n", "path", "start_line", "end_line", cut_to(trim_end(F.col("text")), snippet).alias("snippet"), (F.length(trim_end(F.col("text"))) > snippet).alias("truncated"))

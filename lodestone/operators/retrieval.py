@@ -20,6 +20,7 @@ KEY = ["path", "ordinal", "start_line", "end_line"]  # chunks of one long line s
 ORDER = ["path", "start_line", "ordinal"]
 #: Extensions of source files that tests stand beside, and the weights of the parts of a rank.
 EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"]
+TEST = r"^(.*)\.(?:test|spec)\.(?:[mc]?[tj]s|[tj]sx)$"
 WEIGHTS = {"base": 1.0, "path": 1.0, "snippet": 1.0, "symbol": 1.0, "role": 1.0, "graph": 1.0, "counterpart": 0.85}
 
 
@@ -131,16 +132,23 @@ def fuse(near: DataFrame, words: DataFrame, k: int) -> DataFrame:
     return best(rows, [F.desc("score"), *ORDER], k)
 
 
+def candidate_paths(found: DataFrame) -> DataFrame:
+    """path: the files of results, and those that may be sources of tests among them; of bounded results, so for a broadcast."""
+    beside = found.select(F.regexp_extract("path", TEST, 1).alias("base")).where("base <> ''")
+    sources = beside.select(F.explode(F.array(*[F.concat("base", F.lit(x)) for x in EXTENSIONS])).alias("path"))
+    return found.select("path").unionByName(sources).distinct()
+
+
 def with_counterparts(found: DataFrame, chunks: DataFrame, ratio: float, snippet: int = 400, only: bool = False) -> DataFrame:
     """Results (query_id, path, ordinal, start_line, end_line, score, snippet, kinds) with the sources that found tests stand beside.
 
     A source comes with its first chunk and a share of the test's score; of one chunk the higher score stays. With `only`,
     just the sources.
     """
-    base = F.regexp_extract("path", r"^(.*)\.(?:test|spec)\.(?:[mc]?[tj]s|[tj]sx)$", 1)
-    tests = found.withColumn("base", base).where("base <> ''")
+    tests = found.withColumn("base", F.regexp_extract("path", TEST, 1)).where("base <> ''")
     sources = tests.select("query_id", F.explode(F.array(*[F.concat("base", F.lit(x)) for x in EXTENSIONS])).alias("path"), F.greatest(F.lit(0.0), F.col("score") * ratio).alias("score"))
     first = chunks.join(F.broadcast(sources.select("path").distinct()), "path", "left_semi").groupBy("path").agg(F.min_by(F.struct("ordinal", "start_line", "end_line", "text"), "ordinal").alias("c"))  # paths: those of bounded results
+    first = stored(first, "beside")  # chunks are read once, however often the rows below are
     added = sources.join(first, "path").select("query_id", "path", "c.ordinal", "c.start_line", "c.end_line", "score", T.compact_snippet(F.col("c.text"), snippet).alias("snippet"), F.array(F.lit("local")).alias("kinds"), F.lit(0).alias("own"))
     rows = added if only else found.select("query_id", *KEY, "score", "snippet", "kinds", F.lit(1).alias("own")).unionByName(added)
     return rows.groupBy("query_id", *KEY).agg(F.max_by(F.struct("score", "snippet", "kinds"), F.struct("score", "own")).alias("r")).select("query_id", *KEY, "r.*")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,26 @@ def test_guards(spark):
             retrieval.best(rows, ["x"], k)
         with pytest.raises(ValueError):
             index.embed(rows, index.length_provider(2), 2, k)
+
+
+def test_files_that_hold_a_phrase_are_those_of_every_run_of_words(spark):
+    rnd = random.Random(4)
+    texts = {f"f{i}": "".join(rnd.choice("ab") + rnd.choice(["", rnd.choice("ab")]) + rnd.choice([" ", " ", "\n", "  "]) for _ in range(rnd.randint(0, 40))) for i in range(60)} | {"none": None, "empty": ""}
+    phrases = [(f"p{i}", " ".join("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 2))) for _ in range(3))) for i in range(30)] + [("short", "a b"), ("null", None), ("twin", "a a a"), ("blank", "a  b")]
+    want = {(c, p) for c, w in phrases if w and len(w.split(" ")) == 3 for p, t in texts.items() for v in [(t or "").replace("\n", " ").split(" ")] if any(v[i : i + 3] == w.split(" ") for i in range(len(v)))}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    got = lines.holding(files, spark.createDataFrame(phrases, "case_id string, words string"), 3).collect()
+    assert sorted((r.case_id, r.path) for r in got) == sorted(want) and len(want) > 20
+
+
+def test_a_batch_is_worked_off_in_bounded_pieces():
+    texts = ["x" * n for n in (10, lines.MOST_BYTES // 2, lines.MOST_BYTES // 2 + 1, 3 * lines.MOST_BYTES, 0, 5)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    pieces = [b["text"].to_pylist() for b in lines.slices(batch, "text")]
+    assert sum(pieces, []) == texts and [len(p) for p in pieces] == [2, 1, 1, 3]
+
+
+def test_only_files_that_may_be_ranked_are_looked_at(spark):
+    found = spark.createDataFrame([("q", "src/a.test.ts"), ("q", "docs/x.md"), ("r", "docs/x.md")], "query_id string, path string")
+    got = [r.path for r in retrieval.candidate_paths(found).collect()]
+    assert sorted(got) == sorted(["src/a.test.ts", "docs/x.md", *["src/a" + e for e in retrieval.EXTENSIONS]])
