@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chunking, lexer, structure
+from . import chunking, lexer, lines, structure
 
 #: Why a file goes by line patterns.
 MISSING, LANGUAGE, LARGE, PARSE, FAILED = "missing_extractor", "unsupported_language", "too_large", "parse_error", "extractor_failed"
@@ -78,7 +78,7 @@ def extracted(files: DataFrame, name: str) -> DataFrame:
     extractor = EXTRACTORS.get(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for b in batches for piece in lines.slices(b, "text")):
             rows = []
             for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
                 reason, g = _read(extractor, path, text)
@@ -150,7 +150,7 @@ def chunk_files(files: DataFrame, name: str, limits: chunking.Limits = chunking.
     schema = pa.schema([("path", pa.string()), ("ordinal", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("text", pa.string()), ("reason", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for b in batches for piece in lines.slices(b, "text")):
             rows = []
             for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
                 reason, g = _read(extractor, path, text)
