@@ -2,10 +2,11 @@
 
 Each word is the sum of hashed embeddings of itself and of its first 3 to 8 bytes; filters one, two
 and three words wide slide over them, max pooling keeps each filter's best place, and a logistic
-layer gives the score. Labels are read from a bounded sample (`Toxicity.most_rows` a class); scoring
-is one narrow pass without a shuffle, a bounded number of words at a time. Thresholds are calibrated for each
-language on the scores that each learnt row gets from a fit without its fold, drawn towards a common one where a
-language has few rows; the fits run as tasks side by side. The score itself never sees language, source or id.
+layer gives the score. The fit reads every labelled row outside the held-out fold: these rows are stored in
+shards of a bounded size, a task goes over a shard in small batches, and after each pass the tasks' weights are averaged
+(each embedding over the tasks that met it). Scoring is one narrow pass without a shuffle, a bounded number of words at a
+time. Thresholds are calibrated for each language on the scores that each learnt row gets from a fit without its fold, drawn
+towards a common one where a language has few rows. The score itself never sees language, source or id.
 
 Defined results: null and empty texts are scored as texts without words; repeated rows are scored
 each; rows with null doc_id are scored, never learnt from; a label table that is empty or has one
@@ -14,22 +15,27 @@ class gives score 0.0 everywhere; extra columns pass through `score` unless they
 
 from __future__ import annotations
 
-import pickle
+import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, release, text_slices
+from .common import Words, discard, key_bitmap, release, stored, text_slices, with_hit
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WIDTHS = (1, 2, 3)
 SLICE = 256 << 10  # bytes of text that are scored at once
 CHUNK = 1 << 11  # words that filters run over at once
+HELD = 16 << 20  # bytes of text that a task keeps as word ids, where one shard is all there is
+BATCH_WORDS = 1 << 19  # words of an update, a longer text alone excepted
+PARTS = 16  # parts of the embeddings that are averaged side by side
+GRID = np.linspace(0.05, 0.95, 91)  # thresholds that are tried
 
 
 def word_ids(words: Words, bits: int) -> np.ndarray:
@@ -54,12 +60,12 @@ class Toxicity:
     bits: int = 16
     dim: int = 8
     filters: int = 32
-    epochs: int = 6
+    passes: int = 2  #: over all learnt rows at least
     steps: int = 400  #: few labelled rows are passed over again until there were so many updates
     rate: float = 0.02
     batch: int = 64
-    most_rows: int = 2500  #: labelled documents of a class that the fit reads at most
-    most_bytes: int = 24 << 20  #: bytes of text of a class that the fit reads at most
+    most_rows: int = 12_800  #: labelled documents of a shard, about; twice as many make two shards
+    most_bytes: int = 64 << 20  #: bytes of text of a shard, about; more make more shards
     seed: int = 7
     folds: int = 3  #: fits that leave out a part of the learnt rows, for thresholds
     emb: np.ndarray | None = None
@@ -156,34 +162,32 @@ class Toxicity:
             by_word.append(gg[:, None] * self.conv[:, at + which].T)
         return grad, np.concatenate(words), np.concatenate(by_word)
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
-        """Adam on the log loss, AdaGrad for the embeddings."""
-        self.start()
-        rng = np.random.default_rng(self.seed)
-        texts = [t if len(t) else np.zeros((1, 1 + len(PREFIXES)), np.uint32) for t in texts]
-        state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in (("conv", self.conv), ("bias", self.bias), ("out", self.out))}
-        seen = np.full(self.emb.shape, 1e-4, np.float32)
-        t = 0
-        epochs = max(self.epochs, -(-self.steps * self.batch // len(texts)))
-        for epoch in range(epochs):
-            order = rng.permutation(len(texts))
-            rate = self.rate / (1 + self.epochs * epoch / epochs)
-            for b in range(0, len(order), self.batch):
-                rows = order[b : b + self.batch]
-                splits = np.append(0, np.cumsum([len(texts[i]) for i in rows]))
-                ids = np.concatenate([texts[i] for i in rows])
-                grad, pos, gw = self.gradients(ids, splits, labels[rows].astype(np.float32))
-                t += 1
-                for k, v in grad.items():
-                    m, s = state[k]
-                    m += 0.1 * (v - m)
-                    s += 0.001 * (v * v - s)
-                    getattr(self, k)[...] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-7)
-                if len(pos):
-                    rows_i, back = np.unique(ids[pos].ravel(), return_inverse=True)
-                    total = sums(back.ravel(), np.repeat(gw, ids.shape[1], axis=0), len(rows_i))
-                    seen[rows_i] += total * total
-                    self.emb[rows_i] -= 2 * rate * total / np.sqrt(seen[rows_i])
+    def update(self, state: dict, ids: np.ndarray, splits: np.ndarray, y: np.ndarray, rate: float) -> None:
+        """One step on the log loss: Adam, and AdaGrad for the embeddings."""
+        grad, pos, gw = self.gradients(ids, splits, y)
+        state["t"] += 1
+        t = state["t"]
+        for k, v in grad.items():
+            m, s = state[k]
+            m += 0.1 * (v - m)
+            s += 0.001 * (v * v - s)
+            getattr(self, k)[...] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-7)
+        if len(pos):
+            hit = ids[pos].ravel()
+            place = np.zeros(len(self.emb), np.int64)
+            place[hit] = 1
+            rows = np.flatnonzero(place)
+            place[rows] = np.arange(len(rows))
+            total = sums(place[hit], np.repeat(gw, ids.shape[1], axis=0), len(rows))
+            state["seen"][rows] += total * total
+            self.emb[rows] -= 2 * rate * total / np.sqrt(state["seen"][rows])
+
+    def fresh_state(self) -> dict:
+        """What update() keeps between steps, before the first one."""
+        return {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in DENSE} | {"seen": np.full(self.emb.shape, 1e-4, np.float32), "t": 0}
+
+
+DENSE = ("conv", "bias", "out")
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -191,111 +195,244 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, model: Toxicity | None = None) -> Toxicity:
-    """Fit on at most `most_rows` labelled documents of a class, chosen by a hash of doc_id outside the held-out fold, and of
-    these on as many, in that order, as `most_bytes` of text hold; a doc_id that stands on several rows gives its least text.
+def learnable(docs: DataFrame, labels: DataFrame, model: Toxicity) -> tuple[DataFrame | None, int, int, float]:
+    """Every labelled document outside the held-out fold (doc_id, toxic, text, lang, fold), stored in shards of a random but fixed
+    order; the number of shards, that of rows and the share of toxic ones. None where a class has no rows.
 
-    Scores by fits that leave out a fold of these set each language's threshold.
+    A doc_id that stands on several rows gives its least text, and is toxic where one of its labels is. Only texts whose
+    doc_id may be labelled are shuffled, once.
     """
-    model = model or Toxicity()
-    bits, n = model.bits, model.most_rows
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    label = F.col("doc_id").cast(docs.schema["doc_id"].dataType)
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(label.alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = stored(known, "toxicity-labels")
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(share) < 2:
-        return model
-    order = F.xxhash64(F.col("doc_id"), F.lit(model.seed))
-    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(n).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(n))
+        discard(known)
+        return None, 0, 0, 0.0
+    bits = key_bitmap(known.select("doc_id"), "doc_id", "toxicity-bits")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    some = docs.select("doc_id", text.alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
-    one = some.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "toxic", "r.*")  # a row a doc_id
-    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(order, "doc_id"))  # over most_rows rows
-    rows = one.withColumn("so_far", so_far).where(F.col("so_far") <= model.most_bytes).drop("so_far")
+    some = docs.select("doc_id", text.alias("text"), lang.alias("lang")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    some = with_hit(some, bits, "doc_id").where("hit").select("doc_id", F.struct("text", "lang").alias("r"))
+    size = some.agg(F.count(F.lit(1)), F.sum(F.octet_length("r.text"))).first()
+    shards = max(1, int(size[0]) // model.most_rows, -(-int(size[1] or 0) // model.most_bytes))
+    both = some.withColumn("toxic", F.lit(None).cast("int")).unionByName(known.withColumn("r", F.lit(None).cast(some.schema["r"].dataType)))
+    one = both.repartition(shards, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("r").alias("r")).where("toxic IS NOT NULL AND r IS NOT NULL")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(model.seed), F.lit("fold")), F.lit(max(model.folds, 1))).cast("int")
+    order = F.xxhash64(F.col("doc_id"), F.lit(model.seed))
+    rows = stored(one.coalesce(shards).sortWithinPartitions(order, "doc_id").select("doc_id", "toxic", "r.text", "r.lang", fold.alias("fold")), "toxicity-rows")
+    discard(known, bits.words)
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(counts) < 2:
+        discard(rows)
+        return None, 0, 0, 0.0
+    return rows, shards, sum(counts.values()), counts[1] / sum(counts.values())
 
-    def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in text_slices(batch, "text", SLICE):
-                w = Words(data, offsets)
-                ids = word_ids(w, bits).astype(np.uint16 if bits <= 16 else np.uint32)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["lang"], part["toxic"], pa.array([ids[a:b].tobytes() for a, b in zip(w.splits[:-1], w.splits[1:])], pa.binary())], names=["doc_id", "lang", "toxic", "ids"])
-
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("lang", T.StringType()), T.StructField("toxic", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    got = sorted(rows.mapInArrow(feature, schema).toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["ids"]))
-    texts = [np.frombuffer(r["ids"], np.uint16 if bits <= 16 else np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in got]
-    y = np.array([r["toxic"] for r in got], np.float32)
-    if len(set(y.tolist())) < 2:
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, model: Toxicity | None = None) -> Toxicity:
+    """Fit on every labelled document outside the held-out fold; each language's threshold is set by scores of fits that leave
+    out a fold of these."""
+    model = model or Toxicity()
+    rows, shards, n, true = learnable(docs, labels, model)
+    if rows is None:
         return model
-    true = share.get(1, 0) / sum(share.values())
-    model, folded = fit_folds(docs.sparkSession, texts, y, model, true)
-    if folded is not None:
-        model.thresholds, model.common = calibrate(folded, y, [r["lang"] for r in got], true)
-    del got, texts
+    folds = model.folds if min(true, 1 - true) * n > model.folds - 0.5 else 0
+    passes = max(model.passes, -(-model.steps * model.batch * shards // n))
+    held = shards == 1 and rows.agg(F.sum(F.octet_length("text"))).first()[0] <= HELD
+    model.start()
+    fits = [(copied(model), model.fresh_state()) for _ in range(folds + 1)]
+    for at in range(0, passes, passes if held else 1):
+        fits = one_round(rows, fits, range(at, passes if held else at + 1), passes)
+    own = fits[-1][0]
+    if folds:
+        own.thresholds, own.common = least_errors(out_of_fold(rows, [m for m, _ in fits[:-1]]), true)
+    discard(rows)
     release()
-    return model
+    return own
+
 
+def copied(m: Toxicity) -> Toxicity:
+    """A model of the same settings and weights, which are its own."""
+    out = Toxicity(**{k: v for k, v in vars(m).items() if k != "thresholds"})
+    for k in ("emb", *DENSE):
+        setattr(out, k, getattr(m, k).copy())
+    return out
 
-def fit_folds(spark: SparkSession, texts: list[np.ndarray], y: np.ndarray, model: Toxicity, true: float) -> tuple[Toxicity, np.ndarray | None]:
-    """The model fitted on all of the learnt rows, and each row's score by a fit without its fold (None where a class has
-    fewer rows than folds). A fit is a task."""
-    folds = model.folds if min(y.sum(), (1 - y).sum()) >= model.folds else 0
-    fold = np.zeros(len(y), np.int64)
-    for label in (0, 1):
-        rows = np.flatnonzero(y == label)
-        fold[np.random.default_rng(model.seed + label).permutation(rows)] = np.arange(len(rows)) % max(folds, 1)
-    shared = spark.sparkContext.broadcast((np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts])), y, fold, model))  # most_rows and most_bytes a class
+
+def word_batches(batches: Iterator[pa.RecordBatch], m: Toxicity, leave: int, passes: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """pass, word ids, splits and labels of each update: rows of the fold `leave` are left out. Several passes hold the ids."""
+    kind = np.uint16 if m.bits <= 16 else np.uint32
+    empty = np.zeros((1, 1 + len(PREFIXES)), kind)
+
+    def texts() -> Iterator[tuple[np.ndarray, int]]:
+        for i, batch in enumerate(batches):
+            mixed = batch.take(pa.array(np.random.default_rng((m.seed, passes[0], i)).permutation(len(batch))))
+            for part, data, offsets in text_slices(mixed, "text", SLICE):
+                w = Words(data, offsets)
+                ids = word_ids(w, m.bits).astype(kind)
+                for toxic, fold, a, b in zip(part["toxic"].to_pylist(), part["fold"].to_pylist(), w.splits[:-1], w.splits[1:]):
+                    if fold != leave:
+                        yield ids[a:b] if b > a else empty, toxic
+
+    def cut(rows: Iterator[tuple[np.ndarray, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        some, words = [], 0
+        for row in rows:
+            if some and (len(some) == m.batch or words + len(row[0]) > BATCH_WORDS):
+                yield joined(some)
+                some, words = [], 0
+            some.append(row)
+            words += len(row[0])
+        if some:
+            yield joined(some)
+
+    if len(passes) == 1:
+        yield from ((passes[0], *b) for b in cut(texts()))
+        return
+    kept = [(ids.copy(), toxic) for ids, toxic in texts()]
+    for p in passes:
+        yield from ((p, *b) for b in cut(kept[i] for i in np.random.default_rng((m.seed, p)).permutation(len(kept))))
+
+
+def joined(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.concatenate([r[0] for r in rows]), np.append(0, np.cumsum([len(r[0]) for r in rows])), np.array([r[1] for r in rows], np.float32)
+
+
+def one_round(rows: DataFrame, fits: list[tuple[Toxicity, dict]], passes: range, of: int) -> list[tuple[Toxicity, dict]]:
+    """The fits after further passes: a task for each shard and fit, then the means of what these tasks changed.
+
+    Fit k leaves out fold k, the last one none. An embedding's change is the mean over the tasks that changed it, weighted by how
+    much each saw of it; other weights count by the tasks' updates. What travels is of the model's size for each shard of rows.
+    """
+    spark, last = rows.sparkSession, len(fits) - 1
+    shared = spark.sparkContext.broadcast(fits)  # of a size fixed by bits, dim, filters and folds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, splits, y, fold, model = shared.value
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                use, rest = np.flatnonzero((fold != k) | (k == folds)), np.flatnonzero((fold == k) & (k < folds))
-                m = replace(model)
-                m.fit([ids[splits[i] : splits[i + 1]] for i in use], y[use])
-                part = y[use].mean()
-                m.prior = float(np.log(true / (1 - true)) - np.log(part / (1 - part)))
-                s = [score_ids(m, ids[splits[i] : splits[i + 1]]) for i in rest]
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m) if k == folds else b""]), pa.array([rest.tolist()], pa.list_(pa.int64())), pa.array([s], pa.list_(pa.float64()))], names=["model", "rows", "scores"])
+        batches = iter(batches)
+        first = next(batches, None)
+        while first is not None and not len(first):
+            first = next(batches, None)
+        if first is None:
+            return
+        k = first["fit"][0].as_py()
+        start, begun = shared.value[k]
+        m = copied(start)
+        state = {x: (begun[x][0].copy(), begun[x][1].copy()) for x in DENSE} | {"seen": begun["seen"].copy(), "t": begun["t"]}
+        for p, ids, splits, y in word_batches(itertools.chain([first], batches), m, -1 if k == last else k, passes):
+            m.update(state, ids, splits, y, m.rate / (1 + DECAY * p / of))
+        who, out = TaskContext.get().partitionId(), []
+        met = np.flatnonzero((state["seen"] != begun["seen"]).any(1))
+        part = met * PARTS >> m.bits
+        for i in range(PARTS):
+            at = met[part == i]
+            if len(at):
+                out.append((k, i, who, 0.0, at.astype("<i4").tobytes(), (m.emb[at] - start.emb[at]).tobytes(), (state["seen"][at] - begun["seen"][at]).tobytes()))
+        dense = np.concatenate([a.ravel() for x in DENSE for a in (getattr(m, x), *state[x])]).astype(np.float32)
+        out.append((k, PARTS, who, float(state["t"] - begun["t"]), b"", dense.tobytes(), b""))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHANGES)], schema=_CHANGES)
         release()
 
-    done = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(run, "model binary, rows array<long>, scores array<double>").collect()
+    def mean(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("who")  # sums do not hang on the order of arrival
+        rows = table.to_pylist()
+        dim = shared.value[0][0].dim
+        if key[1].as_py() == PARTS:
+            weight = np.array([r["weight"] for r in rows])
+            total = sum(w * np.frombuffer(r["change"], np.float32).astype(np.float64) for w, r in zip(weight, rows)) / max(weight.sum(), 1e-9)
+            got = (b"", total.astype(np.float32).tobytes(), b"", float(weight.max()))
+        else:
+            at = np.unique(np.concatenate([np.frombuffer(r["at"], "<i4") for r in rows]))
+            num, den, times = np.zeros((len(at), dim)), np.zeros((len(at), dim)), np.zeros((len(at), 1))
+            for r in rows:
+                i = np.searchsorted(at, np.frombuffer(r["at"], "<i4"))
+                saw = np.frombuffer(r["seen"], np.float32).reshape(-1, dim).astype(np.float64)
+                num[i] += np.frombuffer(r["change"], np.float32).reshape(-1, dim) * saw
+                den[i] += saw
+                times[i] += 1
+            got = (at.astype("<i4").tobytes(), (num / np.maximum(den, 1e-30)).astype(np.float32).tobytes(), (den / times).astype(np.float32).tobytes(), 0.0)
+        return pa.table([[key[0].as_py()], [key[1].as_py()], [0], [got[3]], [got[0]], [got[1]], [got[2]]], schema=_CHANGES)
+
+    each = rows.select("toxic", "text", "fold")
+    todo = each.withColumn("fit", F.lit(0))
+    for k in range(1, len(fits)):
+        todo = todo.unionByName(each.withColumn("fit", F.lit(k)))
+    kinds = "fit int, part int, who int, weight double, at binary, change binary, seen binary"
+    done = todo.mapInArrow(run, kinds).groupBy("fit", "part").applyInArrow(mean, kinds).collect()  # of the size of the models
     shared.destroy()
-    scores = np.zeros(len(y))
     for r in done:
-        scores[r["rows"]] = r["scores"]
-    return pickle.loads(next(bytes(r["model"]) for r in done if r["model"])), scores if folds else None
-
+        m, state = fits[r["fit"]]
+        change = np.frombuffer(r["change"], np.float32)
+        if r["part"] < PARTS:
+            at = np.frombuffer(r["at"], "<i4")
+            m.emb[at] += change.reshape(-1, m.dim)
+            state["seen"][at] += np.frombuffer(r["seen"], np.float32).reshape(-1, m.dim)
+            continue
+        begin = 0
+        for x in DENSE:
+            for a in (getattr(m, x), *state[x]):
+                a[...] = change[begin : begin + a.size].reshape(a.shape)
+                begin += a.size
+        state["t"] += int(r["weight"])
+    return fits
+
+
+DECAY = 6  # the rate falls to a seventh by the last pass
+_CHANGES = pa.schema([("fit", pa.int32()), ("part", pa.int32()), ("who", pa.int32()), ("weight", pa.float64()), ("at", pa.binary()), ("change", pa.binary()), ("seen", pa.binary())])
+
+
+def out_of_fold(rows: DataFrame, models: list[Toxicity]) -> dict[str, np.ndarray]:
+    """For each language, how many learnt rows of each label have a score from each of GRID's values up to the next, by the fit
+    without their fold."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
-def score_ids(model: Toxicity, ids: np.ndarray) -> float:
-    return float(1 / (1 + np.exp(-np.float64(model.logits(ids, np.array([0, len(ids)]))[0]))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in text_slices(batch, "text", SLICE):
+                w, fold, x = Words(data, offsets), np.asarray(part["fold"]), np.zeros(len(part), np.float32)
+                ids, n = word_ids(w, shared.value[0].bits), np.diff(w.splits)
+                for k, m in enumerate(shared.value):
+                    own = fold == k
+                    x[own] = m.logits(ids[np.repeat(own, n)], np.append(0, np.cumsum(n[own])))
+                at = np.searchsorted(GRID, 1 / (1 + np.exp(-x.astype(np.float64))), "right")
+                yield pa.RecordBatch.from_arrays([part["lang"], part["toxic"], pa.array(at, pa.int32())], names=["lang", "toxic", "at"])
+
+    counts: dict[str, np.ndarray] = {}
+    for r in rows.select("lang", "toxic", "text", "fold").mapInArrow(run, "lang string, toxic int, at int").groupBy("lang", "toxic", "at").count().collect():  # up to 184 a language
+        counts.setdefault(r["lang"] or "", np.zeros((2, len(GRID) + 1), np.int64))[r["toxic"], r["at"]] += r["count"]
+    shared.destroy()
+    return counts
 
 
 def calibrate(scores: np.ndarray, y: np.ndarray, langs: list, true: float, weight: int = 20) -> tuple[dict, float]:
+    """least_errors() of rows."""
+    names, at = np.array(["" if x is None else x for x in langs]), np.searchsorted(GRID, scores, "right")
+    counts = {n: np.stack([np.bincount(at[(names == n) & (y == label)], minlength=len(GRID) + 1) for label in (0, 1)]) for n in set(names.tolist())}
+    return least_errors(counts, true, weight)
+
+
+def least_errors(counts: dict[str, np.ndarray], true: float, weight: int = 20) -> tuple[dict, float]:
     """For each language the threshold nearest to 0.5 whose error is within a standard error of the least, and the one for
-    any other language.
+    any other language. `counts` has the rows of each label by how many of GRID's values their score reaches.
 
     The error is a language's own rate and that of all rows together, which counts as much as `weight` rows of its rarer class.
     """
-    grid = np.linspace(0.05, 0.95, 91)
 
-    def errors(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def errors(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By threshold: the error, and its variance (of counts, none taken as certain)."""
-        s, t = scores[use], y[use]
-        w1, w0 = true / max(t.sum(), 1), (1 - true) / max((1 - t).sum(), 1)
-        missed = np.array([((s < g) & (t == 1)).sum() for g in grid])
-        alarms = np.array([((s >= g) & (t == 0)).sum() for g in grid])
+        w1, w0 = true / max(c[1].sum(), 1), (1 - true) / max(c[0].sum(), 1)
+        missed = np.cumsum(c[1])[:-1]
+        alarms = c[0].sum() - np.cumsum(c[0])[:-1]
         return w1 * missed + w0 * alarms, w1**2 * (missed + 1) + w0**2 * (alarms + 1)
 
     def least(loss: np.ndarray, variance: np.ndarray) -> float:
         best = int(loss.argmin())
-        return float(min(grid[loss <= loss[best] + variance[best] ** 0.5], key=lambda g: (round(abs(g - 0.5), 6), g)))
+        return float(min(GRID[loss <= loss[best] + variance[best] ** 0.5], key=lambda g: (round(abs(g - 0.5), 6), g)))
 
-    names, out = np.array(["" if x is None else x for x in langs]), {}
-    loss, variance = errors(np.ones(len(y), bool))
-    for lang in sorted(set(names.tolist())):
-        use = names == lang
-        rarer = min(y[use].sum(), (1 - y[use]).sum())
+    out = {}
+    loss, variance = errors(sum(counts.values()))
+    for lang, own_counts in sorted(counts.items()):
+        rarer = own_counts.sum(1).min()
         share = rarer / (rarer + weight) if rarer else 0.0
-        own, spread = errors(use)
+        own, spread = errors(own_counts)
         out[lang] = least(share * own + (1 - share) * loss, share**2 * spread + (1 - share) ** 2 * variance)
     return out, least(loss, variance)
 

@@ -68,6 +68,27 @@ def test_toxicity_learns_and_scores_everything(spark):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """No row of a class is left out for its number or its bytes, in one shard or many; the weights of many are one model."""
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.expr("concat('w', id % 7, ' ', if(id % 5 = 0, 'uglyterm', 'fine'), ' w', id % 11)").alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "uglyterm", "en"), (2, "a lesser text", None), (901, None, None)], "doc_id long, text string, lang string")).repartition(5)
+    labels = spark.range(903).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).cast("int").alias("toxic")).unionByName(spark.createDataFrame([(7, 1), (None, 1), (8, None)], "doc_id long, toxic int"))
+    want = {i: int(i % 5 == 0 or i == 7) for i in (*range(900), 901) if zlib.crc32(str(i).encode()) % 5}
+    for most_rows, most_bytes in ((10_000, 1 << 20), (60, 1 << 20), (10_000, 3000)):
+        model = toxicity.Toxicity(bits=10, most_rows=most_rows, most_bytes=most_bytes)
+        rows, shards, n, true = toxicity.learnable(docs, labels, model)
+        got = {r.doc_id: r for r in rows.collect()}
+        assert {d: r.toxic for d, r in got.items()} == want and n == rows.count() == len(want)
+        assert true == sum(want.values()) / len(want) and (shards > 1) == (most_rows < 100 or most_bytes < 10_000)
+        assert got[901].text == "" and (2 not in want or got[2].text == "a lesser text")
+        assert {r.fold for r in got.values()} == {0, 1, 2}
+    fitted = toxicity.fit_toxicity(docs, labels, toxicity.Toxicity(bits=10, most_rows=200, batch=16, steps=60))
+    again = toxicity.fit_toxicity(docs.repartition(3), labels, toxicity.Toxicity(bits=10, most_rows=200, batch=16, steps=60))
+    assert np.array_equal(fitted.emb, again.emb) and fitted.thresholds == again.thresholds
+    scores = toxicity.score(docs.where("doc_id NOT IN (2, 7, 901)"), fitted).collect()
+    assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in scores]) > 0.98
+
+
 def test_toxicity_gradient():
     rng = np.random.default_rng(0)
     m = toxicity.Toxicity(bits=6, dim=3, filters=2)
