@@ -5,47 +5,18 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..storage import discard, scratch, stored  # noqa: F401
+from ..storage import discard, key_bitmap, scratch, stored, with_hit  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- a filter for keys that some rows have ---
-
-#: Bits of a bitmap: 16 for each key, between these bounds. The upper one makes 2**20 rows of 64 bits; beyond some 16
-#: million keys ever more rows count as hits, until beyond 100 million a join behind it is a plain shuffle join.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
-_SPOT, _WORD, _BITS = "__bitmap_spot", "__bitmap_word", "__bitmap_bits"
-
-
-class Bitmap(NamedTuple):
-    words: DataFrame
-    bits: int
-
-
-def key_bitmap(keys: DataFrame, key: str, name: str) -> Bitmap:
-    """The hashes of the keys of a stored table as a stored bitmap of bounded size."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
-    spot = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias(_SPOT))
-    words = spot.groupBy((F.col(_SPOT) / 64).cast("int").alias(_WORD)).agg(F.expr(f"bit_or(shiftleft(1L, CAST({_SPOT} % 64 AS INT)))").alias(_BITS))
-    return Bitmap(stored(words, name), bits)
-
-
-def with_hit(rows: DataFrame, bitmap: Bitmap, key: str, hit: str = "hit") -> DataFrame:
-    """Adds `hit`: whether a row's key may be one of the bitmap's. The bitmap's bound holds for the broadcast."""
-    marked = rows.withColumn(_SPOT, F.pmod(F.xxhash64(key), F.lit(bitmap.bits))).withColumn(_WORD, (F.col(_SPOT) / 64).cast("int"))
-    return marked.join(F.broadcast(bitmap.words), _WORD, "left").withColumn(hit, F.expr(f"coalesce(getbit({_BITS}, CAST({_SPOT} % 64 AS INT)), 0) = 1")).drop(_SPOT, _WORD, _BITS)
-
-
 # --- words over Arrow text buffers -------------------------------------------------------------
 
 _B = np.arange(256)

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import discard, stored
+from ..storage import discard, key_bitmap, stored, with_hit
 
 BUCKETS = 64
 FILES = "files"
+_HIT = "__store_hit"
 
 
 class Run(NamedTuple):
@@ -81,6 +82,9 @@ def update(path: str, scanned: DataFrame, makers: dict[str, Callable[[DataFrame]
     """Bring the index at `path` to the files scanned (path, hash and what makers read), each path once.
 
     A maker gets rows of changed files and gives rows with a column `path`. The number of buckets is that of the first run.
+    Files are shuffled once, in the order of their buckets, and what makers give of them is written as it comes, so a narrow
+    maker's rows are not shuffled. Nor are rows that are carried over: a bitmap of bounded size tells most of them from those of
+    modified and missing files, and only what it leaves in doubt is joined.
     """
     spark = scanned.sparkSession
     before = latest(spark, path)
@@ -96,26 +100,33 @@ def update(path: str, scanned: DataFrame, makers: dict[str, Callable[[DataFrame]
     if before and not touched and set(makers) == set(before["tables"]):
         return Run(before["version"], counts, 0, 0)
     kept = states.where((F.col("state") == "kept") & F.col("bucket").isin(touched)).select("path")
-    changed = scanned.join(states.where("state IN ('new', 'modified')").select("path"), "path", "left_semi")
+    gone = stored(states.where("state IN ('modified', 'missing')").select("path"), "gone-files")
+    bits = key_bitmap(gone, "path", "gone-bits")
+    ordered = lambda files: stored(files.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket").drop("bucket"), "changed-files")
+    changed = ordered(scanned.join(states.where("state IN ('new', 'modified')").select("path"), "path", "left_semi"))
+    whole = None
     run = uuid.uuid4().hex[:12]
     version = {"version": before["version"] + 1 if before else 1, "bucket_count": buckets, "tables": {}}
     for name, make in makers.items():
         if before and name in before["tables"]:
             fresh, entry = make(changed), before["tables"][name]
             old = read(spark, path, name, before).where(F.col("bucket").isin(touched)).drop("bucket")
-            rows = old.join(kept, "path", "left_semi").unionByName(fresh.select(*old.columns))
+            marked = with_hit(old, bits, "path", _HIT)
+            maybe = marked.where(_HIT).select(*old.columns).join(kept, "path", "left_semi").repartition(bucket)  # rows of changed files, and few others
+            rows = marked.where(~F.col(_HIT)).select(*old.columns).unionByName(maybe.select(*old.columns)).unionByName(fresh.select(*old.columns))
             places = {b: r for b, r in entry["buckets"].items() if int(b) not in touched}
         else:  # a table that is new to the index is made of all files
-            rows, places = make(scanned), {}
+            whole = whole or (ordered(scanned) if before else changed)
+            rows, places = make(whole), {}
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
-        rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}/run={run}")
+        rows.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{path}/{name}/run={run}")
         for folder in _names(spark, f"{path}/{name}/run={run}"):
             if folder.startswith("bucket="):
                 places[folder.removeprefix("bucket=")] = run
         version["tables"][name] = {"schema": schema.jsonValue(), "buckets": places}
     _commit(spark, path, version)
     carried = kept.count()
-    discard(states)
+    discard(states, gone, bits.words, changed, *([whole] if whole is not None and whole is not changed else []))
     return Run(version["version"], counts, len(touched), carried)
 
 

@@ -85,3 +85,19 @@ def test_stores_of_nothing(spark, tmp_path):
     assert store.update(path, none, makers()).version == 1 and store.read(spark, path, "chunks").count() == 0
     assert store.update(path, files(spark, {"a.ts": ""}), makers()).states["new"] == 1 and store.read(spark, path, "chunks").count() == 1
     assert store.update(path, none, makers()).states["missing"] == 1 and store.read(spark, path, "files").count() == 0
+
+
+def test_carried_rows_stay_right_where_the_bitmap_cannot_tell_files_apart(spark, monkeypatch):
+    """With two bits of a bitmap most kept files look like changed ones: their rows are joined, and none is lost or doubled."""
+    from lodestone import storage
+
+    monkeypatch.setattr(storage, "LEAST_BITS", 2)
+    monkeypatch.setattr(storage, "MOST_BITS", 2)
+    path = storage.scratch(spark, "doubtful")
+    old = [(f"p{i}", f"h{i}", i % 4) for i in range(40)]
+    new = [(p, h + ("x" if int(p[1:]) % 9 == 0 else ""), n + (int(p[1:]) % 9 == 0)) for p, h, n in old if int(p[1:]) % 7] + [("q", "hq", 2)]
+    makers = {"rows": lambda f: f.selectExpr("path", "explode(sequence(0, n)) AS i")}
+    for rows in (old, new):
+        store.update(path, spark.createDataFrame(rows, "path string, hash string, n int"), makers, 3)
+    got = sorted((r.path, r.i) for r in store.read(spark, path, "rows").collect())
+    assert got == sorted((p, i) for p, _, n in new for i in range(n + 1))
