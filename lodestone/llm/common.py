@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import discard, key_bitmap, scratch, stored, with_hit  # noqa: F401
+from ..storage import discard, key_bitmap, scratch, settle, stored, with_hit  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Words, discard, key_bitmap, mix, release, stored, text_slices, with_hit
+from .common import NONSPACE, Words, discard, key_bitmap, mix, release, settle, stored, text_slices, with_hit
 from .components import components
 
 U = np.uint64
@@ -359,6 +359,7 @@ def joined_lists(texts: DataFrame, feats: DataFrame, entries: DataFrame, known:
         now = behind.join(label.withColumnRenamed("node", "doc"), "doc", "left").groupBy("token").agg(F.min(F.coalesce("component", "doc")).alias("low"), F.max(F.coalesce("component", "doc")).alias("high"))
         rest = stored(behind.join(now.where("low < high").select("token"), "token", "left_semi"), "rest")
         discard(part, front)
+        settle(texts.sparkSession)
         if rest.isEmpty():
             return label
         pivots = PIVOTS[1] if pivots == PIVOTS[0] else pivots * PIVOTS[2]
@@ -391,7 +392,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     shared = spark.sparkContext.broadcast(rarity(texts, tokens))  # 16 MB of bits, HOT_MOST tokens at most
     entries = stored(index(texts, shared), "index")
-    shared.unpersist()
+    shared.destroy()
+    settle(spark)
     label = joined_lists(texts, feats, entries, ties)
     named = named.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     others = feats.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

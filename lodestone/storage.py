@@ -50,6 +50,12 @@ def discard(*tables: DataFrame | str) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between rounds of many short jobs: have the driver's heap collected, so that Spark's cleaner drops the shuffles and broadcasts
+    of tables that are gone, and the heap does not grow over what these left."""
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- a filter for keys that some rows have ---
 
 #: Bits of a bitmap: 16 for each key, between these bounds. The upper one makes 2**20 rows of 64 bits; beyond some 16

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, stream_dedup, surrogates, url_filter
+from lodestone.llm import common, components, jaccard_join, stream_dedup, surrogates, url_filter
 
 
 def replaced(spark, texts):
@@ -82,3 +82,26 @@ def test_error_rates(spark):
     got = url_filter.error_rates(spark.createDataFrame(rows, "page_id long, url string"))
     assert got["allowed"] > 20 and got["blocked"] > 20 and got["lost"] < 0.05 and got["let_in"] < 0.05
     assert url_filter.error_rates(spark.createDataFrame([], "page_id long, url string")) == {"allowed": 0, "blocked": 0, "lost": None, "let_in": None}
+
+
+def test_components_without_edges_are_one_look(spark):
+    sc = spark.sparkContext
+    edges = spark.createDataFrame([(3, 3)], "a long, b long")
+    sc.setJobGroup("no edges", "")
+    try:
+        assert components.components(edges).isEmpty()
+        assert len(sc.statusTracker().getJobIdsForGroup("no edges")) < 8  # 11 before
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(90, 70), (80, 90), (70, 70)], "a long, b long")
+    assert dict(components.components(chain).collect()) == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys((70, 80, 90), 70)}
+
+
+def test_the_join_leaves_no_broadcast(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(jaccard_join, "index", lambda texts, shared, f=jaccard_join.index: sent.append(shared) or f(texts, shared))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "a b c")], "doc_id long, text string")
+    got = {tuple(r) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {(1, 56, 1), (2, 57, 1), (3, 1, 3)}
+    assert not sent[0]._jbroadcast.isValid()
