@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, discard, key_bitmap, release, stored, text_slices, with_hit
+from .common import Words, discard, key_bitmap, release, settle, stored, text_slices, with_hit
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WIDTHS = (1, 2, 3)
@@ -358,6 +358,7 @@ def one_round(rows: DataFrame, fits: list[tuple[Toxicity, dict]], passes: range,
     kinds = "fit int, part int, who int, weight double, at binary, change binary, seen binary"
     done = todo.mapInArrow(run, kinds).groupBy("fit", "part").applyInArrow(mean, kinds).collect()  # of the size of the models
     shared.destroy()
+    settle(spark)
     for r in done:
         m, state = fits[r["fit"]]
         change = np.frombuffer(r["change"], np.float32)

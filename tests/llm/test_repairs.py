@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, components, jaccard_join, stream_dedup, surrogates, url_filter
+from lodestone.llm import common, components, jaccard_join, stream_dedup, surrogates, toxicity, url_filter
 
 
 def replaced(spark, texts):
@@ -105,3 +105,12 @@ def test_the_join_leaves_no_broadcast(spark, monkeypatch):
     got = {tuple(r) for r in jaccard_join.near_duplicates(docs).collect()}
     assert got == {(1, 56, 1), (2, 57, 1), (3, 1, 3)}
     assert not sent[0]._jbroadcast.isValid()
+
+
+def test_the_fit_settles_the_driver_after_each_round(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(toxicity, "settle", lambda s, f=toxicity.settle: done.append("settle") or f(s))
+    monkeypatch.setattr(toxicity, "one_round", lambda *a, f=toxicity.one_round: done.append("round") or f(*a))
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} words {i}") for i in range(40)], "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"), toxicity.Toxicity(bits=8, steps=20))
+    assert model.emb is not None and done == ["round", "settle"] * (len(done) // 2) and done
