@@ -40,6 +40,7 @@ FRAME = struct.Struct("<4sBIIIIII")
 MAGIC = b"LDTK"
 END = 1
 RUN = 4096
+TOGETHER = 1000  # runs that are merged in one call
 
 
 #: The normalisation and the splitting for which the cuts are known to hold.
@@ -68,27 +69,37 @@ class WordEncoder:
     """The tokenizers library on the distinct runs of a batch, behind a bounded memo.
 
     Where a file's normalisation and splitting are those of SPLITTING, no word goes on past white space (no branch of the
-    pattern takes any), nor from an ASCII letter to an ASCII sign other than the apostrophe (each branch takes either
-    letters, or a digit, or neither, but for those that begin with an apostrophe); neither composes with what stands
-    before it; and letters are lower-cased one by one. So texts are lower-cased in ASCII and cut there, and runs are
-    encoded alone. A run of plain letters or of signs is one word to the library's merge model; others take its whole
-    way. With any other file, and in slices that have a special token's text, the library encodes whole texts.
+    pattern takes any), nor from a Latin-1 letter to an ASCII sign other than the apostrophe or back (each branch takes either
+    letters, or a digit, or neither, but for those that begin with an apostrophe), and an ASCII digit is a word of its own;
+    none of them composes with what stands before it; and letters are lower-cased one by one. So texts are lower-cased in
+    ASCII and cut there, and runs are encoded alone. A run of plain letters, of signs, or a digit is one word to the library's
+    merge model; others take its whole way. With any other file, and in slices that have a special token's text, the library
+    encodes whole texts.
     """
 
-    #: Letters that are lower-cased one by one and composed already; or signs, which stand for themselves.
-    PLAIN = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+    #: Letters that are lower-cased one by one and composed already; or signs, which stand for themselves; or a digit.
+    PLAIN = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+|[0-9]")
+    ALL_PLAIN = re.compile(f"(?:(?:{PLAIN.pattern}) )+")
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(definition)
-        self.model = self.lib.model
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.plain = all(self.lib.encode(t, add_special_tokens=False).ids == self.alone(t) for t in ("hello", "Äpfel", "année", "...", "x", "|$*"))
-        self.cut = cuts_hold(json.loads(definition))
+        known = json.loads(definition)
+        self.cut = cuts_hold(known)
+        # the same merges without normalisation and splitting, for words that are spelled out already
+        self.merges = Tokenizer.from_str(json.dumps({**known, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []})) if self.cut else None
+        suffix, vocabulary = known["model"].get("end_of_word_suffix"), self.lib.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word, and nothing else does
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.spelling = {i: "".join(self.letters[b] for b in chr(i).encode()) for i in range(0xC0, 0x100)}
+        tried = ["hello", "Äpfel", "année", "...", "x", "|$*", "7"]
+        if self.merges and np.concatenate([self.whole(t) for t in tried]).tolist() != self.many(tried)[0].tolist():
+            self.merges = None
         self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -96,29 +107,46 @@ class WordEncoder:
         self.memo: dict[str, int] = {}
         self.ids, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def alone(self, run: str) -> list[int]:
-        if not self.PLAIN.fullmatch(run):
-            return self.whole(run)
-        spelled = run if run.isascii() else "".join(self.letters[b] for b in run.lower().encode())
-        return [t.id for t in self.model.tokenize(spelled)]
+    def many(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of up to TOGETHER runs, flat, and how many each has; plain ones are merged side by side, as words of one text."""
+        text = " ".join(runs)
+        if self.merges and self.ALL_PLAIN.fullmatch(text + " "):
+            spelled = text if text.isascii() else text.lower().translate(self.spelling)
+            ids = np.array(self.merges.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(runs) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        elif self.merges and len(runs) > 1:
+            plain = np.array([self.PLAIN.fullmatch(r) is not None for r in runs])
+            if plain.any():
+                got = [np.zeros(0, np.int32)] * len(runs)
+                ids, size = self.many([r for r, own in zip(runs, plain) if own])
+                for i, x in zip(np.flatnonzero(plain).tolist(), np.split(ids, np.cumsum(size)[:-1])):
+                    got[i] = x
+                for i in np.flatnonzero(~plain).tolist():
+                    got[i] = np.array(self.whole(runs[i]), np.int32)
+                return np.concatenate(got), np.array([len(x) for x in got], np.int64)
+        lists = [self.whole(r) for r in runs]
+        size = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum())), size
 
     def whole(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
-    def places(self, runs: list[str], most: int = 100_000) -> np.ndarray:
+    def places(self, runs: list[str], most: int = 200_000) -> np.ndarray:
         if len(self.memo) > most:
             self.forget()
         at = np.fromiter((self.memo.get(x, -1) for x in runs), np.int64, len(runs))
         new = np.flatnonzero(at < 0)
-        one = self.alone if self.plain else self.whole
-        for part in np.array_split(new, -(-len(new) // 20_000)) if len(new) else ():  # lists of ids are short-lived
-            got = [one(runs[i]) for i in part.tolist()]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            at[part] = len(self.memo) + np.arange(len(part))
-            self.memo.update(zip((runs[i] for i in part.tolist()), at[part].tolist()))
-            self.at = np.append(self.at, len(self.ids) + np.append(0, np.cumsum(size))[:-1])
-            self.size = np.append(self.size, size)
-            self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum())))
+        ids, size = [self.ids], [self.size]
+        for a in range(0, len(new), TOGETHER):
+            got = self.many([runs[i] for i in new[a : a + TOGETHER].tolist()])
+            ids.append(got[0])
+            size.append(got[1])
+        at[new] = len(self.memo) + np.arange(len(new))
+        self.memo.update(zip((runs[i] for i in new.tolist()), at[new].tolist()))
+        self.ids, self.size = np.concatenate(ids), np.concatenate(size)
+        self.at = np.append(0, np.cumsum(self.size))[:-1]
         return at
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +156,16 @@ class WordEncoder:
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
             ids = [np.append(np.array(e.ids, np.int32), np.int32(END)) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
             return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.array([len(x) for x in ids], np.int64)
-        kind = _KIND[data]  # 0: white space, 1: a letter, 2: a sign, 3: another byte
+        kind = _KIND[data]  # 0: white space, 1: a letter, 2: a sign, 3: another byte, 4: a digit
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] & 0x3F) != 0x17]
+        lead = lead[(data[lead + 1] & 0x3F) != 0x37]  # neither × nor ÷: letters of Latin-1
+        kind[lead] = kind[lead + 1] = 1
         word = kind > 0
         begin = word.copy()
         begin[1:] &= ~word[:-1]
         data = LOWER[data]
-        begin[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
+        begin[1:] |= _CUT[kind[:-1] * np.uint8(5) + kind[1:]]
         inside = offsets[:-1][offsets[:-1] < len(data)]
         begin[inside] = word[inside]
         start = np.flatnonzero(begin)
@@ -164,6 +196,9 @@ _KIND = np.full(256, 3, np.uint8)
 _KIND[(_b == 32) | ((_b >= 9) & (_b <= 13))] = 0
 _KIND[((_b >= 65) & (_b <= 90)) | ((_b >= 97) & (_b <= 122))] = 1
 _KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+_KIND[48:58] = 4
+_CUT = np.zeros(25, bool)  # by the kinds of two neighbours, whether a run begins between them
+_CUT[[1 * 5 + 2, 2 * 5 + 1, *(k * 5 + 4 for k in range(5)), *(4 * 5 + k for k in (1, 2, 4))]] = True
 
 
 class Definition:

@@ -114,3 +114,20 @@ def test_the_fit_settles_the_driver_after_each_round(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} words {i}") for i in range(40)], "doc_id long, text string")
     model = toxicity.fit_toxicity(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"), toxicity.Toxicity(bits=8, steps=20))
     assert model.emb is not None and done == ["round", "settle"] * (len(done) // 2) and done
+
+
+def test_runs_with_digits_and_latin_letters_are_merged_side_by_side(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from lodestone.llm.token_files import WordEncoder
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        enc = WordEncoder(f.read())
+    texts = ["L'année, (2024): x9y <b>Été</b> 3×4÷2 naïve;", "", "don't 7\u0301 =\u0338 é\u0301, ÀÉ. 12ab'34"]
+    data, edge = np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    want, whole, asked = [enc.whole(t) + [1] for t in texts], enc.whole, []
+    monkeypatch.setattr(enc, "whole", lambda run: asked.append(run) or whole(run))
+    ids, size = enc.encode(data, edge)
+    assert ids.tolist() == sum(want, []) and size.tolist() == list(map(len, want))
+    assert asked and all(re.search("['×÷\u0301\u0338]", run) for run in asked), asked
