@@ -40,8 +40,9 @@ def _queries(spark, sf_dir):
 
 
 def _keyword(spark, sf_dir, chunks, k):
+    """Places of a term are counted as the SQL's replace() takes them out: one that overlaps the one before does not count."""
     index = kept(spark, sf_dir, "chunk postings", lambda: retrieval.postings_index(chunks))
-    return retrieval.keyword(chunks, index, _queries(spark, sf_dir), k)
+    return retrieval.keyword(chunks, index, _queries(spark, sf_dir), k, apart=True)
 
 
 def _semantic(spark, sf_dir, chunks, k):

@@ -284,18 +284,41 @@ def _matches(lists: _Lists, grams: list[int]) -> np.ndarray:
     return found
 
 
-def _hits_of(lists: _Lists, terms: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
-    """term, chunk, f and d of all matches in one shard: f counts matches in the path twice, d is the length."""
+def overlaps(term: str) -> bool:
+    """Whether two places of a term can overlap: it ends as it begins."""
+    return any(term.startswith(term[i:]) for i in range(1, len(term)))
+
+
+def _apart(found: np.ndarray, size: int) -> np.ndarray:
+    """Of ascending places of a term of some size, the first and each next one that begins behind the one taken before it."""
+    taken = np.zeros(len(found), bool)
+    behind = np.searchsorted(found, found + size)
+    now = np.flatnonzero(np.append(True, np.diff(found) >= size))  # these overlap nothing before them: all runs go on side by side
+    end = np.append(now[1:], len(found))
+    while len(now):
+        taken[now] = True
+        now = behind[now]
+        now, end = now[now < end], end[now < end]
+    return found[taken]
+
+
+def _hits_of(lists: _Lists, terms: list[tuple[int, list[int], bool]]) -> dict[str, np.ndarray]:
+    """term, chunk, f and d of all matches in one shard: f counts matches in the path twice, d is the length.
+
+    A term (number, trigrams, whether its places are taken apart).
+    """
     front, length = np.zeros(4096, np.int64), np.zeros(4096, np.int64)
     for _, chunks, paths, texts in lists.raw.get(LENGTHS, ()):
         c, a, b = np.cumsum(decoded(chunks)), decoded(paths), decoded(texts)
         front[c] = a
         length[c] = 2 * np.maximum(a - 2, 0) + np.maximum(b - 2, 0)
     out = {"term": [], "chunk": [], "f": [], "d": []}
-    for number, grams in terms:
+    for number, grams, apart in terms:
         found = _matches(lists, grams)
         if not len(found):
             continue
+        if apart:
+            found = _apart(found, len(grams) + GRAM - 1)
         chunk, place = found >> 40, found & ((1 << 40) - 1)
         f = np.bincount(chunk, np.where(place < front[chunk], 2, 1), 4096)
         some = np.flatnonzero(f)
@@ -307,12 +330,13 @@ def _hits_of(lists: _Lists, terms: list[tuple[int, list[int]]]) -> dict[str, np.
 _HITS = "shard long, seen int, read int, term array<int>, chunk array<int>, f array<int>, d array<int>"
 
 
-def hits(index: Index, terms: list[str]) -> DataFrame:
+def hits(index: Index, terms: list[str], apart: bool = False) -> DataFrame:
     """shard, seen and read (blocks at hand, and those whose places were decoded), and term (its number), chunk, f, d of each match.
 
-    A row a shard; terms of three letters or more, in lower case.
+    A row a shard; terms of three letters or more, in lower case. With `apart` places that overlap the one counted before do
+    not count.
     """
-    plan = [(i, gram_codes(t)) for i, t in enumerate(terms)]
+    plan = [(i, gram_codes(t), apart and overlaps(t)) for i, t in enumerate(terms)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lists = None, _Lists()
@@ -331,7 +355,7 @@ def hits(index: Index, terms: list[str]) -> DataFrame:
         if lists.raw:
             yield out()
 
-    wanted = blocks_of(index, {LENGTHS} | {g for _, grams in plan for g in grams})
+    wanted = blocks_of(index, {LENGTHS} | {g for _, grams, _ in plan for g in grams})
     return wanted.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _HITS)
 
 
@@ -339,10 +363,11 @@ def _weight(f: np.ndarray, d: np.ndarray, mean: float) -> np.ndarray:
     return f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean)) if mean else f * 0.0
 
 
-def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, apart: bool = False) -> DataFrame:
     """query_id, number, score of the k best chunks of each query (query_id, terms: lower-case, three letters or more).
 
-    Scores are negative, less is better, and rounded to six places; equal ones go by number. Queries are a bounded set.
+    Scores are negative, less is better, and rounded to six places; equal ones go by number. Queries are a bounded set. All
+    places of a term count, or with `apart` those alone that do not overlap the one counted before: "ana" is in "banana" once.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -353,7 +378,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     if not terms or not index.n:
         return spark.createDataFrame([], schema)
     place, mean = {t: i for i, t in enumerate(terms)}, index.mean
-    found = stored(hits(index, terms), "hits")
+    found = stored(hits(index, terms, apart), "hits")
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each term of a shard: how many chunks, and the k largest weights."""

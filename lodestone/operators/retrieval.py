@@ -53,16 +53,17 @@ def pattern_terms(word: Column) -> Column:
     return F.filter(F.transform(F.split(word, "_"), F.lower), lambda p: (F.length(p) >= 3) & ~F.rlike(p, F.lit(r"[^\x00-\x7F]")))
 
 
-def keyword(chunks: DataFrame, index: postings.Index, queries: DataFrame, k: int, snippet: int = 400) -> DataFrame:
+def keyword(chunks: DataFrame, index: postings.Index, queries: DataFrame, k: int, snippet: int = 400, apart: bool = False) -> DataFrame:
     """query_id, position, path, ordinal, start_line, end_line, score, snippet: the k best chunks of each query by its terms.
 
     Weights are those of BM25 over trigram columns, where path counts as path and as title. A query that no chunk matches goes
     by its first word as a pattern, in paths (-10) or texts (-1), where "_" stays wild; the longest part of such a word without
-    wild signs is looked up in the index, and only a word without a part of three letters is looked for in all chunks.
+    wild signs is looked up in the index, and only a word without a part of three letters is looked for in all chunks. With
+    `apart` places of a term that overlap do not count, see `postings.search`.
     """
     queries = bounded(queries)
     terms = F.array_distinct(F.transform(T.search_terms(F.col("query")), F.lower))
-    ranked = postings.search(index, queries.select("query_id", terms.alias("terms")), k)
+    ranked = postings.search(index, queries.select("query_id", terms.alias("terms")), k, apart)
     keys = F.broadcast(ranked)  # k rows a query
     found = stored(index.docs.join(keys, "number").select("query_id", *KEY, "score"), "found")
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -55,6 +55,23 @@ def test_search_is_that_of_brute_force(spark, k):
         assert [m[1:] for m in mine] == [w[1:] for w in want] and [m[0] for m in mine] == pytest.approx([w[0] for w in want], abs=2e-6)
 
 
+@pytest.mark.parametrize("k", [5, 1000])
+def test_search_of_places_apart_is_that_of_brute_force(spark, monkeypatch, k):
+    """str.count takes places as replace() does: one that overlaps the one before is not counted."""
+    rows = [*some_chunks(), ("long", 0, 1, 1, "a" * 5000 + " ababab " + "a" * 4), ("abababa/aaaaa.ts", 0, 1, 1, "abababa")]
+    index = postings.build(spark.createDataFrame(rows, CHUNKS).repartition(3), shard=7)
+    sets = {"1": ["aba", "bab"], "2": ["aaa"], "3": ["abaab", "éaa"], "4": ["ababa", "aaaa"]}
+    asked = spark.createDataFrame(list(sets.items()), "query_id string, terms array<string>")
+    got = index.docs.join(postings.search(index, asked, k, apart=True), "number").collect()
+    every = by_hand(rows, ["aaa"])
+    monkeypatch.setitem(globals(), "occurrences", str.count)
+    assert by_hand(rows, ["aaa"]) != every
+    for q, terms in sets.items():
+        mine = sorted((r.score, r.path, r.start_line, r.ordinal) for r in got if r.query_id == q)
+        want = by_hand(rows, terms)[:k]
+        assert [m[1:] for m in mine] == [w[1:] for w in want] and [m[0] for m in mine] == pytest.approx([w[0] for w in want], abs=2e-6)
+
+
 def test_matches_are_all_chunks_with_a_term(spark):
     rows = some_chunks(seed=3)
     index = postings.build(spark.createDataFrame(rows, CHUNKS), shard=7)
