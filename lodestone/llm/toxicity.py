@@ -356,10 +356,10 @@ def one_round(rows: DataFrame, fits: list[tuple[Toxicity, dict]], passes: range,
     for k in range(1, len(fits)):
         todo = todo.unionByName(each.withColumn("fit", F.lit(k)))
     kinds = "fit int, part int, who int, weight double, at binary, change binary, seen binary"
-    done = todo.mapInArrow(run, kinds).groupBy("fit", "part").applyInArrow(mean, kinds).collect()  # of the size of the models
+    done = stored(todo.mapInArrow(run, kinds).groupBy("fit", "part").applyInArrow(mean, kinds), "toxicity-changes")
     shared.destroy()
     settle(spark)
-    for r in done:
+    for r in done.toLocalIterator():  # of the size of the models, a part of them at a time
         m, state = fits[r["fit"]]
         change = np.frombuffer(r["change"], np.float32)
         if r["part"] < PARTS:
@@ -373,6 +373,7 @@ def one_round(rows: DataFrame, fits: list[tuple[Toxicity, dict]], passes: range,
                 a[...] = change[begin : begin + a.size].reshape(a.shape)
                 begin += a.size
         state["t"] += int(r["weight"])
+    discard(done)
     return fits
 
 

@@ -131,3 +131,20 @@ def test_runs_with_digits_and_latin_letters_are_merged_side_by_side(monkeypatch)
     ids, size = enc.encode(data, edge)
     assert ids.tolist() == sum(want, []) and size.tolist() == list(map(len, want))
     assert asked and all(re.search("['×÷\u0301\u0338]", run) for run in asked), asked
+
+
+def test_the_changes_of_a_pass_come_piece_by_piece(spark, monkeypatch):
+    """No collect() of a fit brings the weights' changes, which are of the models' size, to the driver in one piece."""
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "bad worse").otherwise("fine good"), F.col("id").cast("string"), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("toxic"))
+    sizes, kind = [], type(docs)
+    binary = lambda rows: sum(len(x) for r in rows for x in r if isinstance(x, bytes | bytearray))
+
+    def collect(self, f=kind.collect):
+        rows = f(self)
+        sizes.append(binary(rows))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", collect)
+    fitted = toxicity.fit_toxicity(docs, labels, toxicity.Toxicity(bits=12, steps=20, batch=16))
+    assert fitted.emb is not None and sizes and max(sizes) == 0
